@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import exact_dedup, preference, simhash_trie, source_mix
+from docweave.llm import exact_dedup, mpeg_audio, packing, preference, simhash_trie, source_mix
 from docweave.llm.common import table
 
 
@@ -20,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": _over("documents", exact_dedup.op5),
         "op6_simhash_trie": _over("documents", simhash_trie.op6),
         "op7_preference_format": _over("conversations", preference.op7),
+        "op8_packed_ids": _over("documents", packing.op8),
+        "op9_mpeg_audio": _over("documents", mpeg_audio.op9),
     }
 
 
