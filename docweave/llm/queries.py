@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import exact_dedup, mpeg_audio, packing, preference, simhash_trie, source_mix
+from docweave.llm import exact_dedup, mpeg_audio, packing, preference, simhash_trie, source_mix, sp_lattice
 from docweave.llm.common import table
 
 
@@ -16,6 +16,7 @@ def _over(name: str, query: Callable[[SparkSession, DataFrame], DataFrame]) -> C
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_sp_lattice": _over("documents", sp_lattice.op3),
         "op4_source_mix": _over("documents", source_mix.op4),
         "op5_exact_dedup": _over("documents", exact_dedup.op5),
         "op6_simhash_trie": _over("documents", simhash_trie.op6),
