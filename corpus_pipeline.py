@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import exact_dedup, simhash_trie, source_mix
+from docweave.llm import exact_dedup, quality_cotrain, simhash_trie, source_mix, sp_lattice
 from docweave.llm.common import materialize, table
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_cotrain.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
@@ -20,10 +24,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return source_mix.remix(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sp_lattice.encode(docs)
+
+
 STAGES = [
+    ("quality", keep_good),
     ("exact_dedup", drop_exact),
     ("near_dedup", drop_near),
     ("source_mix", mix_sources),
+    ("pieces", encode),
 ]
 
 #: The quality classifier, near-duplicate classes and sampled segmentations are beyond SQL.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import exact_dedup, mpeg_audio, packing, preference, simhash_trie, source_mix, sp_lattice
+from docweave.llm import exact_dedup, mpeg_audio, packing, preference, quality_cotrain, simhash_trie, source_mix, sp_lattice
 from docweave.llm.common import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_preference_format": _over("conversations", preference.op7),
         "op8_packed_ids": _over("documents", packing.op8),
         "op9_mpeg_audio": _over("documents", mpeg_audio.op9),
+        "op10_quality_cotrain": quality_cotrain.op10,
     }
 
 
