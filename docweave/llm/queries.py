@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import exact_dedup, mpeg_audio, packing, pii_crf, preference, quality_cotrain, simhash_trie, source_mix, sp_lattice
+from docweave.llm import exact_dedup, lm_mixing, mpeg_audio, packing, pii_crf, preference, quality_cotrain, simhash_trie, source_mix, sp_lattice
 from docweave.llm.common import table
 
 
@@ -17,6 +17,7 @@ def _over(name: str, query: Callable[[SparkSession, DataFrame], DataFrame]) -> C
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_crf": _over("documents", pii_crf.op1),
+        "op2_lm_mixing": _over("documents", lm_mixing.op2),
         "op3_sp_lattice": _over("documents", sp_lattice.op3),
         "op4_source_mix": _over("documents", source_mix.op4),
         "op5_exact_dedup": _over("documents", exact_dedup.op5),
