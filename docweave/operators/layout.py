@@ -52,9 +52,6 @@ def with_next_line(lines: DataFrame) -> DataFrame:
 
 
 def nearest_text(x: Column, items: Column) -> Column:
-    """Text of the item whose centre is nearest to x, the leftmost of equals; null without items."""
-    def key(i):
-        cx, _ = center(i["box"])
-        return F.struct(F.abs(cx - x).alias("far"), cx.alias("cx"), i["ord"].alias("ord"), i["text"].alias("text"))
-
-    return F.array_min(F.transform(items, key))["text"]
+    """Text of the item whose centre is nearest to x, the first of equals; null without items. Items are in line order."""
+    far = F.transform(items, lambda i, k: F.struct(F.abs(center(i["box"])[0] - x).alias("far"), k.alias("k"), i["text"].alias("text")))
+    return F.array_min(far)["text"]
