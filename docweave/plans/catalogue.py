@@ -530,14 +530,14 @@ def mean_brightness(spark, sf_dir):
 @query(f"""WITH {_PIXELS}, g AS (SELECT id, pos // 8 AS y, pos % 8 AS x, level FROM x),
 n AS (SELECT a.id, a.x, a.y, sum(b.level * (CASE WHEN abs(dx) + abs(dy) = 0 THEN -4 ELSE 1 END)) AS l FROM g a, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dx, dy)
   JOIN g b ON b.id = a.id AND b.x = CASE WHEN a.x + dx < 0 THEN 1 WHEN a.x + dx > 7 THEN 6 ELSE a.x + dx END AND b.y = CASE WHEN a.y + dy < 0 THEN 1 WHEN a.y + dy > 7 THEN 6 ELSE a.y + dy END GROUP BY a.id, a.x, a.y)
-SELECT id, round(var_pop(l), 4) AS sharpness FROM n GROUP BY id""")
+SELECT id, round(var_pop(l) * 4096)::BIGINT AS sharpness_4096 FROM n GROUP BY id""")
 def laplacian_variance(spark, sf_dir):
     @F.pandas_udf("double")
     def variance(planes: pd.Series) -> pd.Series:
         return planes.map(lambda p: float(kernels.laplacian(np.asarray(p).reshape(8, 8)).var()))
 
     plane = F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 127.5).cast("int"))
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(variance(plane), 4).alias("sharpness"))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(variance(plane) * 4096).cast("long").alias("sharpness_4096"))
 
 
 _RGB = """r AS (SELECT vec_id AS id, least(255, greatest(0, floor(embedding[i]::DOUBLE * 900 + 100)))::INT AS r, least(255, greatest(0, floor(embedding[i + 1]::DOUBLE * 900 + 150)))::INT AS g, least(255, greatest(0, floor(embedding[i + 2]::DOUBLE * 900 + 240)))::INT AS b
