@@ -55,6 +55,11 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def whole_row(df: DataFrame):
+    """All columns of a row as one struct, so that no helper column can clash with them; ``.select("__row.*")`` opens it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+
+
 def join_by_hot_key(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``facts`` (one row per key, ``size`` = rows of that key) without skew.
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import WS, join_by_hot_key, materialize, new_path
+from docweave.llm.common import WS, join_by_hot_key, materialize, new_path, whole_row
 
 
 def digest(text) -> F.Column:
@@ -95,14 +95,14 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     index = index or DigestIndex(spark, new_path(spark, "digest-index"))
     fresh = materialize(index.new_groups(digests), "digest-groups")
     index.append(fresh)
-    keep = fresh.select(F.col("digest").alias("__digest"), "keep_id", "n_first")
-    marked = docs.withColumn("__digest", digest(F.col("text")))
+    marked = docs.select(whole_row(docs), F.col("doc_id").alias("id"), digest(F.col("text")).alias("digest"))
     # by digest and id together: no key has more rows than one document was repeated
-    held = marked.join(keep.hint("merge"), (marked["__digest"] == keep["__digest"]) & marked["doc_id"].eqNullSafe(keep["keep_id"])).drop(keep["__digest"])
-    once = held.where("n_first = 1")
+    keep = fresh.select(F.col("digest").alias("keep_digest"), "keep_id", "n_first").hint("merge")
+    held = marked.join(keep, (F.col("digest") == F.col("keep_digest")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    once = held.where("n_first = 1").select("__row")
     if not fresh.where("n_first > 1").isEmpty():
-        once = once.unionByName(held.where("n_first > 1").dropDuplicates(["doc_id", "__digest"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+        once = once.unionByName(held.where("n_first > 1").dropDuplicates(["id", "digest"]).select("__row"))
+    return once.select("__row.*")
 
 
 def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:

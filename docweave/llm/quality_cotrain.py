@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import arrow_rows, table
+from docweave.llm.common import arrow_rows, table, whole_row
 
 #: Rows that fitting may use: labelled ones and, without labels, for the pool. Chosen by a seeded hash of the id.
 LABELLED_ROWS, POOL_ROWS = 6000, 6000
@@ -273,5 +273,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with the columns they came with."""
-    rows = docs.withColumn("__row", F.struct(*docs.columns))
+    rows = docs.select(whole_row(docs), "text", "lang", "source", "n_chars")
     return score(rows, train(docs, labels)).where("keep").select("__row.*")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docweave.llm.common import WS, materialize
+from docweave.llm.common import WS, materialize, whole_row
 
 #: Copies that the mix may take of one document.
 MAX_COPIES = 3
@@ -209,8 +209,9 @@ def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def remix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with the columns it came with."""
-    rows, _ = mix(docs.withColumn("__source", F.col("source")), F.array("__source"), F.col("doc_id"), n_words(F.col("text")), cycle_weights)
-    return rows.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    base = docs.select(whole_row(docs), "doc_id", "source", n_words(F.col("text")).alias("words"))
+    rows, _ = mix(base, F.array("source"), F.col("doc_id"), F.col("words"), cycle_weights)
+    return rows.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
 
 
 #: Water level over sources sorted by size per weight; then seeded order within each source.
