@@ -199,7 +199,7 @@ def cycle_weights(names: list) -> list[float]:
 
 
 def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    base = docs.select("doc_id", "source", n_words(F.col("text")).alias("words"))
+    base = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), "mix-sizes")  # texts are read once
     rows, report = mix(base, F.array("source"), F.col("doc_id"), F.col("words"), cycle_weights)
     facts = spark.createDataFrame(
         [(r["source"], r["size"], r["target"]) for r in report], "s string, source_size long, target double"
