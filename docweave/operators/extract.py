@@ -23,39 +23,46 @@ def _texts(items: Column) -> Column:
 
 
 def line_values(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, at, field, value): what each label of a line yields, before the merge.
+    """(doc_id, line_no, field, at, value, labelled): what the labels of a line yield, before the merge.
 
     lines: with next_items. For each label the first of these that is a valid value: text after the label in its own
     token; tokens up to the next label (unless there are more labels and a line below); nearest token of the line below;
     text after the label in the joined tokens; all the rest of a lone label's line. Else the first of the same that
-    merely is no label. A line without labels is matched as a whole.
+    merely is no label. A line without labels is matched as a whole, and only what follows that label counts. Labels
+    without any value are rows too, with a null value; ``labelled`` tells tokens that are labels from whole lines.
     """
-    seen = lines.withColumn("m", match_each_udf(_texts(F.col("items"))))
+    texts = _texts(F.col("items"))
+    seen = lines.withColumn("m", match_each_udf(texts))
     labels = F.filter(
         F.transform("m", lambda m, k: F.struct(k.alias("k"), m["field"].alias("field"), m["keyword"].alias("keyword"))), lambda x: x["field"].isNotNull()
     )
     seen = seen.withColumn("labels", labels).withColumn("n_labels", F.size("labels"))
+    line_text = F.when(F.size("items") > 0, F.array_join(texts, " ")).otherwise(F.col("text"))
+    seen = seen.withColumn("whole", F.when(F.col("n_labels") == 0, line_text)).withColumn("w", match_udf("whole"))
+    alone = F.array(F.struct(F.lit(-1).alias("k"), F.col("w.field").alias("field"), F.col("w.keyword").alias("keyword")))
+    seen = seen.withColumn("labels", F.when((F.col("n_labels") == 0) & F.col("w.field").isNotNull(), alone).otherwise(F.col("labels")))
     has_next = F.coalesce(F.size("next_items"), F.lit(0)) > 0
 
-    own = seen.where("n_labels > 0").select("*", F.posexplode("labels").alias("label_no", "l"))
+    own = seen.select("*", F.posexplode("labels").alias("label_no", "l"))
     k, size = F.col("l.k"), F.size("items")
-    texts = _texts(F.col("items"))
+    token = k >= 0
     own = own.withColumns({
-        "field": F.col("l.field"), "keyword": F.col("l.keyword"), "label_text": F.element_at(texts, k + 1),
+        "field": F.col("l.field"), "keyword": F.col("l.keyword"), "label_text": F.when(token, F.try_element_at(texts, k + 1)).otherwise(F.col("whole")),
         "end": F.coalesce(F.try_element_at("labels", F.col("label_no") + 2)["k"], size), "has_next": has_next,
-        "x": center(F.element_at("items", k + 1)["box"])[0],
+        "x": center(F.try_element_at("items", F.greatest(k + 1, F.lit(1)))["box"])[0],
     })
     slash = F.instr("label_text", "/")
     tail = strip(F.substr("label_text", slash + 1))
     raw_after = after_label(F.col("label_text"), F.col("keyword"))
     # after a slash comes the label in another language, or a value that must look like one
     after = F.when((raw_after != "") & (slash > 0), F.when((F.length(tail) < 15) & (F.instr(tail, " ") == 0), "").when(~is_valid(F.col("field"), raw_after), "").otherwise(raw_after)).otherwise(raw_after)
+    only = lambda c: F.when(token, c).otherwise("")
     own = own.withColumns({
-        "after": after,
-        "candidate": strip(F.array_join(F.slice(texts, k + 2, F.greatest(F.col("end") - k - 1, F.lit(0))), " ")),
-        "below": F.coalesce(strip(nearest_text(F.col("x"), F.col("next_items"))), F.lit("")),
-        "joined": after_label(F.array_join(F.slice(texts, k + 1, F.col("end") - k), " "), F.col("keyword")),
-        "rest": strip(F.array_join(F.slice(texts, F.lit(2), F.greatest(size - 1, F.lit(0))), " ")),
+        "after": F.when(token, after).otherwise(raw_after),
+        "candidate": only(strip(F.array_join(F.slice(texts, F.greatest(k, F.lit(0)) + 2, F.greatest(F.col("end") - k - 1, F.lit(0))), " "))),
+        "below": only(F.coalesce(strip(nearest_text(F.col("x"), F.col("next_items"))), F.lit(""))),
+        "joined": only(after_label(F.array_join(F.slice(texts, F.greatest(k, F.lit(0)) + 1, F.greatest(F.col("end") - k, F.lit(0))), " "), F.col("keyword"))),
+        "rest": only(strip(F.array_join(F.slice(texts, F.lit(2), F.greatest(size - 1, F.lit(0))), " "))),
     })
     names = ("after", "candidate", "below", "joined", "rest")
     own = own.withColumn("values", F.array(*names)).withColumn("like", label_like_each_udf("values"))
@@ -68,39 +75,43 @@ def line_values(lines: DataFrame) -> DataFrame:
     after_, candidate, below, joined, rest = range(len(names))
     ways = F.array(
         step(after_, "ok"), step(candidate, "ok", ~((F.col("n_labels") > 1) & F.col("has_next"))), step(below, "ok"), step(joined, "ok"),
-        step(rest, "ok", ~F.col("has_next") & (F.col("at") == 0) & (F.col("size") > 1)), step(after_, "some"), step(candidate, "some"), step(below, "some"),
+        step(rest, "ok", ~F.col("has_next") & (F.col("at") == 0) & (F.col("size") > 1)), step(after_, "some", F.col("at") >= 0), step(candidate, "some"), step(below, "some"),
     )
-    by_label = own.select("doc_id", "line_no", "at", "field", F.explode(F.slice(F.array_compact(ways), 1, 1)).alias("value"))
+    by_label = own.select("doc_id", "line_no", "at", "field", F.explode_outer(F.slice(F.array_compact(ways), 1, 1)).alias("value"))
     # within a line the first label of a field that has any value holds its place
-    first = by_label.groupBy("doc_id", "line_no", "field").agg(F.min_by("value", "at").alias("value"), F.min("at").alias("at"))
-
-    whole = seen.where("n_labels = 0").withColumn("t", F.when(F.size("items") > 0, F.array_join(texts, " ")).otherwise(F.col("text"))).withColumn("w", match_udf("t"))
-    tail = F.filter(F.array(after_label(F.col("t"), F.col("w.keyword"))), lambda v: (strip(v) != "") & is_valid(F.col("w.field"), v))
-    whole = whole.where("w.field IS NOT NULL").select("doc_id", "line_no", F.col("w.field").alias("field"), F.explode(tail).alias("value"), F.lit(0).alias("at"))
-    whole = whole.where(~label_like_udf("value"))
-    return first.unionByName(whole)
+    here = F.when(F.col("value").isNotNull(), F.col("at"))
+    return by_label.groupBy("doc_id", "line_no", "field").agg(
+        F.min_by("value", here).alias("value"), F.coalesce(F.min(here), F.min("at")).alias("at"), F.max(F.col("at") >= 0).alias("labelled")
+    )
 
 
-def merge_fields(found: DataFrame) -> DataFrame:
+def merge_fields(found: DataFrame, *more) -> DataFrame:
     """(doc_id, field, value): the first value of a field; for LONGEST fields a later one that is strictly longer.
 
-    found: doc_id, field, value and ord, a struct or number that orders the values of a document.
+    found: doc_id, field, value and ord, a struct or number that orders the values of a document. Null values give way
+    to any other. more: further aggregates of the rows of a field.
     """
     longest = F.col("field").isin(*d.LONGEST)
     # the longest, the first of equals: the least by (-length, ord)
-    rank = F.struct(F.when(longest, -F.length("value")).otherwise(0).alias("n"), F.col("ord"))
-    return found.groupBy("doc_id", "field").agg(F.min_by("value", rank).alias("value"))
+    rank = F.when(F.col("value").isNotNull(), F.struct(F.when(longest, -F.length("value")).otherwise(0).alias("n"), F.col("ord")))
+    return found.groupBy("doc_id", "field").agg(F.min_by("value", rank).alias("value"), *more)
 
 
 def extract_fields(lines: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(doc_id, field, value) of all documents: the zone's values go first, then those of the lines by their order."""
-    zone = mrz_fields(lines, config.strict).select("doc_id", "field", "value", F.struct(F.lit(0).alias("src"), "line_no", "at").alias("ord"))
+    """(doc_id, field, value, labelled) of all documents: the zone's values go first, then those of the lines in order.
+
+    labelled: whether a token of the document is a label of the field; fields with a label only have a null value.
+    """
+    order = lambda src: F.struct(F.lit(src).alias("src"), "line_no", "at").alias("ord")
+    zone = mrz_fields(lines, config.strict).select("doc_id", "field", "value", order(0), F.lit(False).alias("labelled"))
     trimmed = F.filter(F.array(merge_trim(F.col("value"))), lambda v: ((F.length(v) >= 2) | ((F.col("field") == "sexe") & (v != ""))) & is_valid(F.col("field"), v))
-    read = line_values(with_next_line(lines)).select("doc_id", "line_no", "at", "field", F.explode(trimmed).alias("value")).where(~label_like_udf("value"))
-    read = read.withColumn("value", F.when(F.col("field").isin(*d.DATES), free_date(F.col("value"))).otherwise(F.col("value")))
-    return merge_fields(zone.unionByName(read.select("doc_id", "field", "value", F.struct(F.lit(1).alias("src"), "line_no", "at").alias("ord"))))
+    read = line_values(with_next_line(lines)).select("doc_id", "line_no", "at", "field", "labelled", F.explode_outer(trimmed).alias("value"))
+    read = read.withColumn("value", F.when(~label_like_udf("value"), F.when(F.col("field").isin(*d.DATES), free_date(F.col("value"))).otherwise(F.col("value"))))
+    return merge_fields(zone.unionByName(read.select("doc_id", "field", "value", order(1), "labelled")), F.max("labelled").alias("labelled"))
 
 
 def widen(fields: DataFrame) -> DataFrame:
-    """One row per document with a column for each of the ten fields."""
-    return fields.groupBy("doc_id").pivot("field", list(d.FIELDS)).agg(F.first("value"))
+    """One row per document with a column for each of the ten fields, and ``seen``, the fields that have a label."""
+    return fields.groupBy("doc_id").agg(
+        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in d.FIELDS], F.collect_set(F.when(F.col("labelled"), F.col("field"))).alias("seen")
+    )

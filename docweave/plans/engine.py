@@ -9,7 +9,6 @@ from docweave.config import DEFAULT, EngineConfig
 from docweave.functions import dictionary as d
 from docweave.operators import gates, layout, quality
 from docweave.operators.extract import extract_fields, widen
-from docweave.operators.matching import match_each_udf
 from docweave.operators.ocr import OcrBackend, post_process
 from docweave.sources import images as image_source
 
@@ -20,17 +19,13 @@ def extract_documents(tokens: DataFrame, config: EngineConfig = DEFAULT, post: b
     A document's tokens are brought together once, by doc_id; layout, zones and values then need no other exchange than
     by doc_id, which Spark reuses.
     """
-    lines = layout.build_lines(layout.nest(post_process(tokens, config) if post else tokens), config.line_tolerance)
-    wide = widen(extract_fields(lines, config))
-    # main fields whose label stands somewhere in the document
-    seen = lines.select("doc_id", match_each_udf(F.transform("items", lambda i: F.coalesce(i["text"], F.lit("")))).alias("m")).groupBy("doc_id").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.filter(F.transform("m", lambda m: m["field"]), lambda f: f.isin(*d.MAIN))))).alias("seen")
-    )
-    rows = seen.join(wide, "doc_id", "left")
+    nested = layout.nest(post_process(tokens, config) if post else tokens)
+    wide = widen(extract_fields(layout.build_lines(nested, config.line_tolerance), config))
+    rows = tokens.select("doc_id").distinct().join(wide, "doc_id", "left")
     columns = {f: F.col(f) for f in d.FIELDS}
     open_label = F.lit(False)
     for f in d.MAIN:
-        open_label |= F.array_contains("seen", f) & ~gates.clear(columns[f])
+        open_label |= F.coalesce(F.array_contains("seen", f), F.lit(False)) & ~gates.clear(columns[f])
     status, code = gates.outcome(columns, open_label)
     return rows.select("doc_id", status.alias("status"), code.alias("failure_code"), *d.FIELDS)
 
