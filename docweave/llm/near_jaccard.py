@@ -1,0 +1,162 @@
+"""Near-duplicates by word shingles: pairs of Jaccard similarity 0.8 or more, found by min-hash bands, verified exactly."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docweave.llm.common import arrow_rows, materialize
+from docweave.llm.components import connected_components
+
+WORDS = 5
+#: Two sets are near when OF * common >= LEAST * union: similarity 0.8.
+LEAST, OF = 4, 5
+#: A pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: at 0.8 all but 5 in 10 ** 8.
+BANDS, ROWS = 32, 4
+#: Documents of a bucket that a task compares at once; larger buckets are dealt into groups, and each pair of groups is a task's.
+BUCKET_ROWS = 4096
+
+_RNG = np.random.default_rng(42)
+_XOR = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 of the word shingles; a shorter text is one shingle; none for a text without words."""
+    parts = (text or "").encode().lower().split()  # bytes: lowers A-Z and splits at ASCII white space only
+    if not parts:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    whole = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([digest(whole, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = len(parts) - words + 1
+    spans = zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((digest(whole[a:b], 42) for a, b in spans), np.uint64, n))
+
+
+def node_of(s: np.ndarray) -> int:
+    """The 63-bit name of a set; equal sets have equal names."""
+    return xxhash.xxh64_intdigest(s.tobytes(), 7) >> 1
+
+
+def bands(s: np.ndarray) -> list[int]:
+    """Names of the bands: hashes of ROWS minima each. None for the empty set."""
+    if not len(s):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(s), 1024):  # bounded, however long the text is
+        np.minimum(least, ((s[a : a + 1024, None] ^ _XOR) * _MUL).min(axis=0), out=least)
+    raw, width = least.tobytes(), 8 * ROWS
+    return np.array([xxhash.xxh64_intdigest(raw[k * width : (k + 1) * width], k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
+
+
+def spanning_links(sets: list[np.ndarray], second: int = 0) -> list[tuple[int, int]]:
+    """Links between near sets that span every class of them; with ``second``, only links from sets before it to others."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    start = np.cumsum(size) - size
+    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    comp, mark, out = np.arange(n), np.zeros(len(vocabulary), bool), []
+    for i in range(second or n - 1):
+        a = second or i + 1
+        if (comp[a:] == comp[i]).all():
+            continue
+        own = flat[start[i] : start[i] + size[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[flat[start[a] :]], start[a:] - start[a], dtype=np.int64)
+        mark[own] = False
+        near = a + np.flatnonzero(OF * common >= LEAST * (size[i] + size[a:] - common))
+        near = near[comp[near] != comp[i]]
+        if len(near):
+            joined, first = np.unique(comp[near], return_index=True)
+            out += [(i, int(j)) for j in near[first]]
+            comp[np.isin(comp, joined)] = comp[i]
+    return out
+
+
+def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between sets that span every class of pairs that are near and share a band.
+
+    nodes: distinct (node, least, bands). Only sets in a bucket with another are built again, and of buckets with the
+    same members one is kept. A task compares the sets of a bucket in memory and returns a spanning forest, not all pairs.
+    """
+    buckets = nodes.select("node", F.explode("bands").alias("band"))
+    live = materialize(
+        buckets.groupBy("band").agg(
+            F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+        ).where("m > 1").groupBy("m", "x", "y").agg(F.min("band").alias("band")).select("band", "m"),
+        "near-buckets",
+    )
+    members = materialize(buckets.join(live.hint("merge"), "band"), "near-members")
+    wanted = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "least")
+    ids = wanted.select(F.col("least").alias("__id")).distinct()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(ids.hint("merge"), texts["doc_id"].eqNullSafe(F.col("__id")), "left_semi").select("text")
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [shingles(t) for t in b["text"]]
+            yield pd.DataFrame({"node": [node_of(s) for s in found], "set": [s.tobytes() for s in found]})
+
+    built = texts.mapInPandas(build, "node long, set binary")
+    sets = materialize(built.join(wanted.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    rows = members.join(sets.hint("merge"), "node").withColumn("parts", F.ceil(F.col("m") / BUCKET_ROWS).cast("int")).withColumn(
+        "own", F.pmod(F.xxhash64("node"), "parts").cast("int")
+    )
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "set"
+    )
+    ordered = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "own", "node")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+
+        def solve() -> pd.DataFrame:
+            second = sum(own == key[1] for own, _, _ in held) if key[1] != key[2] else 0
+            links = spanning_links([s for _, _, s in held], second) if second < len(held) and len(held) > 1 else []
+            return pd.DataFrame({"a": [held[i][1] for i, _ in links], "b": [held[j][1] for _, j in links]}, dtype=np.int64)
+
+        for b in batches:
+            done = []
+            for band, lo, hi, own, node, raw in b[["band", "lo", "hi", "own", "node", "set"]].itertuples(index=False):
+                if key != (band, lo, hi):
+                    if held:
+                        done.append(solve())
+                    key, held = (band, lo, hi), []
+                held.append((own, node, np.frombuffer(raw, np.uint64)))
+            if done:
+                yield pd.concat(done)
+        if held:
+            yield solve()
+
+    return ordered.mapInPandas(run, "a long, b long").distinct()
+
+
+def drop_near(docs: DataFrame) -> DataFrame:
+    """One document of each class stays, the one with the smallest doc_id, whole and with all its columns.
+
+    Classes are chains of pairs whose sets of WORDS-word shingles have a Jaccard similarity of 0.8 or more. Nulls: a
+    null text counts as empty and is near to empty ones only; a null doc_id stays only if no other row has the class.
+    Rows are named by their id, so rows with one id and different texts stay together.
+    """
+    arrow_rows(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [shingles(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "node": [node_of(s) for s in found], "bands": [bands(s) for s in found]})
+
+    sketches = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, node long, bands array<long>")
+    nodes = materialize(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "near-nodes")
+    classes = connected_components(near_links(docs, nodes))
+    named = nodes.select("node", "least").join(classes.hint("merge"), "node", "left")
+    keep = named.groupBy(F.coalesce("component", "node")).agg(F.min("least").alias("__keep")).select("__keep").distinct()
+    return docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")

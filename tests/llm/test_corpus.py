@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF, rows_of, same
-from docweave.llm import exact_dedup, lm_mixing, mpeg_audio, packing, pii_crf, preference, quality_cotrain, queries, simhash_trie, source_mix, sp_lattice
+from docweave.llm import exact_dedup, lm_mixing, mpeg_audio, near_jaccard, packing, pii_crf, preference, quality_cotrain, queries, simhash_trie, source_mix, sp_lattice
 from docweave.llm.common import table
 from docweave.llm.components import connected_components
 
@@ -132,6 +132,47 @@ def test_near_groups_on_odd_rows(odd, none):
     assert simhash_trie.near_groups(none).count() == 0 and simhash_trie.drop_near(none).count() == 0
 
 
+def brute_jaccard(texts, least=0.8):
+    sets = []
+    for t in texts:
+        w = [p for p in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if p]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("bucket_rows", [4096, 3])
+def test_pipeline_drops_near_copies_of_similarity_0_8(spark, monkeypatch, bucket_rows):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_jaccard, "BUCKET_ROWS", bucket_rows)
+    rng = np.random.default_rng(5)
+    given = table(spark, SF, "documents").select("doc_id", "text").orderBy("doc_id").toPandas()
+    rows = list(zip(given["doc_id"].tolist(), given["text"].tolist(), strict=True))
+    base = [f"w{k}" for k in rng.integers(0, 10_000, 120)]
+    for k in range(60):  # a group around one text, 0 to 6 words of each changed, so on both sides of 0.8
+        copy = list(base)
+        for at in rng.choice(len(copy), k % 7, replace=False):
+            copy[at] = f"x{rng.integers(0, 10_000)}"
+        rows.append((1_000_000 + k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    after = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
+    root = brute_jaccard([t for _, t in rows])
+    assert sorted(r.doc_id for r in after.collect()) == sorted({rows[r][0] for r in root})
+    # more than few of these pairs are over op6's 4 bits
+    assert len(set(root)) < len(set(brute_components([simhash_trie.simhash(t) for _, t in rows], 4)))
+
+
+def test_near_jaccard_on_odd_rows(odd, none):
+    kept = near_jaccard.drop_near(odd)
+    assert kept.columns == odd.columns and {1, 4, 7, 8, 9} <= {r.doc_id for r in kept.collect()} and not {2, 3, 5} & {r.doc_id for r in kept.collect()}
+    assert near_jaccard.drop_near(none).count() == 0
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(200, 100), (5, 5), (None, 3)], "a long, b long")
     cc = {r.node: r.component for r in connected_components(edges).collect()}
