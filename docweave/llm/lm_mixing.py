@@ -5,8 +5,7 @@ way down a Huffman tree of the corpus's bytes. Several predictors, each with its
 word so far, that with the word before it) hashed into a table of bit counts, bet on each decision; their logits are
 summed by weights that a gate selects from what the predictors know. Counts are of all training texts. Those within a
 word are made from the corpus's word counts, which saves most of the work; those across words are made from the texts.
-The weights are learnt online over every LEARN_ONE_IN-th training document, with a document's own occurrence taken out
-of the counts. While a document is scored, its copy of the weights is refined after each segment by the errors in it.
+The weights are learnt online over all training documents, with a document's own occurrence taken out of the counts. While a document is scored, its copy of the weights is refined after each segment by the errors in it.
 """
 
 from __future__ import annotations
@@ -36,8 +35,6 @@ CHUNK = 1 << 16
 GATES = 8 * 3
 #: Documents of a block when learning or scoring; bytes of a segment between refinements.
 BLOCK_DOCS, SEGMENT = 32, 4096
-#: The weights are fitted on one in so many training documents, by a hash of the id; all else is of all documents.
-LEARN_ONE_IN = 16
 PRIOR, RATE_DOC = 100.0, 0.5
 #: A word with more than one in HEAD of all training tokens is a head word; so head words are fewer than HEAD.
 HEAD = 1_000_000
@@ -492,9 +489,8 @@ def learn(docs: DataFrame, words: DataFrame, byte_counts: np.ndarray) -> Model:
             x = np.frombuffer(zlib.decompress(r["n"]), np.uint16)
             a = (r["chunk"] & 0xFFFFF) * CHUNK
             tables[r["chunk"] >> 20][a : a + len(x)] = x
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(LEARN_ONE_IN)) == 0)
-    bets = learn_bets(some, Model(tables, first_weights(), tree, [BET] * PREDICTORS))
-    return Model(tables, learn_weights(some, Model(tables, first_weights(), tree, bets)), tree, bets)
+    bets = learn_bets(docs, Model(tables, first_weights(), tree, [BET] * PREDICTORS))
+    return Model(tables, learn_weights(docs, Model(tables, first_weights(), tree, bets)), tree, bets)
 
 
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, bits double, part double, known long, tail array<struct<token: string, tf: int>>"

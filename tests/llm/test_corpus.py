@@ -462,6 +462,19 @@ def test_model_is_a_probability():
     assert np.allclose(np.concatenate([model.score(long), model.score(rows[:1])]), model.score(long + rows[:1]))
 
 
+def test_every_training_row_teaches_the_mixer(spark):
+    """Whatever the ids are: one id for all rows, or ids that a hash would leave out."""
+    texts = table(spark, SF, "documents").select("text").limit(40)
+    for k in (1, 2, 3):
+        docs = texts.select(F.lit(k).cast("long").alias("doc_id"), "text")
+        known = lm_mixing.count_tokens(docs)
+        histogram = np.zeros(256, np.int64)
+        for r in known.where("kind = 1").collect():
+            histogram[int(r["token"])] = r["n"]
+        model = lm_mixing.learn(docs, known.where("kind = 0").select("token", "n"), histogram)
+        assert not np.allclose(model.weights, lm_mixing.first_weights()) and all(np.abs(b - lm_mixing.BET).max() > 0.1 for b in model.bets)
+
+
 def test_lm_on_odd_rows(spark, odd, none):
     got = lm_mixing.op2(spark, odd).collect()
     assert len(got) == len(ODD) and {r.doc_id: r.n_tokens for r in got}[1] == 1 and all(r.score < 0 for r in got)
