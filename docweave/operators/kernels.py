@@ -331,9 +331,6 @@ def skew_angle(plane: np.ndarray, most: float = 15.0) -> float:
     y, x = np.nonzero(canny(plane, 50, 150))
     if len(x) < 100:
         return 0.0
-    if len(x) > 200_000:
-        step = -(-len(x) // 200_000)
-        y, x = y[::step], x[::step]
     angles = np.arange(-most + 0.1, most, 0.1)
     peaks = []
     for a in np.radians(angles):

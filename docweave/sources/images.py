@@ -44,10 +44,10 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("path").rlike(r"(?i)\.jpe?g$"))
 
     @F.pandas_udf("int")
-    def turn(head: pd.Series) -> pd.Series:
-        return head.map(lambda b: kernels.orientation(bytes(b)))
+    def turn(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: kernels.orientation(bytes(b)))
 
-    turns = raw.select(F.regexp_replace("path", "^file:/+", "/").alias("__p"), turn(F.substring("content", 1, 65536)).alias("orientation"))
+    turns = raw.select(F.regexp_replace("path", "^file:/+", "/").alias("__p"), turn("content").alias("orientation"))
     out = rows.join(turns, F.regexp_replace(rows["path"], "^file:/+", "/") == F.col("__p"), "left").drop("__p")
     bad = F.col("height") < 1
     return out.select(

@@ -101,6 +101,22 @@ def test_orientation():
     assert kernels.upright(np.zeros((2, 5, 3), np.uint8), 6).shape == (5, 2, 3)
 
 
+def test_skew_uses_all_edge_points(monkeypatch):
+    edges = np.zeros((1000, 1000), bool)
+    edges[::4] = True  # 250,000 points
+    used, count = set(), np.bincount
+    monkeypatch.setattr(kernels, "canny", lambda *a: edges)
+    monkeypatch.setattr(kernels.np, "bincount", lambda x, *a, **k: used.add(len(x)) or count(x, *a, **k))
+    assert kernels.skew_angle(np.zeros((1000, 1000), np.uint8)) == 0.0 and used == {250_000}
+
+
+def test_orientation_behind_long_segments(spark, tmp_path):
+    exif = b"Exif\0\0II*\0\x08\0\0\0\x01\0\x12\x01\x03\0\x01\0\0\0\x06\0\0\0\0\0\0\0"
+    long = (b"\xff\xe2" + struct.pack(">H", 65_535) + bytes(65_533)) * 2
+    (tmp_path / "a.jpg").write_bytes(b"\xff\xd8" + long + b"\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + b"\xff\xda")
+    assert [r.orientation for r in images.read_images(spark, str(tmp_path)).collect()] == [6]
+
+
 def test_colour_masks():
     x = np.full((4, 4, 3), 255, np.uint8)
     x[0], x[1] = (200, 60, 20), (10, 10, 10)
