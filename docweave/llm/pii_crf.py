@@ -165,7 +165,7 @@ def shape(text: str) -> bytes:
 
 def word_features(word: bytes) -> tuple[list[str], str]:
     """Features of a word's shape, and the class that its neighbours see."""
-    s = word[:200].decode("ascii", "replace")
+    s = word.decode("ascii", "replace")
     core = s.strip(_OUTER)
     short = _RUN.sub(lambda m: m[0][0], s)[:24]
     sized = _RUN.sub(lambda m: m[0][0] + str(min(len(m[0]), 20)), s)[:60]

@@ -417,6 +417,13 @@ def test_crf_viterbi_is_exact_and_holds_out(spark):
     assert wrong < 0.01 * total
 
 
+def test_features_see_the_whole_word():
+    own, _ = pii_crf.word_features(pii_crf.shape("https://" + "a/" * 200 + "?token=ab12+x@y"))
+    assert {"at=True", "equals=True", "digits=2", "mixed=True"} <= set(own)
+    own, _ = pii_crf.word_features(pii_crf.shape("a" * 300 + "A1"))
+    assert "key=3" in own and all(len(f) < 80 for f in own)
+
+
 def test_pii_on_odd_rows(spark, odd, none):
     got = {r.doc_id: r for r in pii_crf.op1(spark, odd).collect()}
     assert got[9].spans == "email:0:6,ip:7:14" and got[9].base_sha256 == hashlib.sha256(b"email:0:6,ip:7:14").hexdigest() and got[1].spans == "" and got[7].n_added == 0
