@@ -44,7 +44,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.written_to = path
+    return held
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote, once nothing reads them any more."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import materialize
+from docweave.llm.common import discard, materialize
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing changes; each round links nodes
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     now = materialize(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc")
     seen = _sign(now)
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc-min")
         # large star: what is above a node goes to the least around that node
@@ -29,12 +29,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: what is below a node goes to the least below it
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "cc")
+        before, now = now, materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "cc")
+        discard(before, least, large, low)
         if (sign := _sign(now)) == seen:
             break
         seen = sign
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import WS, join_by_hot_key, materialize, new_path, whole_row
+from docweave.llm.common import WS, discard, join_by_hot_key, materialize, new_path, whole_row
 
 
 def digest(text) -> F.Column:
@@ -16,14 +16,17 @@ def digest(text) -> F.Column:
 
 
 class DigestIndex:
-    """Digests seen so far, in a table of ``buckets`` files sets that are bucketed and sorted by digest.
+    """Digests seen so far, in a table that is bucketed and sorted by digest.
 
-    Columns: digest, keep_id (smallest id of the batch that brought it), n_first (rows with that id),
-    group_size (rows of that batch). The files live in a folder that all executors share, so the index outlives
-    the session: open the same ``path`` again and go on. Its side of a join needs neither shuffle nor sort.
+    Columns: digest, keep_id (smallest id of the batch that brought it), n_first (rows with that id), group_size (rows
+    of that batch), batch (its name). The files live in a folder that all executors share, so the index outlives the
+    session: open the same ``path`` again and go on. Its side of a join needs neither shuffle nor sort.
+
+    A batch is named by what is in it, so a job that failed after it had appended its digests can run again: its own
+    digests are known by their batch and do not count as seen, and those already there are not appended twice.
     """
 
-    SCHEMA = "digest BINARY, keep_id BIGINT, n_first BIGINT, group_size BIGINT"
+    SCHEMA = "digest BINARY, keep_id BIGINT, n_first BIGINT, group_size BIGINT, batch STRING"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark = spark
@@ -43,58 +46,83 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def new_groups(self, digests: DataFrame) -> DataFrame:
-        """Groups of a batch (doc_id, digest) that the index has not seen: sort-merge anti-join.
-
-        Copies are summed by (digest, id) before the shuffle, then by digest: a hot digest costs a task one row per
-        map task, not its rows.
-        """
-        per_id = digests.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-        groups = per_id.groupBy("digest").agg(
-            F.min("doc_id").alias("keep_id"),
-            F.min_by("n", "doc_id").alias("n_first"),
-            F.sum("n").alias("group_size"),
-        ).withColumn("n_first", F.coalesce("n_first", "group_size"))
-        return groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-
-    def append(self, groups: DataFrame) -> None:
+    def new_groups(self, groups: DataFrame, batch: str = "") -> DataFrame:
+        """Groups of a batch that no other batch has brought: sort-merge anti-join."""
+        return groups.join(self.table().where(F.col("batch") != batch).select("digest").hint("merge"), "digest", "left_anti")
+
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Publish the groups of a batch; those of the same batch that are there already are left as they are."""
+        missing = groups.join(self.table().where(F.col("batch") == batch).select("digest").hint("merge"), "digest", "left_anti")
         # written once before: an append must not read the table it writes to
-        fresh = materialize(groups.select("digest", "keep_id", "n_first", "group_size"), "digest-batch")
+        fresh = materialize(missing.select("digest", "keep_id", "n_first", "group_size", F.lit(batch).alias("batch")), "digest-batch")
         (
             fresh.repartition(self.buckets, "digest").write.mode("append").format("parquet")
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
         self.spark.catalog.refreshTable(self.name)
+        discard(fresh)
+
+
+def batch_groups(digests: DataFrame) -> DataFrame:
+    """Groups of a batch (doc_id, digest): digest, keep_id, n_first, group_size.
+
+    Copies are summed by (digest, id) before the shuffle, then by digest: a hot digest costs a task one row per
+    map task, not its rows.
+    """
+    per_id = digests.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_id.groupBy("digest").agg(
+        F.min("doc_id").alias("keep_id"),
+        F.min_by("n", "doc_id").alias("n_first"),
+        F.sum("n").alias("group_size"),
+    ).withColumn("n_first", F.coalesce("n_first", "group_size"))
 
-    def decide(self, digests: DataFrame) -> DataFrame:
-        """Each row of (doc_id, digest) with keep_id, n_first and group_size of its digest."""
-        return join_by_hot_key(digests, self.table(), "digest", "group_size", digests.count())
 
+def batch_name(groups: DataFrame) -> str:
+    """A name that depends on what is in the batch only."""
+    sums = [F.sum(F.xxhash64(F.lit(k), "digest", "keep_id", "group_size").cast("decimal(38,0)")) for k in (1, 2)]
+    return "-".join(str(x) for x in groups.agg(F.count(F.lit(1)), *sums).first())
 
-def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+
+def exact_groups(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """One row per document: doc_id, digest, keep_id, n_first, group_size, kept.
 
-    Nulls: a null text counts as empty; a null doc_id comes after all others and stays only if no other row has
-    the text. Repeated rows (same doc_id, same text) are all marked as kept, as they are the same document;
-    :func:`deduplicate` returns one of them. An empty table gives an empty result. Other columns are not read.
+    With an index that holds digests, a document that an earlier batch has brought is not kept, and its keep_id is of
+    that batch; group_size counts rows of the batch at hand. Nulls: a null text counts as empty; a null doc_id comes
+    after all others and stays only if no other row has the text. Repeated rows (same doc_id, same text) are all marked
+    as kept, as they are the same document; :func:`deduplicate` returns one of them. An empty table gives an empty
+    result. Other columns are not read. batch: a name for the batch, by default made from what is in it.
     """
     digests = materialize(docs.select("doc_id", digest(F.col("text")).alias("digest")), "digests")
+    groups = materialize(batch_groups(digests), "digest-groups")
     if index is None:
         index = DigestIndex(docs.sparkSession, new_path(docs.sparkSession, "digest-index"))
-    index.append(index.new_groups(digests))
-    return index.decide(digests).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    batch = batch or batch_name(groups)
+    index.append(index.new_groups(groups, batch), batch)
+    # an index has each digest once
+    known = index.table().select("digest", F.col("keep_id").alias("__keep"), (F.col("batch") == batch).alias("fresh"))
+    facts = groups.join(known.hint("merge"), "digest").select("digest", F.col("__keep").alias("keep_id"), "n_first", "group_size", "fresh")
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    rows = join_by_hot_key(digests, facts, "digest", "group_size", total)  # hot keys are counted in this batch
+    return rows.withColumn("kept", F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("fresh")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """The documents that stay, whole and with all their columns; of fully repeated rows, one.
 
-    With an index that already holds digests, documents it has seen are dropped and the others are appended.
+    With an index that already holds digests, documents it has seen are dropped and the others are appended; the same
+    batch given again returns the same rows. Null texts count as empty, a null doc_id comes last. An empty table gives
+    an empty result; columns of any name pass through.
     """
     spark = docs.sparkSession
-    digests = materialize(docs.select("doc_id", digest(F.col("text")).alias("digest")), "digests")
-    index = index or DigestIndex(spark, new_path(spark, "digest-index"))
-    fresh = materialize(index.new_groups(digests), "digest-groups")
-    index.append(fresh)
+    digests = docs.select("doc_id", digest(F.col("text")).alias("digest"))
+    groups = materialize(batch_groups(digests), "digest-groups")
+    fresh = groups
+    if index is not None:
+        batch = batch or batch_name(groups)
+        fresh = materialize(index.new_groups(groups, batch), "digest-fresh")
+    else:
+        index, batch = DigestIndex(spark, new_path(spark, "digest-index")), batch or batch_name(groups)
+    index.append(fresh, batch)
     marked = docs.select(whole_row(docs), F.col("doc_id").alias("id"), digest(F.col("text")).alias("digest"))
     # by digest and id together: no key has more rows than one document was repeated
     keep = fresh.select(F.col("digest").alias("keep_digest"), "keep_id", "n_first").hint("merge")

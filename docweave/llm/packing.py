@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -66,7 +67,7 @@ class CapacityTree:
 
 
 def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Rows of item numbers; each item goes to the row it leaves least room in. Ties: earlier item, latest such row."""
+    """Rows of item numbers; each item goes to the row it leaves least room in. Ties: earlier item, earliest such row."""
     tree, rows = CapacityTree(capacity), []
     by_room: dict[int, list[int]] = {}
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
@@ -76,11 +77,11 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
             rows.append([i])
             k, room = len(rows) - 1, capacity
         else:
-            k = by_room[room].pop()
+            k = heapq.heappop(by_room[room])
             tree.add(room, -1)
             rows[k].append(i)
         if room > need:
-            by_room.setdefault(room - need, []).append(k)
+            heapq.heappush(by_room.setdefault(room - need, []), k)
             tree.add(room - need, 1)
     return rows
 

@@ -9,14 +9,13 @@ the row's key only, so a row has the same segmentation in any batch, task or run
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import arrow_rows
+from docweave.llm.common import arrow_rows, whole_row
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581  # the sign that stands for a space within pieces
@@ -24,6 +23,12 @@ SPACE = 0x2581  # the sign that stands for a space within pieces
 RANK_OFFSET = 2.7
 #: Weight of a character that is no piece, per lattice edge; such characters become byte pieces.
 FALLBACK = 1e-7
+#: Characters that are worked on at once; a longer text goes part by part, so memory does not depend on its length.
+LOT = 1 << 19
+#: A run without spaces is cut after so many characters (LOT is a multiple); no piece goes beyond a cut.
+RUN = 1 << 12
+#: Ids that are decoded at once.
+DECODED = 1 << 16
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -170,14 +175,53 @@ def _lattice(v: Vocabulary, cps: np.ndarray, sums: np.ndarray, inverse: np.ndarr
 _SCALE = 12.0 ** np.arange(1, 257)
 
 
+def parts(text: str) -> list[tuple[int, str]]:
+    """The text with the space that goes before it, as SentencePiece has it, in (offset, part) of at most LOT characters.
+
+    A part ends where a chunk does: before a run of spaces, or in a run without spaces at a multiple of RUN.
+    """
+    if not text:
+        return []
+    whole, a, out = " " + text, 0, []
+    while len(whole) - a > LOT:
+        b = a + LOT
+        while b > a and not (whole[b] == " " and whole[b - 1] != " "):
+            b = whole.rfind(" ", a, b)
+        out.append((a, whole[a : b if b > a else a + LOT]))
+        a = b if b > a else a + LOT
+    return [*out, (a, whole[a:])]
+
+
+def lots(texts: list[str]) -> list[list[tuple[int, int, str]]]:
+    """Lots of (text number, offset, part), LOT characters and a part less one at most."""
+    out: list[list[tuple[int, int, str]]] = []
+    held = LOT
+    for k, t in enumerate(texts):
+        for offset, part in parts(t):
+            if held + len(part) > LOT:
+                out.append([])
+                held = 0
+            out[-1].append((k, offset, part))
+            held += len(part)
+    return out
+
+
 def sample(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int = 0) -> list[np.ndarray]:
     """Sampled piece ids of each text; the draws of a text depend on its key and the seed only."""
-    # a space goes before each text, as SentencePiece has it; a text's own U+2581 is kept apart, as bytes
-    raw = [np.frombuffer((" " + t).encode("utf-32-le"), np.uint32) if t else np.zeros(0, np.uint32) for t in texts]
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for lot in lots(texts):
+        who = np.array([k for k, _, _ in lot])
+        for (k, _, _), ids in zip(lot, _sample([p for _, _, p in lot], keys[who], np.array([a for _, a, _ in lot]), v, seed), strict=True):
+            found[k].append(ids)
+    return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.int32), *x]) for x in found]
+
+
+def _sample(texts: list[str], keys: np.ndarray, offset: np.ndarray, v: Vocabulary, seed: int) -> list[np.ndarray]:
+    """Piece ids of parts of texts (none empty), which begin at ``offset`` of their text."""
+    raw = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
     sizes = np.array([len(x) for x in raw], np.int64)
-    cps = np.concatenate(raw).astype(np.int64) if len(raw) else np.zeros(0, np.int64)
-    if not len(cps):
-        return [np.zeros(0, np.int32) for _ in texts]
+    cps = np.concatenate(raw).astype(np.int64)
+    # a text's own U+2581 is kept apart, as bytes
     code = np.where(cps == 32, SPACE, np.where(cps == SPACE, 0x110000, cps))
     n = len(code)
     power = np.full(n + 1, _U(_BASE))
@@ -186,11 +230,17 @@ def sample(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int = 0) ->
     inverse[0] = 1
     power, inverse = np.cumprod(power, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(splitmix(code.astype(np.uint64)) * power[:-1], dtype=np.uint64)))
-    # a chunk is a run of spaces with what follows it; pieces never go beyond one
+    # a chunk is a run of spaces with what follows it, RUN characters at most; pieces never go beyond one
     doc_at = np.concatenate(([0], np.cumsum(sizes)))
     space = code == SPACE
     begins = space & ~np.concatenate(([False], space[:-1]))
-    begins[doc_at[:-1][sizes > 0]] = True
+    begins[doc_at[:-1]] = True
+    del code, space
+    start = np.flatnonzero(begins)
+    wide = np.flatnonzero(np.diff(np.append(start, n)) > RUN)
+    for a in start[wide].tolist():
+        b = int(start[np.searchsorted(start, a, side="right")]) if a < start[-1] else n
+        begins[a:b:RUN] = True
     start = np.flatnonzero(begins)
     size = np.diff(np.append(start, n))
     h = splitmix((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64))
@@ -203,7 +253,7 @@ def sample(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int = 0) ->
     off, cum, ids = _lattice(v, cps, sums, inverse, start[one], size[one])
     # backward sampling, all chunks of the batch a piece at a time
     doc = np.searchsorted(doc_at, start, side="right") - 1
-    stream = splitmix(splitmix(keys.astype(np.int64).view(np.uint64) ^ _U(seed))[doc] + (start - doc_at[doc]).astype(np.uint64) * _U(_BASE))
+    stream = splitmix(splitmix(keys.astype(np.int64).view(np.uint64) ^ _U(seed))[doc] + (start - doc_at[doc] + offset[doc]).astype(np.uint64) * _U(_BASE))
     live = np.arange(len(start))
     first = off[:-1][which]
     place = first + size
@@ -223,8 +273,7 @@ def sample(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int = 0) ->
     for s, (who, piece) in enumerate(steps):
         flat[last[who] - s] = piece
     per_doc = np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64)
-    parts = np.split(flat, np.cumsum(per_doc)[:-1])
-    return [_bytes(p, v) if len(p) and p.min() < 0 else p for p in parts]
+    return [_bytes(p, v) if len(p) and p.min() < 0 else p for p in np.split(flat, np.cumsum(per_doc)[:-1])]
 
 
 def _bytes(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
@@ -240,7 +289,8 @@ def _bytes(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
 
 def decode(ids, v: Vocabulary) -> str:
     """The text of ids: bytes of all pieces, without the space that encoding puts first."""
-    return b"".join(map(v.bytes_of.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))[1:].decode()
+    held = [b"".join(map(v.bytes_of.__getitem__, np.asarray(ids[a : a + DECODED]).tolist())) for a in range(0, len(ids), DECODED)]
+    return b"".join(held)[1:].decode()
 
 
 def encode(docs: DataFrame, key: str = "doc_id", path: str = VOCABULARY, alpha: float = 0.5, seed: int = 0) -> DataFrame:
@@ -248,7 +298,8 @@ def encode(docs: DataFrame, key: str = "doc_id", path: str = VOCABULARY, alpha:
 
     alpha sharpens (above 1) or flattens the distribution. A null or empty text has no pieces. A null key counts as 0;
     rows with equal key and text have equal pieces. Texts of any length and any characters, U+2581 and controls
-    included, decode to themselves. Other columns pass through, in place of clashing ones.
+    included, decode to themselves; memory is that of LOT characters, and of the text and its ids. An empty table gives
+    an empty result. Of docs' own columns, those named like a new one give way to it; all others pass through.
     """
     arrow_rows(docs.sparkSession)
 
@@ -256,22 +307,16 @@ def encode(docs: DataFrame, key: str = "doc_id", path: str = VOCABULARY, alpha:
     def pieces(text: pd.Series, row_key: pd.Series) -> pd.DataFrame:
         v = vocabulary(path, alpha)
         texts = text.tolist()
-        # long texts in small lots: a lot's lattice takes some hundred bytes a character
-        ids: list[np.ndarray] = []
-        a = held = 0
-        keys = row_key.to_numpy(np.int64)
-        for b, t in enumerate(texts, 1):
-            held += len(t)
-            if held >= 2_500_000 or b == len(texts):
-                ids += sample(texts[a:b], keys[a:b], v, seed)
-                a, held = b, 0
+        ids = sample(texts, row_key.to_numpy(np.int64), v, seed)
         return pd.DataFrame({
             "piece_ids": ids, "n_pieces": [len(x) for x in ids],
             "lossless": [decode(x, v) == t for x, t in zip(ids, texts, strict=True)],
         })
 
-    found = docs.withColumn("__p", pieces(F.coalesce("text", F.lit("")), F.coalesce(F.col(key), F.lit(0)).cast("long")))
-    return found.withColumns({c: F.col(f"__p.{c}") for c in ("piece_ids", "n_pieces", "lossless")}).drop("__p")
+    new = ("piece_ids", "n_pieces", "lossless")
+    row = whole_row(docs.drop(*new))
+    found = docs.select(row, pieces(F.coalesce("text", F.lit("")), F.coalesce(F.col(key), F.lit(0)).cast("long")).alias("__new"))
+    return found.select("__row.*", "__new.*")
 
 
 def decode_column(rows: DataFrame, ids: str = "piece_ids", path: str = VOCABULARY) -> DataFrame:

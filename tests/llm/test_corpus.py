@@ -59,8 +59,22 @@ def test_index_outlives_its_object(spark, tmp_path):
     assert exact_dedup.deduplicate(first, exact_dedup.DigestIndex(spark, str(tmp_path / "i"), 3)).count() == 2
     again = exact_dedup.DigestIndex(spark, str(tmp_path / "i"))
     assert again.buckets == 3 and [r.doc_id for r in exact_dedup.deduplicate(more, again).collect()] == [3] and again.table().count() == 3
-    plan = again.new_groups(more.select("doc_id", exact_dedup.digest(F.col("text")).alias("digest")))._jdf.queryExecution().toString()
+    plan = again.new_groups(exact_dedup.batch_groups(more.select("doc_id", exact_dedup.digest(F.col("text")).alias("digest"))))._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan
+    # the same batch again, as after a crash, gives the same rows and adds nothing
+    assert [r.doc_id for r in exact_dedup.deduplicate(more.repartition(3), again).collect()] == [3] and again.table().count() == 3
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(more, again).collect()}
+    assert got == {0: (1, 1, False), 3: (3, 2, True), 4: (3, 2, False)}
+
+
+def test_large_index_is_not_broadcast(spark, tmp_path):
+    old = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "i"), 3)
+    exact_dedup.exact_groups(old, index).count()
+    new = spark.range(50).select((F.col("id") + 100_000).alias("doc_id"), F.concat(F.lit("text "), F.col("id") * 1000).alias("text"))
+    got = exact_dedup.exact_groups(new, index)
+    assert got.where("kept").count() == 30 and got.where("keep_id < 20000").count() == 20
+    assert index.table().count() == 20_030
 
 
 # ---------------------------------------------------------------- near dedup
