@@ -14,10 +14,8 @@ from docweave.llm.common import arrow_rows, join_by_hot_key, materialize
 from docweave.llm.components import connected_components
 
 BITS = 64
-#: Rows of one trie that a task may hold at once.
+#: Rows of one trie that a task may hold at once; larger tries are dealt into groups.
 TRIE_ROWS = 50_000
-#: At most so many tries are larger than their share and are split further.
-LARGE_TRIES = 2048
 
 
 def simhash(text: str | None, words: int = 4) -> int:
@@ -62,7 +60,26 @@ def _union(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             comp[:] = up
 
 
-def trie_links(x: np.ndarray, roots: np.ndarray, budget: int, depth: int, most: int = 1 << 20) -> np.ndarray:
+def _lots(f: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Pairs of ranges in lots with at most ``most`` pairs of leaves; a larger pair of ranges is cut."""
+    while len(f):
+        many = (f[:, 1] - f[:, 0]) * (f[:, 3] - f[:, 2])
+        n = int(np.searchsorted(np.cumsum(many), most, side="right"))
+        if n:
+            yield f[:n]
+            f = f[n:]
+        else:
+            alo, ahi, blo, bhi = f[0]
+            if ahi - alo > 1:
+                cut = [(alo, alo + ahi >> 1, blo, bhi), (alo + ahi >> 1, ahi, blo, bhi)]
+            else:
+                cut = [(alo, ahi, blo, blo + bhi >> 1), (alo, ahi, blo + bhi >> 1, bhi)]
+            f = np.concatenate([np.array(cut, f.dtype), f[1:]])
+
+
+def trie_links(
+    x: np.ndarray, roots: np.ndarray, budget: int, depth: int, most: int = 1 << 20, front: int = BITS, more: np.ndarray | None = None, differing: int = BITS,
+) -> np.ndarray:
     """Classes of leaves that chains of at most ``budget`` differing bits connect, within pairs of tries.
 
     x: leaves as unsigned 64-bit numbers, each trie sorted. roots: rows (a_lo, a_hi, b_lo, b_hi) of root pairs, whose
@@ -70,6 +87,9 @@ def trie_links(x: np.ndarray, roots: np.ndarray, budget: int, depth: int, most:
     down together; each differing bit costs one of the budget, and a pair that has spent more is pruned with all that
     lies below it. A pair whose leaves are all in one class already is pruned too: smaller budgets come first, so a
     dense group of near copies joins early and is not compared pair by pair again.
+
+    With ``front``, the budget is for so many first bits; with ``more``, a pair of leaves must also differ in at most
+    ``differing`` bits of x and these further words together.
     """
     n = len(x)
     comp = np.arange(n)
@@ -94,16 +114,20 @@ def trie_links(x: np.ndarray, roots: np.ndarray, budget: int, depth: int, most:
             alo, ahi, blo, bhi = f.T
             own = (alo == blo) & (ahi == bhi)
             done = (ends[alo] >= ahi) & (ends[blo] >= bhi) & (comp[alo] == comp[blo])
-            small = ~done & ((ahi - alo) * (bhi - blo) <= 64)
-            if small.any():
-                s = f[small]
+            small = ~done & (((ahi - alo) * (bhi - blo) <= 64) | (d == BITS))
+            for s in _lots(f[small], 1 << 22):
                 wide = s[:, 3] - s[:, 2]
                 many = (s[:, 1] - s[:, 0]) * wide
                 at = np.repeat(np.arange(len(s)), many)
                 k = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
                 i, j = s[at, 0] + k // wide[at], s[at, 2] + k % wide[at]
-                near = (i != j) & (np.bitwise_count(x[i] ^ x[j]) <= limit)
-                _union(comp, i[near], j[near])
+                apart = x[i] ^ x[j]
+                near = (i != j) & (np.bitwise_count(apart >> np.uint64(BITS - front)) <= limit)
+                i, j, apart = i[near], j[near], apart[near]
+                if more is not None and len(i):
+                    total = np.bitwise_count(apart).astype(np.int64) + np.bitwise_count(more[i] ^ more[j]).sum(axis=1, dtype=np.int64)
+                    i, j = i[total <= differing], j[total <= differing]
+                _union(comp, i, j)
             go = ~done & ~small
             if not go.any():
                 continue
@@ -111,11 +135,12 @@ def trie_links(x: np.ndarray, roots: np.ndarray, budget: int, depth: int, most:
             alo, ahi, blo, bhi = f.T
             z = below(d)
             am, bm = alo + z[ahi] - z[alo], blo + z[bhi] - z[blo]
+            cost = int(d < front)
             down = [  # (a0,b0), (a1,b1), (a0,b1), and (a1,b0) unless a is b
                 (np.stack([alo, am, blo, bm], 1), spent),
                 (np.stack([am, ahi, bm, bhi], 1), spent),
-                (np.stack([alo, am, bm, bhi], 1), spent + 1),
-                (np.stack([am, ahi, blo, bm], 1)[~own], (spent + 1)[~own]),
+                (np.stack([alo, am, bm, bhi], 1), spent + cost),
+                (np.stack([am, ahi, blo, bm], 1)[~own], (spent + cost)[~own]),
             ]
             f = np.concatenate([p for p, _ in down])
             spent = np.concatenate([s for _, s in down]).astype(np.int8)
@@ -131,9 +156,9 @@ def near_links(fps: DataFrame, budget: int = 4) -> DataFrame:
     fps: distinct (fp, rep). Two fingerprints within the budget agree in at least one of budget + 1 blocks of bits.
     So the bits are turned to bring each block to the front, once per block, and the trie self-join starts at the
     nodes below that block, which have nothing spent so far; all these tries are spread over the cluster. Tries
-    above TRIE_ROWS and above their share of rows (so at most LARGE_TRIES) are dealt into groups by a hash, and each
-    pair of groups is a pair of tries of its own; no link is lost and no task gets more than two groups. A task
-    returns fewer links than it has leaves: a spanning forest, not all pairs.
+    above TRIE_ROWS are dealt into groups by a hash, and each pair of groups is a pair of tries of its own; no link is
+    lost and a pair of tries has about TRIE_ROWS rows at any size. A task returns fewer links than it has leaves: a
+    spanning forest, not all pairs.
     """
     spark = fps.sparkSession
     arrow_rows(spark, 10_000)
@@ -151,11 +176,9 @@ def near_links(fps: DataFrame, budget: int = 4) -> DataFrame:
         "rep", "t.turn", "t.x", F.shiftrightunsigned("t.x", BITS - depth).alias("node")
     )
     per_node = rows.groupBy("turn", "node").count()
-    total = fps.count() * blocks
-    least = max(TRIE_ROWS, total // LARGE_TRIES)
-    large = materialize(per_node.where(F.col("count") > least), "tries")  # at most LARGE_TRIES rows, by counting
+    large = materialize(per_node.where(F.col("count") > TRIE_ROWS), "tries")  # at most blocks << depth rows
     rows = rows.join(F.broadcast(large), ["turn", "node"], "left").withColumn(
-        "parts", F.coalesce(F.ceil(2 * F.col("count") / least), F.lit(1)).cast("int")
+        "parts", F.coalesce(F.ceil(2 * F.col("count") / TRIE_ROWS), F.lit(1)).cast("int")
     ).withColumn("own", F.pmod(F.xxhash64("x"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "turn", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "x", "rep"
@@ -218,11 +241,5 @@ def near_groups(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
     return join_by_hot_key(fp, materialize(named, "fingerprint-classes"), "fp", "n", fp.count()).drop("n")
 
 
-def drop_near(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
-    """One document of each class stays, the one with the smallest doc_id, whole and with all its columns."""
-    keep = near_groups(docs, words, budget).where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-
-
 def op6(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF, rows_of, same
-from docweave.llm import exact_dedup, lm_mixing, mpeg_audio, near_jaccard, packing, pii_crf, preference, quality_cotrain, queries, simhash_trie, source_mix, sp_lattice
+from docweave.llm import exact_dedup, lm_mixing, mpeg_audio, near_similar, packing, pii_crf, preference, quality_cotrain, queries, simhash_trie, source_mix, sp_lattice
 from docweave.llm.common import table
 from docweave.llm.components import connected_components
 
@@ -128,7 +128,6 @@ def test_simhash_is_a_majority_of_bits():
 @pytest.mark.parametrize("trie_rows", [50_000, 20])
 def test_near_links_over_the_cluster(spark, monkeypatch, trie_rows):
     monkeypatch.setattr(simhash_trie, "TRIE_ROWS", trie_rows)
-    monkeypatch.setattr(simhash_trie, "LARGE_TRIES", 100_000)
     values = near_values(9, 80)
     base = values[5]
     values = sorted(set(values) | {base ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(a)})
@@ -141,9 +140,7 @@ def test_near_links_over_the_cluster(spark, monkeypatch, trie_rows):
 def test_near_groups_on_odd_rows(odd, none):
     got = {r.doc_id: r.component_id for r in simhash_trie.near_groups(odd).collect()}
     assert got[1] == got[2] == got[3] == 1 and got[4] == got[5] == 4 and got[None] is None
-    kept = simhash_trie.drop_near(odd)
-    assert kept.columns == odd.columns and {1, 4, 7, 8, 9} <= {r.doc_id for r in kept.collect()} and not {2, 3, 5} & {r.doc_id for r in kept.collect()}
-    assert simhash_trie.near_groups(none).count() == 0 and simhash_trie.drop_near(none).count() == 0
+    assert simhash_trie.near_groups(none).count() == 0
 
 
 def brute_jaccard(texts, least=0.8):
@@ -159,11 +156,10 @@ def brute_jaccard(texts, least=0.8):
     return root
 
 
-@pytest.mark.parametrize("bucket_rows", [4096, 3])
-def test_pipeline_drops_near_copies_of_similarity_0_8(spark, monkeypatch, bucket_rows):
-    import corpus_pipeline
-
-    monkeypatch.setattr(near_jaccard, "BUCKET_ROWS", bucket_rows)
+@pytest.mark.parametrize(("class_rows", "trie_rows"), [(4096, 50_000), (3, 40)])
+def test_drop_near_equals_brute_force_at_similarity_0_8(spark, monkeypatch, class_rows, trie_rows):
+    monkeypatch.setattr(near_similar, "CLASS_ROWS", class_rows)
+    monkeypatch.setattr(near_similar, "TRIE_ROWS", trie_rows)
     rng = np.random.default_rng(5)
     given = table(spark, SF, "documents").select("doc_id", "text").orderBy("doc_id").toPandas()
     rows = list(zip(given["doc_id"].tolist(), given["text"].tolist(), strict=True))
@@ -174,17 +170,33 @@ def test_pipeline_drops_near_copies_of_similarity_0_8(spark, monkeypatch, bucket
             copy[at] = f"x{rng.integers(0, 10_000)}"
         rows.append((1_000_000 + k, " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    after = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
     root = brute_jaccard([t for _, t in rows])
-    assert sorted(r.doc_id for r in after.collect()) == sorted({rows[r][0] for r in root})
+    assert sorted(r.doc_id for r in near_similar.drop_near(docs).collect()) == sorted({rows[r][0] for r in root})
     # more than few of these pairs are over op6's 4 bits
     assert len(set(root)) < len(set(brute_components([simhash_trie.simhash(t) for _, t in rows], 4)))
 
 
-def test_near_jaccard_on_odd_rows(odd, none):
-    kept = near_jaccard.drop_near(odd)
-    assert kept.columns == odd.columns and {1, 4, 7, 8, 9} <= {r.doc_id for r in kept.collect()} and not {2, 3, 5} & {r.doc_id for r in kept.collect()}
-    assert near_jaccard.drop_near(none).count() == 0
+def test_sketches_meet_pairs_of_similarity_0_8(spark):
+    """Pairs at the very edge: 27 of 30 shingles of either side are common, of 33 in all."""
+    rng = np.random.default_rng(3)
+    rows, tables = 300, []
+    for _ in range(rows):
+        s = rng.integers(0, 1 << 63, 33, np.uint64)
+        a, b = near_similar.sketch(s[:30]), near_similar.sketch(s[3:])
+        halves = [np.bitwise_count((a ^ b) >> np.uint64(32)), np.bitwise_count((a ^ b) & np.uint64(0xFFFFFFFF))]
+        tables.append(int((np.concatenate(halves) <= near_similar.BUDGET).sum()))
+    assert np.mean(np.array(tables) > 0) > 0.99
+    bits = np.unpackbits(near_similar.sketch(rng.integers(0, 1 << 63, 2001, np.uint64)).view(np.uint8))
+    assert 400 < bits.sum() < 624
+
+
+def test_drop_near_on_odd_rows(spark, odd, none):
+    kept = near_similar.drop_near(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 7, 8, 9]
+    assert near_similar.drop_near(none).count() == 0
+    rows = [(None, "text a of five words"), (1, "text a of five words"), (None, "text b is of six words"), (2, "text c"), (2, "text a of five words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in near_similar.drop_near(docs).collect()) == [(0, "text b is of six words"), (1, "text a of five words"), (2, "text c")]
 
 
 def test_long_chain_is_one_component(spark):
@@ -544,7 +556,7 @@ def test_pipeline_stages_against_brute_force(spark):
             assert sorted(after["doc_id"]) == sorted(before.groupby(plain)["doc_id"].min())
         elif name == "near_dedup":
             before = before.sort_values("doc_id")
-            root = brute_components([simhash_trie.simhash(t) for t in before["text"]], 4)
+            root = brute_jaccard(before["text"])
             assert sorted(after["doc_id"]) == sorted({int(before["doc_id"].iloc[r]) for r in root})
         elif name == "source_mix":
             words = lambda f: f["text"].map(lambda t: len((t or "").encode().split())).groupby(f["source"]).sum()
