@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import exact_dedup, near_jaccard, quality_cotrain, source_mix, sp_lattice
+from docweave.llm import exact_dedup, near_similar, quality_cotrain, source_mix, sp_lattice
 from docweave.llm.common import materialize, table
 
 
@@ -17,7 +17,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_jaccard.drop_near(docs)
+    return near_similar.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
