@@ -1,14 +1,15 @@
 """Quality classifier by co-training: a view of the text and a view of the page's metadata teach each other.
 
-Each view has a logistic classifier of its own. Both begin with the labelled rows; in each round either labels the rows
-of an unlabelled pool it is surest of, and these join the training rows of the other. At the end each view is
-calibrated on labelled rows that were held back, and a logistic combination of both scores all documents.
+Each view has a logistic classifier of its own. Both begin with the labelled rows; in each round both score all
+documents, either labels those without label that it is surest of, and these join the training rows of the other. At
+the end each view is calibrated on labelled rows that were held back, and a logistic combination of both scores all.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -17,32 +18,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import arrow_rows, table, whole_row
+from docweave.llm.common import arrow_rows, discard, materialize, table, whole_row
 
-#: Rows that fitting may use: labelled ones and, without labels, for the pool. Chosen by a seeded hash of the id.
-LABELLED_ROWS, POOL_ROWS = 6000, 6000
-ROUNDS, PER_ROUND = 4, 400
+#: Labelled rows that fitting may use, chosen by a seeded hash of the id.
+LABELLED_ROWS = 6000
+#: Rounds of pseudo-labels over all documents, and how many each view gives the other in a round.
+ROUNDS, PER_ROUND = 3, 400
+#: Log odds that a pseudo-label needs at least.
+SURE = 2.0
 TEXT_BITS, META_SIZE = 16, 2048
 #: Share of good documents in the calibration rows that the threshold may reject.
 LOST_GOOD = 0.002
 #: Distinct words that a worker remembers.
 MEMO = 400_000
 
-_SHAPE = {c: "a" for c in range(ord("a"), ord("z") + 1)} | {c: "A" for c in range(ord("A"), ord("Z") + 1)} | {c: "0" for c in range(48, 58)}
+
+class _Shapes(dict):
+    """Signs by the class a shape has for them: letters a or A, digits 0; others stay."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = x = "0" if "0" <= c <= "9" else c if not c.isalpha() else "a" if c.islower() else "A"
+        return x
+
+
+_SHAPES, _AGAIN = _Shapes(), re.compile(r"(.)\1+")
 _PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 
 
-def shape(word: str) -> str:
-    """Letters as a or A, digits as 0, runs shortened to one; other signs stay."""
-    s = "".join("Aa"[c.islower()] if c.isalpha() else c for c in word.translate(_SHAPE)) if not word.isascii() else word.translate(_SHAPE)
-    return "".join(c for k, c in enumerate(s) if not k or c != s[k - 1])
+def words_slots(words: Iterable[str]) -> Iterator[tuple[int, int]]:
+    """Slots of each word and of its shape (signs by class, runs shortened to one), for all words at once.
 
-
-def word_slots(word: str) -> tuple[int, int]:
-    """Slots of a word and of its shape; the last 64 slots are kept for statistics of the whole text."""
-    n = (1 << TEXT_BITS) - 64
-    return zlib.crc32(word.lower().encode()) % n, zlib.crc32(b"\0" + shape(word).encode()) % n
+    The last 64 slots are kept for statistics of the whole text. No word has white space in it.
+    """
+    n, joined = (1 << TEXT_BITS) - 64, "\n".join(words)
+    shapes = _AGAIN.sub(r"\1", joined.translate(_SHAPES)).encode()
+    crc = zlib.crc32
+    for a, b in zip(joined.lower().encode().split(b"\n"), shapes.split(b"\n"), strict=True):
+        yield crc(a) % n, crc(b"\0" + b) % n
 
 
 def repetition_slots(words: list[str]) -> list[int]:
@@ -77,25 +91,28 @@ def meta_slots(text: str, lang, source, n_chars) -> list[int]:
 def text_vector(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of the text view: mean over words of word and shape slots, and the statistics."""
     words = text.split()
-    slots = np.array([s for w in words for s in word_slots(w)], np.int64)
+    slots = np.array([s for pair in words_slots(words) for s in pair] if words else [], np.int64)
     at, count = np.unique(slots, return_counts=True)
     extra = np.array(repetition_slots(words), np.int64)
     return np.concatenate((at, extra)).astype(np.int32), np.concatenate((10.0 * count / max(1, len(words)), np.ones(len(extra)))).astype(np.float32)
 
 
-class Memo(dict):
-    """Weight of a word, its slot plus its shape's; computed once, forgotten when too many are held."""
+class Memo:
+    """Weights of words, each its slot's plus its shape's; computed once, forgotten when too many are held."""
 
     def __init__(self, weights: np.ndarray):
-        super().__init__()
-        self.weights = weights
-
-    def __missing__(self, word: str) -> float:
-        a, b = word_slots(word)
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = x = float(self.weights[a]) + float(self.weights[b])
-        return x
+        self.weights, self.held = weights, {}
+
+    def sums(self, texts: list[list[str]]) -> list[float]:
+        """Sum of the weights of each text's words."""
+        new = list(set().union(*texts) - self.held.keys())
+        if len(self.held) + len(new) > MEMO:
+            self.held.clear()
+            new = list(set().union(*texts))
+        if new:
+            at = np.array(list(words_slots(new)))
+            self.held.update(zip(new, (self.weights[at[:, 0]].astype(float) + self.weights[at[:, 1]]).tolist(), strict=True))
+        return [sum(map(self.held.__getitem__, t)) for t in texts]
 
 
 @dataclass
@@ -160,82 +177,144 @@ class Model:
     threshold: float
 
 
-def cotrain(text: Sparse, meta: Sparse, y: np.ndarray) -> Model | None:
-    """y: 1 good, 0 poor, -1 without label. None if the labels lack one of the two classes."""
-    labelled = np.flatnonzero(y >= 0)
-    if len(np.unique(y[labelled])) < 2:
-        return None
-    held = labelled[np.arange(len(labelled)) % 3 == 0]
-    if len(np.unique(y[held])) < 2 or len(np.unique(y[np.setdiff1d(labelled, held)])) < 2:
-        held = labelled
-    train = np.setdiff1d(labelled, held) if len(held) < len(labelled) else labelled
-    views = ((text, 1 << TEXT_BITS), (meta, META_SIZE))
-    target = [np.where(y < 0, 0, y).astype(float) for _ in views]
-    weight = [np.zeros(len(y)) for _ in views]
-    for t in weight:
-        t[train] = 1.0
-    pool = np.flatnonzero(y < 0)
-    good = y[train].mean()
-    models = [np.zeros(size + 1) for _, size in views]
-    for turn in range(ROUNDS + 1):
-        models = [fit(x, target[k], weight[k], size) for k, (x, size) in enumerate(views)]
-        if turn == ROUNDS or not len(pool):
-            break
-        for k, (x, _) in enumerate(views):  # the surest of either class, in proportion, for the other view
-            other = 1 - k
-            free = pool[weight[other][pool] == 0]
-            z = x.dot(models[k])[free] + models[k][-1]
-            order = np.argsort(z, kind="stable")
-            n_good = min(round(PER_ROUND * good), len(free) // 2)
-            n_poor = min(PER_ROUND - round(PER_ROUND * good), len(free) // 2)
-            for rows, label in ((order[len(order) - n_good :], 1.0), (order[:n_poor], 0.0)):
-                sure = rows[np.abs(z[rows]) > 2.0]
-                target[other][free[sure]], weight[other][free[sure]] = label, 0.5
-    z = [x.dot(m) + m[-1] for (x, _), m in zip(views, models, strict=True)]
-    truth = y[held].astype(float)
-    platt = [dense_logit(s[held][:, None], truth) for s in z]
-    calibrated = np.column_stack([s * p[0] + p[1] for s, p in zip(z, platt, strict=True)])
-    both = dense_logit(calibrated[held], truth)
-    score = sigmoid(calibrated[held] @ both[:-1] + both[-1])
-    threshold = min(0.5, float(np.quantile(score[truth == 1], LOST_GOOD)))
-    return Model(models[0].astype(np.float32), models[1].astype(np.float32), platt[0], platt[1], both, threshold)
+@dataclass
+class Rows:
+    """Features of rows in both views, by id."""
 
+    ids: np.ndarray
+    text: list[tuple[np.ndarray, np.ndarray]]
+    meta: list[np.ndarray]
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, seed: int = 11) -> Model | None:
-    """Fit on at most ``labelled_rows`` labelled and ``pool_rows`` other documents.
+    def views(self) -> tuple[Sparse, Sparse]:
+        return Sparse.of(self.text), Sparse.of([(m, np.ones(len(m))) for m in self.meta])
+
+    def and_also(self, other: Rows) -> Rows:
+        return Rows(np.concatenate((self.ids, other.ids)), self.text + other.text, self.meta + other.meta)
 
-    Rows with a null id or label teach nothing. Where an id has several labels, the least counts.
-    """
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("y"))
-    known = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(order, "doc_id").limit(labelled_rows)
-    pool = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(order, "doc_id").limit(pool_rows).distinct()
-    chosen = known.unionByName(pool.withColumn("y", F.lit(-1))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    # at most labelled_rows + pool_rows rows, so a broadcast
-    texts = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id")
+
+def features(docs: DataFrame, ids: DataFrame) -> Rows:
+    """Features of the documents whose id is among ``ids`` (doc_id; few, by LABELLED_ROWS or PER_ROUND), a row an id."""
+    texts = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for d, t, lang, source, n, y in zip(b["doc_id"], b["text"], b["lang"], b["source"], b["n_chars"], b["y"], strict=True):
+            for d, t, lang, source, n in zip(b["doc_id"], b["text"], b["lang"], b["source"], b["n_chars"], strict=True):
                 slots, values = text_vector(t or "")
-                rows.append((d, y, slots.tobytes(), values.tobytes(), np.array(meta_slots(t or "", lang, source, n), np.int32).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "y", "slots", "values", "meta"])
+                rows.append((d, slots.tobytes(), values.tobytes(), np.array(meta_slots(t or "", lang, source, n), np.int32).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "slots", "values", "meta"])
+
+    found = texts.mapInPandas(run, "doc_id long, slots binary, values binary, meta binary")
+    # an id that is repeated is one row before it goes to the driver
+    found = found.groupBy("doc_id").agg(F.min(F.struct("slots", "values", "meta")).alias("f")).select("doc_id", "f.*").toPandas()
+    found = found.iloc[np.lexsort((found["doc_id"], [zlib.crc32(str(d).encode()) for d in found["doc_id"]]))]
+    return Rows(
+        found["doc_id"].to_numpy(np.int64), [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for s, v in zip(found["slots"], found["values"], strict=True)],
+        [np.frombuffer(m, np.int32) for m in found["meta"]],
+    )
+
+
+def logits(texts: list[str], lang, source, n_chars, text: np.ndarray, meta: np.ndarray, memo: Memo) -> np.ndarray:
+    """Log odds of each row in both views."""
+    words = [t.split() for t in texts]
+    z = np.zeros((len(texts), 2))
+    for k, (t, w, total, a, b, n) in enumerate(zip(texts, words, memo.sums(words), lang, source, n_chars, strict=True)):
+        z[k, 0] = 10.0 * total / max(1, len(w)) + text[repetition_slots(w)].sum() + text[-1]
+        z[k, 1] = meta[meta_slots(t, a, b, n)].sum() + meta[-1]
+    return z
+
 
-    found = texts.mapInPandas(run, "doc_id long, y int, slots binary, values binary, meta binary").toPandas()
-    found = found.sort_values(["doc_id", "slots"], kind="stable").drop_duplicates("doc_id")
-    found = found.iloc[np.argsort([zlib.crc32(str(d).encode()) for d in found["doc_id"]], kind="stable")]
-    text = Sparse.of([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for s, v in zip(found["slots"], found["values"], strict=True)])
-    metas = [np.frombuffer(m, np.int32) for m in found["meta"]]
-    meta = Sparse.of([(m, np.ones(len(m))) for m in metas])
-    return cotrain(text, meta, found["y"].to_numpy(np.int64))
+def surest(docs: DataFrame, labelled: DataFrame, models: list[np.ndarray], good: float, given: list[set[int]]) -> list[dict[int, float]]:
+    """For each view the ids of documents that the other is surest of, with the pseudo-label; PER_ROUND at most.
+
+    All documents without label are scored by both models. given: ids that each view has been given before.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast([m.astype(np.float32) for m in models])  # the slots of both views
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        text, meta = shared.value
+        memo = Memo(text[:-1])
+        for b in batches:
+            z = logits(b["text"].tolist(), b["lang"], b["source"], b["n_chars"], text, meta, memo)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "z0": z[:, 0], "z1": z[:, 1]})
+
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.col("n_chars").cast("double").alias("n_chars"))
+    scored = rows.mapInPandas(run, "doc_id long, z0 double, z1 double")
+    free = materialize(scored.groupBy("doc_id").agg(F.min("z0").alias("z0"), F.min("z1").alias("z1")).join(labelled.hint("merge"), "doc_id", "left_anti"), "cotrain-scores")
+    n_good = round(PER_ROUND * good)
+    out: list[dict[int, float]] = []
+    for other in (0, 1):
+        z, rest = F.col(f"z{1 - other}"), free
+        if given[other]:  # ROUNDS * PER_ROUND at most
+            rest = free.join(F.broadcast(spark.createDataFrame([(i,) for i in sorted(given[other])], "doc_id long")), "doc_id", "left_anti")
+        found = {}
+        for label, order, n in ((1.0, z.desc(), n_good), (0.0, z.asc(), PER_ROUND - n_good)):
+            sure = rest.where(z > SURE if label else z < -SURE).orderBy(order, "doc_id").limit(n)
+            found |= {r["doc_id"]: label for r in sure.collect()}
+        out.append(found)
+    discard(free)
+    shared.destroy()
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS, seed: int = 11) -> Model | None:
+    """Fit on at most ``labelled_rows`` labelled documents, and on pseudo-labels of all others.
+
+    Rows with a null id or label teach nothing. Where an id has several labels, the least counts; where it has several
+    documents, one of them does. None if the labels lack one of the two classes. An empty table has no labelled rows.
+    """
+    arrow_rows(docs.sparkSession)
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("y"))
+    known = materialize(known.groupBy("doc_id").agg(F.min("y").alias("y")), "cotrain-labels")
+    chosen = materialize(known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(labelled_rows), "cotrain-chosen")
+    truth = {r["doc_id"]: r["y"] for r in chosen.collect()}
+    own = features(docs, chosen.select("doc_id"))
+    y = np.array([truth[int(d)] for d in own.ids], float)
+    if len(np.unique(y)) < 2:
+        return None
+    held = np.arange(len(y)) % 3 == 0
+    if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
+        taught = held = np.ones(len(y), bool)
+    else:
+        taught = ~held
+    more = Rows(np.zeros(0, np.int64), [], [])
+    given: list[dict[int, float]] = [{}, {}]  # pseudo-labels of each view
+    models: list[np.ndarray] = []
+    for turn in range(rounds + 1):
+        rows = own.and_also(more)
+        models = []
+        for k, (x, size) in enumerate(zip(rows.views(), (1 << TEXT_BITS, META_SIZE), strict=True)):
+            target = np.concatenate((y, [given[k].get(int(d), 0.0) for d in more.ids]))
+            weight = np.concatenate((taught.astype(float), [0.5 * (int(d) in given[k]) for d in more.ids]))
+            models.append(fit(x, target, weight, size))
+        if turn == rounds:
+            break
+        new = surest(docs, known.select("doc_id"), models, float(y[taught].mean()), [set(g) for g in given])
+        given = [g | n for g, n in zip(given, new, strict=True)]
+        fresh = sorted(set().union(*new) - set(more.ids.tolist()))
+        if not any(new):
+            continue
+        if fresh:
+            more = more.and_also(features(docs, docs.sparkSession.createDataFrame([(i,) for i in fresh], "doc_id long")))
+    z = [x.dot(m) + m[-1] for x, m in zip(own.views(), models, strict=True)]
+    answer = y[held]
+    platt = [dense_logit(s[held][:, None], answer) for s in z]
+    calibrated = np.column_stack([s * p[0] + p[1] for s, p in zip(z, platt, strict=True)])
+    both = dense_logit(calibrated[held], answer)
+    score = sigmoid(calibrated[held] @ both[:-1] + both[-1])
+    threshold = min(0.5, float(np.quantile(score[answer == 1], LOST_GOOD)))
+    discard(known, chosen)
+    return Model(models[0].astype(np.float32), models[1].astype(np.float32), platt[0], platt[1], both, threshold)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with p_text, p_meta (calibrated views), score (both) and keep.
 
-    Null or empty text, language, source and size are values like others; repeated rows have equal scores. Without a
-    model (no labels of both classes) all scores are 1 and everything stays.
+    Null or empty text, language, source and size are values like others; repeated rows have equal scores; a text of any
+    length is scored whole, as one list of words. Without a model (no labels of both classes) all scores are 1 and
+    everything stays. An empty table gives an empty result. Of docs' own columns, those named like a new one give way
+    to it; all others pass through.
     """
     arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: the slots of both views
@@ -249,18 +328,14 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         global _memo
         if _memo is None or _memo[0] is not m:
             _memo = (m, Memo(m.text[:-1]))
-        memo, z = _memo[1], np.zeros((len(text), 2))
-        for k, (t, a, b, n) in enumerate(zip(text, lang, source, n_chars, strict=True)):
-            t = t or ""
-            words = t.split()
-            z[k, 0] = 10.0 * sum(map(memo.__getitem__, words)) / max(1, len(words)) + m.text[repetition_slots(words)].sum() + m.text[-1]
-            z[k, 1] = m.meta[meta_slots(t, a, b, n)].sum() + m.meta[-1]
+        z = logits(text.tolist(), lang, source, n_chars, m.text, m.meta, _memo[1])
         c = np.column_stack((z[:, 0] * m.platt_text[0] + m.platt_text[1], z[:, 1] * m.platt_meta[0] + m.platt_meta[1]))
         p = sigmoid(c @ m.both[:-1] + m.both[-1])
         return pd.DataFrame({"p_text": sigmoid(c[:, 0]), "p_meta": sigmoid(c[:, 1]), "score": p, "keep": p >= m.threshold})
 
-    found = docs.withColumn("__q", quality("text", "lang", "source", F.col("n_chars").cast("double")))
-    return found.withColumns({c: F.col(f"__q.{c}") for c in ("p_text", "p_meta", "score", "keep")}).drop("__q")
+    row = whole_row(docs.drop("p_text", "p_meta", "score", "keep"))
+    found = docs.select(row, quality(F.coalesce("text", F.lit("")), "lang", "source", F.col("n_chars").cast("double")).alias("__new"))
+    return found.select("__row.*", "__new.*")
 
 
 _memo: tuple | None = None
