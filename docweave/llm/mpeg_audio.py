@@ -86,6 +86,61 @@ def crc16(data: bytes) -> int:
     return c
 
 
+@functools.lru_cache(maxsize=65536)
+def crc16_bits(data: bytes, n: int) -> int:
+    """CRC-16 of the first n bits."""
+    c = crc16(data[: n // 8])
+    for k in range(n % 8):
+        top = c >> 15 ^ data[n // 8] >> 7 - k & 1
+        c = c << 1 & 0xFFFF
+        if top:
+            c ^= 0x8005
+    return c
+
+
+# Fixed values of layer II: bits of the allocation field by subband, for each table of the standard.
+_ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "lsf": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
+
+def checked_bits(frame: bytes, h: Header) -> tuple[bytes, int] | None:
+    """What the checksum of a frame covers: the last 2 header bytes and then so many bits of the frame; None if it is cut.
+
+    Layer III: side information. Layer I: bit allocation. Layer II: bit allocation and scale-factor selection.
+    """
+    body = frame[6:]
+    if h.layer == 3:
+        n = 8 * h.side
+    else:
+        mode, bound = frame[3] >> 6, 4 * ((frame[3] >> 4 & 3) + 1)
+        channels = 1 if mode == 3 else 2
+        width = (4,) * 32
+        if h.layer == 2:
+            per = h.kbps // channels
+            table = "lsf" if h.version == 2 else (
+                ("d" if h.rate == 32000 else "c") if per <= 48 else "a" if per <= 80 or h.rate == 48000 else "b"
+            )
+            width = _ALLOCATION[table]
+        shared = len(width) if mode != 1 else min(bound, len(width))  # from here on both channels have one allocation
+        fields = [w for k, w in enumerate(width) for _ in range(channels if k < shared else 1)]
+        n = sum(fields)
+        if h.layer == 2:
+            if 8 * len(body) < n:
+                return None
+            bits, at = int.from_bytes(body[: (n + 7) // 8]) >> -n % 8, n
+            for k, w in enumerate(width):
+                for _ in range(channels if k < shared else 1):
+                    at -= w
+                    if bits >> at & (1 << w) - 1:  # a band that is there has 2 bits of selection in each channel
+                        n += 2 * (1 if k < shared else channels)
+    return (frame[2:4] + body[: (n + 7) // 8], 16 + n) if 8 * len(body) >= n else None
+
+
 @dataclass
 class Media:
     """What :func:`parse` finds. offsets: byte offset of every audio frame (seek table); duration: exact seconds."""
@@ -108,19 +163,26 @@ def _synchsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
 
+def _text_frame(name: str, body: bytes, tags: dict[str, str]) -> None:
+    if name[0] == "T" and body:
+        text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace").rstrip("\0")
+        key, _, value = text.partition("\0") if name in ("TXXX", "TXX") else (name, "", text)
+        tags[key] = value
+
+
 def _id3v2(data: bytes, tags: dict[str, str]) -> int:
     """Read the tag at the start, if any, into ``tags``; returns where audio may begin."""
     if data[:3] != b"ID3" or len(data) < 10 or any(x & 0x80 for x in data[6:10]):
         return 0
     end, at, major = 10 + _synchsafe(data[6:10]), 10, data[3]
+    while at + 6 <= min(end, len(data)) and data[at] and major == 2:  # three letters, three bytes of size, no flags
+        name, size = data[at : at + 3].decode("latin-1"), int.from_bytes(data[at + 3 : at + 6])
+        _text_frame(name, data[at + 6 : at + 6 + size], tags)
+        at += 6 + size
     while at + 10 <= min(end, len(data)) and data[at] and major >= 3:
         name, raw = data[at : at + 4].decode("latin-1"), data[at + 4 : at + 8]
         size = _synchsafe(raw) if major == 4 else int.from_bytes(raw)
-        body = data[at + 10 : at + 10 + size]
-        if name[0] == "T" and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace").rstrip("\0")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
-            tags[key] = value
+        _text_frame(name, data[at + 10 : at + 10 + size], tags)
         at += 10 + size
     return end + (10 if data[5] & 0x10 else 0)
 
@@ -137,8 +199,9 @@ def _vbr(data: bytes, at: int, h: Header) -> dict | None:
         if flags & 4:
             out["toc"] = list(data[p : p + 100])
         return out
-    if data[at + 36 : at + 40] == b"VBRI":
+    if data[at + 36 : at + 40] == b"VBRI" and len(data) >= at + 62:
         size, frames, entries, scale, width = struct.unpack(">IIHHH", data[at + 46 : at + 60])
+        entries = min(entries, (len(data) - at - 62) // width if width else 0)  # those that are there
         toc = [scale * int.from_bytes(data[at + 62 + k * width : at + 62 + (k + 1) * width]) for k in range(entries)]
         return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": toc}
     return None
@@ -147,8 +210,8 @@ def _vbr(data: bytes, at: int, h: Header) -> dict | None:
 def parse(data: bytes) -> Media:
     """Walk all frames. Lost sync is found again at the next header whose follower is a like header, or the end.
 
-    Bytes in between are counted, not guessed; empty input gives no frames. Checksums are verified for layer III,
-    where they cover the side information; for protected frames of other layers they count as unchecked.
+    Bytes in between are counted, not guessed; empty input gives no frames, and any bytes at all give some result.
+    Checksums are verified for all layers; a protected frame that is too short for what they cover counts as unchecked.
     """
     m, end = Media(), len(data)
     at = _id3v2(data, m.tags)
@@ -182,8 +245,8 @@ def parse(data: bytes) -> Media:
                 at += h.length
                 continue
         if h.protected:
-            if h.layer == 3:
-                good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == data[at + 4] << 8 | data[at + 5]
+            if (covered := checked_bits(data[at : at + h.length], h)) is not None:
+                good = crc16_bits(*covered) == data[at + 4] << 8 | data[at + 5]
                 m.crc_good += good
                 m.crc_bad += not good
             else:
@@ -269,7 +332,9 @@ MEDIA_SCHEMA = (
 def inspect(media: DataFrame, column: str = "media") -> DataFrame:
     """Each row with a struct ``audio`` of its MPEG stream: exact duration, seek offsets, checksums, tags, VBR table.
 
-    A null or empty value has no frames and duration 0. The other columns pass through.
+    A null or empty value has no frames and duration 0; repeated values have equal results; a stream of any length is
+    one row, with 8 bytes a frame. An empty table gives an empty result. A column of media that is named ``audio`` gives
+    way to the new one; all others pass through.
     """
     arrow_rows(media.sparkSession, 200)
 
@@ -289,7 +354,11 @@ def inspect(media: DataFrame, column: str = "media") -> DataFrame:
 
 
 def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Texts as payloads: stored as MPEG audio, parsed, read back and described. Equal texts give equal values."""
+    """Texts as payloads: stored as MPEG audio, parsed, read back and described. Equal texts give equal values.
+
+    A null text counts as empty, which is one block of padding; a null doc_id stays null. Repeated rows give a row each,
+    texts of any length are stored whole, and an empty table gives an empty result. Other columns are not read.
+    """
     arrow_rows(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import arrow_rows
+from docweave.llm.common import arrow_rows, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds the CRF knows; "secret" is a credential (key, password, token).
@@ -452,7 +452,11 @@ def op1(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def pii(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns of :func:`op1`. labelled: words array<string>, tags array<string>, MAX_SENTENCES rows at most."""
+    """docs with the columns of :func:`op1`. labelled: words array<string>, tags array<string>, MAX_SENTENCES rows at most.
+
+    Texts of any length are searched whole, in memory of that text's words. An empty table gives an empty result. Of
+    docs' own columns, those named like a new one give way to it; all others pass through.
+    """
     rows = labelled.limit(MAX_SENTENCES + 1).collect()
     if len(rows) > MAX_SENTENCES:
         raise ValueError(f"the labelled table has more than {MAX_SENTENCES} rows")
@@ -474,8 +478,8 @@ def pii(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFrame:
             out.append((*(len(base[k]) for k in KINDS), hashlib.sha256(_line(own).encode()).hexdigest(), _line(every), len(more)))
         return pd.DataFrame(out, columns=list(names))
 
-    found = docs.withColumn("__f", find(F.coalesce(F.col(text), F.lit(""))))
-    return found.withColumns({c: F.col(f"__f.{c}") for c in names}).drop("__f")
+    found = docs.select(whole_row(docs.drop(*names)), find(F.coalesce(F.col(text), F.lit(""))).alias("__new"))
+    return found.select("__row.*", "__new.*")
 
 
 _scorer: tuple | None = None

@@ -14,12 +14,30 @@ LEARNT_ROLE = "assistant"
 
 
 def paired_turns(conversations: DataFrame) -> DataFrame:
-    """Conversations 2k and 2k + 1 are the chosen and the rejected side of pair k."""
-    return conversations.where("conv_id IS NOT NULL").select(
-        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"),
-        F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"),
-        F.col("turn").cast("long").alias("turn"), "role", "text",
+    """Pairs that share all but an answer: pair k is conversation k against itself with another's last answer.
+
+    The rejected side has the last assistant turn of conversation k replaced by that of its neighbour, k + 1 for an even
+    k and k - 1 for an odd one. Without such a neighbour, the rejected side lacks the turn; a conversation without an
+    assistant turn is the same on both sides. The last assistant turn is that with the highest number (a null number
+    is the highest), and of equal numbers the last by text.
+    """
+    rows = conversations.where("conv_id IS NOT NULL").select(
+        F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    at = F.struct(F.col("turn").isNull().alias("z"), "turn", "text")
+    last = materialize(
+        rows.groupBy("pair_id").agg(F.max(F.when(F.col("role") == LEARNT_ROLE, at)).alias("last"), F.count(F.lit(1)).alias("n")), "last-answers"
     )
+    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last.text").alias("instead"), F.col("last").isNotNull().alias("has"))
+    facts = last.join(other, "pair_id", "left").select("pair_id", "n", "last", "instead", F.coalesce("has", F.lit(False)).alias("has"))
+    total = last.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = join_by_hot_key(rows, facts, "pair_id", "n", total)
+    replaced = (F.col("role") == LEARNT_ROLE) & F.col("turn").eqNullSafe(F.col("last.turn")) & (F.col("text") == F.col("last.text"))
+    side = lambda name, text: F.struct(F.lit(name).alias("side"), text.alias("text"))
+    rejected = F.when(~replaced, F.col("text")).when(F.col("has"), F.col("instead"))
+    sides = F.filter(F.array(side("chosen", F.col("text")), side("rejected", rejected)), lambda x: x["text"].isNotNull())
+    return known.withColumn("s", F.explode(sides)).select("pair_id", "s.side", "turn", "role", "s.text")
 
 
 def format_preferences(turns: DataFrame) -> DataFrame:
@@ -117,9 +135,18 @@ def op7(spark: SparkSession, conversations: DataFrame) -> DataFrame:
 
 
 OP7_SQL = """
-WITH t AS (
-  SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), a AS (
+  SELECT conv_id, turn, text FROM c WHERE role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS FIRST, text DESC) = 1
+), x AS (
+  SELECT c.*, own.conv_id IS NOT NULL AS last, other.text AS instead
+  FROM c LEFT JOIN a AS own ON own.conv_id = c.conv_id AND own.turn IS NOT DISTINCT FROM c.turn AND own.text = c.text AND c.role = 'assistant'
+  LEFT JOIN a AS other ON other.conv_id = xor(c.conv_id, 1)
+), t AS (
+  SELECT DISTINCT conv_id AS pair_id, 0 AS side, turn, role, text FROM x
+  UNION SELECT DISTINCT conv_id, 1, turn, role, CASE WHEN last THEN instead ELSE text END FROM x WHERE NOT last OR instead IS NOT NULL
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY pair_id, side, turn ORDER BY role, text) AS k FROM t
 ), b AS (
@@ -127,12 +154,12 @@ WITH t AS (
     max(role) FILTER (side = 1) AS rrole, max(text) FILTER (side = 1) AS rtext FROM r GROUP BY pair_id, turn, k
 ), o AS (
   SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS LAST, k) AS pos, count(*) OVER (PARTITION BY pair_id) AS pair_turns FROM b
-), c AS (
-  SELECT *, coalesce(min(pos) FILTER (crole IS DISTINCT FROM rrole OR ctext IS DISTINCT FROM rtext) OVER (PARTITION BY pair_id), 1 << 40) AS split FROM o
+), f AS (
+  SELECT *, coalesce(min(pos) FILTER (crole IS DISTINCT FROM rrole OR ctext IS DISTINCT FROM rtext) OVER (PARTITION BY pair_id), 9000000000000000000) AS split FROM o
 ), e AS (
-  SELECT pair_id, 'prompt' AS part, turn, k, crole AS role, ctext AS raw, pair_turns FROM c WHERE pos < split
-  UNION ALL SELECT pair_id, 'chosen', turn, k, crole, ctext, pair_turns FROM c WHERE pos >= split AND crole IS NOT NULL
-  UNION ALL SELECT pair_id, 'rejected', turn, k, rrole, rtext, pair_turns FROM c WHERE pos >= split AND rrole IS NOT NULL
+  SELECT pair_id, 'prompt' AS part, turn, k, crole AS role, ctext AS raw, pair_turns FROM f WHERE pos < split
+  UNION ALL SELECT pair_id, 'chosen', turn, k, crole, ctext, pair_turns FROM f WHERE pos >= split AND crole IS NOT NULL
+  UNION ALL SELECT pair_id, 'rejected', turn, k, rrole, rtext, pair_turns FROM f WHERE pos >= split AND rrole IS NOT NULL
 )
 SELECT pair_id, part, turn, k::INT AS k, role, '<|im_start|>' || role || chr(10) || raw || '<|im_end|>' || chr(10) AS text,
   CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 13 + length(role) ELSE 0 END::BIGINT AS loss_start,

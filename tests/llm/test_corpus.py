@@ -276,6 +276,21 @@ def test_common_prefix_is_rendered_once(spark):
     assert preference.format_preferences(df.limit(0)).count() == 0
 
 
+def test_pairs_share_a_prompt(spark):
+    said = table(spark, SF, "conversations")
+    got = preference.op7(spark, said)
+    pairs = said.groupBy("conv_id").agg(F.max((F.col("role") == "assistant").cast("int")).alias("a"), F.count(F.lit(1)).alias("n")).where("a = 1 AND n > 1").count()
+    assert got.where("part = 'prompt'").select("pair_id").distinct().count() >= 0.9 * pairs > 0
+    both = got.where("part <> 'prompt' AND loss_end > 0").groupBy("pair_id").agg(F.countDistinct("part").alias("n")).where("n = 2").count()
+    assert both >= 0.8 * pairs  # the last conversation may have no neighbour
+    rows = [(2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", "r"), (3, 1, "assistant", "b"), (4, 0, "user", "s"), (4, None, "assistant", None), (6, 0, "user", None), (None, 0, "user", "x")]
+    few = preference.op7(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {(r.pair_id, r.part, r.text[len("<|im_start|>") : -len("<|im_end|>\n")]) for r in few.collect()} == {
+        (2, "prompt", "user\nq"), (2, "chosen", "assistant\na"), (2, "rejected", "assistant\nb"), (3, "prompt", "user\nr"), (3, "chosen", "assistant\nb"), (3, "rejected", "assistant\na"),
+        (4, "prompt", "user\ns"), (4, "chosen", "assistant\n"), (6, "prompt", "user\n"),
+    }
+
+
 def test_preference_plan_has_no_python(spark):
     plan = preference.op7(spark, table(spark, SF, "conversations"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -349,6 +364,56 @@ def test_damage_is_found():
     assert m.vbr["frames"] == 7 and len(m.offsets) == 1
 
 
+@given(st.binary(max_size=400), st.integers(0, 3))
+@settings(max_examples=300, deadline=None)
+def test_any_bytes_parse(data, kind):
+    start = (b"", bytes((0xFF, 0xFB, 0x10, 0xC0)) + bytes(32) + b"VBRI", b"ID3\x02\0\0\0\0\x01\0", bytes((0xFF, 0xFC, 0x14, 0x40)))[kind]
+    m = mpeg_audio.parse(start + data)
+    assert len(m.offsets) == len(m.sizes) and m.skipped >= 0
+    frame = bytes((0xFF, 0xFB, 0x10, 0xC0)).ljust(144, b"\0")
+    mpeg_audio.parse(bytes((0xFF, 0xFB, 0x10, 0xC0)) + bytes(32) + b"VBRI" + data[:20] + frame)
+
+
+@pytest.mark.parametrize("layer", [1, 2])
+def test_checksums_of_layers_one_and_two(layer):
+    """Frames with a checksum made bit by bit, over the allocation and, in layer II, the scale-factor selection."""
+    rng = np.random.default_rng(layer)
+    for mode in (0, 1, 3):
+        head = bytes((0xFF, 0xF8 | (4 - layer) << 1, 8 << 4 | 1 << 2, mode << 6 | 1 << 4))
+        h = mpeg_audio.header(head)
+        body = bytearray(rng.integers(0, 256, h.length - 6, np.uint8).tobytes())
+        bits = "".join(f"{x:08b}" for x in body)
+        channels, shared = (1 if mode == 3 else 2), (8 if mode == 1 else 99)
+        per = h.kbps // channels
+        if layer == 1:
+            widths = [4] * 32
+        else:
+            widths = [4] * 2 + [3] * 6 if per <= 48 else [4] * 11 + [3] * 12 + [2] * 4
+        at = extra = 0
+        for k, w in enumerate(widths):
+            for _ in range(channels if k < shared else 1):
+                if layer == 2 and int(bits[at : at + w], 2):
+                    extra += 2 * (1 if k < shared else channels)
+                at += w
+        crc = 0xFFFF
+        for bit in "".join(f"{x:08b}" for x in head[2:]) + bits[: at + extra]:
+            top = crc >> 15 ^ int(bit)
+            crc = crc << 1 & 0xFFFF ^ (0x8005 if top else 0)
+        frame = head + crc.to_bytes(2) + bytes(body)
+        m = mpeg_audio.parse(frame * 2)
+        assert (m.crc_good, m.crc_bad, m.crc_unchecked) == (2, 0, 0)
+        bad = bytearray(frame)
+        bad[6] ^= 0x80
+        assert mpeg_audio.parse(bytes(bad) + frame).crc_bad == 1
+
+
+def test_tags_of_three_letters():
+    text = b"\0Some title"
+    frame = b"TT2" + len(text).to_bytes(3) + text
+    m = mpeg_audio.parse(b"ID3\x02\0\0\0\0\0" + bytes((len(frame),)) + frame + mpeg_audio.store(b"x" * 600)[32:])
+    assert m.tags["TT2"] == "Some title"
+
+
 def test_media_query_and_column(spark, odd, none):
     for r in mpeg_audio.op9(spark, odd).collect():
         raw = (dict((x[0], x[1]) for x in ODD)[r.doc_id] or "").encode()
