@@ -1,22 +1,25 @@
 """Language-model scores by logistic context mixing over bits, beside a smoothed unigram score.
 
-A text is its lower-cased words, each with a space after it, and an end byte. Each byte is a few yes-no decisions on the
-way down a Huffman tree of the corpus's bytes. Several predictors, each with its own context (last bytes of the word, the
-word so far, that with the word before it) hashed into a table of bit counts, bet on each decision; their logits are
-summed by weights that a gate selects from what the predictors know. Counts are of all training texts. Those within a
-word are made from the corpus's word counts, which saves most of the work; those across words are made from the texts.
-The weights are learnt online over all training documents, with a document's own occurrence taken out of the counts. While a document is scored, its copy of the weights is refined after each segment by the errors in it.
+A text is its lower-cased words and an end. Each token is a few yes-no decisions on the way down a Huffman tree of the
+training texts' frequent words; all other words share one leaf and are then spelt, byte by byte, down a Huffman tree of
+bytes. Bit predictors bet on each decision, each from what it has seen in its own context, hashed into a table of bit
+counts: for words none, the word before, and the last very frequent word before; for bytes the last two and four of
+the word, and the word so far. Their logits are summed by weights that a gate selects from what the predictors know.
+
+Counts are of all training texts. What a pair of counts means is read off the tables, and the weights are learnt online
+over all training texts, in both cases with a decision's own occurrence taken out. While a text is scored, its copy of the
+weights is refined by its errors, first after FIRST tokens, then at doubling distances, at most EVERY apart.
 """
 
 from __future__ import annotations
 
-import functools
 import heapq
+import itertools
 import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -25,309 +28,482 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import arrow_rows, materialize
 
-END, SPACE = 10, 32  # no word has either
-PAD = 2  # end bytes before each text, so contexts never reach into another
-#: Slots of each predictor's table, as a power of two: last 2 and 4 bytes within the word, the word so far, and that
-#: with the word before it.
-SLOT_BITS = (18, 22, 24, 22)
-PREDICTORS, ACROSS = 4, 3
-CHUNK = 1 << 16
-GATES = 8 * 3
-#: Documents of a block when learning or scoring; bytes of a segment between refinements.
-BLOCK_DOCS, SEGMENT = 32, 4096
-PRIOR, RATE_DOC = 100.0, 0.5
+END = "\n"  # the end's token; no word is one
+SPACE = 32
 #: A word with more than one in HEAD of all training tokens is a head word; so head words are fewer than HEAD.
 HEAD = 1_000_000
-#: Distinct words that a task counts before it hands them on.
-FLUSH_WORDS = 400_000
+#: Leaves that are no head words: any other word, and the end.
+OTHER, END_ID, WORD_0 = 0, 1, 2
+#: The word before, where there is none.
+NONE = -1
+#: Very frequent words: the first so many.
+FREQUENT = 256
+#: Slots of the tables, as powers of two, at most; sized by the corpus below that, a slot a training token and PER_WORD a head word.
+MOST_BITS, PER_WORD = (24, 22), 64
+#: The same for bytes, where tables are sized by the distinct words.
+BYTE_BITS = (18, 21, 22)
+#: Tags of a slot: not used, used by more than one context; others name the context.
+EMPTY, MIXED = 0, 1
+DEPTHS = 4
+#: Weights a gate selects: which of two predictors know the context, and how deep in the tree; for bytes likewise.
+GATES = 4 * DEPTHS
+PREDICTORS = 3
+#: Tokens of a block, which are worked on at once; tokens of the first segment and of later ones at most.
+BLOCK, FIRST, EVERY = 1 << 14, 32, 512
+PRIOR, RATE_DOC = 100.0, 0.5
+#: Distinct words that a task counts before it hands them on; slots of a chunk of a table.
+FLUSH_WORDS, CHUNK = 400_000, 1 << 16
 #: Logits of frozen tables are whole numbers of so many parts.
 UNIT = 1024
-#: Slots of a line, as a power of two and as a number: 64 bytes of coded counts.
-LINE_BITS, LINE = 5, 32
-_MUL = np.uint32(0x9E3779B1)
+_A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
-# ---------------------------------------------------------------- bytes, decisions, contexts
+# ---------------------------------------------------------------- trees
 
 
 @dataclass
 class Tree:
-    """Decisions of each byte: flat arrays of nodes and answers, with where a byte's begin and how many it has.
-
-    Nodes are ranked by how often the corpus passes them: LINE of them share a line of slots of a context (place), the
-    next LINE are on another page, and so on. So nearly all decisions of a byte are in one line, which is read once.
-    """
+    """Decisions of each leaf: flat arrays of nodes (hashed and plain) and answers, with where a leaf's begin and end."""
 
     start: np.ndarray
     length: np.ndarray
-    place: np.ndarray
-    page: np.ndarray
+    node: np.ndarray
+    mark: np.ndarray
     bit: np.ndarray
+    sign: np.ndarray
+    depth: np.ndarray
+    nodes: int
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Tree:
-        heap = [(float(c) + 1.0, k, (k,)) for k, c in enumerate(counts)]
+        n = len(counts)
+        heap = [(float(c) + 0.5, k) for k, c in enumerate(counts)]
         heapq.heapify(heap)
-        ways: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-        fresh = 0
+        up, side = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.uint8)
+        new = n
         while len(heap) > 1:
             a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for bit, side in ((0, a), (1, b)):
-                for v in side[2]:
-                    ways[v].append((fresh, bit))
-            heapq.heappush(heap, (a[0] + b[0], 256 + fresh, a[2] + b[2]))
-            fresh += 1
-        ways = [w[::-1] for w in ways]
-        length = np.array([len(w) for w in ways], np.int64)
-        flat = np.array([n for w in ways for n, _ in w])
-        passed = np.bincount(flat, np.repeat(np.asarray(counts, float), length), minlength=fresh)
-        rank = np.empty(fresh, np.int64)
-        rank[np.argsort(-passed, kind="stable")] = np.arange(fresh)
-        return cls(
-            np.cumsum(length) - length, length, (rank[flat] % LINE).astype(np.uint32), (rank[flat] // LINE).astype(np.uint32),
-            np.array([b for w in ways for _, b in w], np.uint8),
-        )
+            up[a[1]] = up[b[1]] = new
+            side[b[1]] = 1
+            heapq.heappush(heap, (a[0] + b[0], new))
+            new += 1
+        # all leaves climb together
+        at, steps = np.arange(n), []
+        while (live := at != new - 1).any():
+            steps.append((np.where(live, up[at] - n, -1), np.where(live, side[at], 0)))
+            at = np.where(live, up[at], at)
+        length = sum(((x >= 0).astype(np.int64) for x, _ in steps), np.zeros(n, np.int64))
+        start = np.cumsum(length) - length
+        node, bit = np.zeros(int(length.sum()), np.int32), np.zeros(int(length.sum()), np.uint8)
+        for k, (x, y) in enumerate(steps):
+            who = np.flatnonzero(x >= 0)
+            node[start[who] + length[who] - 1 - k], bit[start[who] + length[who] - 1 - k] = x[who], y[who]
+        mark = node.astype(np.uint32) * _A
+        mark ^= mark >> np.uint32(15)
+        depth = (np.arange(len(node)) - np.repeat(start, length)).astype(np.uint8)
+        return cls(start.astype(np.int32), length.astype(np.int32), node, mark, bit, (2 * bit.astype(np.int8) - 1), np.minimum(depth >> 2, DEPTHS - 1).astype(np.uint8), max(1, new - n))
+
+    def walk(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of decisions of each leaf, all decisions in order as places of the flat arrays)."""
+        many = self.length[leaf]
+        first = np.cumsum(many, dtype=np.int64) - many
+        flat = np.arange(int(many.sum()), dtype=np.int32)
+        flat += np.repeat((self.start[leaf] - first).astype(np.int32), many)
+        return many, flat
+
+    def bases(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logit of each decision towards its answer, by how often its node was answered either way; and without itself."""
+        seen = np.zeros((self.nodes, 2))
+        np.add.at(seen, (self.node, self.bit), np.repeat(np.asarray(counts, float), self.length))
+        this, other = seen[self.node, self.bit], seen[self.node, 1 - self.bit]
+        return tuple(np.clip(np.log((np.maximum(this - k, 0) + 0.3) / (other + 0.3)), -12, 12).astype(np.float32) for k in (0, 1))
+
+
+# ---------------------------------------------------------------- tables
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def code(n: np.ndarray) -> np.ndarray:
+    """Counts in a byte: exact to 32, then eight steps a doubling."""
+    return np.where(n <= 32, n, np.minimum(255, 32 + np.rint(8 * np.log2(np.maximum(n, 32) / 32)))).astype(np.uint32)
 
 
-def layout(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One buffer for all texts, and where each begins and ends in it (the end byte included)."""
-    parts = [b" ".join(w) + b" \n" if w else b"\n" for w in rows]
-    size = np.array([len(p) for p in parts], np.int64)
-    begin = np.cumsum(size + PAD) - size
-    return np.frombuffer(bytes([END]) * PAD + (bytes([END]) * PAD).join(parts), np.uint8), begin, begin + size
-
-
-@functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    power, back = np.full(n, np.uint32(0x01000193)), np.full(n, np.uint32(pow(0x01000193, -1, 1 << 32)))
-    power[0] = back[0] = 1
-    return np.cumprod(power, dtype=np.uint32), np.cumprod(back, dtype=np.uint32)
-
-
-#: Of the last four bytes, those of a word that has so many; a space stands for its beginning.
-_KEEP = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
-_FILL = np.array([SPACE, SPACE << 8, SPACE << 16, SPACE << 24, 0], np.uint32)
-
-
-def contexts(buf: np.ndarray, which: range = range(PREDICTORS)) -> list[np.ndarray]:
-    """The hashed context before each byte, for each of the predictors."""
-    b = buf.astype(np.uint32)
-    n = len(b)
-    padded = np.concatenate((np.full(4, END, np.uint32), b))
-    last = padded[3 : n + 3]
-    start = np.maximum.accumulate(np.where((last == SPACE) | (last == END), np.arange(n), 0))
-    inside = np.arange(n) - start  # bytes of the word so far
-    out: dict[int, np.ndarray] = {}
-    if 0 in which:
-        four = last | padded[2 : n + 2] << np.uint32(8)
-        four |= padded[1 : n + 1] << np.uint32(16)
-        four |= padded[:n] << np.uint32(24)
-        size = np.minimum(inside, 4)
-        out[1] = four & _KEEP[size]
-        out[1] |= _FILL[size]
-        out[0] = out[1] & np.uint32(0xFFFF)
-    # the word so far: sum of its bytes times powers, brought back to the word's start
-    power, back = _powers(1 << max(20, n.bit_length()))
-    sums = np.zeros(n + 1, np.uint32)
-    np.cumsum((b + np.uint32(1)) * power[:n], dtype=np.uint32, out=sums[1:])
-    out[2] = (sums[:-1] - sums[start]) * back[start] + inside.astype(np.uint32)
-    if ACROSS in which:
-        before = out[2][np.maximum(start - 1, 0)] * np.uint32(0x27D4EB2F)
-        out[3] = out[2] + before * (start > 0)
-    salted = []
-    for k in which:
-        h = out[k] + np.uint32(k * 0x3C6EF372 & 0xFFFFFFFF)
-        h *= np.uint32(0xCC9E2D51)
-        h ^= h >> np.uint32(15)
-        salted.append(h)
-    return salted
-
-
-def decisions(tree: Tree, byte: np.ndarray):
-    """(number of decisions of each byte, place, page, answer, depth): all decisions in order."""
-    many = tree.length[byte]
-    first = np.cumsum(many) - many
-    at = np.arange(int(many.sum()))
-    flat = at + np.repeat(tree.start[byte] - first, many)
-    return many, tree.place[flat], tree.page[flat], tree.bit[flat], at - np.repeat(first, many)
-
-
-def slots(ctx: list[np.ndarray], which: range, many: np.ndarray, place: np.ndarray, page: np.ndarray) -> Iterator[np.ndarray]:
-    """Table slots of decisions for each predictor: the line of the byte's context, and the node's place in it."""
-    deep = np.flatnonzero(page)
-    byte = np.searchsorted(np.cumsum(many), deep, side="right")
-    turn = page[deep] * _MUL
-    for k, h in zip(which, ctx, strict=True):
-        shift = np.uint32(32 - (SLOT_BITS[k] - LINE_BITS))
-
-        def line(x: np.ndarray, shift=shift) -> np.ndarray:
-            return (x * np.uint32(0x85EBCA6B) >> shift) << np.uint32(LINE_BITS)
-
-        at = np.repeat(line(h), many)
-        at[deep] = line(h[byte] + turn)
-        at += place
-        yield at
+def _decoded() -> np.ndarray:
+    k = np.arange(256)
+    return np.where(k <= 32, k, 32.0 * 2 ** ((k - 32) / 8))
 
 
-def code(n: np.ndarray) -> np.ndarray:
-    """Counts in a byte: exact to 32, then eight steps a doubling."""
-    return np.where(n <= 32, n, np.minimum(255, 32 + np.rint(8 * np.log2(np.maximum(n, 32) / 32)))).astype(np.uint16)
+_VALUE = _decoded()
+#: First guess of the logit of a pair of coded counts (zeros times 256, plus ones); 0 where nothing is known.
+BET = np.clip(np.log((_VALUE[None, :] + 0.3) / (_VALUE[:, None] + 0.3)), -8, 8).ravel()
 
 
-def _bet_table() -> np.ndarray:
-    k = np.arange(256)
-    v = np.where(k <= 32, k, 32.0 * 2 ** ((k - 32) / 8))
-    return np.clip(np.log((v[None, :] + 0.3) / (v[:, None] + 0.3)), -8, 8).astype(np.float32).ravel()
+def places(context: np.ndarray, mark: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and tag of decisions from the hashes of their contexts and nodes."""
+    x = context + mark
+    tag = x * _C
+    tag >>= np.uint32(16)
+    tag |= np.uint32(2)
+    x *= _B
+    x >>= np.uint32(32 - bits)
+    return x, tag
 
 
-#: Logit of a predictor by its two coded counts (zeros times 256, plus ones); 0 where nothing is known. What the counts
-#: really mean for each predictor is learnt from here on.
-BET = _bet_table()
+class Counts:
+    """Bit counts by slot, with the tag of the context that uses it; sums of tables do not depend on any order."""
 
+    def __init__(self, bits: int, kind=np.uint32):
+        self.bits, self.n, self.tag = bits, np.zeros(2 << bits, kind), np.zeros(1 << bits, np.uint16)
 
-def gates(found: list[np.ndarray], depth: np.ndarray) -> np.ndarray:
-    """Which weights apply: what is known of the last 4 bytes, the word, and the word before; and how deep in the tree."""
-    known = (found[1] != 0) * np.int8(3) + (found[2] != 0) * np.int8(6) + (found[3] != 0) * np.int8(12)
-    return known + np.minimum(depth >> 1, 2).astype(np.int8)
+    def add(self, context: np.ndarray, mark: np.ndarray, bit: np.ndarray, by: np.ndarray | None = None) -> None:
+        slot, tag = places(context, mark, self.bits)
+        np.add.at(self.n, (slot << np.uint32(1)) + bit, self.n.dtype.type(1) if by is None else by)
+        tag = tag.astype(np.uint16)
+        now = self.tag[slot]
+        if len(new := np.flatnonzero(now == EMPTY)):
+            self.tag[slot[new]] = tag[new]
+            now[new] = self.tag[slot[new]]
+        self.tag[slot[now != tag]] = MIXED
 
+    def pieces(self, table: int) -> Iterator[dict]:
+        for a in range(0, 1 << self.bits, CHUNK):
+            n, tag = self.n[2 * a : 2 * (a + CHUNK)], self.tag[a : a + CHUNK]
+            if tag.any():
+                yield {"chunk": table << 20 | a // CHUNK, "n": zlib.compress(n.astype("<u8").tobytes() + tag.astype("<u2").tobytes(), 1)}
 
-def first_weights() -> np.ndarray:
-    return np.tile(np.array([0.2, 0.3, 0.5, 0.1], np.float32), (GATES, 1))
 
+def summed(parts: DataFrame) -> DataFrame:
+    """Chunks of tables summed over tasks, coded: a stream of pieces each, one sum per chunk in memory."""
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for chunk, raw in zip(b["chunk"], b["n"], strict=True):
+                raw = zlib.decompress(raw)
+                size = len(raw) // 18
+                n, tag = np.frombuffer(raw, "<u8", 2 * size).astype(np.int64), np.frombuffer(raw, "<u2", size, 16 * size)
+                if chunk in held:
+                    was = held[chunk]
+                    was[0] += n
+                    was[1] = np.where(was[1] == EMPTY, tag, np.where((tag == EMPTY) | (tag == was[1]), was[1], MIXED)).astype(np.uint16)
+                else:
+                    held[chunk] = [n, tag]
+        for chunk, (n, tag) in held.items():
+            coded = tag.astype(np.uint32) << np.uint32(16) | code(n[0::2]) << np.uint32(8) | code(n[1::2])
+            yield pd.DataFrame({"chunk": [chunk], "n": [zlib.compress(coded.astype("<u4").tobytes(), 1)]})
 
-def count_into(tables: list[np.ndarray], which: range, buf: np.ndarray, at: np.ndarray, tree: Tree, weight: np.ndarray | None = None) -> None:
-    """Add the decisions of the bytes at ``at`` to the tables (two counts a slot)."""
-    ctx = contexts(buf, which)
-    for a in range(0, len(at), 1 << 18):  # bounded, however long the texts are
-        part = at[a : a + (1 << 18)]
-        many, place, page, bit, _ = decisions(tree, buf[part])
-        by = np.ones(len(bit), np.uint32) if weight is None else np.repeat(weight[a : a + (1 << 18)], many).astype(np.uint32)
-        for table, x in zip(tables, slots([h[part] for h in ctx], which, many, place, page), strict=True):
-            np.add.at(table, (x.astype(np.int64) << 1) + bit, by)
+    return parts.repartition("chunk").mapInPandas(total, "chunk int, n binary")
 
 
 @dataclass
-class Model:
-    """Coded counts of all table slots, weights, and the tree: of a size fixed by SLOT_BITS."""
+class Table:
+    """Coded counts and tags of a predictor, and what its pairs of counts mean; when frozen, logits in place of counts."""
 
-    tables: list[np.ndarray]
-    weights: np.ndarray
-    tree: Tree
-    bets: list[np.ndarray]
+    bits: int
+    slots: np.ndarray
+    bet: np.ndarray = field(default_factory=lambda: np.concatenate((BET, BET)).astype(np.float32))
 
     def __getstate__(self) -> dict:
-        # small while it travels: most slots of a small corpus are empty
-        return self.__dict__ | {"tables": [(t.dtype.str, zlib.compress(t.tobytes(), 1)) for t in self.tables]}
+        return self.__dict__ | {"slots": zlib.compress(self.slots.tobytes(), 1)}  # small while it travels
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ = state | {"tables": [np.frombuffer(zlib.decompress(t), kind) for kind, t in state["tables"]]}
+        self.__dict__ = state | {"slots": np.frombuffer(zlib.decompress(state["slots"]), np.uint32)}
+
+    def learn_bet(self, prior: float = 30.0) -> None:
+        """How often the answer was yes, by pair of counts without the occurrence itself; apart for mixed slots.
+
+        Each slot with counts (n, y) stands for y answers yes at counts (n, y - 1) and n answers no at (n - 1, y).
+        """
+        times = np.zeros(1 << 17, np.int64)
+        for a in range(0, len(self.slots), 1 << 20):
+            part = self.slots[a : a + (1 << 20)]
+            times += np.bincount((part >> np.uint32(16) == MIXED) * np.uint32(1 << 16) | part & np.uint32(0xFFFF), minlength=1 << 17)
+        seen = np.flatnonzero(times)
+        times, kind, no, yes = times[seen], seen >> 16, seen >> 8 & 255, seen & 255
+        less = lambda c: np.where(c <= 32, np.maximum(c - 1, 0), c)  # noqa: E731  a code beyond 32 is not exact to one
+        tally = np.zeros((2, 1 << 17))
+        np.add.at(tally[1], kind << 16 | no << 8 | less(yes), times * _VALUE[yes])
+        np.add.at(tally[0], kind << 16 | less(no) << 8 | yes, times * _VALUE[no])
+        first = 1 / (1 + np.exp(-np.concatenate((BET, BET))))
+        self.bet = np.clip(np.log((tally[1] + prior * first) / (tally[0] + prior * (1 - first))), -9, 9).astype(np.float32)
+        self.bet[0] = self.bet[1 << 16] = 0.0
+
+    def frozen(self) -> Table:
+        logit = np.rint(self.bet * UNIT).astype(np.int16)
+        logit[logit == 0] = 1
+        logit[0] = logit[1 << 16] = 0
+        tag = self.slots >> np.uint32(16)
+        value = logit[(tag == MIXED) * np.uint32(1 << 16) | self.slots & np.uint32(0xFFFF)]
+        return Table(self.bits, tag << np.uint32(16) | value.view(np.uint16), self.bet)
+
+    def _found(self, context: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        slot, tag = places(context, mark, self.bits)
+        found = self.slots[slot]
+        own = found >> np.uint32(16)
+        return found, own, (own == tag) | (own == MIXED)
+
+    def look(self, context: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Logits (in parts of UNIT) of a frozen table; 0 where nothing is known."""
+        found, _, known = self._found(context, mark)
+        return found.view(np.int16)[::2] * known  # the lower half
+
+    def without_own(self, context: np.ndarray, mark: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logit, known) of decisions that the counts have, each without itself."""
+        found, own, known = self._found(context, mark)
+        pair = (found & np.uint32(0xFFFF)).astype(np.int32)
+        mine = np.where(bit == 1, pair & 255, pair >> 8)
+        pair -= np.where((mine >= 1) & (mine <= 32), np.where(bit == 1, 1, 256), 0)
+        known &= pair > 0
+        return self.bet[np.where(known, pair + ((own == MIXED) << 16), 0)], known
+
+
+# ---------------------------------------------------------------- mixing
+
+
+def first_weights() -> np.ndarray:
+    return np.tile(np.array([0.4, 0.3, 0.3], np.float32), (GATES, 1))
+
+
+def newton(weights: np.ndarray, bend: np.ndarray, gate: np.ndarray, signed: list[np.ndarray], by: np.ndarray | None = None) -> None:
+    """One online Newton step of the weights for a block of decisions; ``bend`` is the curvature so far, which grows.
+
+    signed: logits of the predictors, towards what happened.
+    """
+    z = sum(weights[:, k][gate] * signed[k] for k in range(PREDICTORS))
+    p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+    wrong, flat = 1 - p, p * (1 - p)
+    if by is not None:
+        wrong, flat = wrong * by, flat * by
+    slope = np.zeros((GATES, PREDICTORS))
+    for i in range(PREDICTORS):
+        slope[:, i] = np.bincount(gate, wrong * signed[i], minlength=GATES)
+        part = flat * signed[i]
+        for j in range(i, PREDICTORS):
+            bend[:, i, j] += np.bincount(gate, part * signed[j], minlength=GATES)
+            bend[:, j, i] = bend[:, i, j]
+    weights += np.linalg.solve(bend, slope[:, :, None])[:, :, 0].astype(np.float32)
+
+
+def start_bend() -> np.ndarray:
+    return np.tile(PRIOR * np.eye(PREDICTORS), (GATES, 1, 1))
+
+
+# ---------------------------------------------------------------- words by their bytes
+
+
+class Speller:
+    """Bits of a word that is no head word, by its bytes and the space after them: the same in every text."""
+
+    def __init__(self, tree: Tree, tables: list[Table], weights: np.ndarray):
+        self.tree, self.tables, self.weights = tree, tables, weights
+
+    @staticmethod
+    def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(bytes, number of the word of each, hashed contexts before each); a space stands before each word."""
+        buf = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+        b = buf.astype(np.uint32)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        start = np.repeat(np.cumsum(size) - size, size)  # place of the space before the word
+        at = np.arange(1, len(buf))
+        inside = at - 1 - start
+        back = lambda k: np.where(inside >= k, b[np.maximum(at - k, 0)], np.uint32(SPACE))
+        two = back(1) | back(2) << np.uint32(8)
+        four = two | back(3) << np.uint32(16) | back(4) << np.uint32(24)
+        powers = np.cumprod(np.full(int(size.max()) + 1, _A), dtype=np.uint32)
+        sums = np.concatenate((np.zeros(1, np.uint32), np.cumsum(b[1:] * powers[inside], dtype=np.uint32)))
+        whole = sums[at - 1] - sums[start]
+        return buf[1:], np.repeat(np.arange(len(words)), size), [(h + np.uint32(k * 0x3C6EF372 & 0xFFFFFFFF)) * _C for k, h in enumerate((two, four, whole))]
+
+    def _walk(self, words: list[bytes]):
+        """For lots of words: (word of each decision, hashed contexts, flat places)."""
+        a = 0
+        while a < len(words):
+            b = held = 0
+            for b in range(a, len(words)):
+                held += len(words[b]) + 1
+                if held >= BLOCK:
+                    break
+            byte, word, contexts = self.contexts(words[a : b + 1])
+            for x in range(0, len(byte), 2 * BLOCK):  # bounded, however long a word is
+                cut = slice(x, x + 2 * BLOCK)
+                many, flat = self.tree.walk(byte[cut])
+                yield a + np.repeat(word[cut], many), [np.repeat(h[cut], many) for h in contexts], flat
+            a = b + 1
+
+    def count(self, tables: list[Counts], words: list[bytes], n: np.ndarray) -> None:
+        for word, contexts, flat in self._walk(words):
+            for t, h in zip(tables, contexts, strict=True):
+                t.add(h, self.tree.mark[flat], self.tree.bit[flat], n[word])
+
+    def learn(self, words: list[bytes], n: np.ndarray, bend: np.ndarray) -> None:
+        for word, contexts, flat in self._walk(words):
+            bit, sign = self.tree.bit[flat], self.tree.sign[flat]
+            found = [t.without_own(h, self.tree.mark[flat], bit) for t, h in zip(self.tables, contexts, strict=True)]
+            gate = found[1][1] + 2 * found[2][1] + 4 * self.tree.depth[flat].astype(np.int64)
+            newton(self.weights, bend, gate, [x * sign for x, _ in found], n[word])
+
+    def bits(self, words: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(words))
+        for word, contexts, flat in self._walk(words):
+            found = [t.look(h, self.tree.mark[flat]) for t, h in zip(self.tables, contexts, strict=True)]
+            gate = (found[1] != 0) + 2 * (found[2] != 0) + 4 * self.tree.depth[flat].astype(np.int64)
+            z = sum(self.weights[:, k][gate] * found[k] for k in range(PREDICTORS)) * np.float32(1 / UNIT)
+            z *= self.tree.sign[flat]
+            np.clip(z, -12, 12, out=z)
+            out += np.bincount(word, np.log2(1 + np.exp(-z)), minlength=len(words))
+        return out
+
+
+# ---------------------------------------------------------------- texts by their words
+
+
+def tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+class Words:
+    """Leaves of head words."""
+
+    def __init__(self, words: list[bytes]):
+        self.leaf = {w: k for k, w in enumerate(words, WORD_0)}
+
+    def leaves(self, words: list[bytes]) -> np.ndarray:
+        """The leaf of each token, the end included."""
+        out = np.empty(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.leaf.get, words, itertools.repeat(OTHER)), np.int32, len(words))
+        out[-1] = END_ID
+        return out
+
+
+def cuts(longest: int) -> np.ndarray:
+    """Where segments begin, for a text of ``longest`` tokens; the last number ends it."""
+    out, step = [0, FIRST], FIRST
+    while out[-1] < longest:
+        step = min(2 * step, EVERY)
+        out.append(out[-1] + step)
+    return np.array(out)
+
+
+def contexts(leaf: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Hashed contexts before each token of texts of the given sizes: the word before, the last very frequent word."""
+    first = np.cumsum(size) - size
+    before = np.empty(len(leaf), np.int32)
+    before[1:] = leaf[:-1]
+    before[first] = NONE
+    n = np.arange(len(leaf))
+    often = (before >= WORD_0) & (before < WORD_0 + FREQUENT)
+    last = np.maximum.accumulate(np.where(often, n, 0))
+    begin = np.repeat(first, size)
+    frequent = np.where((last >= begin) & often[last], before[last], NONE)
+    out = []
+    for k, x in enumerate((before, frequent)):
+        h = x.astype(np.uint32) * _B + np.uint32((k + 1) * 0x3C6EF372 & 0xFFFFFFFF)
+        h ^= h >> np.uint32(13)
+        out.append(h * _C)
+    return out
+
+
+@dataclass
+class Model:
+    """The tree of words, tables of both hashed contexts, weights, and the speller: of a bounded size.
+
+    base: logit of each decision by the tallies of its node, towards its answer; without_own: the same without itself.
+    """
+
+    words: Words
+    tree: Tree
+    base: np.ndarray
+    without_own: np.ndarray
+    tables: list[Table]
+    weights: np.ndarray
+    speller: Speller
 
     def frozen(self) -> Model:
-        """For scoring only: tables hold logits, in parts of UNIT, in place of counts; 0 still means that nothing is known."""
-        tables = []
-        for t, bet in zip(self.tables, self.bets, strict=True):
-            logit = np.rint(bet * UNIT).astype(np.int16)
-            logit[1:][logit[1:] == 0] = 1
-            logit[0] = 0
-            tables.append(logit[t])
-        return Model(tables, self.weights, self.tree, [])
-
-    def look(self, ctx: list[np.ndarray], at: np.ndarray, byte: np.ndarray):
-        many, place, page, bit, depth = decisions(self.tree, byte)
-        spread = slots([h[at] for h in ctx], range(PREDICTORS), many, place, page)
-        return many, bit, depth, [t[x] for t, x in zip(self.tables, spread, strict=True)]
-
-    def without_own(self, rows: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """(answer, depth, coded counts) of the decisions of texts that the tables have, each without itself."""
-        buf, begin, end = layout(rows)
-        at = np.concatenate([np.arange(a, b) for a, b in zip(begin, end, strict=True)])
-        ctx = contexts(buf)
-        for a in range(0, len(at), 1 << 17):
-            part = at[a : a + (1 << 17)]
-            _, bit, depth, found = self.look(ctx, part, buf[part])
-            for k, f in enumerate(found):
-                own = np.where(bit == 1, f & 255, f >> 8)
-                found[k] = f - np.where((own >= 1) & (own <= 32), np.where(bit == 1, 1, 256), 0).astype(np.uint16)
-            yield bit, depth, found
-
-    def learn(self, rows: list[list[bytes]], seen: np.ndarray) -> None:
-        """Refine the weights by texts that the tables have: an online Newton step for each block.
-
-        seen: curvature of what came before, gate by gate, which the step adds to.
+        spell = Speller(self.speller.tree, [t.frozen() for t in self.speller.tables], self.speller.weights)
+        return Model(self.words, self.tree, self.base, self.without_own, [t.frozen() for t in self.tables], self.weights, spell)
+
+    def count(self, tables: list[Counts], leaf: np.ndarray, size: np.ndarray) -> None:
+        ctx = contexts(leaf, size)
+        for a in range(0, len(leaf), BLOCK):
+            cut = slice(a, a + BLOCK)
+            many, flat = self.tree.walk(leaf[cut])
+            mark, bit = self.tree.mark[flat], self.tree.bit[flat]
+            for t, h in zip(tables, ctx, strict=True):
+                t.add(np.repeat(h[cut], many), mark, bit)
+
+    def learn(self, leaf: np.ndarray, size: np.ndarray, bend: np.ndarray) -> None:
+        ctx = contexts(leaf, size)
+        for a in range(0, len(leaf), BLOCK):
+            cut = slice(a, a + BLOCK)
+            many, flat = self.tree.walk(leaf[cut])
+            mark, bit = self.tree.mark[flat], self.tree.bit[flat]
+            sign = self.tree.sign[flat]
+            found = [t.without_own(np.repeat(h[cut], many), mark, bit) for t, h in zip(self.tables, ctx, strict=True)]
+            gate = found[0][1] + 2 * found[1][1] + 4 * self.tree.depth[flat].astype(np.int64)
+            newton(self.weights, bend, gate, [self.without_own[flat], found[0][0] * sign, found[1][0] * sign])
+
+    def score(self, rows: list[list[bytes]], leaves: list[np.ndarray], rest: list[list[bytes]]) -> np.ndarray:
+        """Bits of each text, by a frozen model. A text's score depends on itself and the model only.
+
+        leaves: of each text's tokens; rest: its words that are no head words.
         """
-        for bit, depth, found in self.without_own(rows):
-            gate = gates(found, depth)
-            bets = [b[f] for b, f in zip(self.bets, found, strict=True)]
-            for _ in range(2):
-                z = np.zeros(len(bit), np.float32)
-                for k in range(PREDICTORS):
-                    z += self.weights[:, k][gate] * bets[k]
-                p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-                slope, bend = np.zeros((GATES, PREDICTORS)), seen.copy()
-                for i in range(PREDICTORS):
-                    slope[:, i] = np.bincount(gate, (bit - p) * bets[i], minlength=GATES)
-                    for j in range(i, PREDICTORS):
-                        bend[:, i, j] += np.bincount(gate, p * (1 - p) * bets[i] * bets[j], minlength=GATES)
-                        bend[:, j, i] = bend[:, i, j]
-                self.weights += np.linalg.solve(bend, slope[:, :, None])[:, :, 0].astype(np.float32)
-            seen[:] = bend
-
-    def score(self, rows: list[list[bytes]]) -> np.ndarray:
-        """Bits of each text. A document's score depends on itself and the model only."""
-        if self.tables[0].dtype != np.int16:
-            return self.frozen().score(rows)
-        order = sorted(range(len(rows)), key=lambda d: -sum(map(len, rows[d])) - len(rows[d]))  # those that go on come first
-        buf, begin, end = layout([rows[d] for d in order])
-        ctx = contexts(buf)
-        bits, n = np.zeros(len(rows)), len(rows)
-        own = [np.tile(self.weights[:, k], n) for k in range(PREDICTORS)]  # of document d and gate g at d * GATES + g
-        for s in range(0, int((end - begin).max()), SEGMENT):
-            live = int((begin + s < end).sum())
-            size = np.minimum(SEGMENT, end[:live] - begin[:live] - s)
-            at = np.repeat(begin[:live] + s - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            many, bit, depth, found = self.look(ctx, at, buf[at])
-            edges = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(size)))]
-            key = np.repeat(np.arange(live) * GATES, np.diff(edges))
-            key += gates(found, depth)
-            z = own[0][key] * found[0]
-            for k in range(1, PREDICTORS):
-                z += own[k][key] * found[k]
-            z *= np.float32(1 / UNIT)
+        bits = np.zeros(len(rows))
+        if spelt := list(dict.fromkeys(w for r in rest for w in r)):
+            own = dict(zip(spelt, self.speller.bits(spelt).tolist(), strict=True))
+            bits += [math.fsum(map(own.__getitem__, r)) for r in rest]
+        order = np.argsort([-len(x) for x in leaves], kind="stable")
+        a = 0
+        while a < len(order):  # texts of like length together, those that go on first
+            b = held = 0
+            for b in range(a, len(order)):
+                held += len(leaves[order[b]])
+                if held >= BLOCK:
+                    break
+            who = order[a : b + 1]
+            bits[who] += self._score([leaves[k] for k in who])
+            a = b + 1
+        return bits
+
+    def _score(self, leaves: list[np.ndarray]) -> np.ndarray:
+        size = np.array([len(x) for x in leaves])
+        leaf, n = np.concatenate(leaves), len(leaves)
+        ctx = contexts(leaf, size)
+        first = np.cumsum(size) - size
+        bits, edges = np.zeros(n), cuts(int(size[0]))
+        own = [np.tile(self.weights[:, k], n) for k in range(PREDICTORS)]  # of text d and gate g at d * GATES + g
+        for s, e in itertools.pairwise(edges.tolist()):
+            live = int(np.searchsorted(-size, -s, side="left"))  # texts of more than s tokens
+            if not live:
+                break
+            here = np.minimum(e, size[:live]) - s
+            at = np.repeat(first[:live] + s - (np.cumsum(here) - here), here) + np.arange(int(here.sum()))
+            many, flat = self.tree.walk(leaf[at])
+            mark, sign = self.tree.mark[flat], self.tree.sign[flat]
+            z0, found = self.base[flat], [t.look(np.repeat(h[at], many), mark) for t, h in zip(self.tables, ctx, strict=True)]
+            key = self.tree.depth[flat].astype(np.int32)
+            key *= 4
+            key += found[0] != 0
+            key += 2 * (found[1] != 0)
+            edge = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(here)))]
+            key += np.repeat(np.arange(live, dtype=np.int32) * GATES, np.diff(edge))
+            z1, z2 = (x * sign * np.float32(1 / UNIT) for x in found)
+            z = own[0][key] * z0
+            z += own[1][key] * z1
+            z += own[2][key] * z2
             np.clip(z, -12, 12, out=z)
+            np.negative(z, out=z)
             # odds against what happened: its probability is 1 / (1 + odds)
-            sign = np.float32(1) - np.float32(2) * bit
-            z *= sign
             odds = np.exp(z, out=z)
             odds += 1
-            bits[:live] += np.add.reduceat(np.log2(odds), edges[:-1], dtype=np.float64)
-            on = int((begin[:live] + s + SEGMENT < end[:live]).sum())
+            bits[:live] += np.add.reduceat(np.log2(odds), edge[:-1], dtype=np.float64)
+            on = int(np.searchsorted(-size, -e, side="left"))
             if on:  # who goes on learns from this segment
-                m = int(edges[on])
-                error = (1 / odds[:m] - 1) * sign[:m]
+                m = int(edge[on])
+                error = 1 - 1 / odds[:m]
                 some = key[:m]
-                scale = RATE_DOC / UNIT / (np.bincount(some, minlength=on * GATES) + 400.0)
-                for k in range(PREDICTORS):
-                    own[k][: on * GATES] += (scale * np.bincount(some, error * found[k][:m], minlength=on * GATES)).astype(np.float32)
-        out = np.empty(n)
-        out[order] = bits
-        return out
-
-
-def blocks(rows: list[list[bytes]]) -> Iterator[tuple[int, int]]:
-    """Spans of rows of at most BLOCK_DOCS documents and about 1 MB; a longer document is alone."""
-    a = size = 0
-    for b, words in enumerate(rows):
-        more = sum(map(len, words)) + len(words) + 1
-        if b > a and (b - a >= BLOCK_DOCS or size + more > 1_000_000):
-            yield a, b
-            a, size = b, 0
-        size += more
-    if a < len(rows):
-        yield a, len(rows)
+                scale = RATE_DOC / (np.bincount(some, minlength=on * GATES) + 400.0)
+                for k, x in enumerate((z0, z1, z2)):
+                    own[k][: on * GATES] += (scale * np.bincount(some, error * x[:m], minlength=on * GATES)).astype(np.float32)
+        return bits
 
 
 # ---------------------------------------------------------------- learning over the cluster
@@ -365,165 +541,148 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "kind int, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
 
 
-def _summed(parts: DataFrame) -> DataFrame:
-    """Tables in chunks, summed over tasks: a stream of pieces each, one sum per chunk in memory."""
+def learn_speller(words: DataFrame, byte_counts: np.ndarray) -> Speller:
+    """The speller of words (token, n); what reaches the driver is of a fixed size."""
+    spark, tree = words.sparkSession, Tree.of(byte_counts)
+    fresh = spark.sparkContext.broadcast(Speller(tree, [], first_weights()))
 
-    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = [Counts(b, np.uint64) for b in BYTE_BITS]
         for b in batches:
-            for chunk, n in zip(b["chunk"], b["n"], strict=True):
-                x = np.frombuffer(zlib.decompress(n), "<u4").astype(np.int64)
-                held[chunk] = held[chunk] + x if chunk in held else x
-        for chunk, x in held.items():
-            yield pd.DataFrame({"chunk": [chunk], "n": [zlib.compress((code(x[0::2]) << np.uint16(8) | code(x[1::2])).tobytes(), 1)]})
-
-    return parts.repartition("chunk").mapInPandas(total, "chunk int, n binary")
-
+            if len(b):
+                fresh.value.count(tables, [t.encode() for t in b["token"]], b["n"].to_numpy(np.uint64))
+        for k, t in enumerate(tables):
+            for piece in t.pieces(k):
+                yield pd.DataFrame([piece])
 
-def _pieces(tables: list[np.ndarray], which: range) -> Iterator[pd.DataFrame]:
-    for k, n in zip(which, tables, strict=True):
-        for a in range(0, len(n), 2 * CHUNK):
-            if (part := n[a : a + 2 * CHUNK]).any():
-                yield pd.DataFrame({"chunk": [k << 20 | a // (2 * CHUNK)], "n": [zlib.compress(part.astype("<u4").tobytes(), 1)]})
+    speller = Speller(tree, tables_of(words.mapInPandas(counts, "chunk int, n binary"), BYTE_BITS), first_weights())
+    shared = spark.sparkContext.broadcast(speller)
 
-
-def count_words_bits(words: DataFrame, tree: Tree) -> DataFrame:
-    """Bit counts of the predictors within a word, from (token, n) of the corpus."""
-    shared, which = words.sparkSession.sparkContext.broadcast(tree), range(ACROSS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = [np.zeros(2 << SLOT_BITS[k], np.uint32) for k in which]
-        for b in batches:
-            if not len(b):
-                continue
-            raw = [t.encode() for t in b["token"]]
-            rows = [t if t == b"\n" else t + b" " for t in raw]
-            size = np.array([len(r) for r in rows])
-            begin = np.cumsum(size + PAD) - size
-            buf = np.frombuffer(bytes([END]) * PAD + (bytes([END]) * PAD).join(rows), np.uint8)
-            at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            count_into(tables, which, buf, at, shared.value, np.repeat(b["n"].to_numpy(np.int64), size))
-        yield from _pieces(tables, which)
-
-    return _summed(words.mapInPandas(run, "chunk int, n binary"))
-
-
-def count_text_bits(docs: DataFrame, tree: Tree) -> DataFrame:
-    """Bit counts of the predictor across words, from the texts."""
-    shared, which = docs.sparkSession.sparkContext.broadcast(tree), range(ACROSS, PREDICTORS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = [np.zeros(2 << SLOT_BITS[k], np.uint32) for k in which]
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, bend, seen = Speller(shared.value.tree, shared.value.tables, shared.value.weights.copy()), start_bend(), 0
         for b in batches:
-            rows = [tokens(t) for t in b["text"]]
-            for x, y in blocks(rows):
-                buf, begin, end = layout(rows[x:y])
-                size = end - begin
-                at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                count_into(tables, which, buf, at, shared.value)
-        yield from _pieces(tables, which)
-
-    return _summed(docs.select("text").mapInPandas(run, "chunk int, n binary"))
+            if len(b):
+                own.learn([t.encode() for t in b["token"]], b["n"].to_numpy(np.float64), bend)
+                seen += len(b)
+        yield from _weights(own.weights, seen)
 
-
-def learn_bets(docs: DataFrame, model: Model) -> list[np.ndarray]:
-    """What each predictor's pair of counts has meant: how often the answer was yes, over the rows without themselves."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros((PREDICTORS, 1 << 17), np.int64)
-        for b in batches:
-            rows = [tokens(t) for t in b["text"]]
-            for x, y in blocks(rows):
-                for bit, _, found in shared.value.without_own(rows[x:y]):
-                    for k, f in enumerate(found):
-                        seen[k] += np.bincount(2 * f.astype(np.int64) + bit, minlength=1 << 17)
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"at": at, "n": seen.ravel()[at]})
-
-    seen = np.zeros(PREDICTORS << 17)
-    sums = docs.select("text").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # PREDICTORS << 17 rows at most
-    seen[sums["at"].to_numpy(np.int64)] = sums["n"]
+    speller.weights = averaged(words.mapInPandas(weigh, WEIGHTS), speller.weights)
     shared.destroy()
-    return [learnt_bet(x) for x in seen.reshape(PREDICTORS, 1 << 17)]
+    fresh.destroy()
+    return speller
 
 
-def learnt_bet(seen: np.ndarray, prior: float = 30.0) -> np.ndarray:
-    """Logits by pair of counts from (no, yes) tallies; few tallies leave the first guess. An empty pair bets nothing."""
-    first = 1 / (1 + np.exp(-BET.astype(np.float64)))
-    out = np.clip(np.log((seen[1::2] + prior * first) / (seen[0::2] + prior * (1 - first))), -9, 9).astype(np.float32)
-    out[0] = 0.0
-    return out
+WEIGHTS = "at int, w double, n long"
 
 
-def learn_weights(docs: DataFrame, model: Model) -> np.ndarray:
-    """Weights learnt online by each task over its documents, then averaged by how many blocks each has seen."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _weights(w: np.ndarray, seen: int) -> Iterator[pd.DataFrame]:
+    if seen:
+        yield pd.DataFrame({"at": np.arange(w.size), "w": w.ravel().astype(np.float64) * seen, "n": seen})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, seen = Model(shared.value.tables, shared.value.weights.copy(), shared.value.tree, shared.value.bets), 0
-        bend = np.tile(PRIOR * np.eye(PREDICTORS), (GATES, 1, 1))
-        for b in batches:
-            rows = [tokens(t) for t in b["text"]]
-            for x, y in blocks(rows):
-                own.learn(rows[x:y], bend)
-                seen += 1
-        if seen:
-            at = np.arange(own.weights.size)
-            yield pd.DataFrame({"at": at, "w": own.weights.ravel().astype(np.float64) * seen, "n": seen})
 
-    out = model.weights.copy()
-    sums = docs.select("text").mapInPandas(run, "at int, w double, n long").groupBy("at").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
-    for r in sums.collect():  # GATES * PREDICTORS rows
+def averaged(parts: DataFrame, otherwise: np.ndarray) -> np.ndarray:
+    """Weights of all tasks, each by how much it has seen."""
+    out = otherwise.copy()
+    for r in parts.groupBy("at").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():  # GATES * PREDICTORS rows
         out.flat[r["at"]] = r["w"] / r["n"]
-    shared.destroy()
     return out
 
 
-def learn(docs: DataFrame, words: DataFrame, byte_counts: np.ndarray) -> Model:
-    """The model of docs (doc_id, text) and their words (token, n); what reaches the driver is of a fixed size."""
-    tree = Tree.of(byte_counts)
-    tables = [np.zeros(1 << b, np.uint16) for b in SLOT_BITS]
-    for part in (count_words_bits(words, tree), count_text_bits(docs, tree)):
-        for r in part.toLocalIterator():
-            x = np.frombuffer(zlib.decompress(r["n"]), np.uint16)
-            a = (r["chunk"] & 0xFFFFF) * CHUNK
-            tables[r["chunk"] >> 20][a : a + len(x)] = x
-    bets = learn_bets(docs, Model(tables, first_weights(), tree, [BET] * PREDICTORS))
-    return Model(tables, learn_weights(docs, Model(tables, first_weights(), tree, bets)), tree, bets)
+def tables_of(parts: DataFrame, bits: tuple[int, ...]) -> list[Table]:
+    tables = [Table(b, np.zeros(1 << b, np.uint32)) for b in bits]
+    for r in summed(parts).toLocalIterator():
+        x = np.frombuffer(zlib.decompress(r["n"]), np.uint32)
+        a = (r["chunk"] & 0xFFFFF) * CHUNK
+        tables[r["chunk"] >> 20].slots[a : a + len(x)] = x
+    for t in tables:
+        t.learn_bet()
+    return tables
+
+
+def texts_in(batches: Iterator[pd.DataFrame], words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(leaves, sizes) of some texts at a time, about 8 * BLOCK tokens or one text."""
+    held: list[np.ndarray] = []
+    size = 0
+    for b in batches:
+        for text in b["text"]:
+            held.append(words.leaves(tokens(text)))
+            size += len(held[-1])
+            if size >= 8 * BLOCK:
+                yield np.concatenate(held), np.array([len(x) for x in held])
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held), np.array([len(x) for x in held])
+
+
+def learn(docs: DataFrame, words: DataFrame, byte_counts: np.ndarray) -> tuple[Model, np.ndarray]:
+    """The model of docs (doc_id, text) and their words (token, n), and the counts of its leaves; all of a bounded size."""
+    spark = docs.sparkSession
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_head = (F.col("n") * HEAD > F.lit(total)) & (F.col("token") != END)
+    head = sorted(((r["token"].encode(), r["n"]) for r in words.where(is_head).toLocalIterator()), key=lambda x: (-x[1], x[0]))  # fewer than HEAD
+    rest = words.where(~is_head & (F.col("token") != END))
+    ends = words.where(F.col("token") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    others = int(total) - ends - sum(n for _, n in head)
+    counts = np.array([others, ends, *(n for _, n in head)], np.int64)
+    tree = Tree.of(counts)
+    bits = tuple(min(most, max(16, int(x).bit_length())) for most, x in zip(MOST_BITS, (total, PER_WORD * len(head)), strict=True))
+    model = Model(Words([w for w, _ in head]), tree, *tree.bases(counts), [], first_weights(), learn_speller(rest, byte_counts))
+    fresh = spark.sparkContext.broadcast((model.words, tree))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, tables = Model(*fresh.value, None, None, [], None, None), [Counts(b) for b in bits]
+        for leaf, size in texts_in(batches, own.words):
+            own.count(tables, leaf, size)
+        for k, t in enumerate(tables):
+            for piece in t.pieces(k):
+                yield pd.DataFrame([piece])
+
+    model.tables = tables_of(docs.select("text").mapInPandas(count, "chunk int, n binary"), bits)
+    shared = spark.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        own, bend, seen = Model(m.words, m.tree, m.base, m.without_own, m.tables, m.weights.copy(), None), start_bend(), 0
+        for leaf, size in texts_in(batches, own.words):
+            own.learn(leaf, size, bend)
+            seen += len(leaf)
+        yield from _weights(own.weights, seen)
+
+    model.weights = averaged(docs.select("text").mapInPandas(weigh, WEIGHTS), model.weights)
+    shared.destroy()
+    fresh.destroy()
+    return model, counts
 
 
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, bits double, part double, known long, tail array<struct<token: string, tf: int>>"
 
 
-def score_documents(docs: DataFrame, model: Model, head: dict[bytes, float]) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, counts: np.ndarray) -> DataFrame:
     """Per row: bits by the model; the unigram sum over head words; and the other words, with how often they occur."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, head))
+    logs = np.log10(counts + 0.5)
+    logs[OTHER] = 0.0
+    shared = docs.sparkSession.sparkContext.broadcast((model, logs, counts[END_ID] > 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         rid = TaskContext.get().partitionId() << 40
-        m, logs = shared.value
+        m, logs, ended = shared.value
         for b in batches:
-            rows = [tokens(t) for t in b["text"]]
-            bits = np.concatenate([m.score(rows[x:y]) for x, y in blocks(rows)] or [np.zeros(0)])
-            out = []
-            for k, words in enumerate(rows):
-                found = [logs.get(w) for w in words]
-                found.append(logs.get(b"\n"))
-                rest = Counter(w for w, f in zip(words, found, strict=False) if f is None)
-                if found[-1] is None:
-                    rest[b"\n"] += 1
-                out.append((
-                    math.fsum(f for f in found if f is not None), len(found) - rest.total(), [(w.decode(), n) for w, n in rest.items()],
-                    len(words) + 1, sum(map(len, words)) + len(words) + 1,
-                ))
-            yield pd.DataFrame({
-                "rid": rid + np.arange(len(rows)), "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": [o[3] for o in out], "n_bytes": [o[4] for o in out],
-                "bits": bits, "part": [o[0] for o in out], "known": [o[1] for o in out], "tail": [[{"token": w, "tf": n} for w, n in o[2]] for o in out],
-            })
-            rid += len(rows)
+            size = b["text"].str.len().to_numpy(np.int64)
+            lot = np.concatenate(([0], np.cumsum(size)[:-1])) >> 20  # about a million characters at a time
+            for k in np.unique(lot):
+                part = b[lot == k]
+                rows = [tokens(t) for t in part["text"]]
+                leaves = [m.words.leaves(w) for w in rows]
+                rest = [[w for w, x in zip(ws, xs.tolist(), strict=False) if x == OTHER] for ws, xs in zip(rows, leaves, strict=True)]
+                yield pd.DataFrame({
+                    "rid": rid + np.arange(len(rows)), "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": [len(x) for x in leaves],
+                    "n_bytes": [sum(map(len, w)) + len(w) + 1 for w in rows], "bits": m.score(rows, leaves, rest), "part": [math.fsum(logs[x].tolist()) for x in leaves],
+                    "known": [len(x) - len(r) - (not ended) for x, r in zip(leaves, rest, strict=True)],
+                    "tail": [[{"token": w.decode(), "tf": n} for w, n in Counter(r).items()] for r in rest],
+                })
+                rid += len(rows)
 
     return docs.mapInPandas(run, SCORED)
 
@@ -531,10 +690,11 @@ def score_documents(docs: DataFrame, model: Model, head: dict[bytes, float]) ->
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Scores of all documents; see the module for the model.
 
-    A null or empty text is the end alone. A null doc_id has the remainder of the empty string. Repeated rows count and
-    score each. Without any training row all counts are 0 and the model says one half to each decision. Head words,
-    fewer than HEAD by counting, are scored where the text is; all other words go to their counts in a join on words,
-    none of which has a large share of the rows.
+    A null or empty text is the end alone; a text of any length is worked on in segments. A null doc_id has the
+    remainder of the empty string. Repeated rows count and score each. Without any training row all counts are 0 and the
+    first guesses score. An empty table gives an empty result; other columns are not read. Head words, fewer than HEAD by
+    counting, are scored where the text is; all other words go to their counts in a join on words, none of which has
+    a large share of the training tokens.
     """
     arrow_rows(spark)
     rows = training(docs)
@@ -544,11 +704,9 @@ def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
     histogram = np.zeros(256, np.int64)
     for r in known.where("kind = 1").collect():  # 256 rows
         histogram[int(r["token"])] = r["n"]
-    model = learn(rows.where("NOT held_out"), words, histogram)
-    head = {
-        r["token"].encode(): math.log10(r["n"] + 0.5) for r in words.where(F.col("n") * HEAD > F.lit(total)).toLocalIterator()
-    }
-    scored = materialize(score_documents(rows, model.frozen(), head), "lm-scored")
+    model, counts = learn(rows.where("NOT held_out"), words, histogram)
+    scored = materialize(score_documents(rows, model.frozen(), counts), "lm-scored")
+    # a word that occurs in held-out texts only may be frequent there: sums by task come first
     tail = scored.select("rid", F.explode("tail").alias("t")).select("rid", "t.token", "t.tf")
     counted = tail.join(words.where(F.col("n") * HEAD <= F.lit(total)).hint("merge"), "token", "left").groupBy("rid").agg(
         F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more")

@@ -541,36 +541,96 @@ def test_base_score_equals_brute_force_with_and_without_tail(spark, monkeypatch)
     assert sum(r.bits_per_byte * r.n_bytes for r in fresh) / sum(r.n_bytes for r in fresh) < 3.4
 
 
-def test_model_is_a_probability():
-    """All strings that one end byte can end, at any point, share no more than the whole."""
-    rows = [lm_mixing.tokens("the cat sat on the mat")] * 5
-    buf, begin, end = lm_mixing.layout(rows)
-    tree = lm_mixing.Tree.of(np.bincount(buf, minlength=256))
-    assert abs(sum(2.0 ** -int(n) for n in tree.length) - 1) < 1e-9
-    tables = [np.zeros(2 << b, np.uint32) for b in lm_mixing.SLOT_BITS]
-    at = np.concatenate([np.arange(a, b) for a, b in zip(begin, end, strict=True)])
-    lm_mixing.count_into(tables, range(lm_mixing.PREDICTORS), buf, at, tree)
-    coded = [lm_mixing.code(t[0::2]) << np.uint16(8) | lm_mixing.code(t[1::2]) for t in tables]
-    model = lm_mixing.Model(coded, lm_mixing.first_weights(), tree, [lm_mixing.BET] * lm_mixing.PREDICTORS)
-    one = [model.score([[bytes([c])]])[0] for c in range(33, 256)]
-    assert sum(2.0**-b for b in one) <= 1.0 + 1e-6
-    known, other = model.score([lm_mixing.tokens("the cat sat")]), model.score([lm_mixing.tokens("xqz kjw vvv")])
-    assert known[0] < other[0]
-    long = [lm_mixing.tokens("the cat sat on the mat " * 600)]
-    assert np.allclose(np.concatenate([model.score(long), model.score(rows[:1])]), model.score(long + rows[:1]))
+def small_model(spark, texts):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    known = lm_mixing.count_tokens(docs)
+    histogram = np.zeros(256, np.int64)
+    for r in known.where("kind = 1").collect():
+        histogram[int(r["token"])] = r["n"]
+    return lm_mixing.learn(docs, known.where("kind = 0").select("token", "n"), histogram)[0]
+
+
+def scores(model, rows):
+    leaves = [model.words.leaves(w) for w in rows]
+    return model.score(rows, leaves, [[w for w, k in zip(ws, x, strict=False) if k == lm_mixing.OTHER] for ws, x in zip(rows, leaves, strict=True)])
+
+
+def test_model_is_a_probability(spark):
+    """The chances of all tokens that can come first sum to one, and those of what a word outside the tree can begin with."""
+    model = small_model(spark, ["the cat sat on the mat"] * 5 + ["a dog ran to the cat"] * 3)
+    frozen = model.frozen()
+    assert abs(sum(2.0 ** -int(n) for n in model.tree.length) - 1) < 1e-9
+    end = scores(frozen, [[]])[0]
+    one = [b for w in model.words.leaf for b in scores(frozen, [[w]])]  # a word, then the end
+    assert 0 < 2.0**-end + sum(2.0**-b for b in one) <= 1.0 + 1e-6
+    other = [scores(frozen, [[bytes([c])]])[0] for c in range(33, 256) if bytes([c]) not in model.words.leaf]
+    assert sum(2.0**-b for b in other) <= 1.0 - 2.0**-end + 1e-6
+    known, new = scores(frozen, [lm_mixing.tokens("the cat sat")]), scores(frozen, [lm_mixing.tokens("xqz kjw vvv")])
+    assert known[0] < new[0]
+    long = lm_mixing.tokens("the cat sat on the mat " * 600)
+    assert np.allclose(np.concatenate([scores(frozen, [long]), scores(frozen, [[b"cat"]])]), scores(frozen, [long, [b"cat"]]))
+    # weights are refined within texts of ordinary length: a stretch that comes again costs less
+    half = scores(frozen, [lm_mixing.tokens("mat the on sat cat " * 20)])[0]
+    assert scores(frozen, [lm_mixing.tokens("mat the on sat cat " * 40)])[0] < 2 * half
+
+
+def brute_score(model, words):
+    """The mixing of one text a decision at a time, in plain Python over the same tables."""
+    m, total = model, 0.0
+    leaf = m.words.leaves(words).tolist()
+    own = m.weights.astype(float).copy()
+    edges = lm_mixing.cuts(len(leaf)).tolist()
+    hashes = [h.tolist() for h in lm_mixing.contexts(np.array(leaf, np.int32), np.array([len(leaf)]))]
+    for s, e in itertools.pairwise(edges):
+        slope, times = np.zeros_like(own), np.zeros(lm_mixing.GATES)
+        for i in range(s, min(e, len(leaf))):
+            for f in range(m.tree.start[leaf[i]], m.tree.start[leaf[i]] + m.tree.length[leaf[i]]):
+                bets, known = [float(m.base[f])], []
+                for t, h in zip(m.tables, hashes, strict=True):
+                    x = (h[i] + int(m.tree.mark[f])) & 0xFFFFFFFF
+                    tag, slot = (x * 0xC2B2AE35 & 0xFFFFFFFF) >> 16 | 2, (x * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - t.bits
+                    v = int(t.slots[slot])
+                    z = 0
+                    if v >> 16 in (tag, lm_mixing.MIXED):
+                        z = round(float(t.bet[(v >> 16 == lm_mixing.MIXED) << 16 | v & 0xFFFF]) * lm_mixing.UNIT)
+                        z = 0 if v & 0xFFFF == 0 else z or 1
+                    known.append(z != 0)
+                    bets.append(z / lm_mixing.UNIT * int(m.tree.sign[f]))
+                g = 4 * int(m.tree.depth[f]) + known[0] + 2 * known[1]
+                z = min(12.0, max(-12.0, sum(own[g, k] * b for k, b in enumerate(bets))))
+                p = 1 / (1 + math.exp(-z))
+                total -= math.log2(p)
+                slope[g] += (1 - p) * np.array(bets)
+                times[g] += 1
+        own += lm_mixing.RATE_DOC * slope / (times + 400.0)[:, None]
+    return total
+
+
+def test_mixed_score_equals_brute_force(spark):
+    texts = [r.text for r in table(spark, SF, "documents").where("text IS NOT NULL").orderBy("doc_id").limit(30).collect()]
+    model = small_model(spark, texts)
+    frozen = model.frozen()
+    for text in [*texts[:6], " ".join(texts[:4]), ""]:
+        words = lm_mixing.tokens(text)
+        assert all(w in model.words.leaf for w in words)  # nothing is spelt here
+        assert abs(scores(frozen, [words])[0] - brute_score(model, words)) < 1e-3 * (1 + len(words))
 
 
 def test_every_training_row_teaches_the_mixer(spark):
     """Whatever the ids are: one id for all rows, or ids that a hash would leave out."""
-    texts = table(spark, SF, "documents").select("text").limit(40)
-    for k in (1, 2, 3):
-        docs = texts.select(F.lit(k).cast("long").alias("doc_id"), "text")
-        known = lm_mixing.count_tokens(docs)
-        histogram = np.zeros(256, np.int64)
-        for r in known.where("kind = 1").collect():
-            histogram[int(r["token"])] = r["n"]
-        model = lm_mixing.learn(docs, known.where("kind = 0").select("token", "n"), histogram)
-        assert not np.allclose(model.weights, lm_mixing.first_weights()) and all(np.abs(b - lm_mixing.BET).max() > 0.1 for b in model.bets)
+    texts = [r.text for r in table(spark, SF, "documents").select("text").limit(40).collect()]
+    model = small_model(spark, texts)
+    assert not np.allclose(model.weights, lm_mixing.first_weights()) and all(np.abs(t.bet[: 1 << 16] - lm_mixing.BET).max() > 0.1 for t in model.tables)
+
+
+def test_tables_do_not_depend_on_order(spark):
+    rng = np.random.default_rng(1)
+    context, mark, bit = rng.integers(0, 50, 4000).astype(np.uint32) * 7919, rng.integers(0, 9, 4000).astype(np.uint32) * 104729, rng.integers(0, 2, 4000).astype(np.uint8)
+    a, b = lm_mixing.Counts(8), lm_mixing.Counts(8)
+    a.add(context, mark, bit)
+    for cut in np.array_split(rng.permutation(4000), 7):
+        b.add(context[cut], mark[cut], bit[cut])
+    assert np.array_equal(a.n, b.n) and np.array_equal(a.tag, b.tag) and (a.tag == lm_mixing.MIXED).any() and (a.tag > 1).any()
 
 
 def test_lm_on_odd_rows(spark, odd, none):
