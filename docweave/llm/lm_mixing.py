@@ -39,7 +39,7 @@ NONE = -1
 #: Very frequent words: the first so many.
 FREQUENT = 256
 #: Slots of the tables, as powers of two, at most; sized by the corpus below that, a slot a training token and PER_WORD a head word.
-MOST_BITS, PER_WORD = (24, 22), 64
+MOST_BITS, PER_WORD = (23, 21), 64
 #: The same for bytes, where tables are sized by the distinct words.
 BYTE_BITS = (18, 21, 22)
 #: Tags of a slot: not used, used by more than one context; others name the context.
@@ -51,6 +51,8 @@ PREDICTORS = 3
 #: Tokens of a block, which are worked on at once; tokens of the first segment and of later ones at most.
 BLOCK, FIRST, EVERY = 1 << 14, 32, 512
 PRIOR, RATE_DOC = 100.0, 0.5
+#: Words whose bits a worker remembers.
+MEMO = 200_000
 #: Distinct words that a task counts before it hands them on; slots of a chunk of a table.
 FLUSH_WORDS, CHUNK = 400_000, 1 << 16
 #: Logits of frozen tables are whole numbers of so many parts.
@@ -141,7 +143,7 @@ def places(context: np.ndarray, mark: np.ndarray, bits: int) -> tuple[np.ndarray
     """Slot and tag of decisions from the hashes of their contexts and nodes."""
     x = context + mark
     tag = x * _C
-    tag >>= np.uint32(16)
+    tag >>= np.uint32(24)
     tag |= np.uint32(2)
     x *= _B
     x >>= np.uint32(32 - bits)
@@ -152,12 +154,12 @@ class Counts:
     """Bit counts by slot, with the tag of the context that uses it; sums of tables do not depend on any order."""
 
     def __init__(self, bits: int, kind=np.uint32):
-        self.bits, self.n, self.tag = bits, np.zeros(2 << bits, kind), np.zeros(1 << bits, np.uint16)
+        self.bits, self.n, self.tag = bits, np.zeros(2 << bits, kind), np.zeros(1 << bits, np.uint8)
 
     def add(self, context: np.ndarray, mark: np.ndarray, bit: np.ndarray, by: np.ndarray | None = None) -> None:
         slot, tag = places(context, mark, self.bits)
         np.add.at(self.n, (slot << np.uint32(1)) + bit, self.n.dtype.type(1) if by is None else by)
-        tag = tag.astype(np.uint16)
+        tag = tag.astype(np.uint8)
         now = self.tag[slot]
         if len(new := np.flatnonzero(now == EMPTY)):
             self.tag[slot[new]] = tag[new]
@@ -168,7 +170,23 @@ class Counts:
         for a in range(0, 1 << self.bits, CHUNK):
             n, tag = self.n[2 * a : 2 * (a + CHUNK)], self.tag[a : a + CHUNK]
             if tag.any():
-                yield {"chunk": table << 20 | a // CHUNK, "n": zlib.compress(n.astype("<u8").tobytes() + tag.astype("<u2").tobytes(), 1)}
+                yield {"chunk": table << 20 | a // CHUNK, "n": packed(n, tag)}
+
+
+def packed(n: np.ndarray, tag: np.ndarray) -> bytes:
+    """Counts and tags of a chunk in few bytes: a byte a count, and the few large ones apart."""
+    large = np.flatnonzero(n >= 255)
+    raw = (len(large).to_bytes(4, "little"), large.astype("<u4").tobytes(), n[large].astype("<u8").tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), tag.tobytes())
+    return zlib.compress(b"".join(raw), 1)
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(raw)
+    k = int.from_bytes(raw[:4], "little")
+    at, size = 4 + 12 * k, (len(raw) - 4 - 12 * k) // 3
+    n = np.frombuffer(raw, np.uint8, 2 * size, at).astype(np.int64)
+    n[np.frombuffer(raw, "<u4", k, 4)] = np.frombuffer(raw, "<u8", k, 4 + 4 * k)
+    return n, np.frombuffer(raw, np.uint8, size, at + 2 * size)
 
 
 def summed(parts: DataFrame) -> DataFrame:
@@ -178,13 +196,11 @@ def summed(parts: DataFrame) -> DataFrame:
         held: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for chunk, raw in zip(b["chunk"], b["n"], strict=True):
-                raw = zlib.decompress(raw)
-                size = len(raw) // 18
-                n, tag = np.frombuffer(raw, "<u8", 2 * size).astype(np.int64), np.frombuffer(raw, "<u2", size, 16 * size)
+                n, tag = unpacked(raw)
                 if chunk in held:
                     was = held[chunk]
                     was[0] += n
-                    was[1] = np.where(was[1] == EMPTY, tag, np.where((tag == EMPTY) | (tag == was[1]), was[1], MIXED)).astype(np.uint16)
+                    was[1] = np.where(was[1] == EMPTY, tag, np.where((tag == EMPTY) | (tag == was[1]), was[1], MIXED)).astype(np.uint8)
                 else:
                     held[chunk] = [n, tag]
         for chunk, (n, tag) in held.items():
@@ -294,7 +310,7 @@ class Speller:
     """Bits of a word that is no head word, by its bytes and the space after them: the same in every text."""
 
     def __init__(self, tree: Tree, tables: list[Table], weights: np.ndarray):
-        self.tree, self.tables, self.weights = tree, tables, weights
+        self.tree, self.tables, self.weights, self.memo = tree, tables, weights, {}
 
     @staticmethod
     def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -447,9 +463,12 @@ class Model:
         leaves: of each text's tokens; rest: its words that are no head words.
         """
         bits = np.zeros(len(rows))
-        if spelt := list(dict.fromkeys(w for r in rest for w in r)):
-            own = dict(zip(spelt, self.speller.bits(spelt).tolist(), strict=True))
-            bits += [math.fsum(map(own.__getitem__, r)) for r in rest]
+        own = self.speller.memo
+        if len(own) > MEMO:
+            own.clear()
+        if new := list(set().union(*rest) - own.keys()):
+            own.update(zip(new, self.speller.bits(new).tolist(), strict=True))
+        bits += [math.fsum(map(own.__getitem__, r)) for r in rest]
         order = np.argsort([-len(x) for x in leaves], kind="stable")
         a = 0
         while a < len(order):  # texts of like length together, those that go on first
@@ -516,34 +535,47 @@ def training(docs: DataFrame) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """(token, n): occurrences over the rows; kind 1 has bytes by number instead of words. Counted by task, then summed."""
+    """(token, n): occurrences over the rows, ends included. Counted by task, then summed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
-        hist = np.zeros(256, np.int64)
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame({"kind": 0, "token": [w.decode() for w in seen], "n": list(seen.values())})
+            return pd.DataFrame({"token": [w.decode() for w in seen], "n": list(seen.values())})
 
         for b in batches:
             for text in b["text"]:
-                words = tokens(text)
-                seen.update(words)
-                seen[b"\n"] += 1
-                hist += np.bincount(np.frombuffer(b" ".join(words) + b" \n", np.uint8), minlength=256)
+                seen.update(tokens(text))
+            seen[END.encode()] += len(b)
             if len(seen) >= FLUSH_WORDS:
                 yield out()
                 seen.clear()
         if seen:
             yield out()
-        yield pd.DataFrame({"kind": 1, "token": [str(k) for k in range(256)], "n": hist})
 
-    return docs.select("text").mapInPandas(run, "kind int, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def byte_counts(words: DataFrame) -> np.ndarray:
+    """How often words (token, n), each with a space after it, have each byte."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(256)
+        for b in batches:
+            if len(b):
+                raw = [t.encode() + b" " for t in b["token"]]
+                seen += np.bincount(np.frombuffer(b"".join(raw), np.uint8), np.repeat(b["n"].to_numpy(float), list(map(len, raw))), minlength=256)
+        yield pd.DataFrame({"byte": np.arange(256), "n": seen})
+
+    out = np.zeros(256)
+    for r in words.mapInPandas(run, "byte int, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows
+        out[r["byte"]] = r["n"]
+    return out
 
 
-def learn_speller(words: DataFrame, byte_counts: np.ndarray) -> Speller:
+def learn_speller(words: DataFrame) -> Speller:
     """The speller of words (token, n); what reaches the driver is of a fixed size."""
-    spark, tree = words.sparkSession, Tree.of(byte_counts)
+    spark, tree = words.sparkSession, Tree.of(byte_counts(words))
     fresh = spark.sparkContext.broadcast(Speller(tree, [], first_weights()))
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -614,7 +646,7 @@ def texts_in(batches: Iterator[pd.DataFrame], words: Words) -> Iterator[tuple[np
         yield np.concatenate(held), np.array([len(x) for x in held])
 
 
-def learn(docs: DataFrame, words: DataFrame, byte_counts: np.ndarray) -> tuple[Model, np.ndarray]:
+def learn(docs: DataFrame, words: DataFrame) -> tuple[Model, np.ndarray]:
     """The model of docs (doc_id, text) and their words (token, n), and the counts of its leaves; all of a bounded size."""
     spark = docs.sparkSession
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -626,7 +658,7 @@ def learn(docs: DataFrame, words: DataFrame, byte_counts: np.ndarray) -> tuple[M
     counts = np.array([others, ends, *(n for _, n in head)], np.int64)
     tree = Tree.of(counts)
     bits = tuple(min(most, max(16, int(x).bit_length())) for most, x in zip(MOST_BITS, (total, PER_WORD * len(head)), strict=True))
-    model = Model(Words([w for w, _ in head]), tree, *tree.bases(counts), [], first_weights(), learn_speller(rest, byte_counts))
+    model = Model(Words([w for w, _ in head]), tree, *tree.bases(counts), [], first_weights(), learn_speller(rest))
     fresh = spark.sparkContext.broadcast((model.words, tree))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -698,13 +730,9 @@ def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     arrow_rows(spark)
     rows = training(docs)
-    known = materialize(count_tokens(rows.where("NOT held_out")), "lm-counts")
-    words = known.where("kind = 0").select("token", "n")
+    words = materialize(count_tokens(rows.where("NOT held_out")), "lm-counts")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    histogram = np.zeros(256, np.int64)
-    for r in known.where("kind = 1").collect():  # 256 rows
-        histogram[int(r["token"])] = r["n"]
-    model, counts = learn(rows.where("NOT held_out"), words, histogram)
+    model, counts = learn(rows.where("NOT held_out"), words)
     scored = materialize(score_documents(rows, model.frozen(), counts), "lm-scored")
     # a word that occurs in held-out texts only may be frequent there: sums by task come first
     tail = scored.select("rid", F.explode("tail").alias("t")).select("rid", "t.token", "t.tf")

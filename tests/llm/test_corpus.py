@@ -543,11 +543,7 @@ def test_base_score_equals_brute_force_with_and_without_tail(spark, monkeypatch)
 
 def small_model(spark, texts):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    known = lm_mixing.count_tokens(docs)
-    histogram = np.zeros(256, np.int64)
-    for r in known.where("kind = 1").collect():
-        histogram[int(r["token"])] = r["n"]
-    return lm_mixing.learn(docs, known.where("kind = 0").select("token", "n"), histogram)[0]
+    return lm_mixing.learn(docs, lm_mixing.count_tokens(docs))[0]
 
 
 def scores(model, rows):
@@ -588,7 +584,7 @@ def brute_score(model, words):
                 bets, known = [float(m.base[f])], []
                 for t, h in zip(m.tables, hashes, strict=True):
                     x = (h[i] + int(m.tree.mark[f])) & 0xFFFFFFFF
-                    tag, slot = (x * 0xC2B2AE35 & 0xFFFFFFFF) >> 16 | 2, (x * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - t.bits
+                    tag, slot = (x * 0xC2B2AE35 & 0xFFFFFFFF) >> 24 | 2, (x * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - t.bits
                     v = int(t.slots[slot])
                     z = 0
                     if v >> 16 in (tag, lm_mixing.MIXED):
