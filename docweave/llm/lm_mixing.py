@@ -7,8 +7,10 @@ counts: for words none, the word before, and the last very frequent word before;
 the word, and the word so far. Their logits are summed by weights that a gate selects from what the predictors know.
 
 Counts are of all training texts. What a pair of counts means is read off the tables, and the weights are learnt online
-over all training texts, in both cases with a decision's own occurrence taken out. While a text is scored, its copy of the
-weights is refined by its errors, first after FIRST tokens, then at doubling distances, at most EVERY apart.
+over all training texts, in both cases with a decision's own occurrence taken out
+of the contexts' counts. While a text is scored, it
+has a factor of its own for each predictor's weights, which is refined by its errors, first after FIRST tokens, then at
+doubling distances, at most EVERY apart.
 """
 
 from __future__ import annotations
@@ -39,24 +41,24 @@ NONE = -1
 #: Very frequent words: the first so many.
 FREQUENT = 256
 #: Slots of the tables, as powers of two, at most; sized by the corpus below that, a slot a training token and PER_WORD a head word.
-MOST_BITS, PER_WORD = (23, 21), 64
+MOST_BITS, PER_WORD = (23, 22), 64
 #: The same for bytes, where tables are sized by the distinct words.
 BYTE_BITS = (18, 21, 22)
 #: Tags of a slot: not used, used by more than one context; others name the context.
-EMPTY, MIXED = 0, 1
+EMPTY, MIXED, TAG_BITS = 0, 1, 8
 DEPTHS = 4
 #: Weights a gate selects: which of two predictors know the context, and how deep in the tree; for bytes likewise.
 GATES = 4 * DEPTHS
 PREDICTORS = 3
 #: Tokens of a block, which are worked on at once; tokens of the first segment and of later ones at most.
 BLOCK, FIRST, EVERY = 1 << 14, 32, 512
-PRIOR, RATE_DOC = 100.0, 0.5
+PRIOR, RATE_DOC, SLOW_DOC = 100.0, 4.0, 400.0
 #: Words whose bits a worker remembers.
 MEMO = 200_000
 #: Distinct words that a task counts before it hands them on; slots of a chunk of a table.
 FLUSH_WORDS, CHUNK = 400_000, 1 << 16
-#: Logits of frozen tables are whole numbers of so many parts.
-UNIT = 1024
+#: Logits of frozen tables are whole numbers of so many parts, below MOST.
+UNIT, MOST = 14, 128
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
@@ -113,12 +115,16 @@ class Tree:
         flat += np.repeat((self.start[leaf] - first).astype(np.int32), many)
         return many, flat
 
-    def bases(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logit of each decision towards its answer, by how often its node was answered either way; and without itself."""
+    def bases(self, counts: np.ndarray) -> np.ndarray:
+        """Logit of each decision towards its answer, by how often its node was answered either way.
+
+        Its own occurrence stays in: both ways of a Huffman node are about as frequent, so that without it the rarer
+        answer would always be the true one. Leaves are frequent words, where one occurrence more hardly counts.
+        """
         seen = np.zeros((self.nodes, 2))
         np.add.at(seen, (self.node, self.bit), np.repeat(np.asarray(counts, float), self.length))
         this, other = seen[self.node, self.bit], seen[self.node, 1 - self.bit]
-        return tuple(np.clip(np.log((np.maximum(this - k, 0) + 0.3) / (other + 0.3)), -12, 12).astype(np.float32) for k in (0, 1))
+        return np.clip(np.log((this + 0.3) / (other + 0.3)), -12, 12).astype(np.float32)
 
 
 # ---------------------------------------------------------------- tables
@@ -143,8 +149,8 @@ def places(context: np.ndarray, mark: np.ndarray, bits: int) -> tuple[np.ndarray
     """Slot and tag of decisions from the hashes of their contexts and nodes."""
     x = context + mark
     tag = x * _C
-    tag >>= np.uint32(24)
-    tag |= np.uint32(2)
+    tag >>= np.uint32(32 - TAG_BITS)
+    np.maximum(tag, np.uint32(2), out=tag)
     x *= _B
     x >>= np.uint32(32 - bits)
     return x, tag
@@ -219,10 +225,11 @@ class Table:
     bet: np.ndarray = field(default_factory=lambda: np.concatenate((BET, BET)).astype(np.float32))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"slots": zlib.compress(self.slots.tobytes(), 1)}  # small while it travels
+        return self.__dict__ | {"slots": (self.slots.dtype.str, zlib.compress(self.slots.tobytes(), 1))}  # small while it travels
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ = state | {"slots": np.frombuffer(zlib.decompress(state["slots"]), np.uint32)}
+        kind, raw = state["slots"]
+        self.__dict__ = state | {"slots": np.frombuffer(zlib.decompress(raw), kind)}
 
     def learn_bet(self, prior: float = 30.0) -> None:
         """How often the answer was yes, by pair of counts without the occurrence itself; apart for mixed slots.
@@ -244,32 +251,49 @@ class Table:
         self.bet[0] = self.bet[1 << 16] = 0.0
 
     def frozen(self) -> Table:
-        logit = np.rint(self.bet * UNIT).astype(np.int16)
+        """For scoring: a slot is its tag and a logit in two bytes."""
+        logit = np.clip(np.rint(self.bet * UNIT), 1 - MOST, MOST - 1).astype(np.int16)
         logit[logit == 0] = 1
         logit[0] = logit[1 << 16] = 0
         tag = self.slots >> np.uint32(16)
-        value = logit[(tag == MIXED) * np.uint32(1 << 16) | self.slots & np.uint32(0xFFFF)]
-        return Table(self.bits, tag << np.uint32(16) | value.view(np.uint16), self.bet)
+        value = logit[(tag == MIXED) * np.uint32(1 << 16) | self.slots & np.uint32(0xFFFF)] + np.int16(MOST)
+        return Table(self.bits, (tag.astype(np.uint16) << np.uint16(8)) | value.view(np.uint16), self.bet)
 
-    def _found(self, context: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look(self, context: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Logits (in parts of UNIT) of a frozen table; 0 where nothing is known."""
+        slot, tag = places(context, mark, self.bits)
+        found = self.slots[slot]
+        own = found >> np.uint16(8)
+        known = own == tag
+        known |= own == MIXED
+        found &= np.uint16(255)
+        logit = found.view(np.int16)
+        logit -= np.int16(MOST)
+        logit *= known
+        return logit
+
+    def own_taken_out(self) -> np.ndarray:
+        """Logit towards the answer, by 1 << 17 for a mixed slot, 1 << 16 for yes, and the pair of counts, which have it once less."""
+        pair = np.arange(1 << 16)
+        no, yes = pair >> 8, pair & 255
+        less = lambda c: np.where((c >= 1) & (c <= 32), c - 1, c)
+        out = [sign * self.bet[kind << 16 | x] for kind in (0, 1) for sign, x in ((-1, less(no) << 8 | yes), (1, no << 8 | less(yes)))]
+        return np.concatenate(out).astype(np.float32)
+
+    def without_own(self, context: np.ndarray, mark: np.ndarray, bit: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Logits of decisions that the counts have, each without itself (``by`` is of :meth:`own_taken_out`); 0 where nothing is left."""
         slot, tag = places(context, mark, self.bits)
         found = self.slots[slot]
         own = found >> np.uint32(16)
-        return found, own, (own == tag) | (own == MIXED)
-
-    def look(self, context: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        """Logits (in parts of UNIT) of a frozen table; 0 where nothing is known."""
-        found, _, known = self._found(context, mark)
-        return found.view(np.int16)[::2] * known  # the lower half
-
-    def without_own(self, context: np.ndarray, mark: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(logit, known) of decisions that the counts have, each without itself."""
-        found, own, known = self._found(context, mark)
-        pair = (found & np.uint32(0xFFFF)).astype(np.int32)
-        mine = np.where(bit == 1, pair & 255, pair >> 8)
-        pair -= np.where((mine >= 1) & (mine <= 32), np.where(bit == 1, 1, 256), 0)
-        known &= pair > 0
-        return self.bet[np.where(known, pair + ((own == MIXED) << 16), 0)], known
+        mixed = own == MIXED
+        known = own == tag
+        known |= mixed
+        found &= np.uint32(0xFFFF)
+        found |= bit.astype(np.uint32) << np.uint32(16)
+        found |= mixed.astype(np.uint32) << np.uint32(17)
+        out = by[found]
+        out *= known
+        return out
 
 
 # ---------------------------------------------------------------- mixing
@@ -350,18 +374,18 @@ class Speller:
             for t, h in zip(tables, contexts, strict=True):
                 t.add(h, self.tree.mark[flat], self.tree.bit[flat], n[word])
 
-    def learn(self, words: list[bytes], n: np.ndarray, bend: np.ndarray) -> None:
+    def learn(self, words: list[bytes], n: np.ndarray, bend: np.ndarray, by: list[np.ndarray]) -> None:
         for word, contexts, flat in self._walk(words):
-            bit, sign = self.tree.bit[flat], self.tree.sign[flat]
-            found = [t.without_own(h, self.tree.mark[flat], bit) for t, h in zip(self.tables, contexts, strict=True)]
-            gate = found[1][1] + 2 * found[2][1] + 4 * self.tree.depth[flat].astype(np.int64)
-            newton(self.weights, bend, gate, [x * sign for x, _ in found], n[word])
+            mark, bit = self.tree.mark[flat], self.tree.bit[flat]
+            found = [t.without_own(h, mark, bit, x) for t, h, x in zip(self.tables, contexts, by, strict=True)]
+            gate = (found[1] != 0) + 2 * (found[2] != 0) + 4 * self.tree.depth[flat]
+            newton(self.weights, bend, gate, found, n[word])
 
     def bits(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros(len(words))
         for word, contexts, flat in self._walk(words):
             found = [t.look(h, self.tree.mark[flat]) for t, h in zip(self.tables, contexts, strict=True)]
-            gate = (found[1] != 0) + 2 * (found[2] != 0) + 4 * self.tree.depth[flat].astype(np.int64)
+            gate = (found[1] != 0) + 2 * (found[2] != 0) + 4 * self.tree.depth[flat]
             z = sum(self.weights[:, k][gate] * found[k] for k in range(PREDICTORS)) * np.float32(1 / UNIT)
             z *= self.tree.sign[flat]
             np.clip(z, -12, 12, out=z)
@@ -422,20 +446,19 @@ def contexts(leaf: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
 class Model:
     """The tree of words, tables of both hashed contexts, weights, and the speller: of a bounded size.
 
-    base: logit of each decision by the tallies of its node, towards its answer; without_own: the same without itself.
+    base: logit of each decision by the tallies of its node, towards its answer.
     """
 
     words: Words
     tree: Tree
     base: np.ndarray
-    without_own: np.ndarray
     tables: list[Table]
     weights: np.ndarray
     speller: Speller
 
     def frozen(self) -> Model:
         spell = Speller(self.speller.tree, [t.frozen() for t in self.speller.tables], self.speller.weights)
-        return Model(self.words, self.tree, self.base, self.without_own, [t.frozen() for t in self.tables], self.weights, spell)
+        return Model(self.words, self.tree, self.base, [t.frozen() for t in self.tables], self.weights, spell)
 
     def count(self, tables: list[Counts], leaf: np.ndarray, size: np.ndarray) -> None:
         ctx = contexts(leaf, size)
@@ -446,16 +469,15 @@ class Model:
             for t, h in zip(tables, ctx, strict=True):
                 t.add(np.repeat(h[cut], many), mark, bit)
 
-    def learn(self, leaf: np.ndarray, size: np.ndarray, bend: np.ndarray) -> None:
+    def learn(self, leaf: np.ndarray, size: np.ndarray, bend: np.ndarray, by: list[np.ndarray]) -> None:
         ctx = contexts(leaf, size)
         for a in range(0, len(leaf), BLOCK):
             cut = slice(a, a + BLOCK)
             many, flat = self.tree.walk(leaf[cut])
             mark, bit = self.tree.mark[flat], self.tree.bit[flat]
-            sign = self.tree.sign[flat]
-            found = [t.without_own(np.repeat(h[cut], many), mark, bit) for t, h in zip(self.tables, ctx, strict=True)]
-            gate = found[0][1] + 2 * found[1][1] + 4 * self.tree.depth[flat].astype(np.int64)
-            newton(self.weights, bend, gate, [self.without_own[flat], found[0][0] * sign, found[1][0] * sign])
+            found = [t.without_own(np.repeat(h[cut], many), mark, bit, x) for t, h, x in zip(self.tables, ctx, by, strict=True)]
+            gate = (found[0] != 0) + 2 * (found[1] != 0) + 4 * self.tree.depth[flat]
+            newton(self.weights, bend, gate, [self.base[flat], *found])
 
     def score(self, rows: list[list[bytes]], leaves: list[np.ndarray], rest: list[list[bytes]]) -> np.ndarray:
         """Bits of each text, by a frozen model. A text's score depends on itself and the model only.
@@ -488,7 +510,9 @@ class Model:
         ctx = contexts(leaf, size)
         first = np.cumsum(size) - size
         bits, edges = np.zeros(n), cuts(int(size[0]))
-        own = [np.tile(self.weights[:, k], n) for k in range(PREDICTORS)]  # of text d and gate g at d * GATES + g
+        factor = np.ones((PREDICTORS, n), np.float32)  # of each predictor's weights, text by text
+        weights = self.weights.T.astype(np.float32).copy()
+        weights[1:] /= UNIT
         for s, e in itertools.pairwise(edges.tolist()):
             live = int(np.searchsorted(-size, -s, side="left"))  # texts of more than s tokens
             if not live:
@@ -496,18 +520,19 @@ class Model:
             here = np.minimum(e, size[:live]) - s
             at = np.repeat(first[:live] + s - (np.cumsum(here) - here), here) + np.arange(int(here.sum()))
             many, flat = self.tree.walk(leaf[at])
-            mark, sign = self.tree.mark[flat], self.tree.sign[flat]
-            z0, found = self.base[flat], [t.look(np.repeat(h[at], many), mark) for t, h in zip(self.tables, ctx, strict=True)]
-            key = self.tree.depth[flat].astype(np.int32)
-            key *= 4
-            key += found[0] != 0
-            key += 2 * (found[1] != 0)
             edge = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(here)))]
-            key += np.repeat(np.arange(live, dtype=np.int32) * GATES, np.diff(edge))
-            z1, z2 = (x * sign * np.float32(1 / UNIT) for x in found)
-            z = own[0][key] * z0
-            z += own[1][key] * z1
-            z += own[2][key] * z2
+            wide = np.diff(edge)
+            mark, sign = self.tree.mark[flat], self.tree.sign[flat]
+            found = [t.look(np.repeat(h[at], many), mark) for t, h in zip(self.tables, ctx, strict=True)]
+            gate = self.tree.depth[flat]
+            gate *= np.uint8(4)
+            gate += (found[0] != 0).view(np.uint8)
+            gate += (found[1] != 0).view(np.uint8) * np.uint8(2)
+            bets = [self.base[flat], found[0] * sign, found[1] * sign]
+            z = np.zeros(len(flat), np.float32)
+            for k, x in enumerate(bets):
+                bets[k] = x = weights[k][gate] * x  # towards what happened
+                z += x * np.repeat(factor[k, :live], wide) if s else x
             np.clip(z, -12, 12, out=z)
             np.negative(z, out=z)
             # odds against what happened: its probability is 1 / (1 + odds)
@@ -518,10 +543,8 @@ class Model:
             if on:  # who goes on learns from this segment
                 m = int(edge[on])
                 error = 1 - 1 / odds[:m]
-                some = key[:m]
-                scale = RATE_DOC / (np.bincount(some, minlength=on * GATES) + 400.0)
-                for k, x in enumerate((z0, z1, z2)):
-                    own[k][: on * GATES] += (scale * np.bincount(some, error * x[:m], minlength=on * GATES)).astype(np.float32)
+                for k, x in enumerate(bets):
+                    factor[k, :on] += np.float32(RATE_DOC) * np.add.reduceat(error * x[:m], edge[:on]) / (wide[:on] + np.float32(SLOW_DOC))
         return bits
 
 
@@ -592,9 +615,10 @@ def learn_speller(words: DataFrame) -> Speller:
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, bend, seen = Speller(shared.value.tree, shared.value.tables, shared.value.weights.copy()), start_bend(), 0
+        by = [t.own_taken_out() for t in own.tables]
         for b in batches:
             if len(b):
-                own.learn([t.encode() for t in b["token"]], b["n"].to_numpy(np.float64), bend)
+                own.learn([t.encode() for t in b["token"]], b["n"].to_numpy(np.float64), bend, by)
                 seen += len(b)
         yield from _weights(own.weights, seen)
 
@@ -658,11 +682,11 @@ def learn(docs: DataFrame, words: DataFrame) -> tuple[Model, np.ndarray]:
     counts = np.array([others, ends, *(n for _, n in head)], np.int64)
     tree = Tree.of(counts)
     bits = tuple(min(most, max(16, int(x).bit_length())) for most, x in zip(MOST_BITS, (total, PER_WORD * len(head)), strict=True))
-    model = Model(Words([w for w, _ in head]), tree, *tree.bases(counts), [], first_weights(), learn_speller(rest))
+    model = Model(Words([w for w, _ in head]), tree, tree.bases(counts), [], first_weights(), learn_speller(rest))
     fresh = spark.sparkContext.broadcast((model.words, tree))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, tables = Model(*fresh.value, None, None, [], None, None), [Counts(b) for b in bits]
+        own, tables = Model(*fresh.value, None, [], None, None), [Counts(b) for b in bits]
         for leaf, size in texts_in(batches, own.words):
             own.count(tables, leaf, size)
         for k, t in enumerate(tables):
@@ -674,9 +698,10 @@ def learn(docs: DataFrame, words: DataFrame) -> tuple[Model, np.ndarray]:
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        own, bend, seen = Model(m.words, m.tree, m.base, m.without_own, m.tables, m.weights.copy(), None), start_bend(), 0
+        own, bend, seen = Model(m.words, m.tree, m.base, m.tables, m.weights.copy(), None), start_bend(), 0
+        by = [t.own_taken_out() for t in own.tables]
         for leaf, size in texts_in(batches, own.words):
-            own.learn(leaf, size, bend)
+            own.learn(leaf, size, bend, by)
             seen += len(leaf)
         yield from _weights(own.weights, seen)
 
@@ -686,7 +711,7 @@ def learn(docs: DataFrame, words: DataFrame) -> tuple[Model, np.ndarray]:
     return model, counts
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, bits double, part double, known long, tail array<struct<token: string, tf: int>>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, bits double, part double, known long, tail array<string>, tf array<int>"
 
 
 def score_documents(docs: DataFrame, model: Model, counts: np.ndarray) -> DataFrame:
@@ -708,11 +733,12 @@ def score_documents(docs: DataFrame, model: Model, counts: np.ndarray) -> DataFr
                 rows = [tokens(t) for t in part["text"]]
                 leaves = [m.words.leaves(w) for w in rows]
                 rest = [[w for w, x in zip(ws, xs.tolist(), strict=False) if x == OTHER] for ws, xs in zip(rows, leaves, strict=True)]
+                tails = [Counter(r) for r in rest]
                 yield pd.DataFrame({
                     "rid": rid + np.arange(len(rows)), "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": [len(x) for x in leaves],
-                    "n_bytes": [sum(map(len, w)) + len(w) + 1 for w in rows], "bits": m.score(rows, leaves, rest), "part": [math.fsum(logs[x].tolist()) for x in leaves],
+                    "n_bytes": [sum(map(len, w)) + len(w) + 1 for w in rows], "bits": m.score(rows, leaves, rest), "part": [logs[x].sum() for x in leaves],
                     "known": [len(x) - len(r) - (not ended) for x, r in zip(leaves, rest, strict=True)],
-                    "tail": [[{"token": w.decode(), "tf": n} for w, n in Counter(r).items()] for r in rest],
+                    "tail": [[w.decode() for w in c] for c in tails], "tf": [list(c.values()) for c in tails],
                 })
                 rid += len(rows)
 
@@ -735,7 +761,7 @@ def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
     model, counts = learn(rows.where("NOT held_out"), words)
     scored = materialize(score_documents(rows, model.frozen(), counts), "lm-scored")
     # a word that occurs in held-out texts only may be frequent there: sums by task come first
-    tail = scored.select("rid", F.explode("tail").alias("t")).select("rid", "t.token", "t.tf")
+    tail = scored.select("rid", F.explode(F.arrays_zip(F.col("tail").alias("token"), "tf")).alias("t")).select("rid", "t.token", "t.tf")
     counted = tail.join(words.where(F.col("n") * HEAD <= F.lit(total)).hint("merge"), "token", "left").groupBy("rid").agg(
         F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more")
     )

@@ -574,31 +574,30 @@ def brute_score(model, words):
     """The mixing of one text a decision at a time, in plain Python over the same tables."""
     m, total = model, 0.0
     leaf = m.words.leaves(words).tolist()
-    own = m.weights.astype(float).copy()
+    factor = np.ones(3)
     edges = lm_mixing.cuts(len(leaf)).tolist()
     hashes = [h.tolist() for h in lm_mixing.contexts(np.array(leaf, np.int32), np.array([len(leaf)]))]
     for s, e in itertools.pairwise(edges):
-        slope, times = np.zeros_like(own), np.zeros(lm_mixing.GATES)
+        slope, times = np.zeros(3), 0
         for i in range(s, min(e, len(leaf))):
             for f in range(m.tree.start[leaf[i]], m.tree.start[leaf[i]] + m.tree.length[leaf[i]]):
                 bets, known = [float(m.base[f])], []
                 for t, h in zip(m.tables, hashes, strict=True):
                     x = (h[i] + int(m.tree.mark[f])) & 0xFFFFFFFF
-                    tag, slot = (x * 0xC2B2AE35 & 0xFFFFFFFF) >> 24 | 2, (x * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - t.bits
+                    tag, slot = max(2, (x * 0xC2B2AE35 & 0xFFFFFFFF) >> 24), (x * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - t.bits
                     v = int(t.slots[slot])
                     z = 0
                     if v >> 16 in (tag, lm_mixing.MIXED):
                         z = round(float(t.bet[(v >> 16 == lm_mixing.MIXED) << 16 | v & 0xFFFF]) * lm_mixing.UNIT)
-                        z = 0 if v & 0xFFFF == 0 else z or 1
+                        z = 0 if v & 0xFFFF == 0 else max(-127, min(127, z)) or 1
                     known.append(z != 0)
                     bets.append(z / lm_mixing.UNIT * int(m.tree.sign[f]))
-                g = 4 * int(m.tree.depth[f]) + known[0] + 2 * known[1]
-                z = min(12.0, max(-12.0, sum(own[g, k] * b for k, b in enumerate(bets))))
-                p = 1 / (1 + math.exp(-z))
+                bets = np.array(bets) * m.weights[4 * int(m.tree.depth[f]) + known[0] + 2 * known[1]]
+                p = 1 / (1 + math.exp(-min(12.0, max(-12.0, float(factor @ bets)))))
                 total -= math.log2(p)
-                slope[g] += (1 - p) * np.array(bets)
-                times[g] += 1
-        own += lm_mixing.RATE_DOC * slope / (times + 400.0)[:, None]
+                slope += (1 - p) * bets
+                times += 1
+        factor = factor + lm_mixing.RATE_DOC * slope / (times + lm_mixing.SLOW_DOC)
     return total
 
 
