@@ -78,7 +78,7 @@ def _lots(f: np.ndarray, most: int) -> Iterator[np.ndarray]:
 
 
 def trie_links(
-    x: np.ndarray, roots: np.ndarray, budget: int, depth: int, most: int = 1 << 20, front: int = BITS, more: np.ndarray | None = None, differing: int = BITS,
+    x: np.ndarray, roots: np.ndarray, budget: int, depth: int, most: int = 1 << 17, front: int = BITS, more: np.ndarray | None = None, differing: int = BITS,
 ) -> np.ndarray:
     """Classes of leaves that chains of at most ``budget`` differing bits connect, within pairs of tries.
 
@@ -115,7 +115,7 @@ def trie_links(
             own = (alo == blo) & (ahi == bhi)
             done = (ends[alo] >= ahi) & (ends[blo] >= bhi) & (comp[alo] == comp[blo])
             small = ~done & (((ahi - alo) * (bhi - blo) <= 64) | (d == BITS))
-            for s in _lots(f[small], 1 << 22):
+            for s in _lots(f[small], 4 * most):
                 wide = s[:, 3] - s[:, 2]
                 many = (s[:, 1] - s[:, 0]) * wide
                 at = np.repeat(np.arange(len(s)), many)
