@@ -23,7 +23,7 @@ from docweave.llm.common import arrow_rows, discard, materialize, table, whole_r
 #: Labelled rows that fitting may use, chosen by a seeded hash of the id.
 LABELLED_ROWS = 6000
 #: Rounds of pseudo-labels over all documents, and how many each view gives the other in a round.
-ROUNDS, PER_ROUND = 3, 400
+ROUNDS, PER_ROUND = 2, 600
 #: Log odds that a pseudo-label needs at least.
 SURE = 2.0
 TEXT_BITS, META_SIZE = 16, 2048
@@ -115,6 +115,17 @@ class Memo:
         return [sum(map(self.held.__getitem__, t)) for t in texts]
 
 
+_memo: tuple | None = None
+
+
+def memo_of(model, weights: np.ndarray) -> Memo:
+    """The memo of a worker for the model at hand, kept from task to task."""
+    global _memo
+    if _memo is None or _memo[0] is not model:
+        _memo = (model, Memo(weights))
+    return _memo[1]
+
+
 @dataclass
 class Sparse:
     """Rows of a sparse matrix."""
@@ -234,7 +245,7 @@ def surest(docs: DataFrame, labelled: DataFrame, models: list[np.ndarray], good:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         text, meta = shared.value
-        memo = Memo(text[:-1])
+        memo = memo_of(shared.value, text[:-1])
         for b in batches:
             z = logits(b["text"].tolist(), b["lang"], b["source"], b["n_chars"], text, meta, memo)
             yield pd.DataFrame({"doc_id": b["doc_id"], "z0": z[:, 0], "z1": z[:, 1]})
@@ -325,10 +336,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         if m is None:
             one = np.ones(len(text))
             return pd.DataFrame({"p_text": one, "p_meta": one, "score": one, "keep": one > 0})
-        global _memo
-        if _memo is None or _memo[0] is not m:
-            _memo = (m, Memo(m.text[:-1]))
-        z = logits(text.tolist(), lang, source, n_chars, m.text, m.meta, _memo[1])
+        z = logits(text.tolist(), lang, source, n_chars, m.text, m.meta, memo_of(m, m.text[:-1]))
         c = np.column_stack((z[:, 0] * m.platt_text[0] + m.platt_text[1], z[:, 1] * m.platt_meta[0] + m.platt_meta[1]))
         p = sigmoid(c @ m.both[:-1] + m.both[-1])
         return pd.DataFrame({"p_text": sigmoid(c[:, 0]), "p_meta": sigmoid(c[:, 1]), "score": p, "keep": p >= m.threshold})
@@ -338,9 +346,6 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return found.select("__row.*", "__new.*")
 
 
-_memo: tuple | None = None
-
-
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "p_text", "p_meta", "score", "keep")
