@@ -94,25 +94,17 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     """
     arrow_rows(nodes.sparkSession, 10_000)
     blocks, width = BUDGET + 1, FRONT // (BUDGET + 1)
-    word = lambda k: F.element_at("sketch", F.lit(k % WORDS + 1))
-
-    def turned(table: int, turn: int):
-        x = word(table // 2)
-        if table % 2:
-            x = F.shiftleft(x, FRONT).bitwiseOR(F.shiftrightunsigned(x, FRONT))
-        if not turn:
-            return x
-        by, low = turn * width, F.lit((1 << FRONT) - 1)
-        front = F.shiftrightunsigned(x, FRONT)
-        front = F.shiftleft(front, by).bitwiseOR(F.shiftrightunsigned(front, FRONT - by)).bitwiseAND(low)
-        return F.shiftleft(front, FRONT).bitwiseOR(x.bitwiseAND(low))
-
-    rows = nodes.select("node", F.explode(F.array(*[
-        F.struct(
-            F.lit(t * blocks + k).alias("trie"), turned(t, k).alias("x"), word(t // 2 + 1).alias("y"), word(t // 2 + 2).alias("z"),
-        )
-        for t in range(TABLES) for k in range(blocks)
-    ])).alias("t")).select("node", "t.*").withColumn("root", F.shiftrightunsigned("x", BITS - width))
+    # trie number = table * blocks + turn; odd tables have the lower half of their word in front
+    rows = nodes.select("node", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TABLES * blocks - 1))).alias("trie")).selectExpr(
+        "node", "trie", f"CAST(trie % {blocks} * {width} AS INT) AS by", f"CAST(trie DIV {blocks} % 2 AS INT) * {FRONT} AS half",
+        *[f"sketch[CAST((trie DIV {2 * blocks} + {k}) % {WORDS} AS INT)] AS {c}" for k, c in enumerate("xyz")],
+    ).selectExpr(
+        "node", "trie", "by", "y", "z", f"IF(half > 0, shiftleft(x, {FRONT}) | shiftrightunsigned(x, {FRONT}), x) AS x"
+    ).selectExpr(
+        "node", "trie", "y", "z", f"x & {(1 << FRONT) - 1} AS low", "by", f"shiftrightunsigned(x, {FRONT}) AS high"
+    ).selectExpr(
+        "node", "trie", "y", "z", f"shiftleft(shiftleft(high, by) | shiftrightunsigned(high, {FRONT} - by), {FRONT}) | low AS x"
+    ).withColumn("root", F.shiftrightunsigned("x", BITS - width))
     per_trie = rows.groupBy("trie", "root").count()
     large = materialize(per_trie.where(F.col("count") > TRIE_ROWS), "tries")  # at most TABLES * blocks << width rows
     rows = rows.join(F.broadcast(large), ["trie", "root"], "left").withColumn(
