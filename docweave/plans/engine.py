@@ -47,9 +47,9 @@ class Engine:
     def run_images(self, images: DataFrame) -> DataFrame:
         judged = self.assess(images).select("path", "error", "status", "score", "reasons", "sharpness_score", "contrast_score").persist()
         good = images.join(gates.quality_gate(judged.where("error IS NULL")).select("path", "sharpness_score", "contrast_score"), "path")
-        tokens = self.backend.tokens(good).withColumn("doc_id", F.xxhash64("path"))
+        tokens = self.backend.tokens(good).withColumn("doc_id", F.col("path"))
         found = extract_documents(tokens, self.config).withColumnRenamed("status", "found_status")
-        rows = judged.withColumn("doc_id", F.xxhash64("path")).join(found, "doc_id", "left")
+        rows = judged.withColumn("doc_id", F.col("path")).join(found, "doc_id", "left")
         passed = F.col("status").isin("ACCEPTED", "WARNING")
         status = F.when(F.col("error").isNotNull(), F.col("error")).when(~passed, F.col("status")).otherwise(F.coalesce("found_status", F.lit("FAILED")))
         code = F.when(passed & F.col("error").isNull(), F.when(F.col("found_status").isNull(), gates.UNCLEAR).otherwise(F.col("failure_code")))

@@ -137,3 +137,17 @@ def test_nulls_empty_table_and_extra_columns(spark):
     rows = [(1, 0, None, None, box(0, 0), None), (2, 0, "Nom", None, box(0, 0), None), (2, 1, "HUMBERT", None, box(100, 0), None)]
     got = {r.doc_id: r for r in extract_documents(spark.createDataFrame(rows, TOKENS).withColumn("field", F.lit("clash"))).collect()}
     assert got[1].status == "FAILED" and got[2].nom == "HUMBERT"
+
+
+def test_command_line_over_tokens(spark, tmp_path):
+    from conftest import SF
+    from docweave.__main__ import main
+    from docweave.plans import synth
+
+    tokens = synth.identity_tokens(spark, SF)
+    tokens.write.parquet(str(tmp_path / "tokens"))
+    said = main(["--tokens", str(tmp_path / "tokens"), "--out", str(tmp_path / "out"), "--show", "2"], spark)
+    n = tokens.select("doc_id").distinct().count()
+    assert said.startswith(f"images: {n}\n") and len(said.splitlines()) == 6
+    header = next((tmp_path / "out").glob("part-*.csv")).read_text("utf-8-sig").splitlines()
+    assert header[0].split(";")[:2] == ["image", "status"] and len(header) == n + 1
