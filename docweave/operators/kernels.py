@@ -82,8 +82,11 @@ def canny(plane: np.ndarray, low: float, high: float) -> np.ndarray:
     return keep[labels]
 
 
-def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """Labels 1..n of 8-connected parts: runs of each row, linked to the runs above, then merged by least label."""
+def components(mask: np.ndarray, corners: bool = True) -> tuple[np.ndarray, int]:
+    """Labels 1..n of connected parts: runs of each row, linked to the runs above, then merged by least label.
+
+    Pixels that meet at a corner only are connected (8 neighbours), or with ``corners`` off they are not (4 neighbours).
+    """
     h, w = mask.shape
     edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, a = np.nonzero(edge == 1)
@@ -94,8 +97,8 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
     first = np.searchsorted(row, np.arange(h + 1))
     key = row * (w + 2)
     # a run touches those of the row above that begin at its end + 1 or before and end at its begin - 1 or after
-    lo = np.maximum(np.searchsorted(key + b, (row - 1) * (w + 2) + a, side="left"), first[np.maximum(row - 1, 0)])
-    hi = np.minimum(np.searchsorted(key + a, (row - 1) * (w + 2) + b, side="right"), first[row])
+    lo = np.maximum(np.searchsorted(key + b, (row - 1) * (w + 2) + a, side="left" if corners else "right"), first[np.maximum(row - 1, 0)])
+    hi = np.minimum(np.searchsorted(key + a, (row - 1) * (w + 2) + b, side="right" if corners else "left"), first[row])
     many = np.where(row > 0, np.maximum(hi - lo, 0), 0)
     i = np.repeat(np.arange(n), many)
     j = np.repeat(lo, many) + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
@@ -130,9 +133,18 @@ def boxes(labels: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def histogram(plane: np.ndarray) -> np.ndarray:
+    """Pixels at each of the 256 levels."""
+    return np.bincount(plane.ravel(), minlength=256)
+
+
+def brightness(plane: np.ndarray) -> float:
+    return float(plane.mean())
+
+
 def otsu(plane: np.ndarray) -> tuple[int, float, float]:
     """(threshold, eta, contrast) of a gray plane; (0, 0, 0) if it has one level only."""
-    n = np.bincount(plane.ravel(), minlength=256).astype(np.float64)
+    n = histogram(plane).astype(np.float64)
     n /= max(1.0, n.sum())
     levels = np.arange(256)
     w0, m = np.cumsum(n), np.cumsum(n * levels)
@@ -152,18 +164,26 @@ def text_mask(plane: np.ndarray) -> np.ndarray:
     return dilate(canny(plane, 60, 160), 3)
 
 
+def sharpness(plane: np.ndarray, mask: np.ndarray) -> float:
+    """Variance of the Laplacian on the strokes; 0 where there are fewer than 20 pixels of them."""
+    return float(laplacian(plane)[mask].var()) if mask.sum() >= 20 else 0.0
+
+
+def glare(image: np.ndarray) -> float:
+    """Share of bright, pale pixels well above the mean value; 0 for plain white pages."""
+    _, s, v = hsv(image)
+    return 0.0 if v.std() < 25 and v.mean() > 200 else float(((v > 250) & (s < 20) & (v > v.mean() + 35)).mean())
+
+
 def measure(image: np.ndarray) -> dict[str, float]:
     """The measured values of an image (see schemas.METRICS); scoring is done in SQL."""
     plane = gray(image)
     h, w = plane.shape
     mask = text_mask(plane)
-    sharpness = float(laplacian(plane)[mask].var()) if mask.sum() >= 20 else 0.0
     _, eta, contrast = otsu(plane)
-    _, s, v = hsv(image)
-    glare = 0.0 if v.std() < 25 and v.mean() > 200 else float(((v > 250) & (s < 20) & (v > v.mean() + 35)).mean())
     return {
-        "width": w, "height": h, "sharpness": sharpness, "contrast": contrast, "eta": eta, "char_height": char_height(plane),
-        "density": float(mask.mean()), "reflection": glare, "brightness": float(plane.mean()),
+        "width": w, "height": h, "sharpness": sharpness(plane, mask), "contrast": contrast, "eta": eta, "char_height": char_height(plane),
+        "density": float(mask.mean()), "reflection": glare(image), "brightness": brightness(plane),
     }
 
 
@@ -178,8 +198,16 @@ def char_height(plane: np.ndarray) -> float:
     if not n:
         return 0.0
     _, _, bw, bh, area = boxes(labels, n).T
-    ratio = bw / bh
-    ok = (area <= crop.size * 0.02) & (bh >= 3) & (bw >= 2) & (ratio >= 0.15) & (ratio <= 6) & (area / (bw * bh) >= 0.15)
+    return median_height(bw, bh, area, crop.size)
+
+
+def median_height(bw: np.ndarray, bh: np.ndarray, area: np.ndarray, whole: int) -> float:
+    """Median height of the 200 largest parts that look like characters, 0 without any; ties in area keep the order.
+
+    bw, bh, area: width, height and pixels of each part; whole: pixels of the image.
+    """
+    ratio = bw / np.maximum(bh, 1)
+    ok = (area <= whole * 0.02) & (bh >= 3) & (bw >= 2) & (ratio >= 0.15) & (ratio <= 6) & (area / np.maximum(bw * bh, 1) >= 0.15)
     if not ok.any():
         return 0.0
     return float(np.median(bh[ok][np.argsort(-area[ok], kind="stable")[:200]]))
@@ -212,10 +240,15 @@ def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.clip(np.rint(np.einsum("xw,ywc->yxc", cols, out)), 0, 255).astype(np.uint8)
 
 
+def target_size(w: int, h: int, low: int, high: int) -> tuple[int, int]:
+    """Width and height after scaling into the range of widths; fractions are cut off."""
+    scale = (low if w < low else high if w > high else w) / w
+    return int(w * scale), int(h * scale)
+
+
 def resize_if_needed(image: np.ndarray, low: int = 1200, high: int = 1600) -> np.ndarray:
     h, w = image.shape[:2]
-    target = low if w < low else high if w > high else w
-    return image if target == w else resize(image, int(w * (target / w)), int(h * (target / w)))
+    return image if low <= w <= high else resize(image, *target_size(w, h, low, high))
 
 
 def fit_side(image: np.ndarray, most: int = 960) -> np.ndarray:
@@ -293,53 +326,105 @@ def enhance_contrast(image: np.ndarray) -> np.ndarray:
     return _from_lab(lab)
 
 
-def crop_document(image: np.ndarray) -> np.ndarray:
-    """Cut to the part most like a document; whole if none is good enough. Scores as in quality.best_crop."""
-    h, w = image.shape[:2]
-    edges = dilate(canny(blur(gray(image), 1.1, 5), 30, 100), 5, 2)
-    labels, n = components(edges)
+def outer_parts(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(boxes, areas) of the outermost parts, each with the area inside the outline through its pixels' centres.
+
+    What is not joined to the border by its four sides lies inside a part: holes are filled, and parts in them vanish.
+    """
+    ground, _ = components(np.pad(~mask, 1, constant_values=True), corners=False)
+    filled = (ground != ground[0, 0])[1:-1, 1:-1]
+    labels, n = components(filled)
     if not n:
-        return image
-    found = boxes(labels, n)
-    # the area inside an outer outline: each row of a part filled from its first to its last pixel
-    ys, xs = np.nonzero(labels)
-    part = labels[ys, xs] - 1
-    key = part * h + ys
-    low, high = np.full(n * h, 1 << 30), np.full(n * h, -1)
-    np.minimum.at(low, key, xs)
-    np.maximum.at(high, key, xs)
-    area = np.where(high >= 0, high - low + 1, 0).reshape(n, h).sum(axis=1)
-    best, box = 0.40, None
+        return np.zeros((0, 5), np.int64), np.zeros(0)
+    corner = np.stack([labels[:-1, :-1], labels[:-1, 1:], labels[1:, :-1], labels[1:, 1:]])
+    inside = (corner > 0).sum(axis=0)  # all pixels of a square of 2 x 2 are of one part, as they touch
+    squares = np.where(inside == 4, 1.0, np.where(inside == 3, 0.5, 0.0))
+    return boxes(labels, n), np.bincount(corner.max(axis=0).ravel(), squares.ravel(), minlength=n + 1)[1:]
+
+
+# Aspect ratios of documents.
+RATIOS = (1.42, 0.70, 1.58, 1.0, 0.63)
+
+
+def best_crop(found: np.ndarray, area: np.ndarray, w: int, h: int) -> tuple[int, int, int, int, float] | None:
+    """(x1, y1, x2, y2, score): box of the part most like a document, with 2 % around it; none if no score reaches 0.40.
+
+    found: rows that begin with x, y, width, height; area: of each outline; w, h: of the image. The 15 largest are
+    looked at; ties in area keep the order, and of equal scores the first counts.
+    """
+    best = None
     for k in np.argsort(-area, kind="stable")[:15]:
-        x, y, cw, ch, _ = found[k]
+        x, y, cw, ch = (int(v) for v in found[k][:4])
         share = area[k] / (h * w)
         if not 0.03 <= share <= 0.85 or cw < w * 0.1 or ch < h * 0.1:
             continue
         aspect = max(cw, ch) / max(min(cw, ch), 1)
-        score = max(1 / (1 + abs(aspect - r)) for r in (1.42, 0.70, 1.58, 1.0, 0.63)) * (area[k] / max(cw * ch, 1)) * min(share / 0.10, 1.0)
-        if score > best or (score == best and box is None):
-            best, box = score, (x, y, cw, ch)
-    if box is None:
+        score = max(1 / (1 + abs(aspect - r)) for r in RATIOS) * (area[k] / max(cw * ch, 1)) * min(share / 0.10, 1.0)
+        if score >= 0.40 and (best is None or score > best[4]):
+            px, py = int(cw * 0.02), int(ch * 0.02)
+            best = max(0, x - px), max(0, y - py), min(w, x + cw + px), min(h, y + ch + py), float(score)
+    return best
+
+
+def crop_document(image: np.ndarray) -> np.ndarray:
+    """Cut to the part most like a document; whole if none is good enough."""
+    h, w = image.shape[:2]
+    best = best_crop(*outer_parts(dilate(canny(blur(gray(image), 1.1, 5), 30, 100), 5, 2)), w, h)
+    if best is None:
         return image
-    x, y, cw, ch = box
-    px, py = int(cw * 0.02), int(ch * 0.02)
-    return image[max(0, y - py) : min(h, y + ch + py), max(0, x - px) : min(w, x + cw + px)]
+    x1, y1, x2, y2, _ = best
+    return image[y1:y2, x1:x2]
+
+
+def level_segments(edges: np.ndarray, most: float = 15.0, votes: int = 100, gap: int = 20) -> np.ndarray:
+    """Rows (x1, y1, x2, y2) of line segments within ``most`` degrees of level, by a Hough transform over all edge points.
+
+    Each line of whole degrees and whole pixels with enough votes is tried, the one with the most votes first. Its points are cut
+    where the gap is too wide; runs of at least a sixth of the width are segments, and their points count for no other.
+    """
+    y, x = np.nonzero(edges)
+    angles = np.radians(np.arange(-np.floor(most), np.floor(most) + 1))
+    lines = []
+    for a in angles:
+        rho = np.rint(y * np.cos(a) - x * np.sin(a)).astype(np.int64)
+        low = int(rho.min()) if len(rho) else 0
+        n = np.bincount(rho - low)
+        lines += [(-int(n[k]), float(a), int(k) + low) for k in np.flatnonzero(n >= votes)]
+    free, out = np.ones(edges.shape, bool), []
+    for _, a, rho in sorted(lines, key=lambda line: (line[0], abs(line[1]), line[1], line[2])):
+        # the line's pixels and those beside it, column by column
+        at = np.arange(edges.shape[1])
+        base = np.rint((rho + at * np.sin(a)) / np.cos(a)).astype(np.int64)
+        rows = base[None, :] + np.arange(-1, 2)[:, None]
+        there = (rows >= 0) & (rows < edges.shape[0])
+        rows = np.clip(rows, 0, edges.shape[0] - 1)
+        hit = there & edges[rows, at[None, :]] & free[rows, at[None, :]]
+        cols = np.flatnonzero(hit.any(axis=0))
+        if len(cols) < 2:
+            continue
+        for run in np.split(cols, np.flatnonzero(np.diff(cols) > gap) + 1):
+            if run[-1] - run[0] < edges.shape[1] // 6 or len(run) < 2:
+                continue
+            mean = [float(rows[:, c][hit[:, c]].mean()) for c in (run[0], run[-1])]
+            out.append((float(run[0]), mean[0], float(run[-1]), mean[1]))
+            own = np.zeros(edges.shape[1], bool)
+            own[run] = True
+            k, c = np.nonzero(hit & own)
+            free[rows[k, c], c] = False
+    return np.array(out).reshape(-1, 4)
+
+
+def median_angle(segments: np.ndarray, most: float = 15.0) -> float:
+    """Median angle, in degrees, of the segments that are nearly level; 0 if it is below 0.3 or there are none."""
+    x1, y1, x2, y2 = segments.T
+    angle = np.degrees(np.arctan2(y2 - y1, x2 - x1))[x2 != x1]
+    angle = angle[np.abs(angle) < most]
+    middle = float(np.median(angle)) if len(angle) else 0.0
+    return middle if abs(middle) >= 0.3 else 0.0
 
 
 def skew_angle(plane: np.ndarray, most: float = 15.0) -> float:
-    """Angle of text lines in degrees, by a Hough transform over edge points; 0 if it is below 0.3 or no line is clear."""
-    y, x = np.nonzero(canny(plane, 50, 150))
-    if len(x) < 100:
-        return 0.0
-    angles = np.arange(-most + 0.1, most, 0.1)
-    peaks = []
-    for a in np.radians(angles):
-        rho = np.rint(y * np.cos(a) - x * np.sin(a)).astype(int)
-        n = np.bincount(rho - rho.min())
-        peaks.append(float((n.astype(float) ** 2).sum()))
-    peaks = np.array(peaks)
-    best = float(angles[int(np.argmax(peaks))])
-    return best if abs(best) >= 0.3 and peaks.max() > 1.02 * np.median(peaks) else 0.0
+    return median_angle(level_segments(canny(plane, 50, 150), most), most)
 
 
 def rotate(image: np.ndarray, angle: float) -> np.ndarray:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docweave.config import DEFAULT, EngineConfig
 
@@ -102,107 +101,3 @@ def reasons(config: EngineConfig = DEFAULT) -> Column:
         F.when(low("reflection"), "Reflets ou éblouissements importants détectés sur le document"),
         F.when(low("brightness"), F.concat(F.lit("Luminosité globale inadaptée ("), dark, F.lit(")"))),
     ))
-
-
-# ---------------------------------------------------------------- measured on histograms and pixels, in SQL
-
-
-def histogram(pixels: DataFrame) -> DataFrame:
-    """(id, level, n) from (id, level): summed per task first, at most 256 rows an image."""
-    return pixels.groupBy("id", "level").agg(F.count(F.lit(1)).alias("n"))
-
-
-def otsu(hist: DataFrame) -> DataFrame:
-    """(id, eta, contrast, threshold) by the histogram of each image.
-
-    eta: greatest share of the variance that a threshold explains. contrast: difference of the means of both sides of
-    the best threshold. An image of one level has 0 for both.
-    """
-    up = Window.partitionBy("id").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("id")
-    c = F.col
-    h = hist.withColumns({
-        "n0": F.sum("n").over(up), "s0": F.sum(c("n") * c("level")).over(up), "n_all": F.sum("n").over(whole), "s_all": F.sum(c("n") * c("level")).over(whole),
-        "q_all": F.sum(c("n") * c("level") * c("level")).over(whole),
-    })
-    m0, m1 = c("s0") / c("n0"), (c("s_all") - c("s0")) / F.nullif(c("n_all") - c("n0"), F.lit(0))
-    between = c("n0") / c("n_all") * ((c("n_all") - c("n0")) / c("n_all")) * (m0 - m1) * (m0 - m1)
-    variance = c("q_all") / c("n_all") - (c("s_all") / c("n_all")) * (c("s_all") / c("n_all"))
-    h = h.withColumns({"between": F.coalesce(between, F.lit(0.0)), "variance": variance, "gap": F.coalesce(F.abs(m1 - m0), F.lit(0.0))})
-    best = h.groupBy("id").agg(
-        F.max("between").alias("b"), F.max("variance").alias("v"), F.max_by(F.struct("gap", "level"), F.struct("between", -c("level"))).alias("at")
-    )
-    return best.select("id", F.when(c("v") > 1e-9, c("b") / c("v")).otherwise(0.0).alias("eta"), F.when(c("v") > 1e-9, c("at.gap")).otherwise(0.0).alias("contrast"), c("at.level").alias("threshold"))
-
-
-def brightness(hist: DataFrame) -> DataFrame:
-    return hist.groupBy("id").agg((F.sum(F.col("n") * F.col("level")) / F.sum("n")).alias("brightness"))
-
-
-def char_height(components: DataFrame) -> DataFrame:
-    """(id, char_height): median height of the 200 largest components that look like characters.
-
-    components: id, ord, width, height, area, image_area. Ties in area keep the order; images without any have 0.
-    """
-    c = F.col
-    ratio = c("width") / c("height")
-    like = (c("area") <= 0.02 * c("image_area")) & (c("height") >= 3) & (c("width") >= 2) & ratio.between(0.15, 6) & (c("area") / (c("width") * c("height")) >= 0.15)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("area"), "ord"))
-    top = components.where(like).withColumn("rank", rank).where("rank <= 200")
-    found = top.groupBy("id").agg(F.median("height").alias("char_height"))
-    return components.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("char_height", F.lit(0.0)).alias("char_height"))
-
-
-def reflection(pixels: DataFrame) -> DataFrame:
-    """(id, reflection) from (id, r, g, b): share of bright, pale pixels well above the mean value; 0 for plain white pages."""
-    c = F.col
-    top, least = F.greatest("r", "g", "b"), F.least("r", "g", "b")
-    p = pixels.select("id", top.alias("v"), F.when(top == 0, 0).otherwise(F.round(255.0 * (top - least) / top)).alias("s"))
-    stats = p.groupBy("id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d"))
-    flagged = p.join(stats, "id").groupBy("id").agg(
-        F.avg(((c("v") > 250) & (c("s") < 20) & (c("v") > c("m") + 35)).cast("int")).alias("ratio"), F.first("m").alias("m"), F.first("d").alias("d")
-    )
-    return flagged.select("id", F.when((c("d") < 25) & (c("m") > 200), 0.0).otherwise(c("ratio")).alias("reflection"))
-
-
-# ---------------------------------------------------------------- sizes, crop and angle
-
-
-def resize_dims(width: Column, height: Column, config: EngineConfig = DEFAULT) -> tuple[Column, Column]:
-    """Width and height after scaling into the range of widths; fractions are cut off."""
-    scale = F.when(width < config.resize_min, F.lit(float(config.resize_min)) / width).when(width > config.resize_max, F.lit(float(config.resize_max)) / width).otherwise(1.0)
-    return (width * scale).cast("int"), (height * scale).cast("int")
-
-
-RATIOS = (1.42, 0.70, 1.58, 1.0, 0.63)
-
-
-def best_crop(contours: DataFrame) -> DataFrame:
-    """(id, x1, y1, x2, y2, crop_score): box of the contour most like a document, with 2 % around it.
-
-    contours: id, ord, x, y, w, h, area, image_w, image_h. The 15 largest are looked at; images with none good enough
-    are left out, as they stay whole.
-    """
-    c = F.col
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("area"), "ord"))
-    top = contours.withColumn("rank", rank).where("rank <= 15")
-    share = c("area") / (c("image_w") * c("image_h"))
-    top = top.where(share.between(0.03, 0.85) & (c("w") >= c("image_w") * 0.1) & (c("h") >= c("image_h") * 0.1))
-    aspect = F.greatest("w", "h") / F.greatest(F.least("w", "h"), F.lit(1))
-    near = F.greatest(*[1.0 / (1.0 + F.abs(aspect - r)) for r in RATIOS])
-    value = near * (c("area") / F.greatest(c("w") * c("h"), F.lit(1))) * F.least(share / 0.10, F.lit(1.0))
-    best = top.withColumn("crop_score", value).groupBy("id").agg(F.max_by(F.struct("x", "y", "w", "h", "image_w", "image_h", "crop_score"), F.struct("crop_score", -c("rank"))).alias("b"))
-    px, py = (c("b.w") * 0.02).cast("int"), (c("b.h") * 0.02).cast("int")
-    return best.where("b.crop_score >= 0.40").select(
-        "id", F.greatest(F.lit(0), c("b.x") - px).alias("x1"), F.greatest(F.lit(0), c("b.y") - py).alias("y1"), F.least(c("b.image_w"), c("b.x") + c("b.w") + px).alias("x2"),
-        F.least(c("b.image_h"), c("b.y") + c("b.h") + py).alias("y2"), "b.crop_score",
-    )
-
-
-def deskew_angle(segments: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(id, angle): median angle, in degrees, of the nearly level segments (id, x1, y1, x2, y2); 0 if it is negligible."""
-    angle = F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")))
-    level = segments.where("x2 <> x1").withColumn("a", angle).where(F.abs("a") < config.max_deskew)
-    found = level.groupBy("id").agg(F.median("a").alias("a"))
-    every = segments.select("id").distinct().join(found, "id", "left")
-    return every.select("id", F.when(F.abs("a") >= 0.3, F.col("a")).otherwise(0.0).alias("angle"))

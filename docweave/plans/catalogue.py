@@ -498,10 +498,19 @@ def quality_reasons(spark, sf_dir):
     return quality.combine(quality.scores(_metrics(spark, sf_dir))).select(*_KEY, F.array_join("reasons", " | ").alias("reasons"))
 
 
-def _pixels(spark, sf_dir):
-    """Embeddings as gray images of 8 x 8."""
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("at", "e"))
-    return e.select("id", "at", F.floor((F.col("e").cast("double") + 1) * 127.5).cast("int").alias("level"))
+def _of_image(kind: str, rule: Callable[[np.ndarray], object]):
+    """A kernel of the engine over images that are arrays of numbers."""
+    return F.pandas_udf(lambda images: images.map(lambda x: rule(np.stack(x) if len(x) and np.ndim(x[0]) else np.asarray(x))), kind)
+
+
+def _planes(spark, sf_dir):
+    """Embeddings as gray images of 8 x 8: (id, plane), row by row."""
+    level = F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 127.5).cast("int"))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), level.alias("plane"))
+
+
+def _plane(x: np.ndarray) -> np.ndarray:
+    return x.reshape(8, 8).astype(np.uint8)
 
 
 _PIXELS = "x AS (SELECT vec_id AS id, i - 1 AS pos, floor((embedding[i]::DOUBLE + 1) * 127.5)::INT AS level FROM embeddings, unnest(range(1, 65)) AS u(i))"
@@ -514,17 +523,19 @@ b AS (SELECT id, level, qa / na - (sa / na) * (sa / na) AS v, CASE WHEN na > n0
 
 @query(f"WITH {_OTSU} SELECT id, round(CASE WHEN max(v) > 1e-9 THEN max(b) / max(v) ELSE 0 END, 6) AS eta, round(CASE WHEN max(v) > 1e-9 THEN arg_max(gap, (b, -level)) ELSE 0 END, 6) AS contrast FROM b GROUP BY id")
 def otsu_separation(spark, sf_dir):
-    return quality.otsu(quality.histogram(_pixels(spark, sf_dir))).select("id", F.round("eta", 6).alias("eta"), F.round("contrast", 6).alias("contrast"))
+    found = _of_image("array<double>", lambda x: kernels.otsu(_plane(x))[1:])("plane")
+    return _planes(spark, sf_dir).select("id", found.alias("o")).select("id", F.round(F.col("o")[0], 6).alias("eta"), F.round(F.col("o")[1], 6).alias("contrast"))
 
 
 @query(f"WITH {_PIXELS} SELECT id, level, count(*) AS n FROM x GROUP BY id, level")
 def gray_histogram(spark, sf_dir):
-    return quality.histogram(_pixels(spark, sf_dir))
+    levels = _of_image("array<long>", lambda x: kernels.histogram(_plane(x)))("plane")
+    return _planes(spark, sf_dir).select("id", F.posexplode(levels).alias("level", "n")).where("n > 0")
 
 
 @query(f"WITH {_PIXELS} SELECT id, round(avg(level), 6) AS brightness FROM x GROUP BY id")
 def mean_brightness(spark, sf_dir):
-    return quality.brightness(quality.histogram(_pixels(spark, sf_dir))).select("id", F.round("brightness", 6).alias("brightness"))
+    return _planes(spark, sf_dir).select("id", F.round(_of_image("double", lambda x: kernels.brightness(_plane(x)))("plane"), 6).alias("brightness"))
 
 
 @query(f"""WITH {_PIXELS}, g AS (SELECT id, pos // 8 AS y, pos % 8 AS x, level FROM x),
@@ -532,25 +543,27 @@ n AS (SELECT a.id, a.x, a.y, sum(b.level * (CASE WHEN abs(dx) + abs(dy) = 0 THEN
   JOIN g b ON b.id = a.id AND b.x = CASE WHEN a.x + dx < 0 THEN 1 WHEN a.x + dx > 7 THEN 6 ELSE a.x + dx END AND b.y = CASE WHEN a.y + dy < 0 THEN 1 WHEN a.y + dy > 7 THEN 6 ELSE a.y + dy END GROUP BY a.id, a.x, a.y)
 SELECT id, round(var_pop(l) * 4096)::BIGINT AS sharpness_4096 FROM n GROUP BY id""")
 def laplacian_variance(spark, sf_dir):
-    @F.pandas_udf("double")
-    def variance(planes: pd.Series) -> pd.Series:
-        return planes.map(lambda p: float(kernels.laplacian(np.asarray(p).reshape(8, 8)).var()))
-
-    plane = F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 127.5).cast("int"))
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(variance(plane) * 4096).cast("long").alias("sharpness_4096"))
+    variance = _of_image("double", lambda x: kernels.sharpness(_plane(x), np.ones((8, 8), bool)))("plane")
+    return _planes(spark, sf_dir).select("id", F.round(variance * 4096).cast("long").alias("sharpness_4096"))
 
 
-_RGB = """r AS (SELECT vec_id AS id, least(255, greatest(0, floor(embedding[i]::DOUBLE * 900 + 100)))::INT AS r, least(255, greatest(0, floor(embedding[i + 1]::DOUBLE * 900 + 150)))::INT AS g, least(255, greatest(0, floor(embedding[i + 2]::DOUBLE * 900 + 240)))::INT AS b
-  FROM embeddings, unnest(range(1, 62, 3)) AS u(i)), p AS (SELECT id, greatest(r, g, b) AS v, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE round(255.0 * (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)) END AS s FROM r),
+_RGB = """r AS (SELECT vec_id AS id, least(255, greatest(0, floor(embedding[i]::DOUBLE * 900 + 100)))::INT AS r, least(255, greatest(0, floor(embedding[1 + i % 64]::DOUBLE * 900 + 150)))::INT AS g, least(255, greatest(0, floor(embedding[1 + (i + 1) % 64]::DOUBLE * 900 + 240)))::INT AS b
+  FROM embeddings, unnest(range(1, 65)) AS u(i)), p AS (SELECT id, greatest(r, g, b) AS v, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE round(255.0 * (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)) END AS s FROM r),
 a AS (SELECT id, avg(v) AS m, stddev_pop(v) AS d FROM p GROUP BY id)"""
 
 
-@query(f"WITH {_RGB} SELECT id, round(CASE WHEN any_value(d) < 25 AND any_value(m) > 200 THEN 0 ELSE avg((v > 250 AND s < 60 AND v > m + 35)::INT) END, 6) AS reflection FROM p JOIN a USING (id) GROUP BY id".replace("s < 60", "s < 20"))
+@query(f"WITH {_RGB} SELECT id, round(CASE WHEN any_value(d) < 25 AND any_value(m) > 200 THEN 0 ELSE avg((v > 250 AND s < 20 AND v > m + 35)::INT) END, 6) AS reflection FROM p JOIN a USING (id) GROUP BY id")
 def reflection_ratio(spark, sf_dir):
-    byte = lambda k, plus: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.element_at("embedding", k).cast("double") * 900 + plus))).cast("int")
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(1), F.lit(61), F.lit(3))).alias("i"))
-    rgb = rows.select(F.col("vec_id").alias("id"), byte(F.col("i"), 100).alias("r"), byte(F.col("i") + 1, 150).alias("g"), byte(F.col("i") + 2, 240).alias("b"))
-    return quality.reflection(rgb).select("id", F.round("reflection", 6).alias("reflection"))
+    def byte(k: int, plus: int):
+        return F.transform("embedding", lambda e, i: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.get("embedding", (i + k) % 64).cast("double") * 900 + plus))).cast("int"))
+
+    ratio = _of_image("double", lambda x: kernels.glare(x.T.reshape(8, 8, 3).astype(np.uint8)))(F.array(byte(2, 240), byte(1, 150), byte(0, 100)))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(ratio, 6).alias("reflection"))
+
+
+def _parts(rows: DataFrame, *columns: str) -> DataFrame:
+    """(id, parts): the rows of an id as one array of numbers, in the order of ``ord``."""
+    return rows.groupBy("id").agg(F.array_sort(F.collect_list(F.array(*[F.col(c).cast("double") for c in ("ord", *columns)]))).alias("parts"))
 
 
 @query("""
@@ -562,9 +575,10 @@ def char_height_median(spark, sf_dir):
     c = F.col
     rows = read(spark, sf_dir, "lineitem").select(
         c("l_suppkey").alias("id"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("ord"), (c("l_partkey") % 30).cast("int").alias("width"), c("l_quantity").cast("int").alias("height"),
-        F.bround((c("l_partkey") % 30) * c("l_quantity") * c("l_discount") * 10).cast("int").alias("area"), F.lit(40000).alias("image_area"),
+        F.bround((c("l_partkey") % 30) * c("l_quantity") * c("l_discount") * 10).cast("int").alias("area"),
     )
-    return quality.char_height(rows)
+    height = _of_image("double", lambda x: kernels.median_height(*x[:, 1:].T, 40_000))
+    return _parts(rows, "width", "height", "area").select("id", height("parts").alias("char_height"))
 
 
 @query("""
@@ -572,16 +586,18 @@ WITH k AS (SELECT l_orderkey AS id, l_linenumber * 100000 + l_partkey AS ord, (l
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY area DESC, ord) AS r, greatest(w, h)::DOUBLE / greatest(least(w, h), 1) AS a, area::DOUBLE / (iw * ih) AS f FROM k),
 s AS (SELECT *, list_max(list_transform([1.42, 0.70, 1.58, 1.0, 0.63], lambda q: 1.0 / (1.0 + abs(a - q::DOUBLE)))) * (area::DOUBLE / greatest(w * h, 1)) * least(f / 0.10, 1.0) AS v FROM r WHERE r <= 15 AND f BETWEEN 0.03 AND 0.85 AND w >= iw * 0.1 AND h >= ih * 0.1),
 b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, r) AS n FROM s)
-SELECT id, greatest(0, x - (w * 0.02)::DOUBLE::INT * 0 - floor(w * 0.02)::INT) AS x1, greatest(0, y - floor(h * 0.02)::INT) AS y1, least(iw, x + w + floor(w * 0.02)::INT) AS x2, least(ih, y + h + floor(h * 0.02)::INT) AS y2, round(v, 6) AS crop_score FROM b WHERE n = 1 AND v >= 0.40
-""".replace(" - (w * 0.02)::DOUBLE::INT * 0", ""))
+SELECT id, greatest(0, x - floor(w * 0.02)::INT) AS x1, greatest(0, y - floor(h * 0.02)::INT) AS y1, least(iw, x + w + floor(w * 0.02)::INT) AS x2, least(ih, y + h + floor(h * 0.02)::INT) AS y2, round(v, 6) AS crop_score FROM b WHERE n = 1 AND v >= 0.40
+""")
 def crop_scoring(spark, sf_dir):
     c = F.col
     w, h = (20 + c("l_partkey") % 600).cast("int"), F.floor(20 + c("l_quantity") * 8).cast("int")
     rows = read(spark, sf_dir, "lineitem").select(
         c("l_orderkey").alias("id"), (c("l_linenumber") * 100000 + c("l_partkey")).alias("ord"), (c("l_partkey") % 300).cast("int").alias("x"), (c("l_suppkey") % 200).cast("int").alias("y"), w.alias("w"), h.alias("h"),
-        F.floor(w * h * (1 - c("l_discount"))).alias("area"), F.lit(1000).alias("image_w"), F.lit(700).alias("image_h"),
+        F.floor(w * h * (1 - c("l_discount"))).alias("area"),
     )
-    return quality.best_crop(rows).withColumn("crop_score", F.round("crop_score", 6))
+    best = _of_image("array<double>", lambda x: kernels.best_crop(x[:, 1:5], x[:, 5], 1000, 700))
+    found = _parts(rows, "x", "y", "w", "h", "area").select("id", best("parts").alias("b")).where("b IS NOT NULL")
+    return found.select("id", *[c("b")[k].cast("int").alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))], F.round(c("b")[4], 6).alias("crop_score"))
 
 
 @query("""
@@ -591,8 +607,11 @@ SELECT i.id, round(CASE WHEN abs(a) >= 0.3 THEN a ELSE 0 END, 6) AS angle FROM (
 """)
 def deskew_angle(spark, sf_dir):
     c = F.col
-    rows = read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("id"), c("l_quantity").alias("x1"), (c("l_discount") * 100).alias("y1"), (c("l_partkey") % 1000).cast("double").alias("x2"), c("l_quantity").alias("y2"))
-    return quality.deskew_angle(rows).select("id", F.round("angle", 6).alias("angle"))
+    rows = read(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("id"), c("l_linenumber").alias("ord"), c("l_quantity").alias("x1"), (c("l_discount") * 100).alias("y1"), (c("l_partkey") % 1000).alias("x2"), c("l_quantity").alias("y2"),
+    )
+    angle = _of_image("double", lambda x: kernels.median_angle(x[:, 1:]))
+    return _parts(rows, "x1", "y1", "x2", "y2").select("id", F.round(angle("parts"), 6).alias("angle"))
 
 
 @query("""
@@ -601,8 +620,8 @@ SELECT p_partkey, trunc(w * f)::INT AS new_w, trunc(h * f)::INT AS new_h FROM s
 """)
 def resize_dims(spark, sf_dir):
     k = F.col("p_partkey")
-    w, h = quality.resize_dims((300 + k % 2500).cast("int"), (200 + k * 3 % 1900).cast("int"))
-    return read(spark, sf_dir, "part").select("p_partkey", w.alias("new_w"), h.alias("new_h"))
+    size = _of_image("array<int>", lambda x: kernels.target_size(int(x[0]), int(x[1]), 1200, 1600))(F.array((300 + k % 2500).cast("int"), (200 + k * 3 % 1900).cast("int")))
+    return read(spark, sf_dir, "part").select("p_partkey", size.alias("size")).select("p_partkey", F.col("size")[0].alias("new_w"), F.col("size")[1].alias("new_h"))
 
 
 # ---------------------------------------------------------------- results and sources

@@ -212,3 +212,22 @@ def test_validators_and_dates(spark):
     assert all(r.ok == r.got for r in df.collect())
     dates = [("05 NOV/NOV 2023", "05/11/2023"), ("12.31.1999", "12/31/1999"), ("1/2/1990", "1/2/1990"), ("5nov1990", "05/11/1990"), ("05 XXX 1990", "05 XXX 1990")]
     assert all(r.want == r.got for r in spark.createDataFrame(dates, "v string, want string").withColumn("got", t.free_date(F.col("v"))).collect())
+
+
+def test_outlines_are_filled_and_hold_no_other():
+    m = np.zeros((12, 12), bool)
+    m[1:9, 1:9] = True
+    m[3:7, 3:7] = False
+    m[5, 5] = m[10, 10] = True
+    found, area = kernels.outer_parts(m)
+    assert found[:, :4].tolist() == [[1, 1, 8, 8], [10, 10, 1, 1]] and area.tolist() == [49.0, 0.0]
+    assert [len(a) for a in kernels.outer_parts(np.zeros((5, 6), bool))] == [0, 0]
+
+
+@pytest.mark.parametrize("angle", [1.0, -7.0, 12.0])
+def test_skew_is_the_median_of_segments(angle):
+    turned = kernels.rotate(page(), angle)
+    found = kernels.level_segments(kernels.canny(kernels.gray(turned), 50, 150))
+    assert len(found) > 5 and (found[:, 2] - found[:, 0] >= turned.shape[1] // 6).all()
+    assert abs(kernels.skew_angle(kernels.gray(turned)) + angle) < 0.3
+    assert kernels.level_segments(np.zeros((40, 30), bool)).shape == (0, 4)
