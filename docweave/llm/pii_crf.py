@@ -88,9 +88,11 @@ def labelled_sentences(n: int = 600, seed: int = 5) -> list[tuple[list[str], lis
     hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     upper = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(k))
 
+    mixed = lambda k: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(k))
+
     def email():
-        name = r.choice((word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}_{word()}", f"{word()}.{digits(2)}"))
-        host = r.choice((f"{word()}.com", f"mail{digits(1)}.{word()}.org", f"{word()}.co.uk", f"{word()}-{word()}.net"))
+        name = r.choice((word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}_{word()}", f"{word()}.{digits(2)}", f"{word().capitalize()}-{word().capitalize()}", word().capitalize()))
+        host = r.choice((f"{word()}.com", f"mail{digits(1)}.{word()}.org", f"{word()}.co.uk", f"{word()}-{word()}.net", f"{word()}{digits(2)}.io"))
         return r.choice(([f"{name}@{host}"], [f"{name}@{host}"], [f"<{name}@{host}>"], [f"{name}[at]{host}"], [f"{name}(at){host}"], [f"mailto:{name}@{host}"]))
 
     def phone():
@@ -106,14 +108,17 @@ def labelled_sentences(n: int = 600, seed: int = 5) -> list[tuple[list[str], lis
         return [r.choice((".".join(str(r.randint(0, 255)) for _ in range(4)), ":".join(hexa(4) for _ in range(8))))]
 
     def secret():
-        return r.choice(([f"AKIA{upper(16)}"], [f"password={hexa(18)}"], [f"token={hexa(32)}"], [f'"{hexa(40)}"'], [f"sk_live_{hexa(24)}"], [hexa(40)], [f"passwd:{word()}{digits(4)}"]))
+        return r.choice((
+            [f"AKIA{upper(16)}"], [f"password={hexa(18)}"], [f"token={hexa(32)}"], [f'"{hexa(40)}"'], [f"sk_live_{hexa(24)}"], [hexa(40)], [f"passwd:{word()}{digits(4)}"],
+            [f"pat_{mixed(30)}"], [f"{word()}_key={mixed(24)}"], [f"pwd={mixed(14)}"], [hexa(56)],
+        ))
 
     def none():
         return r.choice((
             [digits(4)], [f"{digits(1)}.{digits(1)}"], ["version", f"{digits(1)}.{digits(1)}."], [f"{digits(2)}/{digits(2)}/{digits(4)}"], [f"{digits(4)}-{digits(2)}-{digits(2)}"], [f"{digits(2)}:{digits(2)}"],
             [f"${digits(3)}.{digits(2)}"], [f"{digits(2)}%"], [f"({digits(4)})"], [f"[{digits(2)}]"], [f"{digits(1)},{digits(3)},{digits(3)}"], ["Version", f"{digits(1)}.{digits(1)},"], [digits(3)], [f"{word()}-{word()}"],
             [f"{word()}{digits(1)}"], ["|"], [f"{word()}!!"], [f"{word().upper()}!!"], [f"{word()}***"], [f"{word()}%%%"], [f"{word()}$$$"], [f"{word()}&&&"], [f"{word()}###"], [f"#{digits(3)}"], [f"@{word()}"], [f"{digits(1)}", f"{digits(2)}"],
-            ["GPL-3.0"], ["BY-NC", f"{digits(1)}.0."], [digits(5)], [f"{digits(3)}-{digits(1)}"], [f"{digits(2)}-{digits(2)}"], [f"{word()}.{word()}"], ["https://" + word() + ".com/" + word()], [digits(10)], [digits(8)],
+            [word().capitalize() + word().capitalize()], [f"{word()}={digits(2)}"], [f"{word()}_{word()}"], ["GPL-3.0"], ["BY-NC", f"{digits(1)}.0."], [digits(5)], [f"{digits(3)}-{digits(1)}"], [f"{digits(2)}-{digits(2)}"], [f"{word()}.{word()}"], ["https://" + word() + ".com/" + word()], [digits(10)], [digits(8)],
         ))
 
     makers = {"email": email, "phone": phone, "card": card, "ip": ip, "secret": secret}
@@ -443,11 +448,11 @@ def op1(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Spans of personal data in each whole text, in code points, end exclusive.
 
     n_email, n_ip, n_card and n_phone count base spans, base_sha256 is of these; spans lists all, kind by kind (those
-    of the base first, then other kinds by name) and by start. A null or empty text has none. Repeated rows are
-    searched each, with equal results.
+    of the base first, then other kinds by name) and by start. n_added counts what the model adds, n_secret the secrets
+    among it, n_found all spans. A null or empty text has none. Repeated rows are searched each, with equal results.
     """
     return pii(docs.select("doc_id", "text"), labelled_table(spark)).select(
-        "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"
+        "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "n_secret", "n_found"
     )
 
 
@@ -463,9 +468,9 @@ def pii(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFrame:
     model = train([(list(r["words"]), list(r["tags"])) for r in rows if r["words"]])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the labelled table has features
     arrow_rows(docs.sparkSession)
-    names = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+    names = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_secret", "n_found")
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long, n_found long")
     def find(column: pd.Series) -> pd.DataFrame:
         global _scorer
         if _scorer is None or _scorer[0] is not shared.value:
@@ -475,7 +480,7 @@ def pii(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFrame:
         for base, more in find_pii(column.tolist(), _scorer[1]):
             own = [(k, a, b) for k in KINDS for a, b in base[k]]
             every = sorted([*own, *more], key=lambda s: (rank[s[0]], s[1], s[2]))
-            out.append((*(len(base[k]) for k in KINDS), hashlib.sha256(_line(own).encode()).hexdigest(), _line(every), len(more)))
+            out.append((*(len(base[k]) for k in KINDS), hashlib.sha256(_line(own).encode()).hexdigest(), _line(every), len(more), sum(s[0] == "secret" for s in more), len(every)))
         return pd.DataFrame(out, columns=list(names))
 
     found = docs.select(whole_row(docs.drop(*names)), find(F.coalesce(F.col(text), F.lit(""))).alias("__new"))
