@@ -89,25 +89,49 @@ def fill_targets(sizes: Sequence[int], weights: Sequence[float], cap: int = MAX_
         left = total - sum(t for t, f in zip(targets, full, strict=True) if f)
 
 
+def overlapping(patterns: Sequence[tuple]) -> list[list[tuple]]:
+    """The patterns in groups: two are in one group if a chain of patterns that share sources joins them."""
+    first: dict[object, int] = {}
+    up = list(range(len(patterns)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, p in enumerate(patterns):
+        for s in p:
+            a, b = root(i), root(first.setdefault(s, i))
+            up[max(a, b)] = min(a, b)
+    groups: dict[int, list[tuple]] = {}
+    for i, p in enumerate(patterns):
+        groups.setdefault(root(i), []).append(p)
+    return list(groups.values())
+
+
 def route(patterns: dict[tuple, int], quotas: dict[object, int], copies: int = MAX_COPIES) -> dict[tuple, dict[object, int]]:
     """Tokens of each membership pattern that go to each of its sources.
 
     patterns: tokens by tuple of sources. Network: start, pattern (one arc a copy, the k-th costs k squared, so
-    repetition is convex and spread before it deepens), source (free), end (quota of the source).
+    repetition is convex and spread before it deepens), source (free), end (quota of the source). Patterns that share no
+    source, nor are joined over others, cannot take flow from each other, so each such group is a network of its own.
     """
-    names = list(patterns)
-    sources = list(quotas)
-    net = FlowNetwork(2 + len(names) + len(sources))
-    place = {s: 2 + len(names) + i for i, s in enumerate(sources)}
-    for s in sources:
-        net.add(place[s], 1, quotas[s], 0)
-    arcs: dict[tuple, dict[object, int]] = {}
-    for i, p in enumerate(names):
-        for k in range(copies):
-            net.add(0, 2 + i, patterns[p], k * k)
-        arcs[p] = {s: net.add(2 + i, place[s], copies * patterns[p], 0) for s in p}
-    net.solve(0, 1)
-    return {p: {s: net.flow(a) for s, a in x.items()} for p, x in arcs.items()}
+    routed: dict[tuple, dict[object, int]] = {}
+    for names in overlapping(list(patterns)):
+        sources = list(dict.fromkeys(s for p in names for s in p))
+        net = FlowNetwork(2 + len(names) + len(sources))
+        place = {s: 2 + len(names) + i for i, s in enumerate(sources)}
+        for s in sources:
+            net.add(place[s], 1, quotas[s], 0)
+        arcs: dict[tuple, dict[object, int]] = {}
+        for i, p in enumerate(names):
+            for k in range(copies):
+                net.add(0, 2 + i, patterns[p], k * k)
+            arcs[p] = {s: net.add(2 + i, place[s], copies * patterns[p], 0) for s in p}
+        net.solve(0, 1)
+        routed |= {p: {s: net.flow(a) for s, a in x.items()} for p, x in arcs.items()}
+    return routed
 
 
 def n_words(text) -> F.Column:
