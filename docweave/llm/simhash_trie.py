@@ -14,6 +14,8 @@ from docweave.llm.common import arrow_rows, join_by_hot_key, materialize
 from docweave.llm.components import connected_components
 
 BITS = 64
+#: Pairs of nodes with at most so many pairs of leaves are compared leaf by leaf.
+SMALL = 256
 #: Rows of one trie that a task may hold at once; larger tries are dealt into groups.
 TRIE_ROWS = 50_000
 
@@ -85,14 +87,15 @@ def trie_links(
     x: leaves as unsigned 64-bit numbers, each trie sorted. roots: rows (a_lo, a_hi, b_lo, b_hi) of root pairs, whose
     leaves agree in the first ``depth`` bits. A node is a range of leaves with a common prefix. Pairs of nodes go
     down together; each differing bit costs one of the budget, and a pair that has spent more is pruned with all that
-    lies below it. A pair whose leaves are all in one class already is pruned too: smaller budgets come first, so a
-    dense group of near copies joins early and is not compared pair by pair again.
+    lies below it. A pair whose leaves are all in one class already is pruned too; runs of leaves of one class are looked
+    up anew whenever as many pairs as leaves were compared, so a dense group of near copies is not compared pair by pair.
 
     With ``front``, the budget is for so many first bits; with ``more``, a pair of leaves must also differ in at most
     ``differing`` bits of x and these further words together.
     """
     n = len(x)
     comp = np.arange(n)
+    fore = (x >> np.uint64(BITS - front)).astype(np.uint32 if front <= 32 else np.uint64)
     zeros: dict[int, np.ndarray] = {}
 
     def below(d: int) -> np.ndarray:
@@ -100,53 +103,63 @@ def trie_links(
             zeros[d] = np.concatenate(([0], np.cumsum(1 - ((x >> np.uint64(BITS - 1 - d)) & np.uint64(1)).astype(np.int32)))).astype(np.int32)
         return zeros[d]
 
-    for limit in sorted({1, min(2, budget), budget}) if budget else [0]:
-        # the end of the run of leaves of one class that starts at each leaf
+    def runs() -> np.ndarray:
+        """The end of the run of leaves of one class that starts at each leaf."""
         change = np.flatnonzero(np.diff(comp)) + 1
-        ends = np.repeat(np.append(change, n), np.diff(np.concatenate(([0], change, [n]))))
-        stack = [(depth, roots.astype(np.int64), np.zeros(len(roots), np.int8))]
-        while stack:
-            d, f, spent = stack.pop()
-            if len(f) > most:
-                half = len(f) // 2
-                stack += [(d, f[:half], spent[:half]), (d, f[half:], spent[half:])]
-                continue
-            alo, ahi, blo, bhi = f.T
-            own = (alo == blo) & (ahi == bhi)
-            done = (ends[alo] >= ahi) & (ends[blo] >= bhi) & (comp[alo] == comp[blo])
-            small = ~done & (((ahi - alo) * (bhi - blo) <= 64) | (d == BITS))
-            for s in _lots(f[small], 4 * most):
-                wide = s[:, 3] - s[:, 2]
-                many = (s[:, 1] - s[:, 0]) * wide
-                at = np.repeat(np.arange(len(s)), many)
-                k = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                i, j = s[at, 0] + k // wide[at], s[at, 2] + k % wide[at]
-                apart = x[i] ^ x[j]
-                near = (i != j) & (np.bitwise_count(apart >> np.uint64(BITS - front)) <= limit)
-                i, j, apart = i[near], j[near], apart[near]
-                if more is not None and len(i):
-                    total = np.bitwise_count(apart).astype(np.int64) + np.bitwise_count(more[i] ^ more[j]).sum(axis=1, dtype=np.int64)
-                    i, j = i[total <= differing], j[total <= differing]
-                _union(comp, i, j)
-            go = ~done & ~small
-            if not go.any():
-                continue
-            f, spent, own = f[go], spent[go], own[go]
-            alo, ahi, blo, bhi = f.T
-            z = below(d)
-            am, bm = alo + z[ahi] - z[alo], blo + z[bhi] - z[blo]
-            cost = int(d < front)
-            down = [  # (a0,b0), (a1,b1), (a0,b1), and (a1,b0) unless a is b
-                (np.stack([alo, am, blo, bm], 1), spent),
-                (np.stack([am, ahi, bm, bhi], 1), spent),
-                (np.stack([alo, am, bm, bhi], 1), spent + cost),
-                (np.stack([am, ahi, blo, bm], 1)[~own], (spent + cost)[~own]),
-            ]
-            f = np.concatenate([p for p, _ in down])
-            spent = np.concatenate([s for _, s in down]).astype(np.int8)
-            live = (spent <= limit) & (f[:, 1] > f[:, 0]) & (f[:, 3] > f[:, 2])
-            if live.any():
-                stack.append((d + 1, f[live], spent[live]))
+        return np.repeat(np.append(change, n), np.diff(np.concatenate(([0], change, [n]))))
+
+    ends, joined, compared = runs(), False, 0
+    stack = [(depth, roots.astype(np.int64), np.zeros(len(roots), np.int8))]
+    while stack:
+        d, f, spent = stack.pop()
+        if len(f) > most:
+            half = len(f) // 2
+            stack += [(d, f[:half], spent[:half]), (d, f[half:], spent[half:])]
+            continue
+        if joined and compared >= n:
+            ends, joined, compared = runs(), False, 0
+        alo, ahi, blo, bhi = f.T
+        own = (alo == blo) & (ahi == bhi)
+        done = (ends[alo] >= ahi) & (ends[blo] >= bhi) & (comp[alo] == comp[blo])
+        small = ~done & (((ahi - alo) * (bhi - blo) <= SMALL) | (d == BITS))
+        for s in _lots(f[small], 4 * most):
+            # a line is one leaf of the first node against all leaves of the second
+            lines = s[:, 1] - s[:, 0]
+            at = np.repeat(np.arange(len(s)), lines)
+            i = np.arange(len(at)) + np.repeat(s[:, 0] - (np.cumsum(lines) - lines), lines)
+            wide = (s[:, 3] - s[:, 2])[at]
+            first = np.cumsum(wide) - wide
+            j = np.arange(int(wide.sum()), dtype=np.int32)
+            compared += len(j)
+            j += np.repeat((s[at, 2] - first).astype(np.int32), wide)
+            near = np.flatnonzero(np.bitwise_count(np.repeat(fore[i], wide) ^ fore[j]) <= budget)
+            i, j = i[np.searchsorted(first, near, side="right") - 1], j[near]
+            new = comp[i] != comp[j]
+            i, j = i[new], j[new]
+            if more is not None and len(i):
+                total = np.bitwise_count(x[i] ^ x[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j]).sum(axis=1, dtype=np.int64)
+                i, j = i[total <= differing], j[total <= differing]
+            joined |= len(i) > 0
+            _union(comp, i, j)
+        go = ~done & ~small
+        if not go.any():
+            continue
+        f, spent, own = f[go], spent[go], own[go]
+        alo, ahi, blo, bhi = f.T
+        z = below(d)
+        am, bm = alo + z[ahi] - z[alo], blo + z[bhi] - z[blo]
+        cost = int(d < front)
+        down = [  # (a0,b0), (a1,b1), (a0,b1), and (a1,b0) unless a is b
+            (np.stack([alo, am, blo, bm], 1), spent),
+            (np.stack([am, ahi, bm, bhi], 1), spent),
+            (np.stack([alo, am, bm, bhi], 1), spent + cost),
+            (np.stack([am, ahi, blo, bm], 1)[~own], (spent + cost)[~own]),
+        ]
+        f = np.concatenate([p for p, _ in down])
+        spent = np.concatenate([s for _, s in down]).astype(np.int8)
+        live = (spent <= budget) & (f[:, 1] > f[:, 0]) & (f[:, 3] > f[:, 2])
+        if live.any():
+            stack.append((d + 1, f[live], spent[live]))
     return comp
 
 

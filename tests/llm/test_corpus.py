@@ -108,13 +108,24 @@ def near_values(seed, n):
     return sorted(set(x))
 
 
-def test_trie_links_equal_brute_force():
+@pytest.mark.parametrize("small", [1, 16, 256])
+def test_trie_links_equal_brute_force(monkeypatch, small):
+    monkeypatch.setattr(simhash_trie, "SMALL", small)
     for seed in range(4):
         x = np.array(near_values(seed, 60), np.uint64)
         comp = simhash_trie.trie_links(x, np.array([[0, len(x), 0, len(x)]]), 4, 0, most=50)
         assert comp.tolist() == brute_components(x, 4)
 
 
+def test_a_dense_group_joins_and_others_stay_apart(monkeypatch):
+    monkeypatch.setattr(simhash_trie, "SMALL", 16)
+    rng = np.random.default_rng(5)
+    group = {0x5555 << 40} | {0x5555 << 40 ^ 1 << int(a) ^ 1 << int(b) for a, b in rng.integers(0, 40, (2000, 2))}
+    x = np.array(sorted(group | {int(v) for v in rng.integers(1 << 60, 1 << 63, 50, dtype=np.uint64)}), np.uint64)
+    comp = simhash_trie.trie_links(x, np.array([[0, len(x), 0, len(x)]]), 4, 0, most=500)
+    assert comp.tolist() == [0] * len(group) + list(range(len(group), len(x)))
+
+
 def test_simhash_is_a_majority_of_bits():
     import xxhash
 
