@@ -52,6 +52,8 @@ GATES = 4 * DEPTHS
 PREDICTORS = 3
 #: Tokens of a block, which are worked on at once; tokens of the first segment and of later ones at most.
 BLOCK, FIRST, EVERY = 1 << 14, 32, 512
+#: Tokens whose kinds are found at once: those of one kind are counted and learnt from at once.
+LOT = 1 << 20
 PRIOR, RATE_DOC, SLOW_DOC = 100.0, 4.0, 400.0
 #: Words whose bits a worker remembers.
 MEMO = 200_000
@@ -59,6 +61,10 @@ MEMO = 200_000
 FLUSH_WORDS, CHUNK = 400_000, 1 << 16
 #: Logits of frozen tables are whole numbers of so many parts, below MOST.
 UNIT, MOST = 14, 128
+#: Bits of a leaf, which is below HEAD + 2, and of a very frequent word or none.
+LEAF_BITS, OFTEN_BITS = 20, 9
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_GATHER = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
@@ -423,23 +429,47 @@ def cuts(longest: int) -> np.ndarray:
     return np.array(out)
 
 
-def contexts(leaf: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """Hashed contexts before each token of texts of the given sizes: the word before, the last very frequent word."""
+def before(leaf: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before each token of texts of the given sizes: the word before, the last very frequent word."""
     first = np.cumsum(size) - size
-    before = np.empty(len(leaf), np.int32)
-    before[1:] = leaf[:-1]
-    before[first] = NONE
+    prior = np.empty(len(leaf), np.int32)
+    prior[1:] = leaf[:-1]
+    prior[first] = NONE
     n = np.arange(len(leaf))
-    often = (before >= WORD_0) & (before < WORD_0 + FREQUENT)
+    often = (prior >= WORD_0) & (prior < WORD_0 + FREQUENT)
     last = np.maximum.accumulate(np.where(often, n, 0))
     begin = np.repeat(first, size)
-    frequent = np.where((last >= begin) & often[last], before[last], NONE)
-    out = []
-    for k, x in enumerate((before, frequent)):
-        h = x.astype(np.uint32) * _B + np.uint32((k + 1) * 0x3C6EF372 & 0xFFFFFFFF)
-        h ^= h >> np.uint32(13)
-        out.append(h * _C)
-    return out
+    return prior, np.where((last >= begin) & often[last], prior[last], NONE)
+
+
+def hashed(k: int, x: np.ndarray) -> np.ndarray:
+    """Hashes of contexts of the k-th predictor."""
+    h = x.astype(np.uint32) * _B + np.uint32((k + 1) * 0x3C6EF372 & 0xFFFFFFFF)
+    h ^= h >> np.uint32(13)
+    return h * _C
+
+
+def contexts(leaf: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Hashed contexts before each token of texts of the given sizes."""
+    return [hashed(k, x) for k, x in enumerate(before(leaf, size))]
+
+
+def kinds(leaf: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The kind of each token: itself and what the predictors see before it, in one number. Kinds are in no telling order."""
+    prior, frequent = before(leaf, size)
+    key = (prior + 1).astype(np.uint64) << np.uint64(LEAF_BITS + OFTEN_BITS)
+    key |= np.maximum(frequent - WORD_0 + 1, 0).astype(np.uint64) << np.uint64(LEAF_BITS)
+    key |= leaf.astype(np.uint64)
+    key *= _SPREAD
+    return key
+
+
+def of_kind(key: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(leaf, hashed contexts) of kinds."""
+    key = key * _GATHER
+    frequent = (key >> np.uint64(LEAF_BITS) & np.uint64((1 << OFTEN_BITS) - 1)).astype(np.int32)
+    prior = (key >> np.uint64(LEAF_BITS + OFTEN_BITS)).astype(np.int32) - 1
+    return (key & np.uint64((1 << LEAF_BITS) - 1)).astype(np.int32), [hashed(k, x) for k, x in enumerate((prior, np.where(frequent > 0, frequent - 1 + WORD_0, NONE)))]
 
 
 @dataclass
@@ -461,23 +491,26 @@ class Model:
         return Model(self.words, self.tree, self.base, [t.frozen() for t in self.tables], self.weights, spell)
 
     def count(self, tables: list[Counts], leaf: np.ndarray, size: np.ndarray) -> None:
-        ctx = contexts(leaf, size)
-        for a in range(0, len(leaf), BLOCK):
-            cut = slice(a, a + BLOCK)
-            many, flat = self.tree.walk(leaf[cut])
-            mark, bit = self.tree.mark[flat], self.tree.bit[flat]
-            for t, h in zip(tables, ctx, strict=True):
-                t.add(np.repeat(h[cut], many), mark, bit)
+        for k, (t, x) in enumerate(zip(tables, before(leaf, size), strict=True)):
+            pair, n = np.unique((x + 1).astype(np.uint64) << np.uint64(LEAF_BITS) | leaf.astype(np.uint64), return_counts=True)
+            n = n.astype(t.n.dtype)
+            for a in range(0, len(pair), BLOCK):
+                part = pair[a : a + BLOCK]
+                many, flat = self.tree.walk((part & np.uint64((1 << LEAF_BITS) - 1)).astype(np.int32))
+                context = hashed(k, (part >> np.uint64(LEAF_BITS)).astype(np.int32) - 1)
+                t.add(np.repeat(context, many), self.tree.mark[flat], self.tree.bit[flat], np.repeat(n[a : a + BLOCK], many))
 
     def learn(self, leaf: np.ndarray, size: np.ndarray, bend: np.ndarray, by: list[np.ndarray]) -> None:
-        ctx = contexts(leaf, size)
-        for a in range(0, len(leaf), BLOCK):
-            cut = slice(a, a + BLOCK)
-            many, flat = self.tree.walk(leaf[cut])
+        """All tokens teach; those of one kind, which have equal bets, do so at once."""
+        key, n = np.unique(kinds(leaf, size), return_counts=True)
+        n = n.astype(np.float32)
+        for a in range(0, len(key), BLOCK):
+            last, ctx = of_kind(key[a : a + BLOCK])
+            many, flat = self.tree.walk(last)
             mark, bit = self.tree.mark[flat], self.tree.bit[flat]
-            found = [t.without_own(np.repeat(h[cut], many), mark, bit, x) for t, h, x in zip(self.tables, ctx, by, strict=True)]
+            found = [t.without_own(np.repeat(h, many), mark, bit, x) for t, h, x in zip(self.tables, ctx, by, strict=True)]
             gate = (found[0] != 0) + 2 * (found[1] != 0) + 4 * self.tree.depth[flat]
-            newton(self.weights, bend, gate, [self.base[flat], *found])
+            newton(self.weights, bend, gate, [self.base[flat], *found], np.repeat(n[a : a + BLOCK], many))
 
     def score(self, rows: list[list[bytes]], leaves: list[np.ndarray], rest: list[list[bytes]]) -> np.ndarray:
         """Bits of each text, by a frozen model. A text's score depends on itself and the model only.
@@ -656,14 +689,14 @@ def tables_of(parts: DataFrame, bits: tuple[int, ...]) -> list[Table]:
 
 
 def texts_in(batches: Iterator[pd.DataFrame], words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(leaves, sizes) of some texts at a time, about 8 * BLOCK tokens or one text."""
+    """(leaves, sizes) of some texts at a time, about LOT tokens or one text."""
     held: list[np.ndarray] = []
     size = 0
     for b in batches:
         for text in b["text"]:
             held.append(words.leaves(tokens(text)))
             size += len(held[-1])
-            if size >= 8 * BLOCK:
+            if size >= LOT:
                 yield np.concatenate(held), np.array([len(x) for x in held])
                 held, size = [], 0
     if held:
