@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import exact_dedup, lm_mixing, mpeg_audio, packing, pii_crf, preference, quality_cotrain, simhash_trie, source_mix, sp_lattice
+from docweave.llm import block_norms, exact_dedup, license_scan, lm_mixing, mpeg_audio, packing, pii_crf, preference, quality_cotrain, simhash_trie, source_mix, sp_lattice, whitening
 from docweave.llm.common import table
 
 
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packed_ids": _over("documents", packing.op8),
         "op9_mpeg_audio": _over("documents", mpeg_audio.op9),
         "op10_quality_cotrain": quality_cotrain.op10,
+        "op11_whitening": _over("embeddings", whitening.op11),
+        "op12_block_norms": _over("embeddings", block_norms.op12),
+        "op13_license_scan": _over("documents", license_scan.op13),
     }
 
 
@@ -34,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_source_mix": source_mix.OP4_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "op7_preference_format": preference.OP7_SQL,
+        "op12_block_norms": block_norms.OP12_SQL,
     }
