@@ -135,9 +135,7 @@ def center(box: Column) -> tuple[Column, Column]:
 
 def is_valid(field: Column, value: Column) -> Column:
     """Whether a stripped value fits its field; other fields take anything. One lookup and one match, whatever the field."""
-    patterns = {
-        f: ("(?iuU)" if f in d.ANY_CASE else "(?U)") + (f"^(?!.*({d.NOT_NATIONALITY}))" if f == "nationalite" else "") + p for f, p in d.VALIDATORS.items()
-    }
+    patterns = {f: ("(?iuU)" if f in d.ANY_CASE else "(?U)") + p for f, p in d.VALIDATORS.items()}
     pattern = F.try_element_at(F.create_map(*[F.lit(x) for kv in patterns.items() for x in kv]), field)
     return F.when(pattern.isNull(), True).otherwise(F.call_function("regexp_like", strip(value), pattern))
 

@@ -89,6 +89,7 @@ def reasons(config: EngineConfig = DEFAULT) -> Column:
         F.lit(f"{config.min_width}x{config.min_height} px"),
     )
     small = F.concat(F.lit("Taille des caractères trop petite ("), F.format_string("%.1f", c("char_height")), F.lit(f" px) — minimum requis : {config.min_char_height:g} px"))
+    # The wording of the reasons.
     dark = F.when(c("brightness") < 60, "trop sombre").otherwise("trop claire")
     return F.array_compact(F.array(
         F.when((c("width") < config.min_width) | (c("height") < config.min_height), size),
