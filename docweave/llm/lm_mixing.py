@@ -15,6 +15,7 @@ doubling distances, at most EVERY apart.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import itertools
 import math
@@ -34,6 +35,8 @@ END = "\n"  # the end's token; no word is one
 SPACE = 32
 #: A word with more than one in HEAD of all training tokens is a head word; so head words are fewer than HEAD.
 HEAD = 1_000_000
+#: Longer words, in bytes, are no head words, so all of them together are below HEAD * HEAD_BYTES bytes, and go by a digest.
+HEAD_BYTES = 48
 #: Leaves that are no head words: any other word, and the end.
 OTHER, END_ID, WORD_0 = 0, 1, 2
 #: The word before, where there is none.
@@ -59,6 +62,8 @@ PRIOR, RATE_DOC, SLOW_DOC = 100.0, 4.0, 400.0
 MEMO = 200_000
 #: Distinct words that a task counts before it hands them on; slots of a chunk of a table.
 FLUSH_WORDS, CHUNK = 400_000, 1 << 16
+#: Bytes of text after which it hands them on in any case; bytes of words whose bits a worker remembers.
+FLUSH_BYTES, MEMO_BYTES = 1 << 27, 1 << 25
 #: Logits of frozen tables are whole numbers of so many parts, below MOST.
 UNIT, MOST = 14, 128
 #: Bits of a leaf, which is below HEAD + 2, and of a very frequent word or none.
@@ -340,7 +345,7 @@ class Speller:
     """Bits of a word that is no head word, by its bytes and the space after them: the same in every text."""
 
     def __init__(self, tree: Tree, tables: list[Table], weights: np.ndarray):
-        self.tree, self.tables, self.weights, self.memo = tree, tables, weights, {}
+        self.tree, self.tables, self.weights, self.memo, self.held = tree, tables, weights, {}, 0
 
     @staticmethod
     def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -519,10 +524,12 @@ class Model:
         """
         bits = np.zeros(len(rows))
         own = self.speller.memo
-        if len(own) > MEMO:
+        if len(own) > MEMO or self.speller.held > MEMO_BYTES:
             own.clear()
+            self.speller.held = 0
         if new := list(set().union(*rest) - own.keys()):
             own.update(zip(new, self.speller.bits(new).tolist(), strict=True))
+            self.speller.held += sum(map(len, new))
         bits += [math.fsum(map(own.__getitem__, r)) for r in rest]
         order = np.argsort([-len(x) for x in leaves], kind="stable")
         a = 0
@@ -599,19 +606,32 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         def out() -> pd.DataFrame:
             return pd.DataFrame({"token": [w.decode() for w in seen], "n": list(seen.values())})
 
+        size = 0
         for b in batches:
             for text in b["text"]:
                 seen.update(tokens(text))
+                size += len(text)
             seen[END.encode()] += len(b)
-            if len(seen) >= FLUSH_WORDS:
+            if len(seen) >= FLUSH_WORDS or size >= FLUSH_BYTES:
                 yield out()
                 seen.clear()
+                size = 0
         if seen:
             yield out()
 
     return docs.select("text").mapInPandas(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def is_head(total: int):
+    """Whether a row (token, n) is a head word: frequent, and short enough to be on the driver with all others."""
+    return (F.col("n") * HEAD > F.lit(total)) & (F.octet_length("token") <= HEAD_BYTES) & (F.col("token") != END)
+
+
+def key_of(word: bytes, most: int) -> str:
+    """What a word that is no head word is joined by: itself, or a digest if it is long; no word has a space."""
+    return word.decode() if len(word) <= most else " " + hashlib.sha256(word).hexdigest()
+
+
 def byte_counts(words: DataFrame) -> np.ndarray:
     """How often words (token, n), each with a space after it, have each byte."""
 
@@ -707,9 +727,8 @@ def learn(docs: DataFrame, words: DataFrame) -> tuple[Model, np.ndarray]:
     """The model of docs (doc_id, text) and their words (token, n), and the counts of its leaves; all of a bounded size."""
     spark = docs.sparkSession
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    is_head = (F.col("n") * HEAD > F.lit(total)) & (F.col("token") != END)
-    head = sorted(((r["token"].encode(), r["n"]) for r in words.where(is_head).toLocalIterator()), key=lambda x: (-x[1], x[0]))  # fewer than HEAD
-    rest = words.where(~is_head & (F.col("token") != END))
+    head = sorted(((r["token"].encode(), r["n"]) for r in words.where(is_head(total)).toLocalIterator()), key=lambda x: (-x[1], x[0]))  # fewer than HEAD, HEAD_BYTES each at most
+    rest = words.where(~is_head(total) & (F.col("token") != END))
     ends = words.where(F.col("token") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     others = int(total) - ends - sum(n for _, n in head)
     counts = np.array([others, ends, *(n for _, n in head)], np.int64)
@@ -752,6 +771,7 @@ def score_documents(docs: DataFrame, model: Model, counts: np.ndarray) -> DataFr
     logs = np.log10(counts + 0.5)
     logs[OTHER] = 0.0
     shared = docs.sparkSession.sparkContext.broadcast((model, logs, counts[END_ID] > 0))
+    most = HEAD_BYTES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -771,7 +791,7 @@ def score_documents(docs: DataFrame, model: Model, counts: np.ndarray) -> DataFr
                     "rid": rid + np.arange(len(rows)), "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": [len(x) for x in leaves],
                     "n_bytes": [sum(map(len, w)) + len(w) + 1 for w in rows], "bits": m.score(rows, leaves, rest), "part": [logs[x].sum() for x in leaves],
                     "known": [len(x) - len(r) - (not ended) for x, r in zip(leaves, rest, strict=True)],
-                    "tail": [[w.decode() for w in c] for c in tails], "tf": [list(c.values()) for c in tails],
+                    "tail": [[key_of(w, most) for w in c] for c in tails], "tf": [list(c.values()) for c in tails],
                 })
                 rid += len(rows)
 
@@ -784,7 +804,7 @@ def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
     A null or empty text is the end alone; a text of any length is worked on in segments. A null doc_id has the
     remainder of the empty string. Repeated rows count and score each. Without any training row all counts are 0 and the
     first guesses score. An empty table gives an empty result; other columns are not read. Head words, fewer than HEAD by
-    counting, are scored where the text is; all other words go to their counts in a join on words, none of which has
+    counting and of HEAD_BYTES at most each, are scored where the text is; all other words go to their counts in a join on words, none of which has
     a large share of the training tokens.
     """
     arrow_rows(spark)
@@ -795,7 +815,9 @@ def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scored = materialize(score_documents(rows, model.frozen(), counts), "lm-scored")
     # a word that occurs in held-out texts only may be frequent there: sums by task come first
     tail = scored.select("rid", F.explode(F.arrays_zip(F.col("tail").alias("token"), "tf")).alias("t")).select("rid", "t.token", "t.tf")
-    counted = tail.join(words.where(F.col("n") * HEAD <= F.lit(total)).hint("merge"), "token", "left").groupBy("rid").agg(
+    long = F.octet_length("token") > HEAD_BYTES
+    others = words.where(~is_head(total)).select(F.when(long, F.concat(F.lit(" "), F.sha2("token", 256))).otherwise(F.col("token")).alias("token"), "n")
+    counted = tail.join(others.hint("merge"), "token", "left").groupBy("rid").agg(
         F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more")
     )
     norm = math.log10(total + 0.5 * (distinct + 1))

@@ -22,6 +22,8 @@ TAGS = ("O", *(f"{p}-{k}" for k in (*KINDS, "secret") for p in "BI"))
 MAX_SENTENCES = 5000
 #: Distinct words that a worker remembers.
 MEMO = 400_000
+#: Or so many bytes of them.
+MEMO_BYTES = 1 << 25
 #: How much better than "no personal data here" a span must be, in log score, on average over its words.
 MARGIN = 2.0
 
@@ -287,6 +289,7 @@ class Scorer:
         self.zero = zero
         self.edge = self._new(("^",), zero, crf.left.get("^", zero), crf.right.get("$", zero))
         self.memo: dict[bytes, int] = {}
+        self.held = 0
         # how much a neighbour can gain from any tag instead of O: an O that leads by more is O on every best path
         s = crf.step
         ends_a = np.vstack((s, crf.first))
@@ -307,8 +310,10 @@ class Scorer:
         if c is None:
             own = sum((self.crf.own[f] for f in names if f in self.crf.own), self.zero)
             c = self._new(key, own, self.crf.left.get(seen, self.zero), self.crf.right.get(seen, self.zero))
-        if len(self.memo) >= MEMO:
+        self.held += len(word)
+        if len(self.memo) >= MEMO or self.held >= MEMO_BYTES:
             self.memo.clear()
+            self.held = len(word)
         self.memo[word] = c
         return c
 
@@ -385,6 +390,12 @@ _WORD = re.compile(rb"\S+")
 _TRIM_A, _TRIM_B = "\"'<([", "\"'>)],.;:!?"
 
 
+def _byte(digits: str) -> bool:
+    """Whether digits, of any number, are at most 255."""
+    bare = digits.lstrip("0")
+    return len(bare) <= 3 and int(bare or "0") <= 255
+
+
 def plausible(kind: str, found: str) -> bool:
     """What a mention of the kind has in any form; shapes alone do not tell a card from another long number."""
     digits = _DIGIT_CHARS.sub("", found)
@@ -396,7 +407,7 @@ def plausible(kind: str, found: str) -> bool:
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
     if kind == "ip":
-        return found.count(":") >= 2 or bool(digits) and found.count(".") == 3 and bool(_IP.fullmatch(found)) and all(int(p) <= 255 for p in found.split("."))
+        return found.count(":") >= 2 or bool(digits) and found.count(".") == 3 and bool(_IP.fullmatch(found)) and all(_byte(p) for p in found.split("."))
     return len(found) >= 8 and bool(digits)
 
 

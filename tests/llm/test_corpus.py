@@ -1,5 +1,6 @@
 """The corpus operators against brute force, round trips and held-out rows; nulls, empties, ties, repeats, extra columns."""
 
+import functools
 import hashlib
 import itertools
 import json
@@ -577,11 +578,41 @@ def test_pii_on_odd_rows(spark, odd, none):
     assert pii_crf.op1(spark, none).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["5" * 5000, "0" * 6000 + "1", ".1", ".", "1.1.1.1", "-", "+", " ", "(", "@", ":", "ff", "é", "a"]), max_size=14), st.integers(0, 40))
+def test_pii_stands_any_word(parts, at):
+    text = "server ip address " * (at % 3) + "".join(parts) + " was seen at 10.2.3." + "9" * at
+    (base, more), = pii_crf.find_pii([text], _odd_scorer())
+    assert all(0 <= a < b <= len(text) for spans in base.values() for a, b in spans) and all(0 <= a < b <= len(text) for _, a, b in more)
+    assert all(pii_crf.plausible(k, "5" * 5000 + ".1.1.1") is False for k in ("ip", "card", "phone"))
+
+
+def test_pii_stands_a_word_of_a_megabyte():
+    for word in ("5" * (1 << 20), "1." * (1 << 19), "a@" * (1 << 19), "+1" * (1 << 19), ":f" * (1 << 19)):
+        assert len(pii_crf.find_pii(["ip " + word + ".1.1.1"], _odd_scorer())) == 1
+
+
+@functools.lru_cache(maxsize=1)
+def _odd_scorer():
+    return pii_crf.Scorer(pii_crf.train(pii_crf.labelled_sentences()))
+
+
 # ---------------------------------------------------------------- language model
 
 
-def test_base_score_equals_brute_force_with_and_without_tail(spark, monkeypatch):
+def test_long_words_stay_off_the_driver(spark):
+    docs = spark.createDataFrame([(k, "x" * 40_000 + str(k) + " some words") for k in range(30)] + [(40, "some words " * 9)], "doc_id long, text string")
+    words = lm_mixing.count_tokens(docs)
+    total = words.agg(F.sum("n")).first()[0]
+    assert words.where(lm_mixing.is_head(total)).agg(F.sum(F.octet_length("token"))).first()[0] < 100
+    got = {r.doc_id: r for r in lm_mixing.op2(spark, docs).collect()}
+    assert len(got) == 31 and all(r.n_known == (r.n_tokens if not r.held_out else r.n_tokens - 1) for k, r in got.items() if k < 30)
+
+
+@pytest.mark.parametrize("longest", [48, 5])
+def test_base_score_equals_brute_force_with_and_without_tail(spark, monkeypatch, longest):
     monkeypatch.setattr(lm_mixing, "HEAD", 500)  # most words then go through the join
+    monkeypatch.setattr(lm_mixing, "HEAD_BYTES", longest)
     docs = table(spark, SF, "documents")
     rows = {r.doc_id: lm_mixing.tokens(r.text) + [b"\n"] for r in docs.collect()}
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in rows}
