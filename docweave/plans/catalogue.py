@@ -19,7 +19,7 @@ from docweave.functions import text as t
 from docweave.operators import gates, kernels, layout, matching, mrz, quality
 from docweave.operators.extract import merge_fields
 from docweave.plans import engine, synth
-from docweave.sources import images, sinks
+from docweave.sources import images, shared, sinks, sqlite
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -691,3 +691,26 @@ def sqlite_paths(spark, sf_dir):
     url = F.concat(F.when(kind == 0, "sqlite:///").when(kind == 1, "sqlite://").otherwise(""), F.lit("db"), k)
     path = F.when(kind == 0, F.concat(F.lit("/abs/"), k)).otherwise(F.concat(F.lit("x"), k))
     return read(spark, sf_dir, "supplier").select("s_suppkey", images.sqlite_path(url).alias("file"), images.resolve_path(path, "/data/", kind == 1).alias("path"))
+
+
+@query("""
+WITH a AS (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN ' scan' || s_suppkey || '.png ' WHEN 1 THEN './sub//scan' || s_suppkey || '.png' WHEN 2 THEN '/archive/scan' || s_suppkey || '.png' WHEN 3 THEN NULL WHEN 4 THEN ' ' ELSE 'gone' || s_suppkey || '.png' END AS path
+  FROM supplier, range(0, 2) AS twice)
+SELECT CASE s_suppkey % 6 WHEN 0 THEN 'beside/scan' || s_suppkey || '.png' WHEN 1 THEN 'beside/sub/scan' || s_suppkey || '.png' ELSE path END AS path, count(*) AS n FROM a WHERE s_suppkey % 6 < 3 AND s_suppkey % 5 <> 0 GROUP BY s_suppkey, path
+""")
+def sqlite_image_list(spark, sf_dir):
+    """A list in databases, one a task, made from suppliers: twice each, blanks, nulls, paths of three kinds, some files missing."""
+    k = F.col("s_suppkey").cast("string")
+    kind, end = F.col("s_suppkey") % 6, F.concat(F.lit("scan"), k, F.lit(".png"))
+    path = (
+        F.when(kind == 0, F.concat(F.lit(" "), end, F.lit(" "))).when(kind == 1, F.concat(F.lit("./sub//"), end)).when(kind == 2, F.concat(F.lit("/archive/"), end))
+        .when(kind == 3, None).when(kind == 4, " ").otherwise(F.concat(F.lit("gone"), k, F.lit(".png")))
+    )
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("twice"))
+    folder = shared.mounted(shared.shared_folder(spark, "image-lists"))
+    made = [r.database for r in sqlite.write_databases(rows.select(path.alias("path")), folder).collect()]
+    there = read(spark, sf_dir, "supplier").where((kind < 3) & (F.col("s_suppkey") % 5 != 0)).select(
+        F.concat(F.when(kind == 2, "/archive/").when(kind == 1, folder + "/sub/").otherwise(folder + "/"), end).alias("path")
+    )
+    found = sqlite.images_from_sqlite(spark, made, listing=there)
+    return found.groupBy(F.regexp_replace("path", "^" + re.escape(folder), "beside").alias("path")).agg(F.count(F.lit(1)).alias("n"))

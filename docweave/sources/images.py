@@ -1,9 +1,7 @@
-"""Images from folders and from paths in SQLite."""
+"""Images from folders; lists in SQLite are in :mod:`docweave.sources.sqlite`."""
 
 from __future__ import annotations
 
-import os
-import sqlite3
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.operators import kernels
+from docweave.sources.sqlite import images_from_sqlite, resolve_path, sqlite_path
 
 SUFFIX = r"(?i)\.(jpe?g|png|bmp|tiff?|gif)$"
 
@@ -83,43 +82,4 @@ def measure(images: DataFrame) -> DataFrame:
     return images.select("path", "height", "width", "channels", "data", "error").mapInPandas(run, schema)
 
 
-# ---------------------------------------------------------------- SQLite
-
-
-def sqlite_path(url: Column) -> Column:
-    return F.regexp_replace(url, "^sqlite:///?", "")
-
-
-def resolve_path(path: Column, folder: str, known: Column) -> Column:
-    """Absolute as it is; relative to the database's folder if that file is known; else unchanged."""
-    return F.when(F.startswith(path, F.lit("/")), path).when(known, F.concat(F.lit(folder.rstrip("/") + "/"), path)).otherwise(path)
-
-
-def images_from_sqlite(spark: SparkSession, url: str, query: str = "SELECT path FROM images", listing: DataFrame | None = None) -> DataFrame:
-    """(path): the first column of a query, stripped, without blanks, only paths that exist, by path; repeats stay.
-
-    The database is read on the driver, as SQLite is a local file. listing: (path) of known files, for stores that are
-    not local. ValueError if the query fails or gives no row, FileNotFoundError if none of the files is there.
-    """
-    where = url.removeprefix("sqlite:///") if url.startswith("sqlite:///") else url.removeprefix("sqlite://")
-    with sqlite3.connect(f"file:{where}?mode=ro", uri=True) as db:
-        try:
-            rows = db.execute(query).fetchall()
-        except sqlite3.Error as e:
-            raise ValueError(f"query failed: {e}") from e
-    if not rows:
-        raise ValueError("the query gives no rows")
-    folder = os.path.dirname(os.path.abspath(where))
-    given = [(p,) for r in rows if r[0] is not None and (p := str(r[0]).strip())]
-    asked = spark.createDataFrame(given, "path string")
-    if listing is None:
-        tries = {p for (p,) in given} | {os.path.join(folder, p) for (p,) in given}
-        there = [(t,) for t in tries if os.path.exists(t)]
-        listing = spark.createDataFrame(there, "path string")
-    near = listing.select(F.col("path").alias("__near")).distinct()
-    found = asked.join(near, F.concat(F.lit(folder + "/"), F.col("path")) == F.col("__near"), "left")
-    found = found.select(resolve_path(F.col("path"), folder, F.col("__near").isNotNull()).alias("path"))
-    found = found.join(listing.select("path").distinct(), "path", "left_semi").orderBy("path")
-    if found.isEmpty():
-        raise FileNotFoundError("none of the images is there")
-    return found
+__all__ = ["SUFFIX", "images_from_sqlite", "is_image", "list_images", "measure", "pixels", "read_images", "resolve_path", "sqlite_path"]

@@ -12,7 +12,7 @@ from docweave.operators import kernels
 from docweave.operators.ocr import FunctionBackend, TokenTableBackend
 from docweave.plans.engine import Engine
 from docweave.schemas import TOKENS
-from docweave.sources import images, sinks
+from docweave.sources import images, sinks, sqlite
 
 
 def png(x):
@@ -176,15 +176,36 @@ def test_sqlite(spark, folder, tmp_path):
     db = folder / "list.db"
     with sqlite3.connect(db) as c:
         c.execute("CREATE TABLE images (path TEXT)")
-        c.executemany("INSERT INTO images VALUES (?)", [(" a.png ",), ("a.png",), ("gone.png",), ("",), (None,), (str(folder / "broken.jpg"),)])
-    found = [r.path for r in images.images_from_sqlite(spark, f"sqlite:///{db}").collect()]
-    assert found == [str(folder / "a.png")] * 2 + [str(folder / "broken.jpg")]
-    with pytest.raises(ValueError):
-        images.images_from_sqlite(spark, f"sqlite:///{db}", "SELECT nothing FROM nowhere")
-    with pytest.raises(ValueError):
-        images.images_from_sqlite(spark, f"sqlite:///{db}", "SELECT path FROM images WHERE 0")
-    with pytest.raises(FileNotFoundError):
-        images.images_from_sqlite(spark, f"sqlite:///{db}", "SELECT 'gone.png'")
+        c.executemany("INSERT INTO images VALUES (?)", [(" a.png ",), ("a.png",), ("gone.png",), ("",), (None,), (str(folder / "broken.jpg"),), (".//sub/./B.PNG",)])
+    want = [str(folder / "a.png")] * 2 + [str(folder / "broken.jpg"), str(folder / "sub" / "B.PNG")]
+    url = f"sqlite:///{db}"
+    assert [r.path for r in images.images_from_sqlite(spark, url).collect()] == want
+    assert [r.path for r in images.images_from_sqlite(spark, url, "SELECT path, 1 FROM images ORDER BY path;").collect()] == want
+    assert [r.path for r in images.images_from_sqlite(spark, str(db), listing=images.list_images(spark, str(folder))).collect()] == want
+    for query in ("SELECT nothing FROM nowhere", "SELECT path FROM images WHERE 0", "no SQL"):
+        with pytest.raises(ValueError):
+            images.images_from_sqlite(spark, url, query)
+    for table in ({"table": "nowhere"}, {"column": "nothing"}):
+        with pytest.raises(ValueError):
+            images.images_from_sqlite(spark, url, **table)
+    for gone in ((url, "SELECT 'gone.png'"), ("sqlite:///" + str(tmp_path / "none.db"),), (str(tmp_path),)):
+        with pytest.raises(FileNotFoundError):
+            images.images_from_sqlite(spark, *gone)
+
+
+def test_sqlite_plans_ranges_and_reads_each_row_once(spark, tmp_path):
+    db = tmp_path / "many.db"
+    with sqlite3.connect(db) as c:
+        c.execute("CREATE TABLE images (path TEXT)")
+        c.executemany("INSERT INTO images (rowid, path) VALUES (?, ?)", [(k * 3 - 50, f"p{k}") for k in range(1000)])
+        c.execute("CREATE TABLE keyed (path TEXT PRIMARY KEY) WITHOUT ROWID")
+        c.executemany("INSERT INTO keyed VALUES (?)", [(f"p{k}",) for k in range(1000)])
+    for asked in ({}, {"table": "keyed"}, {"query": "SELECT path FROM images WHERE path <> ''"}, {"query": "SELECT path, path FROM keyed"}):
+        df = sqlite.read_sqlite(spark, [str(db)], rows=100, **asked)
+        assert df.rdd.getNumPartitions() >= 10
+        assert sorted(r.value for r in df.collect()) == sorted(f"p{k}" for k in range(1000))
+    assert len(sqlite.plan(str(db), "PRAGMA table_info(images)", "", "")) == 1
+    assert sqlite.plan(str(db), None, "images", "path", 1)[-1].bounds[1] == 999 * 3 - 50 + 1 and len(sqlite.plan(str(db), None, "images", "path", 1)) <= sqlite.MOST_RANGES
 
 
 def test_stream_equals_batch(spark, folder, tmp_path):
