@@ -82,6 +82,31 @@ def combine(scored: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     return out.withColumn("status", status).withColumn("reasons", reasons(config))
 
 
+def judge(m: dict[str, float], config: EngineConfig = DEFAULT) -> tuple[str, int, int]:
+    """(status, score of sharpness, score of contrast) of one image's measured values: :func:`combine` for a worker that must know
+    at once whether to read an image. Both give the same status (tested over a grid of values)."""
+    def pick(value: float, steps, good=lambda v, b: v >= b) -> int:
+        bounds, rest = steps
+        return next((score for bound, score in bounds if good(value, bound)), rest)
+
+    v = m["brightness"]
+    light = 100 if 70 <= v <= 250 else 85 if 50 <= v < 70 or 250 < v <= 253 else 70 if 35 <= v < 50 or 253 < v <= 255 else 30
+    s = {
+        "sharpness": pick(m["sharpness"], SHARPNESS), "contrast": pick(m["contrast"], CONTRAST), "eta": pick(m["eta"], ETA),
+        "resolution": round(pick(m["width"] * m["height"], PIXELS) * 0.6 + pick(m["char_height"], CHAR_HEIGHT) * 0.4), "density": pick(m["density"], DENSITY),
+        "reflection": pick(m["reflection"], REFLECTION, lambda v, b: v < b), "brightness": light,
+    }
+    text = min(s["sharpness"], s["contrast"], s["eta"])
+    critical = text if m["eta"] > 0.85 and m["sharpness"] > 4000 and m["contrast"] > 150 else min(text, s["resolution"])
+    weighted = 0.0
+    for name, w in WEIGHTS.items():
+        weighted += s[name] * w
+    score = round(max(0.0, min(100.0, weighted, critical + 15.0)))
+    hard = m["width"] < config.min_width or m["height"] < config.min_height or m["char_height"] < config.min_char_height or critical < config.critical_floor or m["density"] < 0.001
+    status = "REJECTED" if hard else "ACCEPTED" if score >= config.accept_threshold else "WARNING" if score >= config.warning_threshold else "REJECTED"
+    return status, s["sharpness"], s["contrast"]
+
+
 def reasons(config: EngineConfig = DEFAULT) -> Column:
     c, low = F.col, lambda n: F.col(f"{n}_score") < 60
     size = F.concat(

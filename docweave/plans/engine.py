@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from docweave.config import DEFAULT, EngineConfig
 from docweave.functions import dictionary as d
 from docweave.operators import gates, layout, quality
 from docweave.operators.extract import extract_fields, widen
-from docweave.operators.ocr import OcrBackend, post_process
+from docweave.operators.ocr import FunctionBackend, OcrBackend, post_process, see_files
 from docweave.sources import images as image_source
+from docweave.sources import shared
 
 
 def extract_documents(tokens: DataFrame, config: EngineConfig = DEFAULT, post: bool = True) -> DataFrame:
@@ -36,23 +39,36 @@ class Engine:
     def __init__(self, spark: SparkSession, backend: OcrBackend, config: EngineConfig = DEFAULT):
         self.spark, self.backend, self.config = spark, backend, config
 
-    def assess(self, images: DataFrame) -> DataFrame:
-        """Images with measured values, scores, status and reasons; those that failed to decode have an error."""
-        return quality.combine(quality.scores(image_source.measure(images)), self.config)
+    def see(self, files: DataFrame) -> DataFrame:
+        """Files decoded, measured, judged and read in one pass, written to a shared folder: recognition runs once.
+
+        Columns of ``ocr.SEEN``, with scores, status and reasons. An image that cannot be decoded or read has an error; all
+        others go on.
+        """
+        shared.bound_batches(self.spark)
+        backend = self.backend if isinstance(self.backend, FunctionBackend) else None
+        seen = shared.written(see_files(files, backend, self.config), "seen")
+        return quality.combine(quality.scores(seen), self.config)
 
-    def run(self, folder: str) -> DataFrame:
-        """(image, status, failure_code, score, reasons, ten fields), successes first, then by image."""
-        return self.run_images(image_source.read_images(self.spark, folder))
+    def run(self, folder: str | Sequence[str]) -> DataFrame:
+        """(image, status, failure_code, score, reasons, ten fields), successes first, then by image. folder: or a list of files."""
+        rows = self.results(image_source.image_files(self.spark, folder))
+        return rows.drop("path").orderBy(F.when(F.col("status") == "SUCCESS", 0).otherwise(1), "image")
 
-    def run_images(self, images: DataFrame) -> DataFrame:
-        judged = self.assess(images).select("path", "error", "status", "score", "reasons", "sharpness_score", "contrast_score").persist()
-        good = images.join(gates.quality_gate(judged.where("error IS NULL")).select("path", "sharpness_score", "contrast_score"), "path")
-        tokens = self.backend.tokens(good).withColumn("doc_id", F.col("path"))
+    def results(self, files: DataFrame) -> DataFrame:
+        """The rows of :meth:`run` with their path, in no order, from files (path, content)."""
+        judged = self.see(files)
+        good = gates.quality_gate(judged.where("error IS NULL AND read_error IS NULL"))
+        if isinstance(self.backend, FunctionBackend):
+            tokens = good.select(F.col("path").alias("doc_id"), F.explode("tokens").alias("t")).select("doc_id", "t.*")
+        else:
+            tokens = self.backend.tokens(good).withColumn("doc_id", F.col("path"))
         found = extract_documents(tokens, self.config).withColumnRenamed("status", "found_status")
         rows = judged.withColumn("doc_id", F.col("path")).join(found, "doc_id", "left")
-        passed = F.col("status").isin("ACCEPTED", "WARNING")
-        status = F.when(F.col("error").isNotNull(), F.col("error")).when(~passed, F.col("status")).otherwise(F.coalesce("found_status", F.lit("FAILED")))
-        code = F.when(passed & F.col("error").isNull(), F.when(F.col("found_status").isNull(), gates.UNCLEAR).otherwise(F.col("failure_code")))
+        failed = F.coalesce("error", "read_error")
+        passed = F.col("status").isin("ACCEPTED", "WARNING") & failed.isNull()
+        status = F.when(failed.isNotNull(), failed).when(~passed, F.col("status")).otherwise(F.coalesce("found_status", F.lit("FAILED")))
+        code = F.when(passed, F.when(F.col("found_status").isNull(), gates.UNCLEAR).otherwise(F.col("failure_code")))
         return gates.blank_failed(rows.select(
-            gates.base_name(F.col("path")).alias("image"), status.alias("status"), code.alias("failure_code"), "score", "reasons", *d.FIELDS
-        )).orderBy(F.when(F.col("status") == "SUCCESS", 0).otherwise(1), "image")
+            "path", gates.base_name(F.col("path")).alias("image"), status.alias("status"), code.alias("failure_code"), "score", "reasons", *d.FIELDS
+        ))

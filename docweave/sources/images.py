@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,19 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(is_image(F.col("path"))).select("path", "length").orderBy("path")
 
 
+def image_files(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame:
+    """(path, content) of all image files below a folder, or of the files named, not decoded."""
+    if isinstance(folder, str):
+        _require(spark, folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder if isinstance(folder, str) else list(folder))
+    return files.where(is_image(F.col("path"))).select("path", "content")
+
+
+def bare_path(path: Column) -> Column:
+    """A local path without its scheme, as readers differ in how they write that."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, height, width, channels, data, orientation, error): pixels as stored, blue, green, red.
 
@@ -82,4 +95,4 @@ def measure(images: DataFrame) -> DataFrame:
     return images.select("path", "height", "width", "channels", "data", "error").mapInPandas(run, schema)
 
 
-__all__ = ["SUFFIX", "images_from_sqlite", "is_image", "list_images", "measure", "pixels", "read_images", "resolve_path", "sqlite_path"]
+__all__ = ["SUFFIX", "bare_path", "image_files", "images_from_sqlite", "is_image", "list_images", "measure", "pixels", "read_images", "resolve_path", "sqlite_path"]

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.lru_cache(maxsize=1)
@@ -30,3 +30,18 @@ def mounted(path: str) -> str:
     if bare == path and "://" in path:
         raise ValueError(f"{path} is not a mounted folder")
     return "/" + bare.lstrip("/") if bare != path else path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written to a shared folder and read back: what is costly runs once, and outlives any executor."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession, rows: int = 64, size: int = 32 << 20) -> None:
+    """Bound what one Arrow batch of files holds, by rows and by bytes."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

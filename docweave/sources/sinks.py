@@ -62,6 +62,16 @@ def observed(results: DataFrame, name: str = "results") -> tuple[DataFrame, Obse
     return results.observe(seen, F.count(F.lit(1)).alias("images"), F.count_if(F.col("status") == "SUCCESS").alias("successes")), seen
 
 
+def dead_letters(results: DataFrame, path: str) -> DataFrame:
+    """Append the rows of ``Engine.results`` that ended in an error to a Parquet table (path, image, error, at), and return it.
+
+    Its paths can be given to ``Engine.run`` again.
+    """
+    dead = results.where(F.startswith("status", F.lit("ERROR"))).select("path", "image", F.col("status").alias("error"), F.current_timestamp().alias("at"))
+    dead.write.mode("append").parquet(path)
+    return results.sparkSession.read.schema(dead.schema).parquet(path)
+
+
 def dump_images(images: DataFrame, folder: str) -> DataFrame:
     """Write (path, height, width, data) as portable pixmaps, named by stem; returns (path, file). For debugging."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,4 +94,4 @@ def dump_images(images: DataFrame, folder: str) -> DataFrame:
     return images.select("path", "height", "width", "data").mapInPandas(run, "path string, file string")
 
 
-__all__ = ["ORDER", "dump_images", "observed", "ordered", "rank", "result_columns", "status_counts", "union_results", "write_csv"]
+__all__ = ["ORDER", "dead_letters", "dump_images", "observed", "ordered", "rank", "result_columns", "status_counts", "union_results", "write_csv"]

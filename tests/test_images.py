@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docweave.config import EngineConfig
 from docweave.operators import kernels
-from docweave.operators.ocr import FunctionBackend, TokenTableBackend
+from docweave.operators.ocr import NOT_STARTED, ON_CPU, ON_GPU, FunctionBackend, TokenTableBackend, resource_profile, see_files
 from docweave.plans.engine import Engine
 from docweave.schemas import TOKENS
 from docweave.sources import images, sinks, sqlite
@@ -167,6 +168,93 @@ def test_run_gates_before_recognition_and_keeps_errors(spark, folder, tmp_path):
     assert count.get == {"images": 3, "successes": 1}
 
 
+def maker(dark=None):
+    """A recogniser that finds one label; with ``dark`` it fails where the image is darker in its corner. Nested, so that it is sent by value."""
+    def make():
+        def read(image):
+            if dark is not None and image[1, 1, 0] < dark:
+                raise RuntimeError("no tensor")
+            return [("Nom", 0.9, [[0, 0], [60, 0], [60, 20], [0, 20]])]
+
+        return read
+
+    return make
+
+
+def test_an_image_that_cannot_be_read_is_one_error_row(spark, tmp_path):
+    for k in range(4):
+        x = page()
+        x[:4, :4] = k * 50
+        (tmp_path / f"{k}.png").write_bytes(png(x))
+    (tmp_path / "cut.png").write_bytes(png(page())[:60])
+
+    engine = Engine(spark, FunctionBackend(maker(40), EngineConfig(fast_mode=True)), EngineConfig(fast_mode=True))
+    rows = engine.results(images.image_files(spark, str(tmp_path)))
+    got = {r.image: r.status for r in rows.collect()}
+    assert got["0.png"] == "ERROR: no tensor" and got["cut.png"].startswith("ERROR: ") and {got[f"{k}.png"] for k in (1, 2, 3)} == {"FAILED"}
+    dead = sinks.dead_letters(rows, str(tmp_path / "dead"))
+    assert sorted(r.image for r in dead.collect()) == ["0.png", "cut.png"]
+    again = Engine(spark, FunctionBackend(maker())).run([r.path for r in dead.collect()])
+    assert {r.image: r.status.split(":")[0] for r in again.collect()} == {"0.png": "FAILED", "cut.png": "ERROR"}
+
+
+def test_a_worker_that_cannot_start(spark, folder):
+    def make():
+        raise OSError("no model")
+
+    rows = Engine(spark, FunctionBackend(make)).run(str(folder)).collect()
+    assert {r.image: r.status for r in rows}["a.png"] == NOT_STARTED and len(rows) == 3
+    with pytest.raises(Exception, match="no model"):
+        Engine(spark, FunctionBackend(make, fail_fast=True)).run(str(folder)).collect()
+
+
+def test_options_reach_the_recogniser(spark, folder):
+    def make(options):
+        return lambda image: [(f"batch {options.batch}", None, [[0, 0]] * 4)]
+
+    seen = Engine(spark, FunctionBackend(make, options=ON_GPU)).see(images.image_files(spark, str(folder))).where("tokens IS NOT NULL").collect()
+    assert [t.text for r in seen for t in r.tokens] == ["batch 16"]
+
+
+def plan_nodes(plan):
+    yield plan
+    for k in range(plan.children().size()):
+        yield from plan_nodes(plan.children().apply(k))
+
+
+def test_only_recognition_has_the_resource_profile(spark, folder):
+    backend = FunctionBackend(maker(), options=ON_CPU, profile=resource_profile(ON_CPU))
+    seen = see_files(images.image_files(spark, str(folder)), backend)
+    nodes = list(plan_nodes(seen.withColumn("n", F.size("tokens")).groupBy("n").count()._jdf.queryExecution().optimizedPlan()))
+    with_profile = [n for n in nodes if n.nodeName() == "MapInPandas" and n.profile().isDefined()]
+    assert len(with_profile) == 1 and sum(n.nodeName() == "MapInPandas" for n in nodes) == 1
+    needs = resource_profile(ON_GPU, gpu_script="/opt/gpus.sh")
+    assert needs.taskResources["gpu"].amount == pytest.approx(1 / 3) and needs.executorResources["gpu"].amount == 1 and resource_profile(ON_CPU).taskResources["cpus"].amount == 2
+    assert "gpu" not in resource_profile(ON_CPU).taskResources
+
+
+def test_no_pixels_in_any_exchange(spark, folder):
+    seen = see_files(images.image_files(spark, str(folder)), FunctionBackend(maker()))
+    plan = seen.groupBy("error").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "content" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    dtypes = dict(seen.dtypes)
+    assert "binary" not in dtypes.values() and "data" not in dtypes
+
+
+def test_judge_equals_the_gate_in_sql(spark):
+    import itertools
+
+    import pandas as pd
+
+    from docweave.operators import quality
+
+    sizes = [(199, 150), (200, 149), (200, 150), (1200, 900), (400, 300), (2000, 1500)]
+    values = itertools.product(sizes, (0.0, 49.9, 75.0, 100.0, 4001.0), (7.9, 15.0, 40.0, 151.0), (0.079, 0.15, 0.5, 0.86), (3.9, 4.0, 10.0), (0.0009, 0.015), (0.0, 0.6), (34.9, 35.0, 70.0, 250.5, 255.0))
+    rows = [dict(zip(("width", "height", "sharpness", "contrast", "eta", "char_height", "density", "reflection", "brightness"), (*a, *more), strict=True)) for a, *more in values]
+    got = quality.combine(quality.scores(spark.createDataFrame(pd.DataFrame(rows)))).select("status", "sharpness_score", "contrast_score").collect()
+    assert [tuple(r) for r in got] == [quality.judge(r) for r in rows]
+
+
 def test_debug_dump(spark, tmp_path):
     df = spark.createDataFrame([("/x/a.png", 2, 3, bytes(18))], "path string, height int, width int, data binary")
     assert sinks.dump_images(df, str(tmp_path)).first().file.endswith("a_preprocessed.ppm") and (tmp_path / "a_preprocessed.ppm").read_bytes().startswith(b"P6 3 2 255")
