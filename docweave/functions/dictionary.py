@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Mapping
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,10 +118,10 @@ def normalize(text: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9؀-ۿ\s]", " ", bare).split())
 
 
-def keywords(spark: SparkSession) -> DataFrame:
-    """(field_ord, kw_ord, field, keyword, kw_norm, kw_words); 194 rows, so it may be broadcast."""
+def keywords(spark: SparkSession, given: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """(field_ord, kw_ord, field, keyword, kw_norm, kw_words) of the dictionary given; our own has 194 rows, so it may be broadcast."""
     rows = [
-        (i, j, field, k, normalize(k), normalize(k).split()) for i, (field, ks) in enumerate(KEYWORDS.items()) for j, k in enumerate(ks)
+        (i, j, field, k, normalize(k), normalize(k).split()) for i, (field, ks) in enumerate((given or KEYWORDS).items()) for j, k in enumerate(ks)
     ]
     return spark.createDataFrame(rows, "field_ord int, kw_ord int, field string, keyword string, kw_norm string, kw_words array<string>")
 

@@ -9,20 +9,20 @@ from docweave.config import DEFAULT, EngineConfig
 from docweave.functions import dictionary as d
 from docweave.functions.text import after_label, center, free_date, is_valid, merge_trim, strip
 from docweave.operators.layout import nearest_text, with_next_line
-from docweave.operators.matching import label_like_each_udf, label_like_udf, match_each_udf, match_udf
+from docweave.operators.matching import LabelMatcher, label_like, label_like_each, match_column, match_each, matcher
 from docweave.operators.mrz import mrz_fields
 
 
-def valid_field_value(field: Column, value: Column, label_like: Column) -> Column:
+def valid_field_value(field: Column, value: Column, like: Column) -> Column:
     """Not empty, not a label, and of the field's form."""
-    return value.isNotNull() & (strip(value) != "") & ~label_like & is_valid(field, value)
+    return value.isNotNull() & (strip(value) != "") & ~like & is_valid(field, value)
 
 
 def _texts(items: Column) -> Column:
     return F.transform(items, lambda i: F.coalesce(i["text"], F.lit("")))
 
 
-def line_values(lines: DataFrame) -> DataFrame:
+def line_values(lines: DataFrame, labels: LabelMatcher | None = None) -> DataFrame:
     """(doc_id, line_no, field, at, value, labelled): what the labels of a line yield, before the merge.
 
     lines: with next_items. For each label the first of these that is a valid value: text after the label in its own
@@ -32,13 +32,13 @@ def line_values(lines: DataFrame) -> DataFrame:
     without any value are rows too, with a null value; ``labelled`` tells tokens that are labels from whole lines.
     """
     texts = _texts(F.col("items"))
-    seen = lines.withColumn("m", match_each_udf(texts))
-    labels = F.filter(
+    seen = lines.withColumn("m", match_each(texts, labels))
+    marked = F.filter(
         F.transform("m", lambda m, k: F.struct(k.alias("k"), m["field"].alias("field"), m["keyword"].alias("keyword"))), lambda x: x["field"].isNotNull()
     )
-    seen = seen.withColumn("labels", labels).withColumn("n_labels", F.size("labels"))
+    seen = seen.withColumn("labels", marked).withColumn("n_labels", F.size("labels"))
     line_text = F.when(F.size("items") > 0, F.array_join(texts, " ")).otherwise(F.col("text"))
-    seen = seen.withColumn("whole", F.when(F.col("n_labels") == 0, line_text)).withColumn("w", match_udf("whole"))
+    seen = seen.withColumn("whole", F.when(F.col("n_labels") == 0, line_text)).withColumn("w", match_column(F.col("whole"), labels))
     alone = F.array(F.struct(F.lit(-1).alias("k"), F.col("w.field").alias("field"), F.col("w.keyword").alias("keyword")))
     seen = seen.withColumn("labels", F.when((F.col("n_labels") == 0) & F.col("w.field").isNotNull(), alone).otherwise(F.col("labels")))
     has_next = F.coalesce(F.size("next_items"), F.lit(0)) > 0
@@ -65,7 +65,7 @@ def line_values(lines: DataFrame) -> DataFrame:
         "rest": only(strip(F.array_join(F.slice(texts, F.lit(2), F.greatest(size - 1, F.lit(0))), " "))),
     })
     names = ("after", "candidate", "below", "joined", "rest")
-    own = own.withColumn("values", F.array(*names)).withColumn("like", label_like_each_udf("values"))
+    own = own.withColumn("values", F.array(*names)).withColumn("like", label_like_each(F.col("values"), labels))
     # exploding arrays of one keeps each step computed once: a filter on it is not merged into what it reads
     judged = F.zip_with("values", "like", lambda v, like: F.struct(
         v.alias("v"), ((v != "") & ~like).alias("some"), ((v != "") & ~like & is_valid(F.col("field"), v)).alias("ok")
@@ -97,16 +97,18 @@ def merge_fields(found: DataFrame, *more) -> DataFrame:
     return found.groupBy("doc_id", "field").agg(F.min_by("value", rank).alias("value"), *more)
 
 
-def extract_fields(lines: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+def extract_fields(lines: DataFrame, config: EngineConfig = DEFAULT, labels: LabelMatcher | None = None) -> DataFrame:
     """(doc_id, field, value, labelled) of all documents: the zone's values go first, then those of the lines in order.
 
-    labelled: whether a token of the document is a label of the field; fields with a label only have a null value.
+    labelled: whether a token of the document is a label of the field; fields with a label only have a null value. labels: a
+    matcher in place of the configuration's own.
     """
+    labels = labels or matcher(config)
     order = lambda src: F.struct(F.lit(src).alias("src"), "line_no", "at").alias("ord")
     zone = mrz_fields(lines, config.strict).select("doc_id", "field", "value", order(0), F.lit(False).alias("labelled"))
     trimmed = F.filter(F.array(merge_trim(F.col("value"))), lambda v: ((F.length(v) >= 2) | ((F.col("field") == "sexe") & (v != ""))) & is_valid(F.col("field"), v))
-    read = line_values(with_next_line(lines)).select("doc_id", "line_no", "at", "field", "labelled", F.explode_outer(trimmed).alias("value"))
-    read = read.withColumn("value", F.when(~label_like_udf("value"), F.when(F.col("field").isin(*d.DATES), free_date(F.col("value"))).otherwise(F.col("value"))))
+    read = line_values(with_next_line(lines), labels).select("doc_id", "line_no", "at", "field", "labelled", F.explode_outer(trimmed).alias("value"))
+    read = read.withColumn("value", F.when(~label_like(F.col("value"), labels), F.when(F.col("field").isin(*d.DATES), free_date(F.col("value"))).otherwise(F.col("value"))))
     return merge_fields(zone.unionByName(read.select("doc_id", "field", "value", order(1), "labelled")), F.max("labelled").alias("labelled"))
 
 

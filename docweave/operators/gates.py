@@ -27,10 +27,10 @@ def mandatory(columns: dict[str, Column]) -> Column:
     return out
 
 
-def labels_without_value(seen: DataFrame, fields: DataFrame) -> DataFrame:
-    """(doc_id, field): main fields whose label was seen but that have no clear value. seen: doc_id, field."""
-    main = seen.where(F.col("field").isin(*d.MAIN)).select("doc_id", "field").distinct()
-    return main.join(fields.where(clear(F.col("value"))), ["doc_id", "field"], "left_anti")
+def labels_without_value(seen: Column, columns: dict[str, Column]) -> Column:
+    """Main fields whose label was seen but that have no clear value; seen: array of fields, columns: values by field."""
+    open_ = [F.when(F.array_contains(seen, f) & ~clear(columns[f]), f) for f in d.MAIN]
+    return F.coalesce(F.array_compact(F.array(*open_)), F.expr("CAST(array() AS ARRAY<STRING>)"))
 
 
 def n_fields(columns: dict[str, Column]) -> Column:

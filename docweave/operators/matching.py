@@ -3,27 +3,28 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from functools import lru_cache
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from docweave.config import DEFAULT, EngineConfig
 from docweave.functions import dictionary as d
 from docweave.functions.text import label_candidates, normalize_label, word_score
 
-_ENTRIES = [(f, k, d.normalize(k), tuple(d.normalize(k).split())) for f, ks in d.KEYWORDS.items() for k in ks]
-_EXACT: dict[str, tuple[str, str]] = {}
-for _f, _k, _n, _w in _ENTRIES:
-    _EXACT.setdefault(_n, (_f, _k))
+Label = tuple[str | None, str | None]
 
 
-_WORDS = sorted({w for _, _, _, ws in _ENTRIES for w in ws})
-_WORD_SET = frozenset(_WORDS)
-_AT = {w: k for k, w in enumerate(_WORDS)}
+class LabelMatcher(Protocol):
+    """What extraction asks of a matcher; any picklable object with this method can take the place of :class:`Matcher`."""
+
+    def match(self, text: str | None) -> Label: ...
 
 
 def _letters(word: str) -> np.ndarray:
@@ -31,134 +32,271 @@ def _letters(word: str) -> np.ndarray:
     return np.bincount([ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 32 for c in word], minlength=58)[:58]
 
 
-_COUNTS = np.stack([_letters(w) for w in _WORDS])
-_LENGTHS = np.array([len(w) for w in _WORDS])
-#: Rows of keywords, columns of their words: the mean over a keyword's words.
-_MEAN = np.zeros((len(_ENTRIES), len(_WORDS)))
-for _i, (_, _, _, _ws) in enumerate(_ENTRIES):
-    for _w in _ws:
-        _MEAN[_i, _AT[_w]] += 1.0 / len(_ws)
-_SINGLE = np.array([len(ws) == 1 for _, _, _, ws in _ENTRIES])
-
-
-@lru_cache(maxsize=1 << 16)
-def _bounds(word: str) -> np.ndarray:
-    """No ratio is above twice the letters that both words have, in any order, over both lengths; for all keyword words."""
-    return 200.0 * np.minimum(_COUNTS, _letters(word)).sum(axis=1) / (_LENGTHS + len(word))
-
-
 @lru_cache(maxsize=1 << 18)
 def _score(word: str, keyword_word: str) -> float:
     return word_score(word, keyword_word)
 
 
-def fuzzy(have: tuple[str, ...], single: float, several: float, top: float) -> tuple[float, tuple[str, str] | None]:
-    """Best (score, label) above ``top`` by the mean over a keyword's words of the best ratio with any word."""
-    bound = _MEAN @ np.max([_bounds(h) for h in have], axis=0)
-    best = None
-    for i in np.flatnonzero(bound >= np.where(_SINGLE, single, several) - 1e-6).tolist():
-        field, keyword, _, words = _ENTRIES[i]
-        if bound[i] > top - 1e-6:
-            score = sum(max(_score(h, w) for h in have) for w in words) / len(words)
-            if score >= (single if len(words) == 1 else several) and score > top:
-                top, best = score, (field, keyword)
-    return top, best
+class Matcher:
+    """Labels of a dictionary: exact, by their words, or similar; thresholds for labels of one word and of several.
 
-
-@lru_cache(maxsize=1 << 17)
-def match_label(text: str | None, single: float = 82.0, several: float = 75.0) -> tuple[str | None, str | None]:
-    """(field, keyword) of a text: for each candidate an exact or a word-subset label, else the best fuzzy one of all.
-
-    An exact or subset hit of an earlier candidate goes before anything of a later one; of fuzzy hits, the highest score,
-    the earliest of equals.
+    Equal matchers are one object in a worker, so that what they remember outlives a task.
     """
-    if not text:
-        return None, None
-    clean = re.sub(r"(?<=[a-zA-Z])\.(?=[a-zA-Z])", " ", text)
-    candidates = [clean, *(p for p in map(str.strip, clean.split("/")) if len(p) >= 2)] if "/" in clean else [clean]
-    best: tuple[str | None, str | None] = (None, None)
-    top = 0.0
-    for label in candidates:
-        norm = d.normalize(label)
-        if not norm:
-            continue
-        if norm in _EXACT:
-            return _EXACT[norm]
-        have = tuple(norm.split())
-        inside = _WORD_SET.intersection(have)
-        if inside:
-            for field, keyword, _, words in _ENTRIES:
-                if inside.issuperset(words):
-                    return field, keyword
-        top, found = fuzzy(have, single, several, top)
-        best = found or best
-    return best
-
-
-@lru_cache(maxsize=1 << 17)
-def looks_like_label(value: str | None) -> bool:
+
+    def __init__(self, keywords: tuple[tuple[str, tuple[str, ...]], ...], single: float, several: float):
+        self.keywords, self.single, self.several = keywords, single, several
+        self.entries = [(f, k, d.normalize(k), tuple(d.normalize(k).split())) for f, ks in keywords for k in ks]
+        self.exact: dict[str, tuple[str, str]] = {}
+        for f, k, n, _ in self.entries:
+            self.exact.setdefault(n, (f, k))
+        words = sorted({w for *_, ws in self.entries for w in ws})
+        at = {w: k for k, w in enumerate(words)}
+        self.word_set = frozenset(words)
+        self.counts = np.stack([_letters(w) for w in words]) if words else np.zeros((0, 58), np.int64)
+        self.lengths = np.array([len(w) for w in words])
+        #: Rows of keywords, columns of their words: the mean over a keyword's words.
+        self.mean = np.zeros((len(self.entries), len(words)))
+        for i, (*_, ws) in enumerate(self.entries):
+            for w in ws:
+                self.mean[i, at[w]] += 1.0 / len(ws)
+        self.least = np.array([single if len(ws) == 1 else several for *_, ws in self.entries])
+        self.bounds = lru_cache(maxsize=1 << 16)(self._bounds)
+        self.match = lru_cache(maxsize=1 << 17)(self._match)
+        self.looks_like_label = lru_cache(maxsize=1 << 17)(lambda value: looks_like(self, value))
+
+    def __reduce__(self):
+        return matcher_of, (self.keywords, self.single, self.several)
+
+    def _bounds(self, word: str) -> np.ndarray:
+        """No ratio is above twice the letters that both words have, in any order, over both lengths; for all keyword words."""
+        return 200.0 * np.minimum(self.counts, _letters(word)).sum(axis=1) / (self.lengths + len(word))
+
+    def fuzzy(self, have: tuple[str, ...], top: float) -> tuple[float, tuple[str, str] | None]:
+        """Best (score, label) above ``top`` by the mean over a keyword's words of the best ratio with any word."""
+        bound = self.mean @ np.max([self.bounds(h) for h in have], axis=0)
+        best = None
+        for i in np.flatnonzero(bound >= self.least - 1e-6).tolist():
+            field, keyword, _, words = self.entries[i]
+            if bound[i] > top - 1e-6:
+                score = sum(max(_score(h, w) for h in have) for w in words) / len(words)
+                if score >= self.least[i] and score > top:
+                    top, best = score, (field, keyword)
+        return top, best
+
+    def _match(self, text: str | None) -> Label:
+        """(field, keyword) of a text: for each candidate an exact or a word-subset label, else the best fuzzy one of all.
+
+        An exact or subset hit of an earlier candidate goes before anything of a later one; of fuzzy hits, the highest
+        score, the earliest of equals.
+        """
+        if not text:
+            return None, None
+        clean = re.sub(r"(?<=[a-zA-Z])\.(?=[a-zA-Z])", " ", text)
+        candidates = [clean, *(p for p in map(str.strip, clean.split("/")) if len(p) >= 2)] if "/" in clean else [clean]
+        best: Label = (None, None)
+        top = 0.0
+        for label in candidates:
+            norm = d.normalize(label)
+            if not norm:
+                continue
+            if norm in self.exact:
+                return self.exact[norm]
+            have = tuple(norm.split())
+            inside = self.word_set.intersection(have)
+            if inside:
+                for field, keyword, _, words in self.entries:
+                    if inside.issuperset(words):
+                        return field, keyword
+            top, found = self.fuzzy(have, top)
+            best = found or best
+        return best
+
+
+@lru_cache(maxsize=8)
+def matcher_of(keywords: tuple[tuple[str, tuple[str, ...]], ...], single: float = 82.0, several: float = 75.0) -> Matcher:
+    return Matcher(keywords, single, several)
+
+
+def matcher(config: EngineConfig = DEFAULT, keywords: Mapping[str, list[str]] | None = None) -> Matcher:
+    """The matcher of a configuration's thresholds and a dictionary: labels by field, in order of precedence."""
+    return matcher_of(tuple((f, tuple(ks)) for f, ks in (keywords or d.KEYWORDS).items()), config.single_word_score, config.multi_word_score)
+
+
+def looks_like(labels: LabelMatcher, value: str | None) -> bool:
     """Whether a value is a label: it equals the label it matches, or is of at most three words that all match one."""
     norm = d.normalize(value) if value else ""
     if not norm:
         return False
-    field, keyword = match_label(value)
+    field, keyword = labels.match(value)
     if not field or not keyword:
         return False
     words = norm.split()
-    return norm == d.normalize(keyword) or (len(words) <= 3 and all(match_label(w)[0] for w in words))
+    return norm == d.normalize(keyword) or (len(words) <= 3 and all(labels.match(w)[0] for w in words))
+
+
+def match_label(text: str | None) -> Label:
+    return matcher().match(text)
+
+
+def looks_like_label(value: str | None) -> bool:
+    return matcher().looks_like_label(value)
 
 
 #: Types are objects here, as workers import this module without a session.
 MATCH = T.StructType([T.StructField("field", T.StringType()), T.StructField("keyword", T.StringType())])
 
 
-@F.pandas_udf(MATCH)
-def match_udf(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([match_label(x) for x in s], columns=["field", "keyword"], dtype=object)
+def match_column(text: Column, labels: LabelMatcher | None = None) -> Column:
+    """(field, keyword) of a text. Equal texts are matched once per worker."""
+    labels = labels or matcher()
+
+    @F.pandas_udf(MATCH)
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([labels.match(x) for x in s], columns=["field", "keyword"], dtype=object)
+
+    return run(text)
+
+
+def match_each(texts: Column, labels: LabelMatcher | None = None) -> Column:
+    labels = labels or matcher()
+
+    @F.pandas_udf(T.ArrayType(MATCH))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda texts: [dict(zip(("field", "keyword"), labels.match(x), strict=True)) for x in texts])
 
+    return run(texts)
 
-@F.pandas_udf(T.ArrayType(MATCH))
-def match_each_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda texts: [dict(zip(("field", "keyword"), match_label(x), strict=True)) for x in texts])
 
+def _like(labels: LabelMatcher):
+    return labels.looks_like_label if isinstance(labels, Matcher) else lambda v: looks_like(labels, v)
 
-@F.pandas_udf(T.BooleanType())
-def label_like_udf(s: pd.Series) -> pd.Series:
-    return s.map(looks_like_label)
 
+def label_like(value: Column, labels: LabelMatcher | None = None) -> Column:
+    labels = labels or matcher()
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def label_like_each_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda values: [looks_like_label(v) for v in values])
+    @F.pandas_udf(T.BooleanType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(_like(labels))
 
+    return run(value)
 
-def match(df: DataFrame, text: Column | str = "text") -> DataFrame:
-    """df with ``field`` and ``keyword``. Equal texts are matched once per worker."""
-    m = match_udf(F.col(text) if isinstance(text, str) else text)
-    return df.withColumn("__m", m).withColumns({"field": F.col("__m.field"), "keyword": F.col("__m.keyword")}).drop("__m")
 
+def label_like_each(values: Column, labels: LabelMatcher | None = None) -> Column:
+    labels = labels or matcher()
 
-def _labels(df: DataFrame, key: str, text: str) -> DataFrame:
-    out = df.select(key, F.posexplode(label_candidates(F.col(text))).alias("label_ord", "label"))
-    return out.withColumn("norm", normalize_label("label")).where("norm <> ''")
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def run(s: pd.Series) -> pd.Series:
+        like = _like(labels)
+        return s.map(lambda values: [like(v) for v in values])
 
+    return run(values)
 
-def match_exact(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, field, keyword): first exact label over the candidates, by a join with the dictionary (194 rows, broadcast)."""
-    hits = _labels(df, key, text).join(F.broadcast(d.keywords(df.sparkSession)), F.col("norm") == F.col("kw_norm"))
-    return _first(hits, key)
 
+# ---------------------------------------------------------------- by joins
 
-def match_subset(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, field, keyword): first label all of whose words are in a candidate; the dictionary is broadcast."""
-    labels = _labels(df, key, text).withColumn("words", F.split("norm", " "))
-    hits = labels.join(F.broadcast(d.keywords(df.sparkSession)), F.size(F.array_except("kw_words", "words")) == 0)
-    return _first(hits, key)
 
+def candidates(texts: DataFrame) -> DataFrame:
+    """(text, label_ord, norm) of the candidate labels of texts; those without any letter are left out."""
+    out = texts.select("text", F.posexplode(label_candidates(F.col("text"))).alias("label_ord", "label"))
+    return out.withColumn("norm", normalize_label("label")).where("norm <> ''").drop("label")
 
-def _first(hits: DataFrame, key: str) -> DataFrame:
-    at = F.struct("label_ord", "field_ord", "kw_ord")
-    return hits.groupBy(key).agg(F.min_by(F.struct("field", "keyword"), at).alias("m")).select(key, "m.field", "m.keyword")
+
+def dictionary(spark: SparkSession, keywords: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """(kw, field_ord, kw_ord, field, keyword, kw_norm, kw_words): one row a keyword, as many as the dictionary given has."""
+    return d.keywords(spark, keywords).withColumn("kw", F.struct("field_ord", "kw_ord"))
+
+
+def exact_hits(labels: DataFrame, words: DataFrame) -> DataFrame:
+    """(text, label_ord, stage, kw): labels that equal a keyword."""
+    return labels.join(words, F.col("norm") == F.col("kw_norm")).select("text", "label_ord", F.lit(0).alias("stage"), "kw")
+
+
+def _words(labels: DataFrame) -> DataFrame:
+    return labels.select("text", "label_ord", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
+
+
+def subset_hits(labels: DataFrame, words: DataFrame) -> DataFrame:
+    """(text, label_ord, stage, kw): labels that have all words of a keyword, by an index of the keywords' words."""
+    index = words.select("kw", F.size(F.array_distinct("kw_words")).alias("n"), F.explode(F.array_distinct("kw_words")).alias("word"))
+    met = _words(labels).join(index, "word").groupBy("text", "label_ord", "kw").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
+    return met.where("met = n").select("text", "label_ord", F.lit(1).alias("stage"), "kw")
+
+
+def similar_words(words: DataFrame, index: DataFrame) -> DataFrame:
+    """(word, kw_word, score) of words (word) and keyword words (kw_word, least) whose ratio may reach ``least``.
+
+    Both sides are signatures of letter counts, joined letter by letter: what two words have in common, in any order, bounds
+    the ratio of their matching blocks. Only pairs whose bound reaches ``least`` are scored.
+    """
+    def signature(rows: DataFrame, name: str) -> DataFrame:
+        letters = F.filter(F.split(name, ""), lambda c: c != "")
+        each = rows.select("*", F.length(name).alias(f"{name}_size"), F.explode(F.array_distinct(letters)).alias("letter"))
+        return each.withColumn(f"{name}_n", F.length(name) - F.length(F.replace(F.col(name), F.col("letter"), F.lit(""))))
+
+    met = signature(words, "word").join(signature(index, "kw_word"), "letter").groupBy("word", "kw_word", "word_size", "kw_word_size", "least").agg(F.sum(F.least("word_n", "kw_word_n")).alias("common"))
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([word_score(x, y) for x, y in zip(a, b, strict=True)])
+
+    near = met.where(F.lit(200.0) * F.col("common") / (F.col("word_size") + F.col("kw_word_size")) >= F.col("least") - 1e-6)
+    return near.select("word", "kw_word", score("word", "kw_word").alias("score"))
+
+
+def fuzzy_hits(labels: DataFrame, words: DataFrame, single: float, several: float) -> DataFrame:
+    """(text, label_ord, kw, score): keywords whose words are similar enough to words of a label, on average.
+
+    A keyword of n words that reaches the mean ``several`` has no word below n * several - 100 * (n - 1); that is
+    what the index of similar words asks of each.
+    """
+    n = F.size("kw_words")
+    least = F.greatest(F.lit(0.0), F.when(n == 1, F.lit(single)).otherwise(n * F.lit(several) - (n - 1) * 100.0))
+    places = words.select("kw", n.alias("n"), least.alias("least"), F.posexplode("kw_words").alias("pos", "kw_word"))
+    have = _words(labels)
+    scored = similar_words(have.select("word").distinct(), places.groupBy("kw_word").agg(F.min("least").alias("least")))
+    best = have.join(scored, "word").groupBy("text", "label_ord", "kw_word").agg(F.max("score").alias("score"))
+    each = best.join(places, "kw_word").groupBy("text", "label_ord", "kw").agg(F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("s"), F.first("n").alias("n"))
+    mean = F.aggregate("s", F.lit(0.0), lambda acc, s: acc + s["score"]) / F.col("n")  # in the order of the words
+    return each.select("text", "label_ord", "kw", mean.alias("score"), F.when(F.col("n") == 1, single).otherwise(several).alias("least")).where("score >= least").drop("least")
+
+
+def match_texts(texts: DataFrame, config: EngineConfig = DEFAULT, keywords: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """(text, field, keyword) of distinct texts (text) that match a label, by joins with the dictionary.
+
+    The same as :meth:`Matcher.match`: exact and word-subset hits by the earliest candidate, then stage, then keyword; texts without
+    any go to the similarity join, and only their words that come near a keyword's word are scored in Python. Null and empty
+    texts match nothing.
+    """
+    words = dictionary(texts.sparkSession, keywords)
+    labels = candidates(texts.where("text <> ''").select("text").distinct())
+    sure = exact_hits(labels, words).unionByName(subset_hits(labels, words)).groupBy("text").agg(F.min(F.struct("label_ord", "stage", "kw")).alias("h")).select("text", "h.kw")
+    rest = labels.join(sure, "text", "left_anti")
+    near = fuzzy_hits(rest, words, config.single_word_score, config.multi_word_score)
+    near = near.groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("s"), "label_ord", "kw")).alias("h")).select("text", "h.kw")
+    return sure.unionByName(near).join(words.select("kw", "field", "keyword"), "kw").select("text", "field", "keyword")
+
+
+def match(df: DataFrame, text: str = "text", config: EngineConfig = DEFAULT, keywords: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """df with ``field`` and ``keyword``, null where nothing matches; each distinct text is matched once, by :func:`match_texts`."""
+    found = match_texts(df.select(F.col(text).alias("text")), config, keywords).withColumnRenamed("text", "__text")
+    return df.join(found, F.col(text) == F.col("__text"), "left").drop("__text")
+
+
+def label_like_values(df: DataFrame, text: str, config: EngineConfig = DEFAULT, keywords: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """df with ``label_like``, by joins: see :func:`looks_like`. The words of short values are matched as texts of their own."""
+    values = df.select(F.col(text).alias("text")).where("text <> ''").distinct().withColumn("norm", normalize_label("text")).where("norm <> ''")
+    short = values.select("text", F.split("norm", " ").alias("words")).where(F.size("words") <= 3).select("text", F.explode(F.array_distinct("words")).alias("word"))
+    found = match_texts(values.select("text").unionByName(short.select(F.col("word").alias("text"))), config, keywords)
+    whole = values.join(found, "text").select("text", "norm", normalize_label("keyword").alias("kw_norm"))
+    every = short.join(found.select(F.col("text").alias("word"), F.lit(True).alias("hit")), "word", "left").groupBy("text").agg(F.every(F.coalesce("hit", F.lit(False))).alias("every"))
+    like = whole.join(every, "text", "left").where((F.col("norm") == F.col("kw_norm")) | F.coalesce("every", F.lit(False))).select(F.col("text").alias("__text"), F.lit(True).alias("label_like"))
+    return df.join(like, F.col(text) == F.col("__text"), "left").drop("__text").withColumn("label_like", F.coalesce("label_like", F.lit(False)))
+
+
+def first_of(hits: DataFrame, words: DataFrame) -> DataFrame:
+    """(text, field, keyword) of the earliest hit of each text."""
+    best = hits.groupBy("text").agg(F.min(F.struct("label_ord", "stage", "kw")).alias("h")).select("text", "h.kw")
+    return best.join(words.select("kw", "field", "keyword"), "kw").select("text", "field", "keyword")
 
 
 def adjacent_pairs(tokens: DataFrame) -> DataFrame:

@@ -220,11 +220,12 @@ def _labels(spark, sf_dir):
     return rows.select("c_custkey", label.alias("label"))
 
 
-_LABELS = f"""
-kw(field_ord, kw_ord, field, keyword, kw_norm) AS (VALUES {KEYWORD_VALUES}),
+_KW = f"kw(field_ord, kw_ord, field, keyword, kw_norm) AS (VALUES {KEYWORD_VALUES})"
+_LABEL_ROWS = f"""
 kn AS (SELECT *, row_number() OVER (ORDER BY field_ord, kw_ord) - 1 AS n, count(*) OVER () AS total FROM kw),
 l AS (SELECT c_custkey, CASE (c_custkey // total) % 4 WHEN 0 THEN upper(keyword) WHEN 1 THEN keyword || ':' WHEN 2 THEN keyword || ' ' || {LETTERS_SQL.format('c_custkey')}
-  ELSE {LETTERS_SQL.format('c_custkey')} || '/' || keyword END AS label FROM customer JOIN kn ON c_custkey % total = n),
+  ELSE {LETTERS_SQL.format('c_custkey')} || '/' || keyword END AS label FROM customer JOIN kn ON c_custkey % total = n)"""
+_LABELS = f"""{_KW},{_LABEL_ROWS},
 w AS (SELECT c_custkey, regexp_replace(label, '([a-zA-Z])\\.([a-zA-Z])', '\\1 \\2', 'g') AS whole FROM l),
 c AS (SELECT c_custkey, CASE WHEN contains(whole, '/') THEN list_concat([whole], list_filter(list_transform(string_split(whole, '/'), lambda s: trim(s)), lambda s: len(s) >= 2)) ELSE [whole] END AS parts FROM w),
 e AS (SELECT c_custkey, i AS label_ord, trim(regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(parts[i], '([a-z])([A-Z])', '\\1 \\2', 'g'))), '[^a-z0-9\\x{{0600}}-\\x{{06FF}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm
@@ -232,17 +233,24 @@ e AS (SELECT c_custkey, i AS label_ord, trim(regexp_replace(regexp_replace(strip
 """
 
 
+def _by_hits(spark, sf_dir, hits):
+    """Labels by one stage of the matcher only."""
+    rows, words = _labels(spark, sf_dir), matching.dictionary(spark)
+    found = matching.first_of(hits(matching.candidates(rows.select(F.col("label").alias("text")).distinct()), words), words)
+    return rows.join(found, F.col("label") == F.col("text")).select("c_custkey", "field", "keyword")
+
+
 @query(f"""WITH {_LABELS}, h AS (SELECT c_custkey, field, keyword, row_number() OVER (PARTITION BY c_custkey ORDER BY label_ord, field_ord, kw_ord) AS r FROM e JOIN kw ON norm = kw_norm)
 SELECT c_custkey, field, keyword FROM h WHERE r = 1""")
 def label_match_exact(spark, sf_dir):
-    return matching.match_exact(_labels(spark, sf_dir), "c_custkey", "label")
+    return _by_hits(spark, sf_dir, matching.exact_hits)
 
 
 @query(f"""WITH {_LABELS}, h AS (SELECT c_custkey, field, keyword, row_number() OVER (PARTITION BY c_custkey ORDER BY label_ord, field_ord, kw_ord) AS r
   FROM e JOIN kw ON norm <> '' AND list_has_all(string_split(norm, ' '), string_split(kw_norm, ' ')))
 SELECT c_custkey, field, keyword FROM h WHERE r = 1""")
 def label_match_subset(spark, sf_dir):
-    return matching.match_subset(_labels(spark, sf_dir), "c_custkey", "label")
+    return _by_hits(spark, sf_dir, matching.subset_hits)
 
 
 @query(f"""WITH {_LABELS}, h AS (
@@ -255,14 +263,55 @@ def label_match(spark, sf_dir):
     return matching.match(_labels(spark, sf_dir), "label").select("c_custkey", "field", "keyword")
 
 
-@query()
+#: The longest block that w[alo:ahi] and k[blo:bhi] share, as its length and (less of) where it begins: length * 10^6 + (999 - i) * 1000 + (999 - j); 0 without any.
+_BLOCK = """coalesce(list_max(flatten(list_transform(range({alo}, {ahi}), lambda i: list_transform(range({blo}, {bhi}), lambda j: CASE WHEN w[i] = k[j]
+  THEN len(list_filter(range(1, least({ahi} - i, {bhi} - j) + 1), lambda t: substr(w, i, t) = substr(k, j, t))) * 1000000 + (999 - i) * 1000 + 999 - j ELSE 0 END)))), 0)"""
+
+
+def _match_sql(texts: str) -> str:
+    """CTEs after ``kw`` that end in ``found`` (text, field, keyword): all stages of the matcher over the texts of a query."""
+    norm = "trim(regexp_replace(regexp_replace(strip_accents(lower(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'))), '[^a-z0-9\\x{{0600}}-\\x{{06FF}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"""
+tx AS (SELECT DISTINCT text FROM ({texts})),
+tw AS (SELECT text, regexp_replace(text, '([a-zA-Z])\\.([a-zA-Z])', '\\1 \\2', 'g') AS whole FROM tx),
+tp AS (SELECT text, CASE WHEN contains(whole, '/') THEN list_concat([whole], list_filter(list_transform(string_split(whole, '/'), lambda s: trim(s)), lambda s: len(s) >= 2)) ELSE [whole] END AS parts FROM tw),
+tl AS (SELECT text, i AS label_ord, {norm.format('parts[i]')} AS norm FROM tp, unnest(range(1, len(parts) + 1)) AS u(i)),
+la AS (SELECT * FROM tl WHERE norm <> ''),
+sure AS (SELECT text, label_ord, CASE WHEN norm = kw_norm THEN 0 ELSE 1 END AS stage, field_ord, kw_ord FROM la JOIN kw ON list_has_all(string_split(norm, ' '), string_split(kw_norm, ' '))),
+lw AS (SELECT DISTINCT text, label_ord, unnest(string_split(norm, ' ')) AS w FROM la WHERE text NOT IN (SELECT text FROM sure)),
+ks AS (SELECT field_ord, kw_ord, len(string_split(kw_norm, ' ')) AS n, unnest(string_split(kw_norm, ' ')) AS k, unnest(range(1, len(string_split(kw_norm, ' ')) + 1)) AS pos FROM kw),
+pa AS (SELECT w, k FROM (SELECT DISTINCT w FROM lw), (SELECT DISTINCT k FROM ks)),
+rb AS (
+  SELECT w, k, 1 AS alo, len(w) + 1 AS ahi, 1 AS blo, len(k) + 1 AS bhi, {_BLOCK.format(alo='1', ahi='len(w) + 1', blo='1', bhi='len(k) + 1')} AS b FROM pa
+  UNION ALL
+  SELECT w, k, alo, ahi, blo, bhi, {_BLOCK.format(alo='alo', ahi='ahi', blo='blo', bhi='bhi')} FROM (
+    SELECT w, k, CASE WHEN side = 0 THEN alo ELSE 999 - (b // 1000) % 1000 + b // 1000000 END AS alo, CASE WHEN side = 0 THEN 999 - (b // 1000) % 1000 ELSE ahi END AS ahi,
+      CASE WHEN side = 0 THEN blo ELSE 999 - b % 1000 + b // 1000000 END AS blo, CASE WHEN side = 0 THEN 999 - b % 1000 ELSE bhi END AS bhi FROM rb, range(0, 2) AS s(side) WHERE b > 0) WHERE alo < ahi AND blo < bhi
+),
+ws AS (SELECT w, k, 2.0::DOUBLE * sum(b // 1000000) / (len(w) + len(k)) * 100 AS score FROM rb GROUP BY w, k),
+wb AS (SELECT text, label_ord, k, max(score) AS score FROM lw JOIN ws USING (w) GROUP BY text, label_ord, k),
+fz AS (SELECT text, label_ord, field_ord, kw_ord, any_value(n) AS n, list_reduce(list(score ORDER BY pos), lambda a, b: a + b) / any_value(n) AS score FROM wb JOIN ks USING (k) GROUP BY text, label_ord, field_ord, kw_ord),
+hit AS (SELECT text, 0 AS far, label_ord, stage, field_ord, kw_ord FROM sure UNION ALL SELECT text, -score, label_ord, 2, field_ord, kw_ord FROM fz WHERE score >= CASE WHEN n = 1 THEN 82 ELSE 75 END),
+hr AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY far, label_ord, stage, field_ord, kw_ord) AS r FROM hit),
+found AS (SELECT text, field, keyword, kw_norm FROM hr JOIN kw USING (field_ord, kw_ord) WHERE r = 1)"""
+
+
+@query(f"""WITH RECURSIVE {_KW}, {_VARIANTS}, {_match_sql('SELECT text FROM x')}
+SELECT c_custkey, x.text, field, keyword FROM x LEFT JOIN found USING (text)""")
 def label_match_fuzzy(spark, sf_dir):
     return matching.match(_variants(spark, sf_dir)).select("c_custkey", "text", "field", "keyword")
 
 
-@query()
+_LIKE_NORM = "trim(regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(label, '([a-z])([A-Z])', '\\1 \\2', 'g'))), '[^a-z0-9\\x{0600}-\\x{06FF}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH RECURSIVE {_KW}, {_LABEL_ROWS},
+ww AS (SELECT DISTINCT label AS value, {_LIKE_NORM} AS norm FROM l), sw AS (SELECT value, unnest(string_split(norm, ' ')) AS word FROM ww WHERE norm <> '' AND len(string_split(norm, ' ')) <= 3),
+{_match_sql('SELECT value AS text FROM ww UNION ALL SELECT word FROM sw')},
+ev AS (SELECT value, bool_and(found.text IS NOT NULL) AS ok FROM sw LEFT JOIN found ON word = found.text GROUP BY value)
+SELECT c_custkey, label, coalesce(found.text IS NOT NULL AND (norm = kw_norm OR coalesce(ok, false)), false) AS label_like FROM l JOIN ww ON label = ww.value LEFT JOIN found ON found.text = label LEFT JOIN ev ON ev.value = label""")
 def label_like_values(spark, sf_dir):
-    return _labels(spark, sf_dir).withColumn("label_like", matching.label_like_udf("label"))
+    return matching.label_like_values(_labels(spark, sf_dir), "label")
 
 
 @query(f"""
@@ -434,8 +483,10 @@ def mandatory_gate(spark, sf_dir):
 
 @query(f"WITH {_FOUND} SELECT doc_id, field FROM g WHERE (doc_id + i) % 3 = 0 AND NOT coalesce(length(trim(value)) >= 2, false)")
 def label_without_value(spark, sf_dir):
-    found = _found(spark, sf_dir)
-    return gates.labels_without_value(found.where((F.col("doc_id") + F.col("i")) % 3 == 0), found)
+    wide = _found(spark, sf_dir).groupBy("doc_id").agg(
+        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in d.MAIN], F.collect_set(F.when((F.col("doc_id") + F.col("i")) % 3 == 0, F.col("field"))).alias("seen")
+    )
+    return wide.select("doc_id", F.explode(gates.labels_without_value(F.col("seen"), {f: F.col(f) for f in d.MAIN})).alias("field"))
 
 
 @query("""SELECT l_orderkey AS doc_id, f AS field, arg_min(v, (l_linenumber, l_partkey)) AS value FROM (SELECT *, CASE WHEN l_returnflag = 'N' THEN 'nom' ELSE 'prenom' END AS f, 'V' || l_partkey AS v FROM lineitem) GROUP BY l_orderkey, f""")

@@ -11,24 +11,23 @@ from docweave.config import DEFAULT, EngineConfig
 from docweave.functions import dictionary as d
 from docweave.operators import gates, layout, quality
 from docweave.operators.extract import extract_fields, widen
+from docweave.operators.matching import LabelMatcher
 from docweave.operators.ocr import FunctionBackend, OcrBackend, post_process, see_files
 from docweave.sources import images as image_source
 from docweave.sources import shared
 
 
-def extract_documents(tokens: DataFrame, config: EngineConfig = DEFAULT, post: bool = True) -> DataFrame:
+def extract_documents(tokens: DataFrame, config: EngineConfig = DEFAULT, post: bool = True, labels: LabelMatcher | None = None) -> DataFrame:
     """(doc_id, status, failure_code, ten fields) from tokens: one row for each document that has tokens.
 
     A document's tokens are brought together once, by doc_id; layout, zones and values then need no other exchange than
-    by doc_id, which Spark reuses.
+    by doc_id, which Spark reuses. labels: a matcher of labels in place of the configuration's own, see ``matching.matcher``.
     """
     nested = layout.nest(post_process(tokens, config) if post else tokens)
-    wide = widen(extract_fields(layout.build_lines(nested, config.line_tolerance), config))
+    wide = widen(extract_fields(layout.build_lines(nested, config.line_tolerance), config, labels))
     rows = tokens.select("doc_id").distinct().join(wide, "doc_id", "left")
     columns = {f: F.col(f) for f in d.FIELDS}
-    open_label = F.lit(False)
-    for f in d.MAIN:
-        open_label |= F.coalesce(F.array_contains("seen", f), F.lit(False)) & ~gates.clear(columns[f])
+    open_label = F.size(gates.labels_without_value(F.col("seen"), columns)) > 0
     status, code = gates.outcome(columns, open_label)
     return rows.select("doc_id", status.alias("status"), code.alias("failure_code"), *d.FIELDS)
 
@@ -36,8 +35,8 @@ def extract_documents(tokens: DataFrame, config: EngineConfig = DEFAULT, post: b
 class Engine:
     """Run the whole way over a folder: quality gate, recognition, extraction, one result row per image."""
 
-    def __init__(self, spark: SparkSession, backend: OcrBackend, config: EngineConfig = DEFAULT):
-        self.spark, self.backend, self.config = spark, backend, config
+    def __init__(self, spark: SparkSession, backend: OcrBackend, config: EngineConfig = DEFAULT, labels: LabelMatcher | None = None):
+        self.spark, self.backend, self.config, self.labels = spark, backend, config, labels
 
     def see(self, files: DataFrame) -> DataFrame:
         """Files decoded, measured, judged and read in one pass, written to a shared folder: recognition runs once.
@@ -63,7 +62,7 @@ class Engine:
             tokens = good.select(F.col("path").alias("doc_id"), F.explode("tokens").alias("t")).select("doc_id", "t.*")
         else:
             tokens = self.backend.tokens(good).withColumn("doc_id", F.col("path"))
-        found = extract_documents(tokens, self.config).withColumnRenamed("status", "found_status")
+        found = extract_documents(tokens, self.config, labels=self.labels).withColumnRenamed("status", "found_status")
         rows = judged.withColumn("doc_id", F.col("path")).join(found, "doc_id", "left")
         failed = F.coalesce("error", "read_error")
         passed = F.col("status").isin("ACCEPTED", "WARNING") & failed.isNull()

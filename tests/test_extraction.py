@@ -60,6 +60,74 @@ def test_bounds_never_change_the_match(keyword, at, letter):
         assert match_label(text) == plain_match(text)
 
 
+NOISY = [
+    "Nom", "NOM", "Prenom", "Prenom/Cwtpinc12", "Date de naissance", "Nationality", "Nationite/ncbonFor", "Dute.depalpance", "Autontea", "Dae drplration/Dc", "SeSOTaerpCoueurdesm", "Random text", "Given name/Prénom", "noms", "norm",
+    "local de nascimento 1", "", None, "...", "a/b", "رقم بطاقة التعريف", "dat of brth", "numer de document", "x" * 300, "Lieu de naissanc/Place", "aut", "de", "date de", "É", "prenom nom sexe adresse",
+]
+
+
+def test_matching_by_joins_equals_the_matcher(spark):
+    """Thresholds, dictionaries and the precedence of candidates, stages and keywords; repeated texts and clashing columns."""
+    from pyspark.sql import functions as F
+
+    from docweave.config import EngineConfig
+    from docweave.operators import matching
+
+    rng = __import__("random").Random(7)
+    words = sorted({w for ks in d.KEYWORDS.values() for k in ks for w in k.split()})
+    made = ["".join(rng.choice("aeinrst ") if rng.random() < 0.12 else c for c in " ".join(rng.sample(words, rng.randint(1, 3)))) for _ in range(150)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(NOISY + made + NOISY[:3])], "k int, text string").withColumn("word", F.lit("clash"))
+    own = {"a": ["first thing", "nom"], "b": ["thing", "second thing here now five"]}
+    for config, keywords in ((EngineConfig(), None), (EngineConfig(single_word_score=60.0, multi_word_score=50.0), None), (EngineConfig(multi_word_score=30.0), own)):
+        labels = matching.matcher(config, keywords)
+        got = {r.k: (r.field, r.keyword) for r in matching.match(df, "text", config, keywords).collect()}
+        assert got == {r.k: labels.match(r.text) for r in df.collect()}
+        like = {r.k: r.label_like for r in matching.label_like_values(df, "text", config, keywords).collect()}
+        assert like == {r.k: labels.looks_like_label(r.text) for r in df.collect()}
+    assert matching.match(df.limit(0)).count() == 0
+
+
+def test_only_texts_without_a_sure_hit_are_scored(spark):
+    from docweave.operators import matching
+
+    df = spark.createDataFrame([("Nom",), ("date de naissance 2",), ("prenim",)], "text string")
+    words = matching.dictionary(spark)
+    labels = matching.candidates(df)
+    sure = matching.exact_hits(labels, words).unionByName(matching.subset_hits(labels, words))
+    assert {r.text for r in sure.select("text").distinct().collect()} == {"Nom", "date de naissance 2"}
+    plan = matching.match_texts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan and "LeftAnti" in plan
+
+
+def test_own_matcher_and_thresholds_act(spark):
+    import dataclasses
+
+    from docweave.config import EngineConfig
+    from docweave.operators import matching
+
+    class Fixed:
+        def match(self, text):
+            return ("nom", "title") if text == "TITLE" else (None, None)
+
+    def found(**more):
+        tokens = [("TITLE", 100, 100), ("HUMBERT", 300, 100), ("Prenim", 100, 140), ("FLAVIEN", 300, 140)]
+        rows = [(1, k, t, 0.9, box(x, y), "unknown") for k, (t, x, y) in enumerate(tokens)]
+        return extract_documents(spark.createDataFrame(rows, TOKENS), post=False, **more).first().asDict()
+
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    try:
+        assert found(labels=Fixed())["nom"] == "HUMBERT" and found(labels=Fixed())["prenom"] is None
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
+    assert found()["nom"] is None and found()["prenom"] == "FLAVIEN"
+    assert found(config=dataclasses.replace(EngineConfig(), single_word_score=99.0, multi_word_score=99.0))["prenom"] is None
+    assert found(labels=matching.matcher(keywords={"nom": ["title"]}))["nom"] == "HUMBERT"
+
+
 @given(st.text(alphabet="abcde", max_size=12), st.text(alphabet="abcde", max_size=12))
 def test_indel_ratio_is_by_longest_common_subsequence(a, b):
     p = [0] * (len(b) + 1)
