@@ -9,7 +9,7 @@ from dataclasses import dataclass
 class EngineConfig:
     """Thresholds; the defaults reproduce the established behaviour, odd cases included.
 
-    strict: parse French ID lines by their layout, rather than as a passport's name line with a shifted country.
+    debug_dir: a folder for the preprocessed images. strict: parse French ID lines by their layout, rather than as a passport's name line with a shifted country.
     """
 
     accept_threshold: int = 70
@@ -31,6 +31,7 @@ class EngineConfig:
     ocr_max_side: int = 960
     colour_masks: bool = False
     strict: bool = False
+    debug_dir: str | None = None
 
 
 DEFAULT = EngineConfig()

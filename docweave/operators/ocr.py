@@ -17,6 +17,7 @@ from docweave.config import DEFAULT, EngineConfig
 from docweave.operators import kernels, quality
 from docweave.operators.decode import decode
 from docweave.sources.images import bare_path
+from docweave.sources.sinks import dump_image
 
 #: What a recogniser gives for an image: text, confidence, box of four corners.
 Found = list[tuple[str, float, list[list[float]]]]
@@ -128,7 +129,10 @@ def see(path: str, content: bytes, read: Callable[[np.ndarray], Found] | str | N
         return out
     try:
         image = kernels.upright(image, kernels.orientation(content))
-        image = kernels.fit_side(kernels.preprocess(image, sharpness, contrast, config), config.ocr_max_side)
+        image = kernels.preprocess(image, sharpness, contrast, config)
+        if config.debug_dir and not config.fast_mode:
+            dump_image(image, path, config.debug_dir)
+        image = kernels.fit_side(image, config.ocr_max_side)
         return out | {"tokens": tokens_of(image, read, config)}
     except Exception as e:  # noqa: BLE001
         return out | {"read_error": f"ERROR: {e}"}

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from docweave.functions import dictionary as d
 from docweave.functions import text as t
-from docweave.operators import gates, kernels, layout, matching, mrz, quality
+from docweave.operators import decode, encode, gates, kernels, layout, matching, mrz, quality
 from docweave.operators.extract import merge_fields
 from docweave.plans import engine, synth
 from docweave.sources import images, shared, sinks, sqlite
@@ -588,6 +588,17 @@ def gray_histogram(spark, sf_dir):
     return _planes(spark, sf_dir).select("id", F.posexplode(levels).alias("level", "n")).where("n > 0")
 
 
+@query(f"WITH {_PIXELS} SELECT id, (pos // 8)::INT AS y, (pos % 8)::INT AS x, level FROM x")
+def png_round_trip(spark, sf_dir):
+    """Planes written as PNG files by one kernel and decoded by another."""
+    def there_and_back(x: np.ndarray) -> np.ndarray:
+        return decode.decode(encode.png(np.repeat(_plane(x)[..., None], 3, axis=2)))[..., 0].ravel()
+
+    levels = _of_image("array<int>", there_and_back)("plane")
+    rows = _planes(spark, sf_dir).select("id", F.posexplode(levels).alias("pos", "level"))
+    return rows.select("id", F.floor(F.col("pos") / 8).cast("int").alias("y"), (F.col("pos") % 8).cast("int").alias("x"), "level")
+
+
 @query(f"WITH {_PIXELS} SELECT id, round(avg(level), 6) AS brightness FROM x GROUP BY id")
 def mean_brightness(spark, sf_dir):
     return _planes(spark, sf_dir).select("id", F.round(_of_image("double", lambda x: kernels.brightness(_plane(x)))("plane"), 6).alias("brightness"))
@@ -696,10 +707,10 @@ _RESULTS = f"""r AS (SELECT 'img' || lpad(c_custkey::VARCHAR, 6, '0') || '.png'
 
 @query(f"WITH {_RESULTS} SELECT image, status, CASE WHEN status = 'SUCCESS' THEN nom END AS nom, row_number() OVER (ORDER BY status <> 'SUCCESS', image) AS line FROM r")
 def result_union_ordered(spark, sf_dir):
-    """Order made visible by a line number; the result has one row per image and is one file, so one partition."""
+    """Order made visible by a line number."""
     r = _results(spark, sf_dir).select("image", "status", "nom")
-    done = sinks.union_results(r.where("status = 'SUCCESS'"), r.where("status <> 'SUCCESS'").drop("nom"))
-    return done.withColumn("line", F.row_number().over(Window.orderBy(sinks.rank(F.col("status")), "image")).cast("long"))
+    rows = sinks.union_rows(r.where("status = 'SUCCESS'"), r.where("status <> 'SUCCESS'").drop("nom"))
+    return sinks.number_lines(rows, sinks.rank(F.col("status")), "image")
 
 
 @query(f"WITH {_RESULTS} SELECT unnest(['image', 'status', 'nom']) AS name, unnest([1, 2, 3]) AS place WHERE (SELECT count(nom) FILTER (status = 'SUCCESS') > 0 AND count(prenom) FILTER (status = 'SUCCESS') = 0 FROM r)")

@@ -6,6 +6,7 @@ import functools
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,3 +46,10 @@ def bound_batches(spark: SparkSession, rows: int = 64, size: int = 32 << 20) ->
     if now <= 0 or now > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path in it) of a mounted folder or of a store that Arrow knows, for tasks that write files themselves."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri("file://" + mounted(path) if path.startswith("file:") else path)
+    return fs.LocalFileSystem(), path.rstrip("/")

@@ -207,6 +207,14 @@ def test_nulls_empty_table_and_extra_columns(spark):
     assert got[1].status == "FAILED" and got[2].nom == "HUMBERT"
 
 
+def test_command_line_asks_for_one_source_of_tokens(spark):
+    from docweave.__main__ import main
+
+    for args in ([], ["--recogniser", "a:b"], ["--tokens", "x", "--recogniser", "a:b"]):
+        with pytest.raises(SystemExit):
+            main([*args, "--out", "/nowhere"], spark)
+
+
 def test_command_line_over_tokens(spark, tmp_path):
     from conftest import SF
     from docweave.__main__ import main

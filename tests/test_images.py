@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.config import EngineConfig
-from docweave.operators import kernels
+from docweave.operators import decode, encode, kernels
 from docweave.operators.ocr import NOT_STARTED, ON_CPU, ON_GPU, FunctionBackend, TokenTableBackend, resource_profile, see_files
 from docweave.plans.engine import Engine
 from docweave.schemas import TOKENS
@@ -160,7 +160,7 @@ def test_run_gates_before_recognition_and_keeps_errors(spark, folder, tmp_path):
     result = spark.createDataFrame([(r.image, r.status, r.nom) for r in rows], "image string, status string, nom string")
     assert sinks.write_csv(result, str(tmp_path / "out"))
     text = next((tmp_path / "out").glob("part-*.csv")).read_bytes()
-    assert text.startswith(b"\xef\xbb\xbfimage;status;nom\n") and text.decode("utf-8-sig").splitlines()[1] == "a.png;SUCCESS;HUMBERT"
+    assert text.startswith(b"\xef\xbb\xbfimage;status;nom\r\n") and text.decode("utf-8-sig").splitlines()[1] == "a.png;SUCCESS;HUMBERT"
     assert text.decode().splitlines()[2].endswith(";REJECTED;")
     assert not sinks.write_csv(result.limit(0), str(tmp_path / "none"))
     seen, count = sinks.observed(result)
@@ -256,8 +256,74 @@ def test_judge_equals_the_gate_in_sql(spark):
 
 
 def test_debug_dump(spark, tmp_path):
-    df = spark.createDataFrame([("/x/a.png", 2, 3, bytes(18))], "path string, height int, width int, data binary")
-    assert sinks.dump_images(df, str(tmp_path)).first().file.endswith("a_preprocessed.ppm") and (tmp_path / "a_preprocessed.ppm").read_bytes().startswith(b"P6 3 2 255")
+    x = np.arange(18, dtype=np.uint8).reshape(2, 3, 3)
+    df = spark.createDataFrame([("file:///x/a.png", 2, 3, x.tobytes()), ("/x/b.BMP", 2, 3, x.tobytes()), ("c", 2, 3, x.tobytes())], "path string, height int, width int, data binary")
+    for folder in (str(tmp_path / "plain"), f"file://{tmp_path}/url"):
+        names = sorted(r.file.rsplit("/", 1)[1] for r in sinks.dump_images(df, folder).collect())
+        assert names == ["a_preprocessed.png", "b_preprocessed.BMP", "c_preprocessed.png"]
+        for r in spark.read.format("image").load(folder).select("image.*").collect():
+            assert np.array_equal(np.frombuffer(r.data, np.uint8).reshape(2, 3, 3), x)
+    with pytest.raises(Exception, match="fs"):
+        sinks.dump_images(df, "viewfs://store/x").collect()
+
+
+def test_debug_folder_of_the_engine(spark, folder, tmp_path):
+    config = EngineConfig(debug_dir=str(tmp_path))
+    Engine(spark, FunctionBackend(maker(), config), config).run(str(folder))
+    assert [p.name for p in tmp_path.iterdir()] == ["a_preprocessed.png"]  # only the accepted image
+
+
+def test_png_writer():
+    rng = np.random.default_rng(0)
+    for x in (page(), rng.integers(0, 256, (33, 21, 3), dtype=np.uint8), np.zeros((1, 1, 3), np.uint8), np.add.outer(np.arange(40), np.arange(30))[..., None].repeat(3, 2).astype(np.uint8)):
+        assert np.array_equal(decode.decode(encode.png(x)), x) and np.array_equal(decode.decode(encode.bmp(x)), x)
+
+
+def test_csv_parts_are_one_file_in_order(spark, tmp_path):
+    """Whatever the number of parts, together they have the bytes that one writer gives."""
+    import csv
+    import io
+    import json
+
+    rng = np.random.default_rng(2)
+    odd = ["x;y", 'say "no"', "two\nlines", " pad ", "é", "", None, "-"]
+    rows = [(f"i{int(rng.integers(0, 400)):03d}.png", ("SUCCESS", "FAILED", "ERROR: a;b")[k % 3], odd[k % 8], None if k % 2 else f"n{k}", "z") for k in range(500)]
+    df = spark.createDataFrame(rows, "image string, status string, nom string, numero_document string, adresse string").repartition(7)
+    names = ["image", "status", "numero_document", "nom", "adresse"]
+    plain = [{"image": i, "status": s, "nom": n, "numero_document": d, "adresse": a} if s == "SUCCESS" else {"image": i, "status": s} for i, s, n, d, a in rows]
+    plain.sort(key=lambda r: (r["status"] != "SUCCESS", r["image"], *[(r.get(c) is not None, r.get(c) or "") for c in names]))
+    out = io.StringIO(newline="")
+    writer = csv.DictWriter(out, names, delimiter=";")
+    writer.writeheader()
+    writer.writerows(plain)
+    for per, least in ((1_000_000, 1), (60, 5)):
+        folder = tmp_path / "out"
+        assert sinks.write_csv(df, str(folder), per)
+        listed = json.loads((folder / "_ORDER.json").read_text())
+        assert len(listed) >= least and sum(p["rows"] for p in listed) == 500 and sorted(p.name for p in folder.glob("part-*.csv")) == [p["file"] for p in listed]
+        assert b"".join((folder / p["file"]).read_bytes() for p in listed) == out.getvalue().encode("utf-8-sig")
+        assert not list(folder.glob("_temporary*")) and (folder / "_SUCCESS").exists()
+
+
+def test_a_failed_csv_leaves_the_old_one(spark, tmp_path):
+    good = spark.createDataFrame([("a", "SUCCESS", "x")], "image string, status string, nom string")
+    assert sinks.write_csv(good, str(tmp_path))
+    before = {p.name: p.read_bytes() for p in tmp_path.iterdir() if not p.name.startswith(".")}
+    spark.dataSource.register(sinks.OrderedCsv)
+    bad = good.repartition(2).select("image", F.when(F.col("image") == "a", F.raise_error(F.lit("stop")).cast("string")).alias("status"))
+    with pytest.raises(Exception, match="stop"):
+        bad.write.format("ordered_csv").mode("overwrite").save(str(tmp_path))
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir() if not p.name.startswith(".")} == before
+
+
+def test_line_numbers(spark):
+    rows = [(k * 7919 % 1000, None if k % 10 == 0 else k % 4, "same") for k in range(1000)] + [(5, 1, "same")] * 50
+    got = sinks.number_lines(spark.createDataFrame(rows, "k int, g int, line string").repartition(9), F.col("g"), "k", name="at").collect()
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert sorted(r["at"] for r in got) == list(range(1, 1051)) and [tuple(r)[:3] for r in sorted(got, key=lambda r: r["at"])] == want
+    plan = sinks.number_lines(spark.createDataFrame(rows, "k int, g int, line string"), "k", name="at")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+    assert sinks.number_lines(spark.createDataFrame([], "k int"), "k").count() == 0
 
 
 def test_sqlite(spark, folder, tmp_path):
