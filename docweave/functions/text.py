@@ -99,10 +99,10 @@ def merge_trim(c: Column) -> Column:
 
 
 def mrz_date(c: Column, birth: bool) -> Column:
-    """YYMMDD as DD/MM/YYYY; births after year 26 are of the last century. Other lengths stay."""
+    """YYMMDD as DD/MM/YYYY; births after year 26 are of the last century. What is not six digits stays."""
     yy = F.substring(c, 1, 2)
-    century = F.when(yy.cast("int") > 26, "19").otherwise("20") if birth else F.lit("20")
-    return F.when(F.length(c) == 6, F.concat(F.substring(c, 5, 2), F.lit("/"), F.substring(c, 3, 2), F.lit("/"), century, yy)).otherwise(c)
+    century = F.when(yy > "26", "19").otherwise("20") if birth else F.lit("20")
+    return F.when(c.rlike("^[0-9]{6}$"), F.concat(F.substring(c, 5, 2), F.lit("/"), F.substring(c, 3, 2), F.lit("/"), century, yy)).otherwise(c)
 
 
 def free_date(c: Column) -> Column:

@@ -41,10 +41,15 @@ def fold_lines(items: Column, tolerance: float) -> Column:
     return F.transform(anchors, line)
 
 
+def line_text(items: Column) -> Column:
+    """The texts of a line's items, with spaces between."""
+    return F.array_join(F.transform(items, lambda i: F.coalesce(i["text"], F.lit(""))), " ")
+
+
 def build_lines(nested: DataFrame, tolerance: float = 15.0) -> DataFrame:
     """(doc_id, line_no, text, items) from (doc_id, items), without a shuffle."""
     lines = nested.select("doc_id", F.posexplode(fold_lines(F.col("items"), tolerance)).alias("line_no", "items"))
-    return lines.select("doc_id", "line_no", F.array_join(F.transform("items", lambda i: F.coalesce(i["text"], F.lit(""))), " ").alias("text"), "items")
+    return lines.select("doc_id", "line_no", line_text(F.col("items")).alias("text"), "items")
 
 
 def with_next_line(lines: DataFrame) -> DataFrame:

@@ -148,13 +148,15 @@ MATCH = T.StructType([T.StructField("field", T.StringType()), T.StructField("key
 
 def match_column(text: Column, labels: LabelMatcher | None = None) -> Column:
     """(field, keyword) of a text. Equal texts are matched once per worker."""
-    labels = labels or matcher()
+    return match_function(labels or matcher())(text)
+
 
+def match_function(labels: LabelMatcher):
     @F.pandas_udf(MATCH)
     def run(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([labels.match(x) for x in s], columns=["field", "keyword"], dtype=object)
 
-    return run(text)
+    return run
 
 
 def match_each(texts: Column, labels: LabelMatcher | None = None) -> Column:

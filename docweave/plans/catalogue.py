@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.functions import dictionary as d
+from docweave.functions import sql as sql_functions
 from docweave.functions import text as t
 from docweave.operators import decode, encode, gates, kernels, layout, matching, mrz, quality
 from docweave.operators.extract import merge_fields
@@ -426,6 +427,24 @@ def mrz_routing(spark, sf_dir):
     return rows.select("c_custkey", F.when(F.col("line").isNull(), None).when(mrz.is_name_line(F.col("line")), "name").otherwise("data").alias("kind"))
 
 
+ZONES_SQL = """
+SELECT d.doc_id, z.field, min_by(z.value, struct(l.line_no, i.pos)) AS value
+FROM {documents} d, LATERAL docweave_lines(d.items) l, LATERAL posexplode(l.items) i, LATERAL docweave_zones(i.col.text) z
+WHERE docweave_zone_line(i.col.text) IS NOT NULL GROUP BY d.doc_id, z.field
+"""
+_ZONE_FIELDS = ("nom", "prenom", "nationalite", "numero_document", "date_naissance", "sexe", "date_expiration")
+
+
+@query(f"""
+WITH e AS (SELECT * FROM ({synth.EXPECTED_SQL.replace('map {countries}', COUNTRY_MAP)}) WHERE doc_id % 4 = 3)
+SELECT * FROM ({' UNION ALL '.join(f"SELECT doc_id, '{f}' AS field, {f} AS value FROM e" for f in _ZONE_FIELDS)}) WHERE value IS NOT NULL
+""")
+def zones_in_sql(spark, sf_dir):
+    """Lines and zones of documents by table functions, in SQL only."""
+    sql_functions.register(spark)
+    return spark.sql(ZONES_SQL, documents=layout.nest(synth.identity_tokens(spark, sf_dir)))
+
+
 # ---------------------------------------------------------------- predicates, gates, merges
 
 

@@ -227,3 +227,34 @@ def test_command_line_over_tokens(spark, tmp_path):
     assert said.startswith(f"images: {n}\n") and len(said.splitlines()) == 6
     header = next((tmp_path / "out").glob("part-*.csv")).read_text("utf-8-sig").splitlines()
     assert header[0].split(";")[:2] == ["image", "status"] and len(header) == n + 1
+
+
+def test_sql_functions_equal_the_columns(spark):
+    """Every SQL function against the expression or the matcher that it comes from, on odd texts."""
+    from pyspark.sql import functions as F
+
+    from docweave.functions import sql
+    from docweave.functions import text as t
+    from docweave.operators import layout, matching, mrz
+
+    names = sql.register(spark)
+    texts = ["Nom: DUPONT", "990101", "12 MAR/MAR 1990", "31121999", "<<JEAN-PIERRE<MARIE", "|€ _", " .x:- ", "m", "Nom/Surname", "P<FRAMARTIN<<JEAN<<<<<<<<<", "L898902C36UTO7408122F1204159ZE184226B<<<<<10", "D23145890<7408122F1204159<<<", "it's \\ 'odd'", "", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string").withColumns({"field": F.lit("sexe"), "keyword": F.lit("nom"), "value": F.col("text")})
+    df.createOrReplaceTempView("odd_texts")
+    for name, (given, _, body) in sql._scalars().items():
+        args = ", ".join(p.split()[0] for p in given.split(", "))
+        a = [r[0] for r in spark.sql(f"SELECT docweave_{name}({args}) FROM odd_texts ORDER BY k").collect()]
+        assert a == [r[0] for r in df.orderBy("k").select(body).collect()], name
+    got = spark.sql("SELECT text, docweave_match(text) AS m, docweave_label_like(text) AS l, docweave_normalize(text) AS n, docweave_correct(text) AS c FROM odd_texts ORDER BY k").collect()
+    assert [tuple(r.m) for r in got] == [matching.match_label(x) for x in texts] and [r.l for r in got] == [matching.looks_like_label(x) for x in texts]
+    assert [r.n for r in got] == [None if x is None else d.normalize(x) for x in texts] and [r.c for r in got] == [None if x is None else correct_text(x, 88.0) for x in texts]
+    zones = spark.sql("SELECT k, z.field, z.value FROM odd_texts, LATERAL docweave_zones(text) z").collect()
+    want = df.select("k", F.explode(mrz.parse_line(mrz.mrz_line(F.col("text")))).alias("e")).select("k", "e.*").collect()
+    assert sorted(map(tuple, zones)) == sorted(map(tuple, want)) and len({r.k for r in zones}) == 3
+    rows = [(1, k, f"t{k}", 0.9, box(k * 37 % 100, k * 13 % 60), "unknown") for k in range(20)] + [(2, 0, None, None, box(0, 0), None)]
+    nested = layout.nest(spark.createDataFrame(rows, TOKENS))
+    a = spark.sql("SELECT doc_id, l.* FROM {n}, LATERAL docweave_lines(items) l", n=nested).collect()
+    assert sorted(map(str, a)) == sorted(map(str, layout.build_lines(nested).collect())) and len(a) > 3
+    assert len(names) == len(set(names)) == len(sql._scalars()) + 6 and t
+    plan = spark.sql("SELECT l.line_no, z.* FROM {n}, LATERAL docweave_lines(items) l, LATERAL docweave_zones(l.text) z", n=nested)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Join" not in plan
