@@ -37,6 +37,12 @@ class Engine:
 
     def __init__(self, spark: SparkSession, backend: OcrBackend, config: EngineConfig = DEFAULT, labels: LabelMatcher | None = None):
         self.spark, self.backend, self.config, self.labels = spark, backend, config, labels
+        self.held: list[str] = []
+
+    def release(self) -> None:
+        """Delete the tables of images seen; what was made of them must be written by then."""
+        while self.held:
+            shared.discard(self.spark, self.held.pop())
 
     def see(self, files: DataFrame) -> DataFrame:
         """Files decoded, measured, judged and read in one pass, written to a shared folder: recognition runs once.
@@ -47,6 +53,7 @@ class Engine:
         shared.bound_batches(self.spark)
         backend = self.backend if isinstance(self.backend, FunctionBackend) else None
         seen = shared.written(see_files(files, backend, self.config), "seen")
+        self.held.append(seen.written_to)
         return quality.combine(quality.scores(seen), self.config)
 
     def run(self, folder: str | Sequence[str]) -> DataFrame:

@@ -37,7 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """A table written to a shared folder and read back: what is costly runs once, and outlives any executor."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.written_to = path
+    return held
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that :func:`written` wrote, once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bound_batches(spark: SparkSession, rows: int = 64, size: int = 32 << 20) -> None:

@@ -12,11 +12,11 @@ from docweave.sources.images import is_image
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def incoming_files(spark: SparkSession, folder: str) -> DataFrame:
+def incoming_files(spark: SparkSession, folder: str, files_at_once: int = 1000) -> DataFrame:
     """Image files that appear below a folder."""
     from pyspark.sql import functions as F
 
-    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(files_at_once)).load(folder)
     return files.where(is_image(F.col("path")))
 
 

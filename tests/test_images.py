@@ -1,11 +1,15 @@
 """Images: sources, kernels, quality, preprocessing, the whole run, sinks and streams. Files are written by hand."""
 
+import os
 import sqlite3
 import struct
+import threading
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from docweave.config import EngineConfig
@@ -377,6 +381,74 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     assert spark.read.parquet(str(tmp_path / "files")).count() == 3
 
 
+def test_processing_stops_keeps_what_is_done_and_goes_on(spark, tmp_path):
+    """A recogniser that never ends on some images is interrupted; finished slices stay, no half one is left, and the rest follows."""
+    from docweave.streaming.processing import Processing
+
+    scans, out, flag = tmp_path / "scans", tmp_path / "out", tmp_path / "go"
+    scans.mkdir()
+    for k in range(5):
+        x = page()
+        x[:4, :4] = k * 50
+        (scans / f"{k}.png").write_bytes(png(x))
+        os.utime(scans / f"{k}.png", (1_000_000 + k, 1_000_000 + k))
+
+    def make():
+        def read(image):
+            while image[1, 1, 0] > 80 and not os.path.exists(flag):
+                time.sleep(0.1)
+            return [("Nom", 0.9, [[0, 0], [60, 0], [60, 20], [0, 20]])]
+
+        return read
+
+    config = EngineConfig(fast_mode=True)
+    engine = Engine(spark, FunctionBackend(make, config), config)
+    first = Processing(engine, str(scans), str(out), files=1)
+    first.on_slice = lambda p: threading.Timer(6.0, lambda: first.stop(now=True)).start() if p.slices == 2 else None
+    done = first.start().wait(240)
+    assert (done.state, done.slices, done.images, done.error) == ("stopped", 2, 2, None)
+    names = lambda: sorted(p.name for p in out.iterdir() if not p.name.startswith("."))
+    assert names() == ["_checkpoint", "slice=0", "slice=1"]
+    assert sorted(r.image for r in first.results().collect()) == ["0.png", "1.png"]
+    flag.touch()
+    last = Processing(engine, str(scans), str(out), files=1).start()
+    assert last.wait(240).state == "done" and last.progress.images == 3
+    assert sorted(r.image for r in last.results().collect()) == [f"{k}.png" for k in range(5)] and names() == ["_checkpoint", *[f"slice={k}" for k in range(5)]]
+    assert not engine.held
+    for _ in range(100):  # the listener's reports come from another thread
+        if last.progress.files >= 3:
+            break
+        time.sleep(0.1)
+    assert last.progress.files == 3 and last.progress.seconds > 0
+
+
+def test_tags_interrupt_their_own_jobs_only(spark):
+    from docweave.streaming.processing import interrupt, tagged
+
+    said = {}
+
+    def work(tag, seconds):
+        def slow(batches):
+            for b in batches:
+                time.sleep(seconds)
+                yield b
+
+        with tagged(spark, tag):
+            try:
+                said[tag] = spark.range(1).mapInPandas(slow, "id long").count()
+            except Exception as e:  # noqa: BLE001
+                said[tag] = type(e).__name__
+
+    threads = [InheritableThread(target=work, args=a) for a in (("a", 60), ("b", 4))]
+    for t in threads:
+        t.start()
+    time.sleep(2)
+    interrupt(spark, "a")
+    for t in threads:
+        t.join(50)
+    assert said["b"] == 1 and isinstance(said["a"], str)
+
+
 def test_validators_and_dates(spark):
     from pyspark.sql import functions as F
 
