@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from docweave.functions import dictionary as d
 from docweave.functions import sql as sql_functions
 from docweave.functions import text as t
-from docweave.operators import decode, encode, gates, kernels, layout, matching, mrz, quality
+from docweave.operators import decode, encode, gates, kernels, layout, matching, mrz, quality, regions
 from docweave.operators.extract import merge_fields
 from docweave.plans import engine, synth
 from docweave.sources import images, shared, sinks, sqlite
@@ -646,6 +646,42 @@ def reflection_ratio(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(ratio, 6).alias("reflection"))
 
 
+def _ink_tiles(spark, sf_dir, side: int) -> DataFrame:
+    """Embeddings as ink on pages of 64 x 64: a row of a page each, in square tiles."""
+    rows = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("id"), (F.col("vec_id") % 64).cast("int").alias("row"), F.transform("embedding", lambda e: (e.cast("double") > 0.04).cast("int")).alias("ink"))
+    strips = rows.groupBy("id", F.floor(F.col("row") / side).cast("int").alias("strip")).agg(F.collect_list(F.struct("row", "ink")).alias("rows"))
+
+    @F.pandas_udf("array<struct<x0: int, mask: binary>>")
+    def cut(strip: pd.Series, rows: pd.Series) -> pd.Series:
+        def one(k: int, given) -> list[dict]:
+            page = np.zeros((side, 64), np.uint8)
+            for r in given:
+                page[r["row"] - k * side] = r["ink"]
+            return [{"x0": x, "mask": page[:, x : x + side].tobytes()} for x in range(0, 64, side)]
+
+        return pd.Series([one(k, r) for k, r in zip(strip, rows, strict=True)])
+
+    tiles = strips.select("id", (F.col("strip") * side).alias("y0"), F.explode(cut("strip", "rows")).alias("t"))
+    return tiles.select("id", "y0", "t.x0", F.lit(side).alias("height"), F.lit(side).alias("width"), "t.mask")
+
+
+_INK = """
+ink AS (SELECT (vec_id // 64)::BIGINT AS id, (vec_id % 64)::INT AS y, (i - 1)::INT AS x FROM embeddings, unnest(range(1, 65)) AS u(i) WHERE embedding[i]::DOUBLE > 0.04),
+reach(id, y, x, root) AS (
+  SELECT id, y, x, y * 64 + x FROM ink
+  UNION
+  SELECT n.id, n.y, n.x, root FROM reach r JOIN ink n ON n.id = r.id AND n.y BETWEEN r.y - 1 AND r.y + 1 AND n.x BETWEEN r.x - 1 AND r.x + 1 WHERE n.y * 64 + n.x > root
+),
+own AS (SELECT id, y, x, min(root) AS root FROM reach GROUP BY id, y, x)"""
+
+
+@query(f"""WITH RECURSIVE {_INK}
+SELECT id, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*) AS area FROM own GROUP BY id, root""")
+def page_regions(spark, sf_dir):
+    """Connected parts of pages of 64 x 64, found in tiles of 16 x 16."""
+    return regions.regions(_ink_tiles(spark, sf_dir, 16))
+
+
 def _parts(rows: DataFrame, *columns: str) -> DataFrame:
     """(id, parts): the rows of an id as one array of numbers, in the order of ``ord``."""
     return rows.groupBy("id").agg(F.array_sort(F.collect_list(F.array(*[F.col(c).cast("double") for c in ("ord", *columns)]))).alias("parts"))

@@ -13,7 +13,7 @@ from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from docweave.config import EngineConfig
-from docweave.operators import decode, encode, kernels
+from docweave.operators import decode, encode, kernels, regions
 from docweave.operators.ocr import NOT_STARTED, ON_CPU, ON_GPU, FunctionBackend, TokenTableBackend, resource_profile, see_files
 from docweave.plans.engine import Engine
 from docweave.schemas import TOKENS
@@ -85,6 +85,38 @@ def test_components_touch_at_corners():
         assert parts == n
 
 
+def tiled(spark, pages, h, w):
+    rows = []
+    for k, m in enumerate(pages):
+        for y in range(0, m.shape[0], h):
+            for x in range(0, m.shape[1], w):
+                t = m[y : y + h, x : x + w]
+                rows.append((k, y, x, *t.shape, t.astype(np.uint8).tobytes()))
+    return spark.createDataFrame(rows, "id long, y0 int, x0 int, height int, width int, mask binary").repartition(3)
+
+
+@pytest.mark.parametrize("corners", [True, False])
+def test_regions_over_tiles_equal_the_whole(spark, corners):
+    rng = np.random.default_rng(4)
+    spiral = np.zeros((31, 31), bool)  # one part that goes through all tiles many times
+    y = x = 0
+    for n, (dy, dx) in zip([30, 30, 30, 28, 28, 26, 26, 24, 24, 22, 22, 20, 20, 18, 18, 16, 16], [(0, 1), (1, 0), (0, -1), (-1, 0)] * 5, strict=False):
+        for _ in range(n):
+            spiral[y, x] = True
+            y, x = y + dy, x + dx
+    pages = [rng.random((31, 31)) < p for p in (0.1, 0.3, 0.42, 0.6, 0.9)] + [np.zeros((5, 5), bool), np.ones((31, 31), bool), spiral]
+    for h, w in ((7, 7), (31, 31), (4, 13)):
+        got = regions.regions(tiled(spark, pages, h, w), corners).collect()
+        for k, m in enumerate(pages):
+            labels, n = kernels.components(m, corners)
+            want = sorted(map(tuple, kernels.boxes(labels, n).tolist()))
+            assert sorted((r.x, r.y, r.width, r.height, r.area) for r in got if r.id == k) == want
+    ink = kernels.gray(page()) < 128
+    labels, n = kernels.components(ink)
+    got = regions.char_heights(tiled(spark, [ink], 64, 100), ink.size).first().char_height
+    assert got == kernels.median_height(*kernels.boxes(labels, n)[:, 2:].T, ink.size) == 24
+
+
 def test_geometry():
     x = page()
     assert kernels.resize(x, 1200, 600).shape == (600, 1200, 3) and kernels.resize(np.full((9, 7, 3), 77, np.uint8), 3, 4).min() == 77
