@@ -251,11 +251,16 @@ def resize_if_needed(image: np.ndarray, low: int = 1200, high: int = 1600) -> np
     return image if low <= w <= high else resize(image, *target_size(w, h, low, high))
 
 
+def fitted_size(w: int, h: int, most: int) -> tuple[int, int]:
+    """Width and height after shrinking so that the longest side is at most so long; fractions are cut off."""
+    scale = most / max(h, w)
+    return (max(1, int(w * scale)), max(1, int(h * scale))) if scale < 1 else (w, h)
+
+
 def fit_side(image: np.ndarray, most: int = 960) -> np.ndarray:
-    """Shrink so that the longest side is at most so long."""
     h, w = image.shape[:2]
-    scale = most / max(h, w)
-    return resize(image, max(1, int(w * scale)), max(1, int(h * scale))) if scale < 1 else image
+    size = fitted_size(w, h, most)
+    return image if size == (w, h) else resize(image, *size)
 
 
 def denoise(image: np.ndarray) -> np.ndarray:

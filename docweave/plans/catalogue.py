@@ -500,6 +500,24 @@ def mandatory_gate(spark, sf_dir):
     return wide.select("doc_id", gates.mandatory({f: F.col(f) for f in d.MAIN}).alias("ok"))
 
 
+_SOME = {f: 2 + i for i, f in enumerate(d.FIELDS)}
+
+
+@query(f"""
+WITH f AS (SELECT c_custkey AS doc_id, {', '.join(f"CASE WHEN c_custkey % {m} <> 0 THEN CASE WHEN c_custkey % 17 = 0 THEN ' X ' ELSE {LETTERS_SQL.format('c_custkey')} END END AS {f}" for f, m in _SOME.items())} FROM customer),
+o AS (SELECT *, {' + '.join(f'({f} IS NOT NULL)::INT' for f in _SOME)} AS n_fields, {' AND '.join(f'coalesce(length(trim({f})) >= 2, false)' for f in d.MANDATORY)} AS clear FROM f)
+SELECT doc_id, n_fields, CASE WHEN clear AND doc_id % 5 <> 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status, CASE WHEN NOT clear OR doc_id % 5 = 0 THEN 'REJECTED_UNCLEAR_KEYS' WHEN n_fields < 3 THEN 'REJECTED_INCOMPLETE' END AS failure_code FROM o
+""")
+def document_outcome(spark, sf_dir):
+    """Fields counted, and what becomes of a document: every fifth has a label without a value."""
+    k = F.col("c_custkey")
+    value = F.when(k % 17 == 0, " X ").otherwise(letters(k))
+    rows = read(spark, sf_dir, "customer").select(k.alias("doc_id"), *[F.when(k % m != 0, value).alias(f) for f, m in _SOME.items()])
+    columns = {f: F.col(f) for f in d.FIELDS}
+    status, code = gates.outcome(columns, F.col("doc_id") % 5 == 0)
+    return rows.select("doc_id", gates.n_fields(columns).alias("n_fields"), status.alias("status"), code.alias("failure_code"))
+
+
 @query(f"WITH {_FOUND} SELECT doc_id, field FROM g WHERE (doc_id + i) % 3 = 0 AND NOT coalesce(length(trim(value)) >= 2, false)")
 def label_without_value(spark, sf_dir):
     wide = _found(spark, sf_dir).groupBy("doc_id").agg(
@@ -561,6 +579,12 @@ def quality_gate(spark, sf_dir):
     return quality.combine(quality.scores(_metrics(spark, sf_dir))).select(*_KEY, "critical_min", "score", "status")
 
 
+@query(f"WITH {_METRICS} SELECT l_orderkey, l_linenumber, l_partkey, status FROM q WHERE status IN ('ACCEPTED', 'WARNING')")
+def accepted_images(spark, sf_dir):
+    """Images that pass the gate before recognition."""
+    return gates.quality_gate(quality.combine(quality.scores(_metrics(spark, sf_dir)))).select(*_KEY, "status")
+
+
 @query(f"""WITH {_METRICS} SELECT l_orderkey, l_linenumber, l_partkey, array_to_string(list_filter([
   CASE WHEN width < 200 OR height < 150 THEN 'Résolution trop faible (' || width || 'x' || height || ' px) — minimum requis : 200x150 px' END,
   CASE WHEN char_height < 4 THEN 'Taille des caractères trop petite (' || printf('%.1f', char_height) || ' px) — minimum requis : 4 px' END,
@@ -745,6 +769,123 @@ def resize_dims(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", size.alias("size")).select("p_partkey", F.col("size")[0].alias("new_w"), F.col("size")[1].alias("new_h"))
 
 
+@query("""
+WITH k AS (SELECT p_partkey, (300 + p_partkey % 2500)::INT AS w, (200 + p_partkey * 3 % 1900)::INT AS h FROM part), s AS (SELECT *, 960.0::DOUBLE / greatest(w, h) AS f FROM k)
+SELECT p_partkey, CASE WHEN f < 1 THEN greatest(1, trunc(w * f)) ELSE w END::INT AS new_w, CASE WHEN f < 1 THEN greatest(1, trunc(h * f)) ELSE h END::INT AS new_h FROM s
+""")
+def fitted_dims(spark, sf_dir):
+    k = F.col("p_partkey")
+    size = _of_image("array<int>", lambda x: kernels.fitted_size(int(x[0]), int(x[1]), 960))(F.array((300 + k % 2500).cast("int"), (200 + k * 3 % 1900).cast("int")))
+    return read(spark, sf_dir, "part").select("p_partkey", size.alias("size")).select("p_partkey", F.col("size")[0].alias("new_w"), F.col("size")[1].alias("new_h"))
+
+
+_LISTS = "pl AS (SELECT vec_id AS id, list_transform(embedding, lambda e: floor((e::DOUBLE + 1) * 127.5)::INT) AS l FROM embeddings)"
+
+
+def _levels(spark, sf_dir, rule: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(id, pos, level) of planes after a rule, row by row."""
+    out = _of_image("array<int>", lambda x: rule(_plane(x)).ravel().astype(np.int32))("plane")
+    return _planes(spark, sf_dir).select("id", F.posexplode(out).alias("pos", "level"))
+
+
+def _blurred(source: str, target: str, sigma: float, radius: int) -> str:
+    """CTEs of a Gaussian blur over lists of 8 x 8, columns first, borders reflected; weights are written out in full."""
+    w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    w = [repr(float(v)) + "::DOUBLE" for v in w / w.sum()]
+    place = lambda k: f"(7 - abs(7 - abs({k})))"
+    down = " + ".join(f"{v} * l[1 + {place(f'p // 8 + {d}')} * 8 + p % 8]" for v, d in zip(w, range(-radius, radius + 1), strict=True))
+    across = " + ".join(f"{v} * l[1 + p // 8 * 8 + {place(f'p % 8 + {d}')}]" for v, d in zip(w, range(-radius, radius + 1), strict=True))
+    return f"""{target}_v AS (SELECT id, list_transform(range(0, 64), lambda p: {down}) AS l FROM {source}),
+{target} AS (SELECT id, list_transform(range(0, 64), lambda p: round_even({across}, 0)::INT) AS l FROM {target}_v)"""
+
+
+@query(f"WITH {_LISTS}, {_blurred('pl', 'bl', 0.8, 1)} SELECT id, (i - 1)::INT AS pos, l[i] AS level FROM bl, unnest(range(1, 65)) AS u(i)")
+def denoise(spark, sf_dir):
+    return _levels(spark, sf_dir, kernels.denoise)
+
+
+@query(f"""WITH {_LISTS}, {_blurred('pl', 'bl', 1.0, 3)}
+SELECT id, (i - 1)::INT AS pos, least(255, greatest(0, round_even(pl.l[i] * 2.5::DOUBLE - bl.l[i] * 1.5::DOUBLE, 0)))::INT AS level FROM pl JOIN bl USING (id), unnest(range(1, 65)) AS u(i)""")
+def unsharp_mask(spark, sf_dir):
+    return _levels(spark, sf_dir, kernels.unsharp)
+
+
+@query(f"""WITH {_LISTS} SELECT id, p::INT AS pos, round_even((l[1 + (p // 4) * 16 + (p % 4) * 2] + l[2 + (p // 4) * 16 + (p % 4) * 2] + l[9 + (p // 4) * 16 + (p % 4) * 2] + l[10 + (p // 4) * 16 + (p % 4) * 2]) / 4.0::DOUBLE, 0)::INT AS level
+FROM pl, unnest(range(0, 16)) AS u(p)""")
+def shrunk_pixels(spark, sf_dir):
+    return _levels(spark, sf_dir, lambda x: kernels.resize(x[..., None], 4, 4))
+
+
+@query(f"""WITH {_LISTS}, o AS (SELECT id, (1 + id % 8)::INT AS how, l, CASE WHEN id % 8 < 4 THEN 4 ELSE 16 END AS high FROM pl),
+p AS (SELECT id, how, l, p, p // (64 // high) AS y, p % (64 // high) AS x FROM o, unnest(range(0, 64)) AS u(p))
+SELECT id, how, p::INT AS pos, l[1 + CASE how WHEN 1 THEN y * 16 + x WHEN 2 THEN y * 16 + 15 - x WHEN 3 THEN (3 - y) * 16 + 15 - x WHEN 4 THEN (3 - y) * 16 + x
+  WHEN 5 THEN x * 16 + y WHEN 6 THEN (3 - x) * 16 + y WHEN 7 THEN (3 - x) * 16 + 15 - y ELSE x * 16 + 15 - y END] AS level FROM p""")
+def upright_pixels(spark, sf_dir):
+    """Planes of 4 x 16, turned as each of the eight orientations says."""
+    @F.pandas_udf("array<int>")
+    def turned(how: pd.Series, plane: pd.Series) -> pd.Series:
+        return pd.Series([kernels.upright(np.repeat(np.asarray(p).reshape(4, 16, 1), 3, axis=2), h)[..., 0].ravel() for h, p in zip(how, plane, strict=True)])
+
+    rows = _planes(spark, sf_dir).withColumn("how", (1 + F.col("id") % 8).cast("int"))
+    return rows.select("id", "how", F.posexplode(turned("how", "plane")).alias("pos", "level"))
+
+
+def _at(dy: int, dx: int) -> str:
+    return f"l[1 + least(7, greatest(0, p // 8 + {dy})) * 8 + least(7, greatest(0, p % 8 + {dx}))]"
+
+
+_EDGES = f"""{_LISTS},
+gr AS (SELECT id, p // 8 AS y, p % 8 AS x, {_at(-1, 1)} + 2 * {_at(0, 1)} + {_at(1, 1)} - {_at(-1, -1)} - 2 * {_at(0, -1)} - {_at(1, -1)} AS gx,
+  {_at(1, -1)} + 2 * {_at(1, 0)} + {_at(1, 1)} - {_at(-1, -1)} - 2 * {_at(-1, 0)} - {_at(-1, 1)} AS gy FROM pl, unnest(range(0, 64)) AS u(p)),
+mg AS (SELECT *, abs(gx) + abs(gy) AS m, CASE WHEN abs(gy) <= abs(gx) * {float(np.tan(np.pi / 8))!r}::DOUBLE THEN 0 WHEN abs(gy) >= abs(gx) * {float(np.tan(3 * np.pi / 8))!r}::DOUBLE THEN 1 WHEN gx * gy > 0 THEN 2 ELSE 3 END AS way FROM gr),
+th AS (SELECT a.id, a.y, a.x, a.m FROM mg a LEFT JOIN mg b ON b.id = a.id AND b.y = a.y + ([0, -1, -1, -1])[1 + a.way] AND b.x = a.x + ([-1, 0, -1, 1])[1 + a.way]
+  LEFT JOIN mg c ON c.id = a.id AND c.y = a.y + ([0, 1, 1, 1])[1 + a.way] AND c.x = a.x + ([1, 0, 1, -1])[1 + a.way] WHERE a.m > coalesce(b.m, 0) AND a.m >= coalesce(c.m, 0) AND a.m > 60),
+ed(id, y, x) AS (SELECT id, y, x FROM th WHERE m > 160 UNION SELECT t.id, t.y, t.x FROM ed e JOIN th t ON t.id = e.id AND t.y BETWEEN e.y - 1 AND e.y + 1 AND t.x BETWEEN e.x - 1 AND e.x + 1)"""
+
+
+@query(f"WITH RECURSIVE {_EDGES} SELECT DISTINCT id, y + dy AS y, x + dx AS x FROM ed, (VALUES (-1), (0), (1)) AS a(dy), (VALUES (-1), (0), (1)) AS b(dx) WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7")
+def text_mask(spark, sf_dir):
+    """Pixels of the text mask: edges, followed from strong to weak ones, then widened."""
+    rows = _levels(spark, sf_dir, kernels.text_mask).where("level <> 0")
+    return rows.select("id", F.floor(F.col("pos") / 8).alias("y"), (F.col("pos") % 8).cast("long").alias("x"))
+
+
+@query(f"""WITH {_PIXELS}, g AS (SELECT id, pos // 8 AS y, pos % 8 AS x, level FROM x),
+n AS (SELECT a.id, a.x, a.y, any_value(a.level) AS level, sum(b.level * (CASE WHEN abs(dx) + abs(dy) = 0 THEN -4 ELSE 1 END)) AS l FROM g a, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dx, dy)
+  JOIN g b ON b.id = a.id AND b.x = CASE WHEN a.x + dx < 0 THEN 1 WHEN a.x + dx > 7 THEN 6 ELSE a.x + dx END AND b.y = CASE WHEN a.y + dy < 0 THEN 1 WHEN a.y + dy > 7 THEN 6 ELSE a.y + dy END GROUP BY a.id, a.x, a.y)
+SELECT id, CASE WHEN count(*) FILTER (level > 134) >= 20 THEN round(var_pop(l) FILTER (level > 134) * 4096) ELSE 0 END::BIGINT AS sharpness_4096 FROM n GROUP BY id""")
+def masked_sharpness(spark, sf_dir):
+    """Sharpness on a mask, here of the brighter pixels; 0 where it has fewer than 20."""
+    variance = _of_image("double", lambda x: kernels.sharpness(_plane(x), _plane(x) > 134))("plane")
+    return _planes(spark, sf_dir).select("id", F.round(variance * 4096).cast("long").alias("sharpness_4096"))
+
+
+def _bgr(plus: tuple[int, int, int]):
+    """Blue, green and red bytes of embeddings: each channel is the vector, turned by 2, 1 or 0."""
+    def byte(k: int, base: int):
+        return F.transform("embedding", lambda e, i: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.get("embedding", (i + k) % 64).cast("double") * 900 + base))).cast("int"))
+
+    return F.array(byte(2, plus[0]), byte(1, plus[1]), byte(0, plus[2]))
+
+
+@query("""
+WITH r AS (SELECT vec_id AS id, i - 1 AS pos, least(255, greatest(0, floor(embedding[i]::DOUBLE * 900 + 60)))::INT AS r, least(255, greatest(0, floor(embedding[1 + i % 64]::DOUBLE * 900 + 90)))::INT AS g, least(255, greatest(0, floor(embedding[1 + (i + 1) % 64]::DOUBLE * 900 + 150)))::INT AS b
+  FROM embeddings, unnest(range(1, 65)) AS u(i)),
+m AS (SELECT *, greatest(r, g, b) AS v, least(r, g, b) AS k FROM r),
+h AS (SELECT *, CASE WHEN v > 0 THEN round_even(255 * (v - k)::DOUBLE / v, 0) ELSE 0 END AS s,
+  CASE WHEN v = k THEN 0 WHEN v = r THEN (g - b)::DOUBLE / (v - k) + CASE WHEN g < b THEN 6 ELSE 0 END WHEN v = g THEN (b - r)::DOUBLE / (v - k) + 2 ELSE (r - g)::DOUBLE / (v - k) + 4 END AS t FROM m)
+SELECT id, pos::INT AS pos, CASE WHEN (round_even(t * 30, 0)::INT % 180) BETWEEN 80 AND 130 AND s >= 50 AND v >= 50 THEN 0 ELSE 255 END AS key_level, CASE WHEN v <= 90 THEN 0 ELSE 255 END AS value_level FROM h
+""")
+def colour_masks(spark, sf_dir):
+    """What is blue and what is dark, as black on white."""
+    def both(x: np.ndarray) -> np.ndarray:
+        keys, values = kernels.colour_masks(x.T.reshape(8, 8, 3).astype(np.uint8))
+        return (keys[..., 0].astype(np.int32) * 256 + values[..., 0]).ravel()
+
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(_of_image("array<int>", both)(_bgr((150, 90, 60)))).alias("pos", "two"))
+    return rows.select("id", "pos", F.floor(F.col("two") / 256).cast("int").alias("key_level"), (F.col("two") % 256).alias("value_level"))
+
+
 # ---------------------------------------------------------------- results and sources
 
 
@@ -774,6 +915,15 @@ def result_columns(spark, sf_dir):
     return spark.createDataFrame([(n, k) for k, n in enumerate(names, 1)], "name string, place int")
 
 
+@query(f"""WITH {_RESULTS} SELECT image || ';' || status || ';' || coalesce(CASE WHEN status = 'SUCCESS' THEN nom END, '') AS line, 1 AS n FROM r UNION ALL SELECT 'image;status;nom', 1""")
+def csv_lines(spark, sf_dir):
+    """Lines of the result file, header included, from the parts that were written; the reader skips the mark."""
+    folder = shared.mounted(shared.shared_folder(spark, "csv"))
+    sinks.write_csv(_results(spark, sf_dir), folder)
+    lines = spark.read.option("lineSep", "\r\n").text(f"file://{folder}/part-*.csv")
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 @query(f"WITH {_RESULTS} SELECT CASE WHEN status = 'SUCCESS' THEN 'SUCCESS' ELSE 'FAILED' END AS outcome, count(*) AS n FROM r GROUP BY 1")
 def status_counts(spark, sf_dir):
     return sinks.status_counts(_results(spark, sf_dir))
