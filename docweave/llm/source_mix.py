@@ -17,8 +17,12 @@ from docweave.llm.common import WS, materialize, whole_row
 MAX_COPIES = 3
 #: Sources, and patterns of sources, that the driver may gather; more is an error, never a silent cut.
 MAX_SOURCES, MAX_PATTERNS = 10_000, 100_000
-#: Hexadecimal digits of the seeded order that name a bin.
-BIN_DIGITS = 3
+#: Rows that a bin of the seeded order is to hold at most, on average; one bin of a pattern is looked at row by row.
+BLOCK_ROWS = 4096
+#: Hexadecimal digits of the order that are looked at in the first step; bins of more digits are then made inside one bin.
+STEP_DIGITS = 4
+#: Rows beyond the cut that may be taken to come nearer to a target, for each pattern.
+EXTRA = 16
 
 
 @dataclass
@@ -140,6 +144,49 @@ def n_words(text) -> F.Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, WS))).cast("long")
 
 
+def bin_digits(n: int) -> int:
+    """Digits that leave about BLOCK_ROWS rows in a bin, of n."""
+    return sum(n > BLOCK_ROWS * 16**k for k in range(8))
+
+
+def _key(pattern: str):
+    return F.to_json(pattern, {"ignoreNullFields": "false"})
+
+
+def _cut(rows: DataFrame, state: DataFrame, digits) -> DataFrame:
+    """State with the bin, of so many digits, in which the rest of a pattern is spent, and what stands before it.
+
+    rows: p, o (the order), size; state: p, rest, before, cut, digits. Only rows below the cut so far are looked at.
+    """
+    near = rows.join(F.broadcast(state.withColumnRenamed("p", "__p")), F.col("p") == F.col("__p")).where(F.startswith("o", F.col("cut")))
+    bins = near.groupBy("p", F.substr("o", F.lit(1), digits).alias("bin")).agg(F.sum("size").alias("t"), F.first("before").alias("base"), F.first("rest").alias("rest"))
+    w = Window.partitionBy("p").orderBy("bin")  # at most 16 ** STEP_DIGITS rows, as many bins as a step makes
+    found = bins.withColumn("upto", F.col("base") + F.sum("t").over(w)).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("t") <= F.col("rest")))
+    found = found.select("p", F.col("bin").alias("__bin"), (F.col("upto") - F.col("t")).alias("__before"))
+    return materialize(state.drop("cut", "before").join(found, "p").withColumnsRenamed({"__bin": "cut", "__before": "before"}), "mix-cut")
+
+
+def _fill(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """(p, stop, picks): the first key that no longer fits, and keys after it that are taken all the same, largest first.
+
+    The rows of one bin are one array a pattern, about BLOCK_ROWS long. Rows of equal key are one: all or none.
+    """
+    near = rows.join(F.broadcast(state.withColumnRenamed("p", "__p")), F.col("p") == F.col("__p")).where(F.startswith("o", F.col("cut")))
+    each = near.groupBy("p", "o").agg(F.sum("size").alias("t"), F.first(F.col("rest") - F.col("before")).alias("gap"))
+    block = each.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("block"), F.first("gap").alias("gap"))
+    none = F.lit(None).cast("string")
+    first = F.aggregate("block", F.struct(F.col("gap").alias("gap"), none.alias("stop")), lambda acc, x: F.when(acc["stop"].isNotNull(), acc).when(
+        x["t"] <= acc["gap"], F.struct((acc["gap"] - x["t"]).alias("gap"), none.alias("stop"))
+    ).otherwise(F.struct(acc["gap"].alias("gap"), x["o"].alias("stop"))))
+    block = block.withColumn("first", first)
+    later = F.filter("block", lambda x: (x["o"] > F.col("first.stop")) & (x["t"] > 0) & (x["t"] <= F.col("first.gap")))
+    largest = F.array_sort(F.transform(later, lambda x: F.struct((-x["t"]).alias("t"), x["o"].alias("o"))))
+    picks = F.aggregate(largest, F.struct(F.col("first.gap").alias("gap"), F.expr("CAST(array() AS ARRAY<STRING>)").alias("picks")), lambda acc, x: F.when(
+        (-x["t"] <= acc["gap"]) & (F.size(acc["picks"]) < EXTRA), F.struct((acc["gap"] + x["t"]).alias("gap"), F.concat(acc["picks"], F.array(x["o"])).alias("picks"))
+    ).otherwise(acc))
+    return block.select("p", F.col("first.stop").alias("stop"), picks["picks"].alias("picks"))
+
+
 def mix(docs: DataFrame, sources, key, size, weights=None, targets=None, seed: str = "mix", copies: int = MAX_COPIES):
     """Choose documents and copies so that each source comes near its target.
 
@@ -150,12 +197,13 @@ def mix(docs: DataFrame, sources, key, size, weights=None, targets=None, seed: s
     Returns (rows, report): docs with ``pattern`` (sorted distinct sources), ``size``, ``copies`` (0 to ``copies``),
     ``taken`` (size times copies); and a list of (source, size, target, routed). A null array, or none, is the
     pattern of the null source. Null sizes count as 0. Rows of size 0 count as any other and get what is open at
-    their place in the order. Sources sort by code point, null last. Equal keys are ordered by nothing more, so
-    give distinct ones to have the same choice each time.
+    their place in the order. Sources sort by code point, null last. Rows of equal key have one place, and past whole
+    copies are taken all or none; give distinct keys to spread them. An empty table gives an empty result.
 
     Only per-pattern sums reach the driver, within MAX_PATTERNS. A pattern with flow f and t tokens gets f // t whole
-    copies; for the rest, rows are taken in seeded order until the rest is spent. The place of the cut is found from
-    sums by bin of the order, then row by row inside that one bin, so a hot source is never in one task.
+    copies; for the rest, rows are taken in seeded order up to the first that no longer fits, then up to EXTRA further rows of that
+    row's bin, the largest that fits each time. The cut is found from sums by bin of the order, and rows are looked at
+    one by one in a single bin only, so a hot source is never in one task; wide rows are not shuffled.
     """
     spark = docs.sparkSession
     null_last = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.struct(s.isNull().alias("z"), s.alias("s")))))
@@ -165,12 +213,13 @@ def mix(docs: DataFrame, sources, key, size, weights=None, targets=None, seed: s
         "pattern": F.when(sources.isNull() | (F.size(sources) == 0), lone).otherwise(pattern),
         "size": F.coalesce(size, F.lit(0)).cast("long"),
         "__order": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")))),
-    }).withColumn("__bin", F.substring("__order", 1, BIN_DIGITS))
-    bins = materialize(rows.groupBy("pattern", "__bin").agg(F.sum("size").alias("t"), F.count(F.lit(1)).alias("n")), "mix-bins")
-    sums = bins.groupBy("pattern").agg(F.sum("t").alias("t")).limit(MAX_PATTERNS + 1).collect()
+    })
+    slim = materialize(rows.select("pattern", _key("pattern").alias("p"), F.col("__order").alias("o"), "size"), "mix-rows")
+    sums = slim.groupBy("pattern").agg(F.sum("size").alias("t"), F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} patterns of sources")
-    patterns = {tuple(r["pattern"]): r["t"] for r in sorted(sums, key=lambda r: [(s is None, s or "") for s in r["pattern"]])}
+    sums.sort(key=lambda r: [(s is None, s or "") for s in r["pattern"]])
+    patterns = {tuple(r["pattern"]): r["t"] for r in sums}
     names = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, s or ""))
     if len(names) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -181,40 +230,31 @@ def mix(docs: DataFrame, sources, key, size, weights=None, targets=None, seed: s
         want = targets(names, [sizes[s] for s in names])
     quotas = {s: round(w) for s, w in zip(names, want, strict=True)}
     flows = route(patterns, quotas, copies)
-    plan = [
-        (list(p), min(copies, f // t) if t else 0, f - t * min(copies, f // t) if t else 0)
-        for p, t in patterns.items() for f in [sum(flows[p].values())]
-    ]
+    plan = []
+    for r in sums:
+        t, f = r["t"], sum(flows[tuple(r["pattern"])].values())
+        whole = min(copies, f // t) if t else 0
+        plan.append((r["pattern"], whole, f - t * whole if t else 0, t, bin_digits(r["n"])))
     schema = T.StructType([
-        T.StructField("pattern", T.ArrayType(T.StringType())), T.StructField("__whole", T.LongType()), T.StructField("__rest", T.LongType()),
+        T.StructField("pattern", T.ArrayType(T.StringType())), *[T.StructField(c, T.LongType()) for c in ("whole", "rest", "t")], T.StructField("digits", T.IntegerType()),
     ])
-    per_pattern = spark.createDataFrame(plan, schema)  # at most MAX_PATTERNS rows
-    w = Window.partitionBy("pattern").orderBy("__bin")  # at most 16 ** BIN_DIGITS rows
-    cuts = (
-        bins.join(F.broadcast(per_pattern), F.to_json(bins["pattern"], {"ignoreNullFields": "false"}) == F.to_json(per_pattern["pattern"], {"ignoreNullFields": "false"})).drop(per_pattern["pattern"])
-        .withColumn("__before", F.sum("t").over(w) - F.col("t"))
-        .where((F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("t") > F.col("__rest")))
-        .select(bins["pattern"], F.col("__bin").alias("__cut"), "__before")
-    )
-    plan_cut = per_pattern.join(cuts, F.to_json(per_pattern["pattern"], {"ignoreNullFields": "false"}) == F.to_json(cuts["pattern"], {"ignoreNullFields": "false"}), "left").drop(cuts["pattern"])
-    marked = rows.join(
-        F.broadcast(materialize(plan_cut, "mix-plan").withColumnRenamed("pattern", "__p")),
-        F.to_json("pattern", {"ignoreNullFields": "false"}) == F.to_json("__p", {"ignoreNullFields": "false"}), "left",
-    ).drop("__p")
-    # a pattern whose rest is spent on no bin in part (__cut null) gets every row or, with rest 0, none
-    clear = marked.where(F.col("__cut").isNull() | (F.col("__bin") != F.col("__cut"))).withColumn(
-        "copies", F.col("__whole") + F.when(F.col("__rest") == 0, 0).otherwise((F.col("__cut").isNull() | (F.col("__bin") < F.col("__cut"))).cast("long"))
-    )
-    inside = Window.partitionBy("pattern").orderBy("__order", "size")
-    edge = marked.where(F.col("__bin") == F.col("__cut")).withColumn(
-        "copies", F.col("__whole") + (F.col("__before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("__rest")).cast("long")
-    )
-    done = clear.unionByName(edge).withColumn("taken", F.col("size") * F.col("copies"))
+    per_pattern = spark.createDataFrame(plan, schema).select(_key("pattern").alias("p"), "whole", "rest", "t", "digits")  # at most MAX_PATTERNS rows
+    open_ = per_pattern.where("rest > 0 AND rest < t").select("p", "rest", "digits", F.lit("").alias("cut"), F.lit(0).cast("long").alias("before"))
+    state = materialize(open_, "mix-cut")
+    most = max((p[4] for p in plan), default=0)
+    for step in range(STEP_DIGITS, most + STEP_DIGITS, STEP_DIGITS):
+        state = _cut(slim, state, F.least("digits", F.lit(step)))
+    known = per_pattern.join(state.select("p", "cut"), "p", "left").join(_fill(slim, state), "p", "left")
+    known = materialize(known.withColumnRenamed("p", "__p"), "mix-plan")  # at most EXTRA keys and a few numbers a pattern
+    marked = rows.join(F.broadcast(known), _key("pattern") == F.col("__p"), "left")
+    place = F.substr("__order", F.lit(1), F.col("digits"))
+    more = (F.col("rest") > 0) & (F.col("cut").isNull() | (place < F.col("cut")) | ((place == F.col("cut")) & ((F.col("__order") < F.col("stop")) | F.array_contains("picks", F.col("__order")))))
+    done = marked.withColumn("copies", F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
     report = [
         {"source": s, "size": sizes[s], "target": t, "routed": sum(x.get(s, 0) for x in flows.values())}
         for s, t in zip(names, want, strict=True)
     ]
-    return done.drop("__order", "__bin", "__whole", "__rest", "__cut", "__before"), report
+    return done.select(*docs.drop("pattern", "size").columns, "pattern", "size", "copies", "taken"), report
 
 
 def cycle_weights(names: list) -> list[float]:
@@ -222,9 +262,14 @@ def cycle_weights(names: list) -> list[float]:
     return [float(1 + i % 3) for i in range(len(names))]
 
 
+def row_key() -> F.Column:
+    """What orders documents: the id, and the text of those without one."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    base = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), "mix-sizes")  # texts are read once
-    rows, report = mix(base, F.array("source"), F.col("doc_id"), F.col("words"), cycle_weights)
+    base = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("words"), row_key().alias("key")), "mix-sizes")  # texts are read once
+    rows, report = mix(base, F.array("source"), F.col("key"), F.col("words"), cycle_weights)
     facts = spark.createDataFrame(
         [(r["source"], r["size"], r["target"]) for r in report], "s string, source_size long, target double"
     )  # at most MAX_SOURCES rows
@@ -233,14 +278,15 @@ def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def remix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with the columns it came with."""
-    base = docs.select(whole_row(docs), "doc_id", "source", n_words(F.col("text")).alias("words"))
-    rows, _ = mix(base, F.array("source"), F.col("doc_id"), F.col("words"), cycle_weights)
+    base = docs.select(whole_row(docs), "source", n_words(F.col("text")).alias("words"), row_key().alias("key"))
+    rows, _ = mix(base, F.array("source"), F.col("key"), F.col("words"), cycle_weights)
     return rows.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
 
 
-#: Water level over sources sorted by size per weight; then seeded order within each source.
+#: Water level over sources sorted by size per weight; then seeded order within each source up to the first row that no longer fits,
+#: and at most 16 rows after it in the same bin, the largest that fits each time.
 OP4_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'))
     - (regexp_matches(coalesce(text, ''), '^[\x20\x09-\x0D]'))::INT - (regexp_matches(coalesce(text, ''), '[\x20\x09-\x0D]$'))::INT
     - (coalesce(text, '') = '')::INT AS size
@@ -258,11 +304,22 @@ WITH d AS (
 ), q AS (
   SELECT *, round_even(target, 0)::BIGINT AS quota FROM t
 ), p AS (
-  SELECT d.doc_id, d.size, q.*, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS whole,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || d.doc_id::VARCHAR), d.size ROWS UNBOUNDED PRECEDING) AS upto
+  SELECT d.doc_id, d.size, q.*, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS whole, md5('mix:' || d.doc_id::VARCHAR) AS o,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || d.doc_id::VARCHAR) ROWS UNBOUNDED PRECEDING) AS upto,
+    list_sum(list_transform(range(0, 8), lambda k: (count(*) OVER (PARTITION BY d.source) > 4096 * 16::BIGINT ** k)::INT))::INT AS digits
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), c AS (
+  SELECT *, quota - whole * source_size AS rest, min(o) FILTER (upto > quota - whole * source_size) OVER (PARTITION BY source) AS stop FROM p
+), g AS (
+  SELECT source, any_value(stop) AS stop, any_value(digits) AS digits, any_value(rest) - coalesce(sum(size) FILTER (o < stop), 0) AS gap FROM c WHERE rest > 0 GROUP BY source
+), f(source, stop, digits, gap, size, o, n) AS (
+  SELECT source, stop, digits, gap::BIGINT, (1::BIGINT << 60), '', 0 FROM g
+  UNION ALL
+  SELECT f.source, any_value(f.stop), any_value(f.digits), any_value(f.gap) - arg_min(c.size, {'s': -c.size, 'o': c.o}), arg_min(c.size, {'s': -c.size, 'o': c.o}), arg_min(c.o, {'s': -c.size, 'o': c.o}), any_value(f.n) + 1
+  FROM f JOIN c ON c.source IS NOT DISTINCT FROM f.source AND c.o > f.stop AND left(c.o, f.digits) = left(f.stop, f.digits) AND c.size > 0 AND c.size <= f.gap AND (c.size < f.size OR (c.size = f.size AND c.o > f.o))
+  WHERE f.n < 16 GROUP BY f.source
 )
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-  (size * (whole + CASE WHEN quota - whole * source_size > 0 AND upto <= quota - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM p
+  (size * (whole + CASE WHEN rest > 0 AND (stop IS NULL OR o < stop OR o IN (SELECT f.o FROM f WHERE f.source IS NOT DISTINCT FROM c.source)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
 """
