@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import arrow_rows, materialize, whole_row
 from docweave.llm.components import connected_components
-from docweave.llm.simhash_trie import BITS, trie_links
+from docweave.llm.simhash_trie import BITS, few_or_merged, trie_links, turns_of
 
 SHINGLE_WORDS = 5
 #: Two sets are near when OF * common >= LEAST * union: similarity 0.8.
@@ -31,8 +31,8 @@ TABLES, FRONT = 2 * WORDS, 32
 BUDGET = 3
 #: A pair is a candidate when at most so many of 3 words of its sketches differ: expected 29, deviation 5, at similarity 0.8.
 DIFFERING = 46
-#: Sets of a class that a task compares at once; larger classes are dealt into groups, and each pair of groups is a task's.
-CLASS_ROWS = 4096
+#: Sets of a class that a task compares at once, and their bytes; larger classes are dealt into groups, and each pair of groups is a task's.
+CLASS_ROWS, CLASS_BYTES = 4096, 48 << 20
 #: Rows of one trie that a task may hold at once; larger tries are dealt into groups.
 TRIE_ROWS = 50_000
 
@@ -87,27 +87,25 @@ def sketches(docs: DataFrame) -> DataFrame:
 def candidate_links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that span every class of sets whose sketches are close in some table.
 
-    nodes: distinct (node, sketch). A table's fingerprints within BUDGET agree in one of BUDGET + 1 blocks of FRONT bits
-    at least; as in :func:`simhash_trie.near_links`, the bits are turned to bring each block to the front, and the tries
-    below equal blocks are spread over the cluster. Tries above TRIE_ROWS are dealt into groups, and each pair of groups is
-    a pair of tries. A task returns a spanning forest, not all pairs.
+    nodes: distinct (node, sketch). In each table the bits are turned so that any two fingerprints within BUDGET share the
+    first bits of some turn, see :func:`simhash_trie.turns_of`: the number of turns grows with a power of the logarithm of
+    the sets, so a set has few rows at any size. The tries below these bits are spread over the cluster. Those that are above
+    TRIE_ROWS all the same are dealt into groups, and each pair of groups is a pair of tries. A task returns a spanning
+    forest, not all pairs.
     """
     arrow_rows(nodes.sparkSession, 10_000)
-    blocks, width = BUDGET + 1, FRONT // (BUDGET + 1)
-    # trie number = table * blocks + turn; odd tables have the lower half of their word in front
-    rows = nodes.select("node", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TABLES * blocks - 1))).alias("trie")).selectExpr(
-        "node", "trie", f"CAST(trie % {blocks} * {width} AS INT) AS by", f"CAST(trie DIV {blocks} % 2 AS INT) * {FRONT} AS half",
-        *[f"sketch[CAST((trie DIV {2 * blocks} + {k}) % {WORDS} AS INT)] AS {c}" for k, c in enumerate("xyz")],
-    ).selectExpr(
-        "node", "trie", "by", "y", "z", f"IF(half > 0, shiftleft(x, {FRONT}) | shiftrightunsigned(x, {FRONT}), x) AS x"
-    ).selectExpr(
-        "node", "trie", "y", "z", f"x & {(1 << FRONT) - 1} AS low", "by", f"shiftrightunsigned(x, {FRONT}) AS high"
-    ).selectExpr(
-        "node", "trie", "y", "z", f"shiftleft(shiftleft(high, by) | shiftrightunsigned(high, {FRONT} - by), {FRONT}) | low AS x"
-    ).withColumn("root", F.shiftrightunsigned("x", BITS - width))
+    ways, width = turns_of(nodes.count(), FRONT, BUDGET, TRIE_ROWS)
+    # odd tables have the lower half of their word in front
+    words = nodes.select("node", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("table")).selectExpr(
+        "node", "table", *[f"sketch[CAST((table DIV 2 + {k}) % {WORDS} AS INT)] AS {c}" for k, c in enumerate("xyz")],
+    ).selectExpr("node", "table", "y", "z", f"IF(table % 2 = 1, shiftleft(x, {FRONT}) | shiftrightunsigned(x, {FRONT}), x) AS x")
+    turned = F.array(*[F.struct(F.lit(k).alias("k"), t.apply(F.col("x"), FRONT).alias("x")) for k, t in enumerate(ways)])
+    rows = words.select("node", "table", "y", "z", F.explode(turned).alias("t")).select(
+        "node", (F.col("table") * len(ways) + F.col("t.k")).alias("trie"), "y", "z", "t.x", F.shiftrightunsigned("t.x", BITS - width).alias("root")
+    )
     per_trie = rows.groupBy("trie", "root").count()
-    large = materialize(per_trie.where(F.col("count") > TRIE_ROWS), "tries")  # at most TABLES * blocks << width rows
-    rows = rows.join(F.broadcast(large), ["trie", "root"], "left").withColumn(
+    large = few_or_merged(materialize(per_trie.where(F.col("count") > TRIE_ROWS), "tries"))
+    rows = rows.join(large, ["trie", "root"], "left").withColumn(
         "parts", F.coalesce(F.ceil(2 * F.col("count") / TRIE_ROWS), F.lit(1)).cast("int")
     ).withColumn("own", F.pmod(F.xxhash64("x"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
@@ -153,40 +151,82 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, "a long, b long").distinct()
 
 
-def spanning_links(sets: list[np.ndarray], second: int = 0) -> list[tuple[int, int]]:
-    """Links between near sets that span every class of them; with ``second``, only links from sets before it to others."""
+def is_near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have the similarity asked for."""
+    if OF * min(len(a), len(b)) < LEAST * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return OF * common >= LEAST * (len(a) + len(b) - common)
+
+
+def spanning_links(sets: list[np.ndarray], second: int = 0, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between near sets that span every class of them; with ``second``, only links from sets before it to others.
+
+    joined: sets that are known to be in one class; of the sets before ``second`` and of those behind it, these are the
+    last, so that they are never compared with one another.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets])
     start = np.cumsum(size) - size
     vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
     comp, mark, out = np.arange(n), np.zeros(len(vocabulary), bool), []
+    known = np.zeros(n, bool) if joined is None else joined
+    if known.any():
+        comp[known] = np.flatnonzero(known)[0]
     for i in range(second or n - 1):
         a = second or i + 1
-        if (comp[a:] == comp[i]).all():
+        b = a + int((~known[a:]).sum()) if known[i] else n
+        if (comp[a:b] == comp[i]).all():
             continue
         own = flat[start[i] : start[i] + size[i]]
         mark[own] = True
-        common = np.add.reduceat(mark[flat[start[a] :]], start[a:] - start[a], dtype=np.int64)
+        upto = start[b] if b < n else len(flat)
+        common = np.add.reduceat(mark[flat[start[a] : upto]], start[a:b] - start[a], dtype=np.int64)
         mark[own] = False
-        near = a + np.flatnonzero(OF * common >= LEAST * (size[i] + size[a:] - common))
+        near = a + np.flatnonzero(OF * common >= LEAST * (size[i] + size[a:b] - common))
         near = near[comp[near] != comp[i]]
         if len(near):
-            joined, first = np.unique(comp[near], return_index=True)
+            met, first = np.unique(comp[near], return_index=True)
             out += [(i, int(j)) for j in near[first]]
-            comp[np.isin(comp, joined)] = comp[i]
+            comp[np.isin(comp, met)] = comp[i]
     return out
 
 
+def star_links(held: DataFrame) -> DataFrame:
+    """Links (a, b) from the first set of each class to all sets near it.
+
+    held: component, parts, own, node, set. A class is dealt into its groups, each of which begins with the class's first set
+    and is streamed, so nothing but that set stays in memory; dense classes, as copies make them, need no other comparison.
+    """
+    first = held.groupBy("component").agg(F.min("node").alias("node"))
+    heads = held.join(first.hint("merge"), ["component", "node"], "left_semi").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = heads.select("component", "own", F.lit(0).alias("at"), "node", "set").unionByName(held.select("component", "own", F.lit(1).alias("at"), "node", "set"))
+    ordered = rows.repartition("component", "own").sortWithinPartitions("component", "own", "at")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, kept = (0, 0), np.zeros(0, np.uint64)
+        for b in batches:
+            out = []
+            for at, node, raw in b[["at", "node", "set"]].itertuples(index=False):
+                s = np.frombuffer(raw, np.uint64)
+                if at == 0:
+                    head, kept = node, s
+                elif node != head and is_near(kept, s):
+                    out.append((head, node))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return ordered.mapInPandas(run, "a long, b long")
+
+
 def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     """Links (a, b) between sets of similarity 0.8 or more that span every class of them within a candidate class.
 
     nodes: (node, least), where least is an id of a document with the set; candidates: (node, component). Only sets of
-    candidate classes are built again, each once. A task compares the sets of a class in memory, or of two groups of a
-    large class, and returns a spanning forest.
+    candidate classes are built again, each once. First all sets of a class are compared with one of them, see
+    :func:`star_links`. Where that leaves some out, a task compares those with all others, in memory, or for a large class two
+    groups of it, and returns a spanning forest. Groups are bounded by rows and by bytes; a longer set is a group of its own.
     """
-    sized = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    members = materialize(candidates.join(sized.hint("merge"), "component"), "near-members")
-    wanted = nodes.join(members.select("node").hint("merge"), "node", "left_semi").select("node", "least")
+    wanted = nodes.join(candidates.select("node").hint("merge"), "node", "left_semi").select("node", "least")
     ids = wanted.select(F.col("least").alias("__id")).distinct()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.join(ids.hint("merge"), texts["doc_id"].eqNullSafe(F.col("__id")), "left_semi").select("text")
@@ -199,36 +239,46 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame) ->
     arrow_rows(docs.sparkSession)
     built = texts.mapInPandas(build, "node long, set binary")
     sets = materialize(built.join(wanted.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
-    rows = members.join(sets.hint("merge"), "node").withColumn("parts", F.ceil(F.col("m") / CLASS_ROWS).cast("int")).withColumn(
-        "own", F.pmod(F.xxhash64("node"), "parts").cast("int")
+    members = materialize(candidates.join(sets.select("node", F.octet_length("set").alias("bytes")).hint("merge"), "node"), "near-members")
+    sized = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes")).where("m > 1").select(
+        "component", F.greatest(F.ceil(F.col("m") / CLASS_ROWS), F.ceil(F.col("bytes") / CLASS_BYTES)).cast("int").alias("parts")
     )
+    place = members.select("node", "component").join(sized.hint("merge"), "component").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    place = materialize(place, "near-places")
+    stars = materialize(star_links(place.join(sets.hint("merge"), "node")), "near-stars")
+    marked = place.join(stars.select(F.col("b").alias("node"), F.lit(True).alias("star")).hint("merge"), "node", "left").join(
+        place.groupBy("component").agg(F.min("node").alias("head")).hint("merge"), "component"
+    ).withColumn("star", F.coalesce("star", F.col("node") == F.col("head")))
+    marked = materialize(marked.drop("head"), "near-marked")
+    open_ = marked.where("NOT star").select("component").distinct()
+    rows = marked.join(open_.hint("merge"), "component", "left_semi").join(sets.hint("merge"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "set"
+        "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "star", "node", "set"
     )
-    ordered = rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "own", "node")
+    ordered = rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "own", "star", "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
 
         def solve() -> pd.DataFrame:
-            second = sum(own == key[1] for own, _, _ in held) if key[1] != key[2] else 0
-            links = spanning_links([s for _, _, s in held], second) if second < len(held) and len(held) > 1 else []
-            return pd.DataFrame({"a": [held[i][1] for i, _ in links], "b": [held[j][1] for _, j in links]}, dtype=np.int64)
+            second = sum(own == key[1] for own, *_ in held) if key[1] != key[2] else 0
+            links = spanning_links([s for *_, s in held], second, np.array([star for _, star, _, _ in held])) if second < len(held) and len(held) > 1 else []
+            return pd.DataFrame({"a": [held[i][2] for i, _ in links], "b": [held[j][2] for _, j in links]}, dtype=np.int64)
 
         for b in batches:
             done = []
-            for component, lo, hi, own, node, raw in b[["component", "lo", "hi", "own", "node", "set"]].itertuples(index=False):
+            for component, lo, hi, own, star, node, raw in b[["component", "lo", "hi", "own", "star", "node", "set"]].itertuples(index=False):
                 if key != (component, lo, hi):
                     if held:
                         done.append(solve())
                     key, held = (component, lo, hi), []
-                held.append((own, node, np.frombuffer(raw, np.uint64)))
+                held.append((own, star, node, np.frombuffer(raw, np.uint64)))
             if done:
                 yield pd.concat(done)
         if held:
             yield solve()
 
-    return ordered.mapInPandas(run, "a long, b long").distinct()
+    return stars.unionByName(ordered.mapInPandas(run, "a long, b long").distinct())
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -163,34 +165,65 @@ def trie_links(
     return comp
 
 
+@dataclass(frozen=True)
+class Turn:
+    """An order of a fingerprint's bits: pieces (first bit from the high end, bits), the chosen blocks in front."""
+
+    pieces: tuple[tuple[int, int], ...]
+
+    def apply(self, x: F.Column, bits: int = BITS) -> F.Column:
+        """The bits of a long in this order; bits: how many of the high end are the fingerprint, the others stay."""
+        out, at = None, 0
+        for first, size in self.pieces:
+            piece = F.shiftrightunsigned(F.shiftleft(x, first), BITS - size)
+            piece = F.shiftleft(piece, BITS - size - at)
+            out, at = piece if out is None else out.bitwiseOR(piece), at + size
+        return out if bits == BITS else out.bitwiseOR(F.shiftrightunsigned(F.shiftleft(x, bits), bits))
+
+
+def turns_of(n: int, bits: int, budget: int, most: int) -> tuple[list[Turn], int]:
+    """(turns, depth) for n fingerprints of so many bits: any two within the budget agree in the first ``depth`` bits of a turn.
+
+    In budget + k blocks, two such fingerprints agree in k at least, so there is a turn for each choice of k blocks. k is
+    the least that leaves about ``most`` / 2 rows below a node: turns then grow with a power of the logarithm of n, where dealing
+    rows of one node into groups would repeat them in proportion to n.
+    """
+    for k in range(1, max(2, bits // 2 - budget)):
+        cuts = [bits * b // (budget + k) for b in range(budget + k + 1)]
+        blocks = list(zip(cuts, (b - a for a, b in zip(cuts, cuts[1:], strict=False)), strict=False))
+        chosen = list(itertools.combinations(range(budget + k), k))
+        depth = min(sum(blocks[b][1] for b in c) for c in chosen)
+        if n <= most // 2 << depth or k >= bits // 2 - budget - 1 or len(chosen) > 500:
+            break
+    order = [[*c, *(b for b in range(budget + k) if b not in c)] for c in chosen]
+    return [Turn(tuple(blocks[b] for b in o)) for o in order], depth
+
+
+def few_or_merged(large: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table to join with: broadcast if it has few rows, else for a sort-merge join."""
+    return F.broadcast(large) if large.count() <= most else large.hint("merge")
+
+
 def near_links(fps: DataFrame, budget: int = 4) -> DataFrame:
     """Links (a, b) between representatives that span every class of fingerprints within ``budget`` bits.
 
-    fps: distinct (fp, rep). Two fingerprints within the budget agree in at least one of budget + 1 blocks of bits.
-    So the bits are turned to bring each block to the front, once per block, and the trie self-join starts at the
-    nodes below that block, which have nothing spent so far; all these tries are spread over the cluster. Tries
-    above TRIE_ROWS are dealt into groups by a hash, and each pair of groups is a pair of tries of its own; no link is
-    lost and a pair of tries has about TRIE_ROWS rows at any size. A task returns fewer links than it has leaves: a
+    fps: distinct (fp, rep). The bits are turned so that any two fingerprints within the budget share the first bits of
+    some turn, see :func:`turns_of`, and the trie self-join starts at the nodes below these bits, which have nothing
+    spent so far; all these tries are spread over the cluster. There are as many turns as keep a node at about half of TRIE_ROWS
+    rows on average; nodes that are larger all the same, as fingerprints crowd there, are dealt into groups by a hash, and
+    each pair of groups is a pair of tries of its own. No link is lost. A task returns fewer links than it has leaves: a
     spanning forest, not all pairs.
     """
     spark = fps.sparkSession
     arrow_rows(spark, 10_000)
-    blocks = budget + 1
-    at = [BITS * k // blocks for k in range(blocks + 1)]
-    depth = min(b - a for a, b in zip(at, at[1:], strict=False))
-    turns = F.array(*[
-        F.struct(
-            F.lit(k).alias("turn"),
-            (F.shiftleft("fp", at[k]).bitwiseOR(F.shiftrightunsigned("fp", BITS - at[k])) if k else F.col("fp")).alias("x"),
-        )
-        for k in range(blocks)
-    ])
+    ways, depth = turns_of(fps.count(), BITS, budget, TRIE_ROWS)
+    turns = F.array(*[F.struct(F.lit(k).alias("turn"), t.apply(F.col("fp")).alias("x")) for k, t in enumerate(ways)])
     rows = fps.select("rep", F.explode(turns).alias("t")).select(
         "rep", "t.turn", "t.x", F.shiftrightunsigned("t.x", BITS - depth).alias("node")
     )
     per_node = rows.groupBy("turn", "node").count()
-    large = materialize(per_node.where(F.col("count") > TRIE_ROWS), "tries")  # at most blocks << depth rows
-    rows = rows.join(F.broadcast(large), ["turn", "node"], "left").withColumn(
+    large = few_or_merged(materialize(per_node.where(F.col("count") > TRIE_ROWS), "tries"))
+    rows = rows.join(large, ["turn", "node"], "left").withColumn(
         "parts", F.coalesce(F.ceil(2 * F.col("count") / TRIE_ROWS), F.lit(1)).cast("int")
     ).withColumn("own", F.pmod(F.xxhash64("x"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(

@@ -280,6 +280,85 @@ def test_mix_on_odd_rows(spark, odd, none):
     assert source_mix.remix(odd).columns == odd.columns
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**9), st.sampled_from([(64, 4, 1), (64, 4, 30), (64, 4, 10**6), (32, 3, 1), (32, 3, 10**4)]), st.integers(0, 4))
+def test_turns_bring_near_fingerprints_together(seed, shape, flips):
+    """Any two within the budget agree in the first bits of a turn, whatever the number of turns; the turns only move bits."""
+    bits, budget, scale = shape
+    turns, depth = simhash_trie.turns_of(scale * 50_000, bits, budget, 50_000)
+    r = random.Random(seed)
+    a = r.getrandbits(64)
+    b = a
+    for k in r.sample(range(bits), min(flips, budget)):
+        b ^= 1 << (63 - k)
+
+    def turned(x, t):
+        out = "".join(f"{x:064b}"[first : first + size] for first, size in t.pieces) + f"{x:064b}"[bits:]
+        assert len(out) == 64
+        return out
+
+    assert any(turned(a, t)[:depth] == turned(b, t)[:depth] for t in turns)
+    assert all(sorted(turned(a, t)[:bits]) == sorted(f"{a:064b}"[:bits]) for t in turns)
+
+
+def test_turns_grow_slowly_and_equal_the_expression(spark):
+    rows = [len(simhash_trie.turns_of(n, 64, 4, 50_000)[0]) for n in (10**5, 10**7, 10**9, 4 * 10**10)]
+    wide = [32 * len(simhash_trie.turns_of(n, 32, 3, 50_000)[0]) for n in (10**5, 10**7, 10**9, 4 * 10**10)]
+    assert rows == [5, 5, 15, 35] and wide == [128, 320, 1120, 3840], (rows, wide)
+    x = [random.Random(k).getrandbits(64) - (1 << 63) for k in range(50)] + [0, -1, -(1 << 63)]
+    df = spark.createDataFrame([(v,) for v in x], "x long")
+    for n, bits, budget in ((10**5, 64, 4), (10**9, 64, 4), (10**5, 32, 3), (10**9, 32, 3)):
+        for t in simhash_trie.turns_of(n, bits, budget, 50_000)[0][:12]:
+            got = [r[0] for r in df.select(t.apply(F.col("x"), bits)).collect()]
+            text = [f"{v & (1 << 64) - 1:064b}" for v in x]
+            want = ["".join(s[a : a + k] for a, k in t.pieces) + s[bits:] for s in text]
+            assert [f"{v & (1 << 64) - 1:064b}" for v in got] == want
+
+
+@pytest.mark.parametrize(("rows", "size"), [(4096, 1 << 26), (3, 1 << 26), (4096, 600)])
+def test_verified_links_span_the_classes_of_brute_force(spark, monkeypatch, rows, size):
+    """Chains, dense classes and outsiders within one candidate class, dealt into groups by rows or by bytes."""
+    monkeypatch.setattr(near_similar, "CLASS_ROWS", rows)
+    monkeypatch.setattr(near_similar, "CLASS_BYTES", size)
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(40):
+        words = list(base) if k % 2 else [f"x{j}" for j in range(60)]
+        for _ in range(k % 5):
+            words[r.randrange(60)] = f"y{r.randrange(9)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[k:] + [f"z{j}" for j in range(k)]) for k in range(0, 60, 3)] + ["lone words that nobody else has got"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {k: set(near_similar.shingles(t).tolist()) for k, t in enumerate(texts)}
+    names = {k: near_similar.node_of(near_similar.shingles(t)) for k, t in enumerate(texts)}
+    nodes = spark.createDataFrame(sorted({n: k for k, n in reversed(names.items())}.items()), "node long, least long")
+    links = near_similar.verified_links(docs, nodes, nodes.select("node", F.lit(1).cast("long").alias("component"))).collect()
+    up = {n: n for n in names.values()}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    by = {n: sets[k] for k, n in names.items()}
+    for x in links:
+        assert near(by[x.a], by[x.b])
+        up[root(x.a)] = root(x.b)
+    got = {frozenset(m for m in up if root(m) == root(n)) for n in up}
+    want, todo = set(), set(up)
+    while todo:
+        cls, front = set(), [todo.pop()]
+        while front:
+            n = front.pop()
+            cls.add(n)
+            front += [m for m in up if m not in cls and near(by[n], by[m])]
+        todo -= cls
+        want.add(frozenset(cls))
+    assert got == want
+
+
 def plain_mix(rows, rest, block):
     """Keys that get one more copy: up to the first that no longer fits, then the largest that fit, of the same bin."""
     order = sorted((hashlib.md5(f"mix:{k}".encode()).hexdigest(), t) for k, t in rows)
