@@ -60,15 +60,35 @@ def test_index_outlives_its_object(spark, tmp_path):
     more = spark.createDataFrame([(0, "a  b"), (3, "d"), (4, "d")], "doc_id long, text string")
     assert exact_dedup.deduplicate(first, exact_dedup.DigestIndex(spark, str(tmp_path / "i"), 3)).count() == 2
     again = exact_dedup.DigestIndex(spark, str(tmp_path / "i"))
-    assert again.buckets == 3 and [r.doc_id for r in exact_dedup.deduplicate(more, again).collect()] == [3] and again.table().count() == 3
-    plan = again.new_groups(exact_dedup.batch_groups(more.select("doc_id", exact_dedup.digest(F.col("text")).alias("digest"))))._jdf.queryExecution().toString()
-    assert "SortMergeJoin" in plan
-    # the same batch again, as after a crash, gives the same rows and adds nothing
-    assert [r.doc_id for r in exact_dedup.deduplicate(more.repartition(3), again).collect()] == [3] and again.table().count() == 3
-    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(more, again).collect()}
+    assert again.buckets == 3 and [r.doc_id for r in exact_dedup.deduplicate(more, again, "b2").collect()] == [3] and again.table().count() == 3
+    # the batch tried again under its name gives the same rows and appends nothing; delivered again without it, it is known
+    assert [r.doc_id for r in exact_dedup.deduplicate(more.repartition(3), again, "b2").collect()] == [3] and again.table().count() == 3
+    assert exact_dedup.deduplicate(more, again).count() == 0 and again.table().count() == 3
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(more, again, "b2").collect()}
     assert got == {0: (1, 1, False), 3: (3, 2, True), 4: (3, 2, False)}
 
 
+def test_index_side_is_neither_shuffled_nor_sorted(spark, tmp_path):
+    """After several batches, whatever the number of buckets, and still after runs were merged."""
+    for buckets in (3, 4, 7):
+        index = exact_dedup.DigestIndex(spark, str(tmp_path / f"i{buckets}"), buckets)
+        index.EVERY = 4
+        seen = set()
+        for k in range(6):
+            docs = spark.createDataFrame([(k * 100 + j, f"text {(k * 37 + j * 11) % 90}") for j in range(40)], "doc_id long, text string")
+            groups = exact_dedup.batch_groups(docs.select("doc_id", exact_dedup.digest(F.col("text")).alias("digest")))
+            left = index.new_groups(index.deal(groups), "x")
+            plan = left._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == len(index.runs()) and (k == 0 or plan.count("Bucketed: true") == len(index.runs()) + 1)
+            assert "Exchange" not in plan and "Sort [" not in plan
+            assert {bytes(r.digest) for r in left.collect()} == {bytes(r.digest) for r in groups.collect()} - seen
+            exact_dedup.deduplicate(docs, index).count()
+            seen |= {bytes(r.digest) for r in groups.collect()}
+        assert index.runs() == [(1, 4), (5, 5), (6, 6)]
+        rows = [bytes(r.digest) for r in index.table().collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == seen
+
+
 def test_large_index_is_not_broadcast(spark, tmp_path):
     old = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
     index = exact_dedup.DigestIndex(spark, str(tmp_path / "i"), 3)
