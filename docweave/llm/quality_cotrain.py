@@ -1,8 +1,8 @@
 """Quality classifier by co-training: a view of the text and a view of the page's metadata teach each other.
 
 Each view has a logistic classifier of its own. Both begin with the labelled rows; in each round both score all
-documents, either labels those without label that it is surest of, and these join the training rows of the other. At
-the end each view is calibrated on labelled rows that were held back, and a logistic combination of both scores all.
+documents (from features that are written once), either labels those without label that it is surest of, and these
+join the training rows of the other. At the end each view is calibrated on labelled rows that were held back, and a logistic combination of both scores all.
 """
 
 from __future__ import annotations
@@ -18,19 +18,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import arrow_rows, discard, materialize, table, whole_row
+from docweave.llm.common import arrow_rows, discard, materialize, new_path, table, whole_row
 
 #: Labelled rows that fitting may use, chosen by a seeded hash of the id.
 LABELLED_ROWS = 6000
 #: Rounds of pseudo-labels over all documents, and how many each view gives the other in a round.
-ROUNDS, PER_ROUND = 2, 600
+ROUNDS, PER_ROUND = 3, 400
 #: Log odds that a pseudo-label needs at least.
 SURE = 2.0
 TEXT_BITS, META_SIZE = 16, 2048
 #: Share of good documents in the calibration rows that the threshold may reject.
 LOST_GOOD = 0.002
-#: Distinct words that a worker remembers.
-MEMO = 400_000
+#: Distinct words that a worker remembers, and their characters.
+MEMO, MEMO_CHARS = 400_000, 1 << 25
 
 
 class _Shapes(dict):
@@ -88,27 +88,81 @@ def meta_slots(text: str, lang, source, n_chars) -> list[int]:
     return [zlib.crc32(f"{k}={v}".encode()) % META_SIZE for k, v in facts]
 
 
-def text_vector(text: str) -> tuple[np.ndarray, np.ndarray]:
+class Packer:
+    """Slots of words and of their shapes, two numbers of 16 bits a word; computed once, forgotten when too many are held."""
+
+    def __init__(self):
+        self.held: dict[str, int] = {}
+        self.chars = 0
+
+    def pack(self, texts: list[list[str]]) -> list[bytes]:
+        new = list(set().union(*texts) - self.held.keys())
+        self.chars += sum(map(len, new))
+        if len(self.held) + len(new) > MEMO or self.chars > MEMO_CHARS:
+            self.held.clear()
+            new = list(set().union(*texts))
+            self.chars = sum(map(len, new))
+        if new:
+            self.held.update(zip(new, (a | b << 16 for a, b in words_slots(new)), strict=True))
+        return [np.fromiter(map(self.held.__getitem__, t), "<u4", len(t)).tobytes() for t in texts]
+
+
+_packer: Packer | None = None
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, slots, stats, meta) of all documents with an id, written once: what rounds read in place of texts.
+
+    slots: of each word and its shape, in the text's order; stats: of the whole text; meta: of the page.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        global _packer
+        _packer = _packer or Packer()
+        for b in batches:
+            words = [t.split() for t in b["text"]]
+            meta = [np.array(meta_slots(*row), "<i4").tobytes() for row in zip(b["text"], b["lang"], b["source"], b["n_chars"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": [len(w) for w in words], "slots": _packer.pack(words), "stats": [np.array(repetition_slots(w), "<i4").tobytes() for w in words], "meta": meta})
+
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.col("n_chars").cast("double").alias("n_chars"))
+    made = rows.mapInPandas(run, "doc_id long, n_words long, slots binary, stats binary, meta binary")
+    path = new_path(docs.sparkSession, "cotrain-features")
+    made.write.option("compression", "zstd").parquet(path)
+    held = docs.sparkSession.read.schema(made.schema).parquet(path)
+    held.written_to = path
+    return held
+
+
+def text_vector(n_words: int, slots: bytes, stats: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of the text view: mean over words of word and shape slots, and the statistics."""
-    words = text.split()
-    slots = np.array([s for pair in words_slots(words) for s in pair] if words else [], np.int64)
-    at, count = np.unique(slots, return_counts=True)
-    extra = np.array(repetition_slots(words), np.int64)
-    return np.concatenate((at, extra)).astype(np.int32), np.concatenate((10.0 * count / max(1, len(words)), np.ones(len(extra)))).astype(np.float32)
+    at, count = np.unique(np.frombuffer(slots, "<u2"), return_counts=True)
+    extra = np.frombuffer(stats, "<i4")
+    return np.concatenate((at, extra)).astype(np.int32), np.concatenate((10.0 * count / max(1, n_words), np.ones(len(extra)))).astype(np.float32)
+
+
+def row_sums(weights: np.ndarray, parts: list[bytes], kind: str) -> np.ndarray:
+    """Sum of the weights of each row's slots."""
+    size = np.array([len(p) for p in parts]) // np.dtype(kind).itemsize
+    out, full = np.zeros(len(parts)), np.flatnonzero(size)
+    if len(full):
+        start = np.cumsum(size) - size
+        out[full] = np.add.reduceat(weights[np.frombuffer(b"".join(parts), kind)], start[full])
+    return out
 
 
 class Memo:
     """Weights of words, each its slot's plus its shape's; computed once, forgotten when too many are held."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights, self.held = weights, {}
+        self.weights, self.held, self.chars = weights, {}, 0
 
     def sums(self, texts: list[list[str]]) -> list[float]:
         """Sum of the weights of each text's words."""
         new = list(set().union(*texts) - self.held.keys())
-        if len(self.held) + len(new) > MEMO:
+        self.chars += sum(map(len, new))
+        if len(self.held) + len(new) > MEMO or self.chars > MEMO_CHARS:
             self.held.clear()
             new = list(set().union(*texts))
+            self.chars = sum(map(len, new))
         if new:
             at = np.array(list(words_slots(new)))
             self.held.update(zip(new, (self.weights[at[:, 0]].astype(float) + self.weights[at[:, 1]]).tolist(), strict=True))
@@ -203,19 +257,17 @@ class Rows:
         return Rows(np.concatenate((self.ids, other.ids)), self.text + other.text, self.meta + other.meta)
 
 
-def features(docs: DataFrame, ids: DataFrame) -> Rows:
-    """Features of the documents whose id is among ``ids`` (doc_id; few, by LABELLED_ROWS or PER_ROUND), a row an id."""
-    texts = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(ids), "doc_id")
-
+def features(packed: DataFrame, ids: DataFrame) -> Rows:
+    """Features of the packed documents whose id is among ``ids`` (doc_id; few, by LABELLED_ROWS or PER_ROUND), a row an id."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for d, t, lang, source, n in zip(b["doc_id"], b["text"], b["lang"], b["source"], b["n_chars"], strict=True):
-                slots, values = text_vector(t or "")
-                rows.append((d, slots.tobytes(), values.tobytes(), np.array(meta_slots(t or "", lang, source, n), np.int32).tobytes()))
+            for d, n, slots, stats, meta in zip(b["doc_id"], b["n_words"], b["slots"], b["stats"], b["meta"], strict=True):
+                at, values = text_vector(n, slots, stats)
+                rows.append((d, at.tobytes(), values.tobytes(), meta))
             yield pd.DataFrame(rows, columns=["doc_id", "slots", "values", "meta"])
 
-    found = texts.mapInPandas(run, "doc_id long, slots binary, values binary, meta binary")
+    found = packed.join(F.broadcast(ids), "doc_id").mapInPandas(run, "doc_id long, slots binary, values binary, meta binary")
     # an id that is repeated is one row before it goes to the driver
     found = found.groupBy("doc_id").agg(F.min(F.struct("slots", "values", "meta")).alias("f")).select("doc_id", "f.*").toPandas()
     found = found.iloc[np.lexsort((found["doc_id"], [zlib.crc32(str(d).encode()) for d in found["doc_id"]]))]
@@ -235,23 +287,21 @@ def logits(texts: list[str], lang, source, n_chars, text: np.ndarray, meta: np.n
     return z
 
 
-def surest(docs: DataFrame, labelled: DataFrame, models: list[np.ndarray], good: float, given: list[set[int]]) -> list[dict[int, float]]:
+def surest(packed: DataFrame, labelled: DataFrame, models: list[np.ndarray], good: float, given: list[set[int]]) -> list[dict[int, float]]:
     """For each view the ids of documents that the other is surest of, with the pseudo-label; PER_ROUND at most.
 
     All documents without label are scored by both models. given: ids that each view has been given before.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast([m.astype(np.float32) for m in models])  # the slots of both views
+    spark = packed.sparkSession
+    shared = spark.sparkContext.broadcast(models)  # the slots of both views
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         text, meta = shared.value
-        memo = memo_of(shared.value, text[:-1])
         for b in batches:
-            z = logits(b["text"].tolist(), b["lang"], b["source"], b["n_chars"], text, meta, memo)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "z0": z[:, 0], "z1": z[:, 1]})
+            z0 = 10.0 * row_sums(text, b["slots"].tolist(), "<u2") / np.maximum(1, b["n_words"]) + row_sums(text, b["stats"].tolist(), "<i4") + text[-1]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "z0": z0, "z1": row_sums(meta, b["meta"].tolist(), "<i4") + meta[-1]})
 
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.col("n_chars").cast("double").alias("n_chars"))
-    scored = rows.mapInPandas(run, "doc_id long, z0 double, z1 double")
+    scored = packed.mapInPandas(run, "doc_id long, z0 double, z1 double")
     free = materialize(scored.groupBy("doc_id").agg(F.min("z0").alias("z0"), F.min("z1").alias("z1")).join(labelled.hint("merge"), "doc_id", "left_anti"), "cotrain-scores")
     n_good = round(PER_ROUND * good)
     out: list[dict[int, float]] = []
@@ -280,9 +330,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     known = materialize(known.groupBy("doc_id").agg(F.min("y").alias("y")), "cotrain-labels")
     chosen = materialize(known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(labelled_rows), "cotrain-chosen")
     truth = {r["doc_id"]: r["y"] for r in chosen.collect()}
-    own = features(docs, chosen.select("doc_id"))
+    packed = pack(docs)
+    own = features(packed, chosen.select("doc_id"))
     y = np.array([truth[int(d)] for d in own.ids], float)
     if len(np.unique(y)) < 2:
+        discard(known, chosen, packed)
         return None
     held = np.arange(len(y)) % 3 == 0
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
@@ -301,13 +353,13 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
             models.append(fit(x, target, weight, size))
         if turn == rounds:
             break
-        new = surest(docs, known.select("doc_id"), models, float(y[taught].mean()), [set(g) for g in given])
+        new = surest(packed, known.select("doc_id"), models, float(y[taught].mean()), [set(g) for g in given])
         given = [g | n for g, n in zip(given, new, strict=True)]
         fresh = sorted(set().union(*new) - set(more.ids.tolist()))
         if not any(new):
             continue
         if fresh:
-            more = more.and_also(features(docs, docs.sparkSession.createDataFrame([(i,) for i in fresh], "doc_id long")))
+            more = more.and_also(features(packed, docs.sparkSession.createDataFrame([(i,) for i in fresh], "doc_id long")))
     z = [x.dot(m) + m[-1] for x, m in zip(own.views(), models, strict=True)]
     answer = y[held]
     platt = [dense_logit(s[held][:, None], answer) for s in z]
@@ -315,7 +367,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     both = dense_logit(calibrated[held], answer)
     score = sigmoid(calibrated[held] @ both[:-1] + both[-1])
     threshold = min(0.5, float(np.quantile(score[answer == 1], LOST_GOOD)))
-    discard(known, chosen)
+    discard(known, chosen, packed)
     return Model(models[0].astype(np.float32), models[1].astype(np.float32), platt[0], platt[1], both, threshold)
 
 

@@ -874,6 +874,29 @@ def test_cotraining_on_held_out_labels(spark):
     assert ((got["score"] >= 0.5) == (got["quality"] == 1)).mean() > 0.93 and got[got["quality"] == 1]["keep"].mean() > 0.98
 
 
+def test_one_exchange_of_labels_equals_brute_force(spark, odd, monkeypatch):
+    monkeypatch.setattr(quality_cotrain, "PER_ROUND", 20)
+    docs = table(spark, SF, "documents").unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id <> 4"))
+    rng = np.random.default_rng(2)
+    models = [rng.normal(size=(1 << quality_cotrain.TEXT_BITS) + 1), rng.normal(size=quality_cotrain.META_SIZE + 1)]
+    z = {}
+    for r in docs.where("doc_id IS NOT NULL").collect():
+        words = (r.text or "").split()
+        own = sum(models[0][k] for pair in (quality_cotrain.words_slots(words) if words else ()) for k in pair)
+        own = 10 * own / max(1, len(words)) + sum(models[0][k] for k in quality_cotrain.repetition_slots(words)) + models[0][-1]
+        page = sum(models[1][k] for k in quality_cotrain.meta_slots(r.text or "", r.lang, r.source, r.n_chars)) + models[1][-1]
+        z[r.doc_id] = tuple(map(min, z[r.doc_id], (own, page))) if r.doc_id in z else (own, page)
+    labelled = {d for d in z if d % 4 == 0}
+    given = [{d for d in z if d % 7 == 0}, set()]
+    ids = lambda x: spark.createDataFrame([(d,) for d in x], "doc_id long")
+    got = quality_cotrain.surest(quality_cotrain.pack(docs), ids(labelled), models, 0.6, given)
+    for view in (0, 1):
+        free = {d: s[1 - view] for d, s in z.items() if d not in labelled | given[view]}
+        want = {d: 1.0 for d in sorted((d for d in free if free[d] > quality_cotrain.SURE), key=lambda d: (-free[d], d))[:12]}
+        want |= {d: 0.0 for d in sorted((d for d in free if free[d] < -quality_cotrain.SURE), key=lambda d: (free[d], d))[:8]}
+        assert got[view] == want and len(want) > 10
+
+
 def test_quality_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (7, 0, 0), (None, 1, 0), (9, None, 0), (8, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
     model = quality_cotrain.train(odd, labels)
