@@ -276,9 +276,13 @@ _TO_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.07216
 _WHITE = np.array([0.950456, 1.0, 1.088754])
 
 
+_SRGB = np.arange(256) / 255.0
+#: Light of each level.
+_LIGHT = np.where(_SRGB <= 0.04045, _SRGB / 12.92, ((_SRGB + 0.055) / 1.055) ** 2.4)
+
+
 def _lab(image: np.ndarray) -> np.ndarray:
-    c = image[..., ::-1] / 255.0
-    c = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    c = _LIGHT[image[..., ::-1]]
     t = c @ _TO_XYZ.T / _WHITE
     f = np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116)
     return np.stack((116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])), -1)
@@ -394,7 +398,8 @@ def level_segments(edges: np.ndarray, most: float = 15.0, votes: int = 100, gap:
         rho = np.rint(y * np.cos(a) - x * np.sin(a)).astype(np.int64)
         low = int(rho.min()) if len(rho) else 0
         n = np.bincount(rho - low)
-        lines += [(-int(n[k]), float(a), int(k) + low) for k in np.flatnonzero(n >= votes)]
+        enough = np.flatnonzero(n >= votes)
+        lines += [(-int(n[k]), float(a), int(k) + low) for k in enough[long_runs(edges, float(a), enough + low, gap)]]
     free, out = np.ones(edges.shape, bool), []
     for _, a, rho in sorted(lines, key=lambda line: (line[0], abs(line[1]), line[1], line[2])):
         # the line's pixels and those beside it, column by column
@@ -419,6 +424,24 @@ def level_segments(edges: np.ndarray, most: float = 15.0, votes: int = 100, gap:
     return np.array(out).reshape(-1, 4)
 
 
+def long_runs(edges: np.ndarray, a: float, rho: np.ndarray, gap: int, block: int = 256) -> np.ndarray:
+    """Whether each line of an angle has a run of a sixth of the width at all, with no point taken by other lines yet."""
+    h, w = edges.shape
+    out, at = np.zeros(len(rho), bool), np.arange(w)
+    for k in range(0, len(rho), block):
+        base = np.rint((rho[k : k + block, None] + at * np.sin(a)) / np.cos(a)).astype(np.int64)
+        hit = np.zeros(base.shape, bool)
+        for d in (-1, 0, 1):
+            rows = base + d
+            hit |= (rows >= 0) & (rows < h) & edges[np.clip(rows, 0, h - 1), at[None, :]]
+        line, col = np.nonzero(hit)
+        if len(line):
+            cut = np.flatnonzero((np.diff(line) != 0) | (np.diff(col) > gap))
+            first, last = np.append(0, cut + 1), np.append(cut, len(line) - 1)
+            out[k + line[first[(last > first) & (col[last] - col[first] >= w // 6)]]] = True
+    return out
+
+
 def median_angle(segments: np.ndarray, most: float = 15.0) -> float:
     """Median angle, in degrees, of the segments that are nearly level; 0 if it is below 0.3 or there are none."""
     x1, y1, x2, y2 = segments.T
