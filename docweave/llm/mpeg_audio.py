@@ -170,19 +170,46 @@ def _text_frame(name: str, body: bytes, tags: dict[str, str]) -> None:
         tags[key] = value
 
 
+def _frame_body(major: int, flags: int, body: bytes, apart: bool) -> bytes:
+    """What a frame holds, without what its flags put before it; nothing if it is encrypted or its packing is damaged.
+
+    apart: zeros stand after bytes 255, so that nothing looks like a frame header of audio (unsynchronisation).
+    """
+    if major == 3:  # the whole tag was put together again before
+        packed, locked, group, length = flags & 0x80, flags & 0x40, flags & 0x20, 4 if flags & 0x80 else 0
+        body = body[length + bool(group) :]
+    else:
+        packed, locked, group, length = flags & 0x08, flags & 0x04, flags & 0x40, 4 if flags & 0x01 else 0
+        body = body[bool(group) + length :]
+        body = body.replace(b"\xff\0", b"\xff") if apart or flags & 0x02 else body
+    if locked:
+        return b""
+    try:
+        return zlib.decompressobj().decompress(body, 1 << 20) if packed else body
+    except zlib.error:
+        return b""
+
+
 def _id3v2(data: bytes, tags: dict[str, str]) -> int:
-    """Read the tag at the start, if any, into ``tags``; returns where audio may begin."""
+    """Read the tag at the start, if any, into ``tags``; returns where audio may begin. Extended headers are skipped."""
     if data[:3] != b"ID3" or len(data) < 10 or any(x & 0x80 for x in data[6:10]):
         return 0
-    end, at, major = 10 + _synchsafe(data[6:10]), 10, data[3]
-    while at + 6 <= min(end, len(data)) and data[at] and major == 2:  # three letters, three bytes of size, no flags
-        name, size = data[at : at + 3].decode("latin-1"), int.from_bytes(data[at + 3 : at + 6])
-        _text_frame(name, data[at + 6 : at + 6 + size], tags)
+    end, major, apart, extended = 10 + _synchsafe(data[6:10]), data[3], bool(data[5] & 0x80), bool(data[5] & 0x40)
+    tag, at = data[10:end], 0
+    if apart and major < 4:
+        tag = tag.replace(b"\xff\0", b"\xff")
+    if extended and major == 3:
+        at = 4 + int.from_bytes(tag[:4])
+    elif extended and major == 4:
+        at = max(6, _synchsafe(tag[:4].ljust(4, b"\0")))
+    while at + 6 <= len(tag) and tag[at] and major == 2 and not extended:  # three letters, three bytes of size, no flags; the bit is for packing there
+        name, size = tag[at : at + 3].decode("latin-1"), int.from_bytes(tag[at + 3 : at + 6])
+        _text_frame(name, tag[at + 6 : at + 6 + size], tags)
         at += 6 + size
-    while at + 10 <= min(end, len(data)) and data[at] and major >= 3:
-        name, raw = data[at : at + 4].decode("latin-1"), data[at + 4 : at + 8]
+    while at + 10 <= len(tag) and tag[at] and major >= 3:
+        name, raw = tag[at : at + 4].decode("latin-1"), tag[at + 4 : at + 8]
         size = _synchsafe(raw) if major == 4 else int.from_bytes(raw)
-        _text_frame(name, data[at + 10 : at + 10 + size], tags)
+        _text_frame(name, _frame_body(major, tag[at + 9], tag[at + 10 : at + 10 + size], apart), tags)
         at += 10 + size
     return end + (10 if data[5] & 0x10 else 0)
 

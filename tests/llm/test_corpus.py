@@ -862,6 +862,40 @@ def test_lm_on_odd_rows(spark, odd, none):
     assert lm_mixing.op2(spark, none).count() == 0
 
 
+def id3(major, body, flags=0):
+    n = len(body)
+    return b"ID3" + bytes((major, 0, flags, n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127)) + body
+
+
+def frame3(name, text, flags=0, before=b"", packed=False, safe=False):
+    body = before + (zlib.compress(b"\0" + text) if packed else b"\0" + text)
+    size = bytes((len(body) >> 21 & 127, len(body) >> 14 & 127, len(body) >> 7 & 127, len(body) & 127)) if safe else len(body).to_bytes(4)
+    return name + size + bytes((0, flags)) + body
+
+
+def test_id3_extended_headers_unsynchronised_and_packed_frames():
+    audio = mpeg_audio.store(b"x" * 600)[32:]
+    plain = frame3(b"TIT2", b"one") + frame3(b"TPE1", b"two")
+    four = frame3(b"TIT2", b"one", safe=True) + frame3(b"TPE1", b"two", safe=True)
+    odd = b"\xff\xe0 \xff\0 three"
+    cases = [
+        id3(3, plain), id3(3, (6).to_bytes(4) + bytes(6) + plain, 0x40), id3(3, (10).to_bytes(4) + bytes(10) + plain, 0x40), id3(4, bytes((0, 0, 0, 6, 1, 0)) + four, 0x40), id3(4, bytes((0, 0, 0, 12, 1, 0x20)) + bytes(6) + four, 0x40),
+        id3(3, frame3(b"TIT2", b"one", 0x80, (4).to_bytes(4), True) + frame3(b"TPE1", b"two", 0x20, b"g")), id3(4, frame3(b"TIT2", b"one", 0x09, bytes((0, 0, 0, 4)), True, True) + frame3(b"TPE1", b"two", 0x40, b"g", safe=True)),
+    ]
+    for data in cases:
+        m = mpeg_audio.parse(data + audio)
+        assert {k: m.tags[k] for k in ("TIT2", "TPE1")} == {"TIT2": "one", "TPE1": "two"}
+    apart = odd.replace(b"\xff", b"\xff\0")  # a zero after each 255
+    whole = id3(3, frame3(b"TIT2", odd).replace(b"\xff", b"\xff\0"), 0x80)
+    each = id3(4, frame3(b"TIT2", apart, 0x02, safe=True) + frame3(b"TPE1", b"two", safe=True))
+    for data in (whole, each):
+        assert mpeg_audio.parse(data + audio).tags["TIT2"] == odd.decode("latin-1")
+    assert "TIT2" not in mpeg_audio.parse(id3(3, frame3(b"TIT2", b"one", 0x40, b"k")) + audio).tags
+    assert mpeg_audio.parse(id3(3, frame3(b"TIT2", b"one", 0x80, b"1234")) + audio).tags.get("TIT2") is None
+    for cut in range(0, 60):
+        mpeg_audio.parse(cases[1][:cut])
+
+
 # ---------------------------------------------------------------- quality
 
 
