@@ -47,13 +47,15 @@ def line_text(items: Column) -> Column:
 
 
 def build_lines(nested: DataFrame, tolerance: float = 15.0) -> DataFrame:
-    """(doc_id, line_no, text, items) from (doc_id, items), without a shuffle."""
-    lines = nested.select("doc_id", F.posexplode(fold_lines(F.col("items"), tolerance)).alias("line_no", "items"))
-    return lines.select("doc_id", "line_no", line_text(F.col("items")).alias("text"), "items")
+    """(doc_id, line_no, text, items, next_items) from (doc_id, items), without a shuffle; next_items: of the line below, null for the last."""
+    lines = nested.select("doc_id", fold_lines(F.col("items"), tolerance).alias("lines"))
+    each = F.transform("lines", lambda row, k: F.struct(row.alias("items"), F.get("lines", k + 1).alias("next_items")))
+    return lines.select("doc_id", F.posexplode(each).alias("line_no", "l")).select("doc_id", "line_no", line_text(F.col("l.items")).alias("text"), "l.items", "l.next_items")
 
 
 def with_next_line(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("next_items", F.lead("items").over(Window.partitionBy("doc_id").orderBy("line_no")))
+    """Lines with next_items; those of :func:`build_lines` have it already."""
+    return lines if "next_items" in lines.columns else lines.withColumn("next_items", F.lead("items").over(Window.partitionBy("doc_id").orderBy("line_no")))
 
 
 def nearest_text(x: Column, items: Column) -> Column:

@@ -25,7 +25,7 @@ def extract_documents(tokens: DataFrame, config: EngineConfig = DEFAULT, post: b
     """
     nested = layout.nest(post_process(tokens, config) if post else tokens)
     wide = widen(extract_fields(layout.build_lines(nested, config.line_tolerance), config, labels))
-    rows = tokens.select("doc_id").distinct().join(wide, "doc_id", "left")
+    rows = nested.where(F.size("items") > 0).select("doc_id").join(wide, "doc_id", "left")  # the nested rows' exchange again, not the tokens
     columns = {f: F.col(f) for f in d.FIELDS}
     open_label = F.size(gates.labels_without_value(F.col("seen"), columns)) > 0
     status, code = gates.outcome(columns, open_label)
