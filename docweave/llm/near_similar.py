@@ -144,8 +144,12 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
         roots = roots[(roots[:, 1] > roots[:, 0]) & (roots[:, 3] > roots[:, 2])]
         x, more = np.ascontiguousarray(a[:, 5]).view(np.uint64), np.ascontiguousarray(a[:, 6:8]).view(np.uint64)
         comp = trie_links(x, roots, BUDGET, width, front=FRONT, more=more, differing=DIFFERING)
-        far = np.flatnonzero(comp != np.arange(n))
-        links = np.unique(np.stack([a[far, 8], a[comp[far], 8]], 1), axis=0)
+        # to the least set of the class, so that tries which hold the same class give the same links
+        least = a[:, 8].copy()
+        np.minimum.at(least, comp, a[:, 8])
+        least = least[comp]
+        far = np.flatnonzero(a[:, 8] != least)
+        links = np.unique(np.stack([a[far, 8], least[far]], 1), axis=0)
         return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
     return ordered.mapInPandas(run, "a long, b long").distinct()
@@ -262,7 +266,8 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame) ->
 
         def solve() -> pd.DataFrame:
             second = sum(own == key[1] for own, *_ in held) if key[1] != key[2] else 0
-            links = spanning_links([s for *_, s in held], second, np.array([star for _, star, _, _ in held])) if second < len(held) and len(held) > 1 else []
+            star = np.array([s for _, s, _, _ in held])
+            links = spanning_links([s for *_, s in held], second, star) if second < len(held) and len(held) > 1 else []
             return pd.DataFrame({"a": [held[i][2] for i, _ in links], "b": [held[j][2] for _, j in links]}, dtype=np.int64)
 
         for b in batches:
