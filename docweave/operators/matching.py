@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 from typing import Protocol
 
@@ -144,6 +144,8 @@ def looks_like_label(value: str | None) -> bool:
 
 #: Types are objects here, as workers import this module without a session.
 MATCH = T.StructType([T.StructField("field", T.StringType()), T.StructField("keyword", T.StringType())])
+_KW = T.StructType([T.StructField("field_ord", T.IntegerType()), T.StructField("kw_ord", T.IntegerType())])
+HITS = T.ArrayType(T.StructType([T.StructField("kw", _KW), T.StructField("score", T.DoubleType())]))
 
 
 def match_column(text: Column, labels: LabelMatcher | None = None) -> Column:
@@ -224,56 +226,62 @@ def subset_hits(labels: DataFrame, words: DataFrame) -> DataFrame:
     return met.where("met = n").select("text", "label_ord", F.lit(1).alias("stage"), "kw")
 
 
-def similar_words(words: DataFrame, index: DataFrame) -> DataFrame:
-    """(word, kw_word, score) of words (word) and keyword words (kw_word, least) whose ratio may reach ``least``.
+def similar_keywords(labels: Matcher, norms: list[str], at_once: int = 1024) -> Iterator[list[tuple[int, float]]]:
+    """For each normalised label the (number, score) of the keywords that it is similar enough to, in the order of the dictionary.
 
-    Both sides are signatures of letter counts, joined letter by letter: what two words have in common, in any order, bounds
-    the ratio of their matching blocks. Only pairs whose bound reaches ``least`` are scored.
+    Signatures of letter counts are compared for many labels together: what two words have in common, in any order, bounds the
+    ratio of their matching blocks, and the mean of these bounds over a keyword's words its score. The others are scored.
     """
-    def signature(rows: DataFrame, name: str) -> DataFrame:
-        letters = F.filter(F.split(name, ""), lambda c: c != "")
-        each = rows.select("*", F.length(name).alias(f"{name}_size"), F.explode(F.array_distinct(letters)).alias("letter"))
-        return each.withColumn(f"{name}_n", F.length(name) - F.length(F.replace(F.col(name), F.col("letter"), F.lit(""))))
-
-    met = signature(words, "word").join(signature(index, "kw_word"), "letter").groupBy("word", "kw_word", "word_size", "kw_word_size", "least").agg(F.sum(F.least("word_n", "kw_word_n")).alias("common"))
-
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([word_score(x, y) for x, y in zip(a, b, strict=True)])
-
-    near = met.where(F.lit(200.0) * F.col("common") / (F.col("word_size") + F.col("kw_word_size")) >= F.col("least") - 1e-6)
-    return near.select("word", "kw_word", score("word", "kw_word").alias("score"))
-
+    for begin in range(0, len(norms), at_once):
+        have = [n.split(" ") for n in norms[begin : begin + at_once]]
+        words = [w for ws in have for w in ws]
+        size = np.array([len(w) for w in words], np.int64)
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sign = np.where((code >= 97) & (code <= 122), code - 97, 26 + code % 32)
+        counts = np.bincount(np.repeat(np.arange(len(words)), size) * 58 + sign, minlength=58 * len(words)).reshape(-1, 58)
+        bound = np.empty((len(words), len(labels.counts)))
+        for k, has in enumerate(labels.counts):
+            own = np.flatnonzero(has)
+            bound[:, k] = 200.0 * np.minimum(counts[:, own], has[own]).sum(axis=1) / (size + labels.lengths[k])
+        first = np.cumsum([0, *map(len, have[:-1])])
+        open_ = np.maximum.reduceat(bound, first) @ labels.mean.T >= labels.least - 1e-6
+        for ws, entries in zip(have, open_, strict=True):
+            found = []
+            for i in np.flatnonzero(entries).tolist():
+                of = labels.entries[i][3]
+                score = sum(max(_score(h, w) for h in ws) for w in of) / len(of)
+                if score >= labels.least[i]:
+                    found.append((i, score))
+            yield found
+
+
+def fuzzy_hits(labels: DataFrame, config: EngineConfig = DEFAULT, keywords: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """(text, label_ord, kw, score): keywords whose words are similar enough to words of a label (text, label_ord, norm), on average.
+
+    A label is judged inside its row, so rows are hits only; pairs of words are never rows.
+    """
+    known = matcher(config, keywords)
+    places = [{"field_ord": i, "kw_ord": j} for i, (_, ks) in enumerate(known.keywords) for j in range(len(ks))]
 
-def fuzzy_hits(labels: DataFrame, words: DataFrame, single: float, several: float) -> DataFrame:
-    """(text, label_ord, kw, score): keywords whose words are similar enough to words of a label, on average.
+    @F.pandas_udf(HITS)
+    def near(s: pd.Series) -> pd.Series:
+        return pd.Series([[{"kw": places[i], "score": score} for i, score in found] for found in similar_keywords(known, s.tolist())], dtype=object)
 
-    A keyword of n words that reaches the mean ``several`` has no word below n * several - 100 * (n - 1); that is
-    what the index of similar words asks of each.
-    """
-    n = F.size("kw_words")
-    least = F.greatest(F.lit(0.0), F.when(n == 1, F.lit(single)).otherwise(n * F.lit(several) - (n - 1) * 100.0))
-    places = words.select("kw", n.alias("n"), least.alias("least"), F.posexplode("kw_words").alias("pos", "kw_word"))
-    have = _words(labels)
-    scored = similar_words(have.select("word").distinct(), places.groupBy("kw_word").agg(F.min("least").alias("least")))
-    best = have.join(scored, "word").groupBy("text", "label_ord", "kw_word").agg(F.max("score").alias("score"))
-    each = best.join(places, "kw_word").groupBy("text", "label_ord", "kw").agg(F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("s"), F.first("n").alias("n"))
-    mean = F.aggregate("s", F.lit(0.0), lambda acc, s: acc + s["score"]) / F.col("n")  # in the order of the words
-    return each.select("text", "label_ord", "kw", mean.alias("score"), F.when(F.col("n") == 1, single).otherwise(several).alias("least")).where("score >= least").drop("least")
+    return labels.select("text", "label_ord", F.explode(near("norm")).alias("h")).select("text", "label_ord", "h.kw", "h.score")
 
 
 def match_texts(texts: DataFrame, config: EngineConfig = DEFAULT, keywords: Mapping[str, list[str]] | None = None) -> DataFrame:
     """(text, field, keyword) of distinct texts (text) that match a label, by joins with the dictionary.
 
     The same as :meth:`Matcher.match`: exact and word-subset hits by the earliest candidate, then stage, then keyword; texts without
-    any go to the similarity join, and only their words that come near a keyword's word are scored in Python. Null and empty
-    texts match nothing.
+    any are compared with all keywords at once, and only those whose letters come near are scored. Null and empty texts match
+    nothing.
     """
     words = dictionary(texts.sparkSession, keywords)
     labels = candidates(texts.where("text <> ''").select("text").distinct())
     sure = exact_hits(labels, words).unionByName(subset_hits(labels, words)).groupBy("text").agg(F.min(F.struct("label_ord", "stage", "kw")).alias("h")).select("text", "h.kw")
     rest = labels.join(sure, "text", "left_anti")
-    near = fuzzy_hits(rest, words, config.single_word_score, config.multi_word_score)
+    near = fuzzy_hits(rest, config, keywords)
     near = near.groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("s"), "label_ord", "kw")).alias("h")).select("text", "h.kw")
     return sure.unionByName(near).join(words.select("kw", "field", "keyword"), "kw").select("text", "field", "keyword")
 

@@ -258,3 +258,23 @@ def test_sql_functions_equal_the_columns(spark):
     assert len(names) == len(set(names)) == len(sql._scalars()) + 6 and t
     plan = spark.sql("SELECT l.line_no, z.* FROM {n}, LATERAL docweave_lines(items) l, LATERAL docweave_zones(l.text) z", n=nested)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Join" not in plan
+
+
+def test_fuzzy_hits_make_no_rows_of_pairs_of_words(spark):
+    """Labels are judged inside their row: no join on letters, whose rows were words times keywords, and rows are hits only."""
+    from docweave.operators import matching
+
+    given = ["prenim", "surnam", "bcdfghjk", "x" * 300, "é", "رقمم", "naissanc", "dat of brth", "numer de document", "local de nasciment 1"]
+    labels = spark.createDataFrame([(w, 0, w) for w in given], "text string, label_ord int, norm string")
+    hits = matching.fuzzy_hits(labels)
+    entries = matching.matcher().entries
+    place = [(i, j) for i, ks in enumerate(d.KEYWORDS.values()) for j in range(len(ks))]
+    want = {}
+    for w in given:
+        for (*_, words), at in zip(entries, place, strict=True):
+            score = sum(max(SequenceMatcher(None, h, k).ratio() * 100 for h in w.split()) for k in words) / len(words)
+            if score >= (82 if len(words) == 1 else 75):
+                want[w, at] = score
+    assert {(r.text, tuple(r.kw)): r.score for r in hits.collect()} == want != {}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
