@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,11 +14,16 @@ from docweave.functions.text import center
 def nest(tokens: DataFrame) -> DataFrame:
     """One row per document with its tokens in order; a document is a page, so its tokens fit into one row."""
     item = F.struct("ord", "text", "confidence", "box", "type")
-    return tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: what a lambda's body only names is computed again for each element."""
+    return F.transform(F.array(value), body)[0]
 
 
 def fold_lines(items: Column, tolerance: float) -> Column:
-    """Array of lines, each an array of items (cy, ord, cx, item): a fold over items by height.
+    """Array of lines, each an array of items: a fold over items by height.
 
     An item belongs to the line whose first item is nearer than the tolerance; anchors stay where they are, so a slow
     drift begins a new line. Lines are by anchor, items of a line by x; equals keep the order of the input.
@@ -25,20 +32,25 @@ def fold_lines(items: Column, tolerance: float) -> Column:
         cx, cy = center(i["box"])
         return F.struct(cy.alias("cy"), i["ord"].alias("ord"), cx.alias("cx"), i.alias("item"))
 
-    ordered = F.array_sort(F.transform(items, key))
-    # begins of lines first, then each line by its bounds: both are linear and stay in code
-    anchors = F.aggregate(
-        ordered, F.expr("CAST(array() AS ARRAY<DOUBLE>)"),
-        lambda acc, i: F.when((F.size(acc) == 0) | (F.abs(i["cy"] - F.try_element_at(acc, F.lit(-1))) >= tolerance), F.concat(acc, F.array(i["cy"]))).otherwise(acc),
-    )
-
-    def line(anchor, k):
-        after = F.try_element_at(anchors, k + 2)
-        mine = F.filter(ordered, lambda i: (i["cy"] >= anchor) & (after.isNull() | (i["cy"] < after)))
-        by_x = F.array_sort(F.transform(mine, lambda i: F.struct(i["cx"].alias("cx"), i["cy"].alias("cy"), i["ord"].alias("ord"), i["item"].alias("item"))))
+    def lines(ordered):
+        # begins of lines first, as places in the order; then each line is a slice
+        start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("anchor"), F.expr("CAST(array() AS ARRAY<INT>)").alias("begins"))
+
+        def step(acc, i):
+            new = (F.size(acc["begins"]) == 0) | (F.abs(i["cy"] - acc["anchor"]) >= tolerance)
+            n = acc["n"] + 1
+            return F.when(new, F.struct(n.alias("n"), i["cy"].alias("anchor"), F.concat(acc["begins"], F.array(n)).alias("begins"))).otherwise(
+                F.struct(n.alias("n"), acc["anchor"].alias("anchor"), acc["begins"].alias("begins"))
+            )
+
+        begins = F.aggregate(ordered, start, step, lambda acc: acc["begins"])
+        return _bound(begins, lambda at: F.transform(at, lambda begin, k: line(F.slice(ordered, begin, F.coalesce(F.get(at, k + 1), F.size(ordered) + 1) - begin))))
+
+    def line(mine):
+        by_x = F.sort_array(F.transform(mine, lambda i: F.struct(i["cx"].alias("cx"), i["cy"].alias("cy"), i["ord"].alias("ord"), i["item"].alias("item"))))
         return F.transform(by_x, lambda i: i["item"])
 
-    return F.transform(anchors, line)
+    return _bound(F.sort_array(F.transform(items, key)), lines)
 
 
 def line_text(items: Column) -> Column:

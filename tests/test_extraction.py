@@ -278,3 +278,16 @@ def test_fuzzy_hits_make_no_rows_of_pairs_of_words(spark):
     assert {(r.text, tuple(r.kw)): r.score for r in hits.collect()} == want != {}
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_lines_name_their_input_once(spark):
+    """What a lambda's body names is computed again for each element, so tokens were sorted again for each token of each line."""
+    from pyspark.sql import functions as F
+
+    from docweave.functions.sql import sql_text
+    from docweave.operators import layout
+
+    assert sql_text(layout.fold_lines(F.col("tokens"), 15.0)).count("tokens") == 1
+    rows = [(1, k, str(k), 0.9, box(x, y), "unknown") for k, (x, y) in enumerate([(50, 0), (10, 14), (90, 15), (20, 29), (30, 30), (0, 5)])]
+    nested = layout.nest(spark.createDataFrame(rows, TOKENS))
+    assert [(r.line_no, r.text) for r in layout.build_lines(nested).orderBy("line_no").collect()] == [(0, "5 1 0"), (1, "3 2"), (2, "4")]
