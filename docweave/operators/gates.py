@@ -27,6 +27,14 @@ def mandatory(columns: dict[str, Column]) -> Column:
     return out
 
 
+def mandatory_rows(field: Column, value: Column) -> Column:
+    """The same as an aggregate of a document's rows (field, value): a flag a field is held, so no values and no wide row."""
+    out = F.lit(True)
+    for name in d.MANDATORY:
+        out &= F.coalesce(F.bool_and(F.when(field == name, clear(value))), F.lit(False))
+    return out
+
+
 def labels_without_value(seen: Column, columns: dict[str, Column]) -> Column:
     """Main fields whose label was seen but that have no clear value; seen: array of fields, columns: values by field."""
     open_ = [F.when(F.array_contains(seen, f) & ~clear(columns[f]), f) for f in d.MAIN]

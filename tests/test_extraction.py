@@ -291,3 +291,16 @@ def test_lines_name_their_input_once(spark):
     rows = [(1, k, str(k), 0.9, box(x, y), "unknown") for k, (x, y) in enumerate([(50, 0), (10, 14), (90, 15), (20, 29), (30, 30), (0, 5)])]
     nested = layout.nest(spark.createDataFrame(rows, TOKENS))
     assert [(r.line_no, r.text) for r in layout.build_lines(nested).orderBy("line_no").collect()] == [(0, "5 1 0"), (1, "3 2"), (2, "4")]
+
+
+def test_mandatory_rows_hold_flags_only(spark):
+    """Values of a document are not held for a wide row: the aggregate is by hash, its buffer a flag a field."""
+    from pyspark.sql import functions as F
+
+    from docweave.operators import gates
+
+    full = [(1, f, "ab") for f in d.MANDATORY]
+    rows = [*full, *((2, f, v) for _, f, v in full[1:]), *((3, f, " a ") for _, f, _ in full), *((4, f, v) for _, f, v in full), (4, d.MANDATORY[0], None), (5, "adresse", "ab")]
+    ok = spark.createDataFrame(rows, "doc_id int, field string, value string").groupBy("doc_id").agg(gates.mandatory_rows(F.col("field"), F.col("value")).alias("ok"))
+    assert {r.doc_id: r.ok for r in ok.collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
+    assert "SortAggregate" not in ok._jdf.queryExecution().executedPlan().toString()
