@@ -51,24 +51,24 @@ def touching(parts: DataFrame, corners: bool = True) -> DataFrame:
     steps = [(0, 1), (1, 0), *(((1, 1), (1, -1)) if corners else ())]  # the other half is found from the other side
     beside = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps])).alias("q")
     ahead = rim.select("id", F.col("part").alias("a"), beside).select("id", "a", F.col("q.y").alias("y"), F.col("q.x").alias("x"))
-    met = ahead.join(rim.withColumnRenamed("part", "b"), ["id", "y", "x"])
+    met = ahead.join(rim.withColumnRenamed("part", "b").hint("merge"), ["id", "y", "x"])
     return met.where((F.col("a.y0") != F.col("b.y0")) | (F.col("a.x0") != F.col("b.x0"))).select("id", "a", "b").distinct()
 
 
 def roots(parts: DataFrame, links: DataFrame) -> DataFrame:
     """(id, part, root): the least part of each class of linked parts, by rounds of least neighbours and shortened ways.
 
-    Each round is written, so its lineage is short and it outlives any executor; rounds grow with the logarithm of how
+    Joins are by exchange even where a side is small: broadcasts of all rounds would go through the driver. Each round is written, so its lineage is short and it outlives any executor; rounds grow with the logarithm of how
     many tiles a part goes through. Parts without links are left out: they are their own root.
     """
     spark = parts.sparkSession
     both = written(links.unionByName(links.select("id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     now = written(both.groupBy("id", F.col("a").alias("part")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
     while True:
-        near = both.join(now.select("id", F.col("part").alias("b"), F.col("root").alias("theirs")), ["id", "b"]).groupBy("id", F.col("a").alias("part")).agg(F.min("theirs").alias("theirs"))
-        least = now.join(near, ["id", "part"]).select("id", "part", "root", F.least("root", "theirs").alias("next"))
+        near = both.join(now.select("id", F.col("part").alias("b"), F.col("root").alias("theirs")).hint("merge"), ["id", "b"]).groupBy("id", F.col("a").alias("part")).agg(F.min("theirs").alias("theirs"))
+        least = now.join(near.hint("merge"), ["id", "part"]).select("id", "part", "root", F.least("root", "theirs").alias("next"))
         jump = now.select("id", F.col("part").alias("next"), F.col("root").alias("far"))
-        after = written(least.join(jump, ["id", "next"], "left").select("id", "part", F.least("next", F.coalesce("far", "next")).alias("root"), (F.least("next", F.coalesce("far", "next")) != F.col("root")).alias("moved")), "roots")
+        after = written(least.join(jump.hint("merge"), ["id", "next"], "left").select("id", "part", F.least("next", F.coalesce("far", "next")).alias("root"), (F.least("next", F.coalesce("far", "next")) != F.col("root")).alias("moved")), "roots")
         discard(spark, now.written_to)
         now = after
         if now.where("moved").isEmpty():
@@ -85,7 +85,7 @@ def regions(tiles: DataFrame, corners: bool = True) -> DataFrame:
     """
     parts = written(tile_parts(tiles, corners), "parts")
     known = roots(parts, touching(parts, corners))
-    rows = parts.join(known, ["id", "part"], "left").withColumn("root", F.coalesce("root", "part"))
+    rows = parts.join(known.hint("merge"), ["id", "part"], "left").withColumn("root", F.coalesce("root", "part"))
     boxes = rows.groupBy("id", "root").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.sum("area").alias("area"))
     return boxes.select("id", "x", "y", (F.col("x2") - F.col("x") + 1).alias("width"), (F.col("y2") - F.col("y") + 1).alias("height"), "area")
 

@@ -510,3 +510,14 @@ def test_skew_is_the_median_of_segments(angle):
     assert len(found) > 5 and (found[:, 2] - found[:, 0] >= turned.shape[1] // 6).all()
     assert abs(kernels.skew_angle(kernels.gray(turned)) + angle) < 0.3
     assert kernels.level_segments(np.zeros((40, 30), bool)).shape == (0, 4)
+
+
+def test_regions_broadcast_nothing(spark):
+    """Broadcasts of all rounds went through the driver."""
+    from docweave.operators import regions
+
+    tiles = spark.createDataFrame([(1, 0, 0, 2, 2, bytearray(b"\x01\x01\x00\x01")), (1, 0, 2, 2, 2, bytearray(b"\x00\x00\x01\x00"))], "id long, y0 int, x0 int, height int, width int, mask binary")
+    found = regions.regions(tiles)
+    assert [tuple(r) for r in found.collect()] == [(1, 0, 0, 3, 2, 4)]
+    links = regions.touching(regions.tile_parts(tiles))
+    assert all("Broadcast" not in x._jdf.queryExecution().executedPlan().toString() for x in (found, links))
