@@ -304,3 +304,14 @@ def test_mandatory_rows_hold_flags_only(spark):
     ok = spark.createDataFrame(rows, "doc_id int, field string, value string").groupBy("doc_id").agg(gates.mandatory_rows(F.col("field"), F.col("value")).alias("ok"))
     assert {r.doc_id: r.ok for r in ok.collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
     assert "SortAggregate" not in ok._jdf.queryExecution().executedPlan().toString()
+
+
+def test_validator_values_are_distinct_inside_a_row(spark):
+    """No aggregate is over exploded values: a task held 14 rows a customer."""
+    from conftest import SF
+
+    from docweave.plans import catalogue
+
+    plan = catalogue.queries()["field_validators"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("Aggregate [")
+    assert plan.count("Aggregate [") == 1 and "Generate" not in plan[at:] and "array_distinct" in plan[:at]
