@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Mapping
 from functools import lru_cache
 
@@ -119,11 +120,14 @@ def normalize(text: str) -> str:
 
 
 def keywords(spark: SparkSession, given: Mapping[str, list[str]] | None = None) -> DataFrame:
-    """(field_ord, kw_ord, field, keyword, kw_norm, kw_words) of the dictionary given; our own has 194 rows, so it may be broadcast."""
-    rows = [
-        (i, j, field, k, normalize(k), normalize(k).split()) for i, (field, ks) in enumerate((given or KEYWORDS).items()) for j, k in enumerate(ks)
-    ]
-    return spark.createDataFrame(rows, "field_ord int, kw_ord int, field string, keyword string, kw_norm string, kw_words array<string>")
+    """(field_ord, kw_ord, field, keyword, kw_norm, kw_words, kw_rare) of the dictionary given; our own has 194 rows, so it may be broadcast.
+
+    kw_rare: of the keyword's words the one that fewest keywords have, null without words.
+    """
+    rows = [(i, j, field, k, normalize(k), normalize(k).split()) for i, (field, ks) in enumerate((given or KEYWORDS).items()) for j, k in enumerate(ks)]
+    having = Counter(w for *_, words in rows for w in set(words))
+    rows = [(*r, min(r[-1], key=lambda w: (having[w], -len(w), w), default=None)) for r in rows]
+    return spark.createDataFrame(rows, "field_ord int, kw_ord int, field string, keyword string, kw_norm string, kw_words array<string>, kw_rare string")
 
 
 def corrections(spark: SparkSession) -> DataFrame:

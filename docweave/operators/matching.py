@@ -206,24 +206,25 @@ def candidates(texts: DataFrame) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, keywords: Mapping[str, list[str]] | None = None) -> DataFrame:
-    """(kw, field_ord, kw_ord, field, keyword, kw_norm, kw_words): one row a keyword, as many as the dictionary given has."""
+    """(kw, field_ord, kw_ord, field, keyword, kw_norm, kw_words, kw_rare): one row a keyword, as many as the dictionary given has."""
     return d.keywords(spark, keywords).withColumn("kw", F.struct("field_ord", "kw_ord"))
 
 
 def exact_hits(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """(text, label_ord, stage, kw): labels that equal a keyword."""
-    return labels.join(words, F.col("norm") == F.col("kw_norm")).select("text", "label_ord", F.lit(0).alias("stage"), "kw")
-
-
-def _words(labels: DataFrame) -> DataFrame:
-    return labels.select("text", "label_ord", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
+    """(text, label_ord, stage, kw): labels that equal a keyword. The dictionary is broadcast, so labels stay where they are."""
+    return labels.join(F.broadcast(words), F.col("norm") == F.col("kw_norm")).select("text", "label_ord", F.lit(0).alias("stage"), "kw")
 
 
 def subset_hits(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """(text, label_ord, stage, kw): labels that have all words of a keyword, by an index of the keywords' words."""
-    index = words.select("kw", F.size(F.array_distinct("kw_words")).alias("n"), F.explode(F.array_distinct("kw_words")).alias("word"))
-    met = _words(labels).join(index, "word").groupBy("text", "label_ord", "kw").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
-    return met.where("met = n").select("text", "label_ord", F.lit(1).alias("stage"), "kw")
+    """(text, label_ord, stage, kw): labels that have all words of a keyword.
+
+    A keyword is listed under its rarest word only and the others are looked for in the label, so that labels are neither
+    grouped nor moved: words that many labels share would all meet in one task.
+    """
+    index = F.broadcast(words.select("kw", "kw_words", F.col("kw_rare").alias("word")))
+    have = labels.select("text", "label_ord", F.array_distinct(F.split("norm", " ")).alias("have"))
+    met = have.withColumn("word", F.explode("have")).join(index, "word").where(F.size(F.array_except("kw_words", "have")) == 0)
+    return met.select("text", "label_ord", F.lit(1).alias("stage"), "kw")
 
 
 def similar_keywords(labels: Matcher, norms: list[str], at_once: int = 1024) -> Iterator[list[tuple[int, float]]]:
@@ -283,7 +284,7 @@ def match_texts(texts: DataFrame, config: EngineConfig = DEFAULT, keywords: Mapp
     rest = labels.join(sure, "text", "left_anti")
     near = fuzzy_hits(rest, config, keywords)
     near = near.groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("s"), "label_ord", "kw")).alias("h")).select("text", "h.kw")
-    return sure.unionByName(near).join(words.select("kw", "field", "keyword"), "kw").select("text", "field", "keyword")
+    return sure.unionByName(near).join(F.broadcast(words.select("kw", "field", "keyword")), "kw").select("text", "field", "keyword")
 
 
 def match(df: DataFrame, text: str = "text", config: EngineConfig = DEFAULT, keywords: Mapping[str, list[str]] | None = None) -> DataFrame:
@@ -306,7 +307,7 @@ def label_like_values(df: DataFrame, text: str, config: EngineConfig = DEFAULT,
 def first_of(hits: DataFrame, words: DataFrame) -> DataFrame:
     """(text, field, keyword) of the earliest hit of each text."""
     best = hits.groupBy("text").agg(F.min(F.struct("label_ord", "stage", "kw")).alias("h")).select("text", "h.kw")
-    return best.join(words.select("kw", "field", "keyword"), "kw").select("text", "field", "keyword")
+    return best.join(F.broadcast(words.select("kw", "field", "keyword")), "kw").select("text", "field", "keyword")
 
 
 def adjacent_pairs(tokens: DataFrame) -> DataFrame:

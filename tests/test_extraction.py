@@ -99,6 +99,22 @@ def test_only_texts_without_a_sure_hit_are_scored(spark):
     assert "CartesianProduct" not in plan and "LeftAnti" in plan
 
 
+def test_labels_are_not_moved_to_find_keywords_in_them(spark):
+    """Words that many labels share must not meet in one task, and pairs of labels and keywords are not grouped."""
+    from docweave.operators import matching
+
+    keywords = {"a": ["de la ville", "date de date", "ville"], "b": ["de", "autre mot"]}
+    texts = ["la ville de", "date de", "de de", "ville", "mot de autre", "mot autre x", "la de", "vil le", "villede"]
+    words = matching.dictionary(spark, keywords)
+    labels = matching.candidates(spark.createDataFrame([(t,) for t in texts], "text string"))
+    hits = matching.subset_hits(labels, words)
+    got = sorted((r.text, r.kw.field_ord, r.kw.kw_ord) for r in hits.collect())
+    assert got == sorted((t, i, j) for t in texts for i, ks in enumerate(keywords.values()) for j, k in enumerate(ks) if set(k.split()) <= set(t.split()))
+    assert {r.kw_norm: r.kw_rare for r in words.collect()}["de la ville"] == "la"
+    plan = hits._jdf.queryExecution().executedPlan().toString() + matching.exact_hits(labels, words)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Aggregate" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
 def test_own_matcher_and_thresholds_act(spark):
     import dataclasses
 
