@@ -15,6 +15,8 @@ from docweave.functions import dictionary as d
 #: What is stripped from a merged value, and from the text after a label.
 MERGE_TRIM = " :.- /"
 LABEL_TRIM = " \t\n\r :-."
+#: Phrases with their letters.
+PHRASES = tuple((p, frozenset(p)) for p in d.CORRECTIONS)
 
 
 def strip(c: Column) -> Column:
@@ -47,9 +49,11 @@ def indel_ratio(a: str, b: str) -> float:
 def correct_text(text: str, above: float) -> str:
     """The most similar phrase if its score is above the threshold, the first of equals; else the text."""
     best, score = text, above
-    for phrase in d.CORRECTIONS:
+    for phrase, letters in PHRASES:
         if 200.0 * min(len(text), len(phrase)) <= score * (len(text) + len(phrase)):
             continue  # cannot reach it by length
+        if 200.0 * sum(map(letters.__contains__, text)) <= score * (len(text) + len(phrase)):
+            continue  # cannot reach it by the letters that the phrase has too
         if (now := indel_ratio(text, phrase)) > score:
             best, score = phrase, now
     return best

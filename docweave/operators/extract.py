@@ -9,7 +9,7 @@ from docweave.config import DEFAULT, EngineConfig
 from docweave.functions import dictionary as d
 from docweave.functions.text import after_label, center, free_date, is_valid, merge_trim, strip
 from docweave.operators.layout import nearest_text, with_next_line
-from docweave.operators.matching import LabelMatcher, label_like, label_like_each, match_column, match_each, matcher
+from docweave.operators.matching import LabelMatcher, label_like, label_like_each, match_line, matcher
 from docweave.operators.mrz import mrz_fields
 
 
@@ -32,15 +32,15 @@ def line_values(lines: DataFrame, labels: LabelMatcher | None = None) -> DataFra
     without any value are rows too, with a null value; ``labelled`` tells tokens that are labels from whole lines.
     """
     texts = _texts(F.col("items"))
-    seen = lines.withColumn("m", match_each(texts, labels))
+    line_text = F.when(F.size("items") > 0, F.array_join(texts, " ")).otherwise(F.col("text"))
+    seen = lines.withColumn("m", match_line(texts, line_text, labels))
     marked = F.filter(
-        F.transform("m", lambda m, k: F.struct(k.alias("k"), m["field"].alias("field"), m["keyword"].alias("keyword"))), lambda x: x["field"].isNotNull()
+        F.transform("m.fields", lambda f, k: F.struct(k.alias("k"), f.alias("field"), F.col("m.keywords")[k].alias("keyword"))), lambda x: x["field"].isNotNull()
     )
     seen = seen.withColumn("labels", marked).withColumn("n_labels", F.size("labels"))
-    line_text = F.when(F.size("items") > 0, F.array_join(texts, " ")).otherwise(F.col("text"))
-    seen = seen.withColumn("whole", F.when(F.col("n_labels") == 0, line_text)).withColumn("w", match_column(F.col("whole"), labels))
-    alone = F.array(F.struct(F.lit(-1).alias("k"), F.col("w.field").alias("field"), F.col("w.keyword").alias("keyword")))
-    seen = seen.withColumn("labels", F.when((F.col("n_labels") == 0) & F.col("w.field").isNotNull(), alone).otherwise(F.col("labels")))
+    seen = seen.withColumn("whole", F.when(F.col("n_labels") == 0, line_text))
+    alone = F.array(F.struct(F.lit(-1).alias("k"), F.col("m.field").alias("field"), F.col("m.keyword").alias("keyword")))
+    seen = seen.withColumn("labels", F.when((F.col("n_labels") == 0) & F.col("m.field").isNotNull(), alone).otherwise(F.col("labels")))
     has_next = F.coalesce(F.size("next_items"), F.lit(0)) > 0
 
     own = seen.select("*", F.posexplode("labels").alias("label_no", "l"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
 from typing import Protocol
 
@@ -63,6 +63,7 @@ class Matcher:
         self.bounds = lru_cache(maxsize=1 << 16)(self._bounds)
         self.match = lru_cache(maxsize=1 << 17)(self._match)
         self.looks_like_label = lru_cache(maxsize=1 << 17)(lambda value: looks_like(self, value))
+        self.known: dict[str | None, Label] = {}
 
     def __reduce__(self):
         return matcher_of, (self.keywords, self.single, self.several)
@@ -83,34 +84,68 @@ class Matcher:
                     top, best = score, (field, keyword)
         return top, best
 
-    def _match(self, text: str | None) -> Label:
-        """(field, keyword) of a text: for each candidate an exact or a word-subset label, else the best fuzzy one of all.
-
-        An exact or subset hit of an earlier candidate goes before anything of a later one; of fuzzy hits, the highest
-        score, the earliest of equals.
-        """
+    def _norms(self, text: str | None) -> list[str]:
+        """A text's candidate labels in normal form, in order; those without any letter are left out."""
         if not text:
-            return None, None
+            return []
         clean = re.sub(r"(?<=[a-zA-Z])\.(?=[a-zA-Z])", " ", text)
         candidates = [clean, *(p for p in map(str.strip, clean.split("/")) if len(p) >= 2)] if "/" in clean else [clean]
-        best: Label = (None, None)
-        top = 0.0
-        for label in candidates:
-            norm = d.normalize(label)
-            if not norm:
-                continue
+        return [n for n in map(d.normalize, candidates) if n]
+
+    def _sure(self, norms: list[str]) -> Label | None:
+        """The exact or word-subset label of the earliest candidate that has one."""
+        for norm in norms:
             if norm in self.exact:
                 return self.exact[norm]
-            have = tuple(norm.split())
-            inside = self.word_set.intersection(have)
+            inside = self.word_set.intersection(norm.split())
             if inside:
                 for field, keyword, _, words in self.entries:
                     if inside.issuperset(words):
                         return field, keyword
-            top, found = self.fuzzy(have, top)
+        return None
+
+    def _match(self, text: str | None) -> Label:
+        """(field, keyword) of a text: for each candidate an exact or a word-subset label, else the best fuzzy one of all.
+
+        An exact or subset hit of an earlier candidate goes before anything of a later one; of fuzzy hits, the highest
+        score, the earliest of equals.
+        """
+        norms = self._norms(text)
+        if sure := self._sure(norms):
+            return sure
+        best: Label = (None, None)
+        top = 0.0
+        for norm in norms:
+            top, found = self.fuzzy(tuple(norm.split()), top)
             best = found or best
         return best
 
+    def match_all(self, texts: Iterable[str | None]) -> dict[str | None, Label]:
+        """The same as :meth:`match` for each of the texts; those without a sure hit are compared with the keywords together."""
+        found: dict[str | None, Label] = {}
+        rest = []
+        for text in dict.fromkeys(texts):
+            if (label := self.known.get(text)) is None:
+                norms = self._norms(text)
+                label = self._sure(norms) or (None if norms else (None, None))
+            if label is None:
+                rest.append((text, norms))
+            else:
+                found[text] = label
+        near = similar_keywords(self, [n for _, norms in rest for n in norms])
+        for text, norms in rest:
+            best: Label = (None, None)
+            top = 0.0
+            for _ in norms:
+                for i, score in next(near):
+                    if score > top:
+                        top, best = score, self.entries[i][:2]
+            found[text] = best
+        if len(self.known) + len(found) > 1 << 17:
+            self.known.clear()
+        self.known.update(found)
+        return found
+
 
 @lru_cache(maxsize=8)
 def matcher_of(keywords: tuple[tuple[str, tuple[str, ...]], ...], single: float = 82.0, several: float = 75.0) -> Matcher:
@@ -134,6 +169,23 @@ def looks_like(labels: LabelMatcher, value: str | None) -> bool:
     return norm == d.normalize(keyword) or (len(words) <= 3 and all(labels.match(w)[0] for w in words))
 
 
+def match_all(labels: LabelMatcher, texts: Iterable[str | None]) -> dict[str | None, Label]:
+    """The labels of texts, each matched once."""
+    return labels.match_all(texts) if isinstance(labels, Matcher) else {x: labels.match(x) for x in dict.fromkeys(texts)}
+
+
+def like_all(labels: LabelMatcher, values: Iterable[str | None]) -> dict[str | None, bool]:
+    """:func:`looks_like` for each of the values."""
+    found = {v: (d.normalize(v) if v else "", label) for v, label in match_all(labels, values).items()}
+    words = match_all(labels, [w for norm, label in found.values() if all(label) and norm.count(" ") < 3 for w in norm.split()])
+
+    def like(norm: str, label: Label) -> bool:
+        own = norm.split()
+        return bool(own) and all(label) and (norm == d.normalize(label[1]) or (len(own) <= 3 and all(words[w][0] for w in own)))
+
+    return {v: like(*x) for v, x in found.items()}
+
+
 def match_label(text: str | None) -> Label:
     return matcher().match(text)
 
@@ -148,11 +200,6 @@ _KW = T.StructType([T.StructField("field_ord", T.IntegerType()), T.StructField("
 HITS = T.ArrayType(T.StructType([T.StructField("kw", _KW), T.StructField("score", T.DoubleType())]))
 
 
-def match_column(text: Column, labels: LabelMatcher | None = None) -> Column:
-    """(field, keyword) of a text. Equal texts are matched once per worker."""
-    return match_function(labels or matcher())(text)
-
-
 def match_function(labels: LabelMatcher):
     @F.pandas_udf(MATCH)
     def run(s: pd.Series) -> pd.DataFrame:
@@ -161,18 +208,29 @@ def match_function(labels: LabelMatcher):
     return run
 
 
-def match_each(texts: Column, labels: LabelMatcher | None = None) -> Column:
-    labels = labels or matcher()
+LINE = T.StructType([
+    T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("keywords", T.ArrayType(T.StringType())), T.StructField("field", T.StringType()), T.StructField("keyword", T.StringType()),
+])
 
-    @F.pandas_udf(T.ArrayType(MATCH))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda texts: [dict(zip(("field", "keyword"), labels.match(x), strict=True)) for x in texts])
 
-    return run(texts)
+def match_line(texts: Column, line: Column, labels: LabelMatcher | None = None) -> Column:
+    """(fields, keywords, field, keyword): the labels of a line's texts and, where none of them has any, that of the whole line."""
+    labels = labels or matcher()
 
+    @F.pandas_udf(LINE)
+    def run(texts: pd.Series, line: pd.Series) -> pd.DataFrame:
+        of = match_all(labels, (x for xs in texts for x in xs))
+        fields = [[of[x][0] for x in xs] for xs in texts]
+        bare = [all(f is None for f in fs) for fs in fields]
+        whole = match_all(labels, (x for x, alone in zip(line, bare, strict=True) if alone))
+        of_line = [whole[x] if alone else (None, None) for x, alone in zip(line, bare, strict=True)]
+        return pd.DataFrame({
+            "fields": pd.Series(fields, dtype=object), "keywords": pd.Series([[of[x][1] for x in xs] for xs in texts], dtype=object),
+            "field": pd.Series([f for f, _ in of_line], dtype=object), "keyword": pd.Series([k for _, k in of_line], dtype=object),
+        })
 
-def _like(labels: LabelMatcher):
-    return labels.looks_like_label if isinstance(labels, Matcher) else lambda v: looks_like(labels, v)
+    # declared so that the filter which an explode of the labels implies is not moved below, where it would call this once more
+    return run.asNondeterministic()(texts, line)
 
 
 def label_like(value: Column, labels: LabelMatcher | None = None) -> Column:
@@ -180,7 +238,7 @@ def label_like(value: Column, labels: LabelMatcher | None = None) -> Column:
 
     @F.pandas_udf(T.BooleanType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(_like(labels))
+        return s.map(like_all(labels, s).__getitem__)
 
     return run(value)
 
@@ -190,8 +248,8 @@ def label_like_each(values: Column, labels: LabelMatcher | None = None) -> Colum
 
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def run(s: pd.Series) -> pd.Series:
-        like = _like(labels)
-        return s.map(lambda values: [like(v) for v in values])
+        like = like_all(labels, (v for values in s for v in values))
+        return s.map(lambda values: [like[v] for v in values])
 
     return run(values)
 

@@ -115,6 +115,30 @@ def test_labels_are_not_moved_to_find_keywords_in_them(spark):
     assert "Exchange hashpartitioning" not in plan and "Aggregate" not in plan and plan.count("BroadcastHashJoin") >= 2
 
 
+def test_texts_matched_together_get_the_same_labels(spark):
+    """Also after a text is known, and with a matcher that knows single texts only; a line takes one call of Python for its texts and as a whole."""
+    from docweave.config import EngineConfig
+    from docweave.functions.text import PHRASES, correct_text, indel_ratio
+    from docweave.operators import layout, matching
+    from docweave.operators.extract import line_values
+
+    rng = __import__("random").Random(11)
+    words = sorted({w for ks in d.KEYWORDS.values() for k in ks for w in k.split()})
+    texts = NOISY + ["".join(rng.choice("aeinrst /") if rng.random() < 0.12 else c for c in " ".join(rng.sample(words, rng.randint(1, 4)))) for _ in range(300)]
+    own = {"a": ["first thing", "nom"], "b": ["thing", "second thing here now five"]}
+    for config, keywords in ((EngineConfig(), None), (EngineConfig(single_word_score=60.0, multi_word_score=50.0), None), (EngineConfig(multi_word_score=30.0), own)):
+        labels = matching.matcher(config, keywords)
+        for _ in range(2):
+            assert labels.match_all(texts) == {x: labels.match(x) for x in texts}
+            assert matching.like_all(labels, texts) == {x: matching.looks_like(labels, x) for x in texts}
+    for x in filter(None, texts):
+        scores = [(indel_ratio(x, p), -k) for k, (p, _) in enumerate(PHRASES)]
+        assert correct_text(x, 70.0) == (PHRASES[-max(scores)[1]][0] if max(scores)[0] > 70.0 else x)
+    items = layout.nest(spark.createDataFrame([(1, 0, "Nom", 0.9, [[0.0, 0.0]] * 4, "unknown")], TOKENS))
+    plan = line_values(layout.build_lines(items))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+
+
 def test_own_matcher_and_thresholds_act(spark):
     import dataclasses
 
