@@ -331,12 +331,12 @@ def adjacent_pairs(spark, sf_dir):
 
 def _boxed(spark, sf_dir):
     """Lines of an order as tokens on a page."""
+    # numbered by the document's key and before boxes are made, so that these are not moved, and nesting needs no exchange of its own
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = lines.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
     x, y = (F.col("l_partkey") % 500).cast("double"), (F.floor("l_extendedprice") % 60).cast("double")
     box = F.array(F.array(x, y), F.array(x, y), F.array(x, y), F.array(x, y))
-    return read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("ord"), F.concat(F.lit("T"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("text"),
-        F.lit(1.0).alias("confidence"), box.alias("box"), F.lit("unknown").alias("type"),
-    )
+    return lines.select("doc_id", "ord", F.concat(F.lit("T"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("text"), F.lit(1.0).alias("confidence"), box.alias("box"), F.lit("unknown").alias("type"))
 
 
 _BOXED = """

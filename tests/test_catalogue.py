@@ -22,3 +22,10 @@ def test_entry_module(spark):
     assert set(catalogue.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["layout_lines", "nearest_next_row"])
+def test_tokens_of_orders_are_moved_once(spark, name):
+    """They are numbered and nested by the same key, and boxes are made after the move."""
+    plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
