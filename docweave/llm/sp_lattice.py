@@ -67,6 +67,9 @@ class Vocabulary:
             else:
                 pieces[p] = i
                 self.bytes_of[i] = p.replace(chr(SPACE), " ").encode()
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.size = np.fromiter(map(len, self.bytes_of), np.int64, n)
+        self.begin = np.cumsum(self.size) - self.size
         self.longest = max(map(len, pieces))
         self.weight = ((rank + RANK_OFFSET) ** -alpha).astype(np.float64)
         self.space_id = pieces[chr(SPACE)]
@@ -96,14 +99,15 @@ class Vocabulary:
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece id, -1 for a mere prefix, -2 for neither."""
         slot = (h >> _U(64 - self.bits)).astype(np.int64)
-        out = np.full(len(h), -2, np.int32)
-        left = np.arange(len(h))
+        k = self.keys[slot]
+        out = np.where(k == h, self.values[slot], np.int32(-2))
+        left = np.flatnonzero((k != h) & (k != 0))
         while len(left):
+            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
             k = self.keys[slot[left]]
             hit = k == h[left]
             out[left[hit]] = self.values[slot[left[hit]]]
             left = left[~hit & (k != 0)]
-            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
         return out
 
 
@@ -121,55 +125,65 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
 def _lattice(v: Vocabulary, cps: np.ndarray, sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, size: np.ndarray):
     """Forward filtering over distinct chunks, longest first.
 
-    Returns off (each chunk's first place), cum (places x lengths: cumulated probability of the last piece's length)
+    A place is the gap after a chunk's first e characters. Places of equal e lie together, in the order of the chunks,
+    so that a sum over last pieces reads plain stretches of the places before. Returns level (the first place of each e),
+    cum (places x lengths: cumulated probability of the last piece's length, in whole words of 8 columns)
     and ids (places x lengths: that piece; -1 - c for a character c that becomes bytes).
     """
     most = v.longest
-    off = np.concatenate(([0], np.cumsum(size + 1)))
-    places = int(off[-1])
-    # chunk-major list of characters: place p of a chunk is the gap before its character p
+    deep = int(size[0]) if len(size) else 0
+    wide = np.searchsorted(-size, -np.arange(1, deep + 1), side="right")  # chunks of at least so many characters
+    level = np.concatenate(([0, len(size)], len(size) + np.cumsum(wide)))
+    places = int(level[-1])
+    ids = np.zeros((places, most), np.int32)
+    weight = np.zeros((most, places), np.float32)
+    # chunk-major list of characters, by what comes before them in the chunk
     chunk = np.repeat(np.arange(len(size)), size)
     inner = np.arange(len(chunk)) - np.repeat(np.cumsum(size) - size, size)
     at = start[chunk] + inner  # character in the batch
-    place = off[chunk] + inner
     room = size[chunk] - inner
-    ids = np.zeros((places, most), np.int32)
-    weight = np.zeros((places, most), np.float32)
-    live = np.arange(len(chunk))
+    before, scale = sums[at], inverse[at]
     for n in range(1, most + 1):
-        live = live[room[live] >= n]
-        if not len(live):
+        if n > 1:
+            live = found > -2
+            live &= room > n - 1
+            live = np.flatnonzero(live)
+            chunk, inner, at, room, before, scale = (x[live] for x in (chunk, inner, at, room, before, scale))
+        if not len(at):
             break
-        a = at[live]
-        found = v.find(_finish((sums[a + n] - sums[a]) * inverse[a]))
-        end = place[live] + n
+        found = v.find(_finish((sums[at + n] - before) * scale))
+        end = level[inner + n] + chunk
         hit = found >= 0
         ids[end[hit], n - 1] = found[hit]
-        weight[end[hit], n - 1] = v.weight[found[hit]]
+        weight[n - 1, end[hit]] = v.weight[found[hit]]
         if n == 1:
             miss = ~hit
-            ids[end[miss], 0] = -1 - cps[a[miss]].astype(np.int64)
-            weight[end[miss], 0] = FALLBACK
-        live = live[found > -2]
+            ids[end[miss], 0] = -1 - cps[at[miss]].astype(np.int64)
+            weight[0, end[miss]] = FALLBACK
+    cum = np.ones((places, -(-most // 8) * 8), np.float32)
     total = np.zeros(places)
-    first = off[:-1]
-    total[first] = 1.0
-    back = np.arange(1, most + 1)
-    for e in range(1, int(size[0]) + 1 if len(size) else 1):
-        n = int(np.searchsorted(-size, -e, side="right"))  # chunks of at least e characters
-        here = first[:n] + e
+    total[: len(size)] = 1.0
+    for e, n in enumerate(wide.tolist(), 1):
+        here = int(level[e])
         w = min(e, most)
         # scaled by character, which all paths to a place share; so sums stay near 1
-        terms = total[here[:, None] - back[None, :w]] * weight[here, :w] * _SCALE[None, :w]
-        whole = terms.sum(axis=1)
-        total[here] = whole
-        weight[here, :w] = np.cumsum(terms, axis=1) / whole[:, None]
-        if len(odd := np.flatnonzero((whole < 1e-120) | (whole > 1e120))):
-            window = here[odd, None] - np.arange(w)[None, :]
-            total[window] /= whole[odd, None]
-        if w < most:
-            weight[here, w:] = 1.0
-    return off, weight, ids
+        terms = weight[:w, here : here + n] * _SCALE[:w, None]
+        if n < w:
+            terms *= total[level[e - w : e][::-1, None] + np.arange(n)]
+        else:
+            for k, a in enumerate(level[e - w : e][::-1].tolist()):
+                terms[k] *= total[a : a + n]
+        # one after the other, so that a chunk's sums do not depend on others
+        for k in range(1, w):
+            terms[k] += terms[k - 1]
+        whole = terms[w - 1].copy()
+        total[here : here + n] = whole
+        terms /= whole
+        cum[here : here + n, :w] = terms.T
+        if whole.min() < 1e-120 or whole.max() > 1e120:
+            odd = np.flatnonzero((whole < 1e-120) | (whole > 1e120))
+            total[level[e - w + 1 : e + 1][:, None] + odd] /= whole[odd]
+    return level, cum, ids
 
 
 _SCALE = 12.0 ** np.arange(1, 257)
@@ -250,46 +264,62 @@ def _sample(texts: list[str], keys: np.ndarray, offset: np.ndarray, v: Vocabular
     rank[order] = np.arange(len(order))
     which = rank[which]
     one = one[order]
-    off, cum, ids = _lattice(v, cps, sums, inverse, start[one], size[one])
+    level, cum, ids = _lattice(v, cps, sums, inverse, start[one], size[one])
     # backward sampling, all chunks of the batch a piece at a time
     doc = np.searchsorted(doc_at, start, side="right") - 1
     stream = splitmix(splitmix(keys.astype(np.int64).view(np.uint64) ^ _U(seed))[doc] + (start - doc_at[doc] + offset[doc]).astype(np.uint64) * _U(_BASE))
     live = np.arange(len(start))
-    first = off[:-1][which]
-    place = first + size
+    left = size  # characters of each live chunk that are not yet taken
     count = np.zeros(len(start), np.int64)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     while len(live):
-        p = place[live]
-        u = (splitmix(stream[live] + _U(len(steps) + 1)) >> _U(40)).astype(np.float32) * np.float32(2.0**-24)
-        k = (cum[p] <= u[:, None]).sum(axis=1)
-        k = np.minimum(k, cum.shape[1] - 1)
+        p = level[left] + which
+        u = (splitmix(stream + _U(len(steps) + 1)) >> _U(40)).astype(np.float32) * np.float32(2.0**-24)
+        # eight comparisons in a word, so a word's bits are counted
+        k = np.bitwise_count((cum[p] <= u[:, None]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        k = np.minimum(k, ids.shape[1] - 1)
         steps.append((live, ids[p, k]))
-        count[live] += 1
-        place[live] = p - k - 1
-        live = live[place[live] > first[live]]
+        left = left - k - 1
+        on = left > 0
+        count[live[~on]] = len(steps)
+        live, left, which, stream = (x[on] for x in (live, left, which, stream))
     last = np.cumsum(count) - 1
     flat = np.empty(int(count.sum()), np.int32)
     for s, (who, piece) in enumerate(steps):
         flat[last[who] - s] = piece
-    per_doc = np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64)
-    return [_bytes(p, v) if len(p) and p.min() < 0 else p for p in np.split(flat, np.cumsum(per_doc)[:-1])]
-
-
-def _bytes(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
-    """Characters that are no piece, as byte pieces."""
-    chars = {c: v.byte_ids[np.frombuffer(chr(-1 - c).encode(), np.uint8)] for c in np.unique(ids[ids < 0]).tolist()}
-    cut = np.flatnonzero(ids < 0)
-    out, a = [], 0
-    for k in cut.tolist():
-        out += [ids[a:k], chars[int(ids[k])]]
-        a = k + 1
-    return np.concatenate([*out, ids[a:]])
+    flat, wide = _bytes(flat, v)
+    ends = np.cumsum(np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64))
+    return np.split(flat, (ends if wide is None else np.cumsum(wide)[ends - 1])[:-1])
+
+
+def _bytes(ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray | None]:
+    """Characters that are no piece, as byte pieces; and how many ids each has become, None if all stay."""
+    at = np.flatnonzero(ids < 0)
+    if not len(at):
+        return ids, None
+    char = -1 - ids[at]
+    many = 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)
+    wide = np.ones(len(ids), np.int64)
+    wide[at] = many
+    out = np.repeat(ids, wide)
+    first = (np.cumsum(wide) - wide)[at]
+    for n, lead in enumerate((0, 0xC0, 0xE0, 0xF0), 1):  # UTF-8 of n bytes
+        c, a = char[many == n], first[many == n]
+        out[a] = v.byte_ids[lead | c >> 6 * (n - 1)]
+        for k in range(1, n):
+            out[a + k] = v.byte_ids[0x80 | c >> 6 * (n - 1 - k) & 0x3F]
+    return out, wide
 
 
 def decode(ids, v: Vocabulary) -> str:
     """The text of ids: bytes of all pieces, without the space that encoding puts first."""
-    held = [b"".join(map(v.bytes_of.__getitem__, np.asarray(ids[a : a + DECODED]).tolist())) for a in range(0, len(ids), DECODED)]
+    held, ids = [], np.asarray(ids, np.int64)
+    for a in range(0, len(ids), DECODED):
+        part = ids[a : a + DECODED]
+        size = v.size[part]
+        at = np.repeat(v.begin[part] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        held.append(v.flat[at].tobytes())
     return b"".join(held)[1:].decode()
 
 

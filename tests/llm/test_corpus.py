@@ -616,6 +616,49 @@ def test_sampling_is_lossless_seeded_and_true_to_its_weights(spark, odd, none):
     assert set(seen) <= set(want) and max(abs(seen[k] / 30_000 - p / total) for k, p in want.items()) < 0.012 and len(seen) > 10
 
 
+def test_lattice_lies_by_level_and_equals_brute_force():
+    """Places of equal depth lie together, so sums read plain stretches; each place has the chances of its last pieces."""
+    v = sp_lattice.vocabulary(sp_lattice.VOCABULARY, 0.5)
+    pieces = {v.bytes_of[i].decode(): i for i in range(259, 32000) if v.size[i]}
+    chunks = sorted([" thing", " of", " internationalization" * 30, " caf\u00e9s", " \u2603x", "a", " \U0001f600\u0416"], key=len, reverse=True)
+    chunks = [c if " " not in c[1:] else " " + c.replace(" ", "") for c in chunks]
+    cps = np.array([ord(c) for c in "".join(chunks)], np.int64)
+    power, inverse = [1], [1]
+    for _ in cps:
+        power.append(power[-1] * sp_lattice._BASE % 2**64)
+        inverse.append(inverse[-1] * sp_lattice._INVERSE % 2**64)
+    code = np.where(cps == 32, sp_lattice.SPACE, cps).astype(np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(sp_lattice.splitmix(code) * np.array(power[:-1], np.uint64), dtype=np.uint64)))
+    size = np.array([len(c) for c in chunks])
+    level, cum, ids = sp_lattice._lattice(v, cps, sums, np.array(inverse, np.uint64), np.cumsum(size) - size, size)
+    assert cum.shape[1] % 8 == 0 and np.array_equal(np.diff(level), [(size >= e).sum() for e in range(size[0] + 1)])
+    for k, c in enumerate(chunks):
+        total = [1.0]
+        for e in range(1, len(c) + 1):
+            ways = [0.0] * v.longest
+            for n in range(1, min(e, v.longest) + 1):
+                i = pieces.get(c[e - n : e])
+                if i is not None or n == 1:
+                    ways[n - 1] = total[e - n] * (sp_lattice.FALLBACK if i is None else v.weight[i]) * 12.0**n
+                    assert ids[level[e] + k, n - 1] == (-1 - ord(c[e - 1]) if i is None else i)
+            total.append(sum(ways))
+            assert np.allclose(cum[level[e] + k, : v.longest], np.cumsum(ways) / total[-1], atol=1e-6)
+            if not 1e-100 < total[-1] < 1e100:
+                total = [t / total[-1] for t in total]
+
+
+def test_characters_that_are_no_piece_become_their_bytes():
+    v = sp_lattice.vocabulary(sp_lattice.VOCABULARY, 0.5)
+    chars = ["\x01", "\u00e9", "\u2603", "\u2581", "\U0001f600", "\U0010ffff", "\x7f", "\u07ff", "\u0800"]
+    got, wide = sp_lattice._bytes(np.array([300, *(-1 - ord(c) for c in chars), 301], np.int32), v)
+    want = [300, *(int(v.byte_ids[b]) for c in chars for b in c.encode()), 301]
+    assert got.tolist() == want and wide.tolist() == [1, *(len(c.encode()) for c in chars), 1]
+    plain = np.array([300, 301], np.int32)
+    assert sp_lattice._bytes(plain, v)[1] is None and sp_lattice.decode(np.zeros(0, np.int32), v) == ""
+    texts = ["".join(chars), "", " ", "a\u2581 b " + chars[4] * 3, "x" * 9000]
+    assert [sp_lattice.decode(x, v) for x in sp_lattice.sample(texts, np.arange(5), v)] == texts
+
+
 # ---------------------------------------------------------------- personal data
 
 PATTERNS = {
