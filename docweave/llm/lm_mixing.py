@@ -15,7 +15,6 @@ doubling distances, at most EVERY apart.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import itertools
 import math
@@ -70,7 +69,10 @@ UNIT, MOST = 14, 128
 LEAF_BITS, OFTEN_BITS = 20, 9
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _GATHER = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Levels of a tree whose slots lie near each other.
+NEAR = 4
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+_UNDO_B = pow(0x85EBCA6B, -1, 1 << 32)
 
 
 # ---------------------------------------------------------------- trees
@@ -90,7 +92,8 @@ class Tree:
     nodes: int
 
     @classmethod
-    def of(cls, counts: np.ndarray) -> Tree:
+    def of(cls, counts: np.ndarray, bits: int = 0) -> Tree:
+        """bits: of the smallest table, if decisions of one context that follow each other shall have slots near each other there."""
         n = len(counts)
         heap = [(float(c) + 0.5, k) for k, c in enumerate(counts)]
         heapq.heapify(heap)
@@ -113,17 +116,25 @@ class Tree:
         for k, (x, y) in enumerate(steps):
             who = np.flatnonzero(x >= 0)
             node[start[who] + length[who] - 1 - k], bit[start[who] + length[who] - 1 - k] = x[who], y[who]
-        mark = node.astype(np.uint32) * _A
-        mark ^= mark >> np.uint32(15)
         depth = (np.arange(len(node)) - np.repeat(start, length)).astype(np.uint8)
+        top, way = node, np.zeros(len(node), np.uint32)
+        if bits:  # NEAR levels share the mark of the highest, and add their way down from it, in slots
+            at = np.arange(len(node)) - depth % NEAR
+            top, way = node[at], np.ones(len(node), np.uint32)
+            for k in range(NEAR - 1):
+                way = np.where(depth % NEAR > k, 2 * way + bit[np.minimum(at + k, len(node) - 1)], way)
+            way = way.astype(np.uint32) * np.uint32((1 << 32 - bits) * _UNDO_B & 0xFFFFFFFF)
+        mark = top.astype(np.uint32) * _A
+        mark ^= mark >> np.uint32(15)
+        mark += way
         return cls(start.astype(np.int32), length.astype(np.int32), node, mark, bit, (2 * bit.astype(np.int8) - 1), np.minimum(depth >> 2, DEPTHS - 1).astype(np.uint8), max(1, new - n))
 
     def walk(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of decisions of each leaf, all decisions in order as places of the flat arrays)."""
         many = self.length[leaf]
         first = np.cumsum(many, dtype=np.int64) - many
-        flat = np.arange(int(many.sum()), dtype=np.int32)
-        flat += np.repeat((self.start[leaf] - first).astype(np.int32), many)
+        flat = np.repeat(self.start[leaf] - first, many)
+        flat += np.arange(len(flat))
         return many, flat
 
     def bases(self, counts: np.ndarray) -> np.ndarray:
@@ -161,10 +172,11 @@ def places(context: np.ndarray, mark: np.ndarray, bits: int) -> tuple[np.ndarray
     x = context + mark
     tag = x * _C
     tag >>= np.uint32(32 - TAG_BITS)
-    np.maximum(tag, np.uint32(2), out=tag)
+    tag = tag.astype(np.uint8)
+    np.maximum(tag, np.uint8(2), out=tag)
     x *= _B
     x >>= np.uint32(32 - bits)
-    return x, tag
+    return x.astype(np.intp), tag
 
 
 class Counts:
@@ -175,9 +187,8 @@ class Counts:
 
     def add(self, context: np.ndarray, mark: np.ndarray, bit: np.ndarray, by: np.ndarray | None = None) -> None:
         slot, tag = places(context, mark, self.bits)
-        np.add.at(self.n, (slot << np.uint32(1)) + bit, self.n.dtype.type(1) if by is None else by)
-        tag = tag.astype(np.uint8)
-        now = self.tag[slot]
+        np.add.at(self.n, 2 * slot + bit, self.n.dtype.type(1) if by is None else by)
+        now = self.tag.take(slot)
         if len(new := np.flatnonzero(now == EMPTY)):
             self.tag[slot[new]] = tag[new]
             now[new] = self.tag[slot[new]]
@@ -273,8 +284,8 @@ class Table:
     def look(self, context: np.ndarray, mark: np.ndarray) -> np.ndarray:
         """Logits (in parts of UNIT) of a frozen table; 0 where nothing is known."""
         slot, tag = places(context, mark, self.bits)
-        found = self.slots[slot]
-        own = found >> np.uint16(8)
+        found = self.slots.take(slot)
+        own = (found >> np.uint16(8)).astype(np.uint8)
         known = own == tag
         known |= own == MIXED
         found &= np.uint16(255)
@@ -294,15 +305,15 @@ class Table:
     def without_own(self, context: np.ndarray, mark: np.ndarray, bit: np.ndarray, by: np.ndarray) -> np.ndarray:
         """Logits of decisions that the counts have, each without itself (``by`` is of :meth:`own_taken_out`); 0 where nothing is left."""
         slot, tag = places(context, mark, self.bits)
-        found = self.slots[slot]
-        own = found >> np.uint32(16)
+        found = self.slots.take(slot)
+        own = (found >> np.uint32(16)).astype(np.uint8)
         mixed = own == MIXED
         known = own == tag
         known |= mixed
         found &= np.uint32(0xFFFF)
         found |= bit.astype(np.uint32) << np.uint32(16)
         found |= mixed.astype(np.uint32) << np.uint32(17)
-        out = by[found]
+        out = by.take(found)
         out *= known
         return out
 
@@ -319,7 +330,7 @@ def newton(weights: np.ndarray, bend: np.ndarray, gate: np.ndarray, signed: list
 
     signed: logits of the predictors, towards what happened.
     """
-    z = sum(weights[:, k][gate] * signed[k] for k in range(PREDICTORS))
+    z = sum(weights[:, k].take(gate) * signed[k] for k in range(PREDICTORS))
     p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
     wrong, flat = 1 - p, p * (1 - p)
     if by is not None:
@@ -334,6 +345,14 @@ def newton(weights: np.ndarray, bend: np.ndarray, gate: np.ndarray, signed: list
     weights += np.linalg.solve(bend, slope[:, :, None])[:, :, 0].astype(np.float32)
 
 
+def gates(found: list[np.ndarray], depth: np.ndarray) -> np.ndarray:
+    """Which weights apply, by whether two predictors know the context, and by depth."""
+    gate = depth * np.uint8(4)
+    gate += (found[0] != 0).view(np.uint8)
+    gate += (found[1] != 0).view(np.uint8) * np.uint8(2)
+    return gate.astype(np.intp)
+
+
 def start_bend() -> np.ndarray:
     return np.tile(PRIOR * np.eye(PREDICTORS), (GATES, 1, 1))
 
@@ -382,26 +401,29 @@ class Speller:
 
     def count(self, tables: list[Counts], words: list[bytes], n: np.ndarray) -> None:
         for word, contexts, flat in self._walk(words):
+            mark, bit, by = self.tree.mark.take(flat), self.tree.bit.take(flat), n[word]
             for t, h in zip(tables, contexts, strict=True):
-                t.add(h, self.tree.mark[flat], self.tree.bit[flat], n[word])
+                t.add(h, mark, bit, by)
 
     def learn(self, words: list[bytes], n: np.ndarray, bend: np.ndarray, by: list[np.ndarray]) -> None:
         for word, contexts, flat in self._walk(words):
-            mark, bit = self.tree.mark[flat], self.tree.bit[flat]
+            mark, bit = self.tree.mark.take(flat), self.tree.bit.take(flat)
             found = [t.without_own(h, mark, bit, x) for t, h, x in zip(self.tables, contexts, by, strict=True)]
-            gate = (found[1] != 0) + 2 * (found[2] != 0) + 4 * self.tree.depth[flat]
+            gate = gates(found[1:], self.tree.depth.take(flat))
             newton(self.weights, bend, gate, found, n[word])
 
     def bits(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros(len(words))
+        weights = (self.weights.T / UNIT).astype(np.float32)
         for word, contexts, flat in self._walk(words):
-            found = [t.look(h, self.tree.mark[flat]) for t, h in zip(self.tables, contexts, strict=True)]
-            gate = (found[1] != 0) + 2 * (found[2] != 0) + 4 * self.tree.depth[flat]
-            z = sum(self.weights[:, k][gate] * found[k] for k in range(PREDICTORS)) * np.float32(1 / UNIT)
-            z *= self.tree.sign[flat]
+            mark = self.tree.mark.take(flat)
+            found = [t.look(h, mark) for t, h in zip(self.tables, contexts, strict=True)]
+            gate = gates(found[1:], self.tree.depth.take(flat))
+            z = sum(weights[k].take(gate) * found[k] for k in range(PREDICTORS))
+            z *= self.tree.sign.take(flat)
             np.clip(z, -12, 12, out=z)
-            out += np.bincount(word, np.log2(1 + np.exp(-z)), minlength=len(words))
-        return out
+            out += np.bincount(word, np.log(1 + np.exp(-z)), minlength=len(words))
+        return out / math.log(2)
 
 
 # ---------------------------------------------------------------- texts by their words
@@ -503,7 +525,7 @@ class Model:
                 part = pair[a : a + BLOCK]
                 many, flat = self.tree.walk((part & np.uint64((1 << LEAF_BITS) - 1)).astype(np.int32))
                 context = hashed(k, (part >> np.uint64(LEAF_BITS)).astype(np.int32) - 1)
-                t.add(np.repeat(context, many), self.tree.mark[flat], self.tree.bit[flat], np.repeat(n[a : a + BLOCK], many))
+                t.add(np.repeat(context, many), self.tree.mark.take(flat), self.tree.bit.take(flat), np.repeat(n[a : a + BLOCK], many))
 
     def learn(self, leaf: np.ndarray, size: np.ndarray, bend: np.ndarray, by: list[np.ndarray]) -> None:
         """All tokens teach; those of one kind, which have equal bets, do so at once."""
@@ -512,17 +534,21 @@ class Model:
         for a in range(0, len(key), BLOCK):
             last, ctx = of_kind(key[a : a + BLOCK])
             many, flat = self.tree.walk(last)
-            mark, bit = self.tree.mark[flat], self.tree.bit[flat]
+            mark, bit = self.tree.mark.take(flat), self.tree.bit.take(flat)
             found = [t.without_own(np.repeat(h, many), mark, bit, x) for t, h, x in zip(self.tables, ctx, by, strict=True)]
-            gate = (found[0] != 0) + 2 * (found[1] != 0) + 4 * self.tree.depth[flat]
-            newton(self.weights, bend, gate, [self.base[flat], *found], np.repeat(n[a : a + BLOCK], many))
+            gate = gates(found, self.tree.depth.take(flat))
+            newton(self.weights, bend, gate, [self.base.take(flat), *found], np.repeat(n[a : a + BLOCK], many))
 
     def score(self, rows: list[list[bytes]], leaves: list[np.ndarray], rest: list[list[bytes]]) -> np.ndarray:
         """Bits of each text, by a frozen model. A text's score depends on itself and the model only.
 
         leaves: of each text's tokens; rest: its words that are no head words.
         """
-        bits = np.zeros(len(rows))
+        return self.score_leaves(leaves, [Counter(r) for r in rest])
+
+    def score_leaves(self, leaves: list[np.ndarray], rest: list[dict[bytes, int]]) -> np.ndarray:
+        """The same, by how often each text has each of its words that are no head words."""
+        bits = np.zeros(len(leaves))
         own = self.speller.memo
         if len(own) > MEMO or self.speller.held > MEMO_BYTES:
             own.clear()
@@ -530,7 +556,7 @@ class Model:
         if new := list(set().union(*rest) - own.keys()):
             own.update(zip(new, self.speller.bits(new).tolist(), strict=True))
             self.speller.held += sum(map(len, new))
-        bits += [math.fsum(map(own.__getitem__, r)) for r in rest]
+        bits += [math.fsum(own[w] * n for w, n in r.items()) for r in rest]
         order = np.argsort([-len(x) for x in leaves], kind="stable")
         a = 0
         while a < len(order):  # texts of like length together, those that go on first
@@ -562,30 +588,27 @@ class Model:
             many, flat = self.tree.walk(leaf[at])
             edge = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(here)))]
             wide = np.diff(edge)
-            mark, sign = self.tree.mark[flat], self.tree.sign[flat]
+            mark, sign = self.tree.mark.take(flat), self.tree.sign.take(flat)
             found = [t.look(np.repeat(h[at], many), mark) for t, h in zip(self.tables, ctx, strict=True)]
-            gate = self.tree.depth[flat]
-            gate *= np.uint8(4)
-            gate += (found[0] != 0).view(np.uint8)
-            gate += (found[1] != 0).view(np.uint8) * np.uint8(2)
-            bets = [self.base[flat], found[0] * sign, found[1] * sign]
+            gate = gates(found, self.tree.depth.take(flat))
+            bets = [self.base.take(flat), found[0] * sign, found[1] * sign]
             z = np.zeros(len(flat), np.float32)
             for k, x in enumerate(bets):
-                bets[k] = x = weights[k][gate] * x  # towards what happened
+                bets[k] = x = weights[k].take(gate) * x  # towards what happened
                 z += x * np.repeat(factor[k, :live], wide) if s else x
             np.clip(z, -12, 12, out=z)
             np.negative(z, out=z)
             # odds against what happened: its probability is 1 / (1 + odds)
             odds = np.exp(z, out=z)
             odds += 1
-            bits[:live] += np.add.reduceat(np.log2(odds), edge[:-1], dtype=np.float64)
+            bits[:live] += np.add.reduceat(np.log(odds), edge[:-1], dtype=np.float64)
             on = int(np.searchsorted(-size, -e, side="left"))
             if on:  # who goes on learns from this segment
                 m = int(edge[on])
                 error = 1 - 1 / odds[:m]
                 for k, x in enumerate(bets):
                     factor[k, :on] += np.float32(RATE_DOC) * np.add.reduceat(error * x[:m], edge[:on]) / (wide[:on] + np.float32(SLOW_DOC))
-        return bits
+        return bits / math.log(2)
 
 
 # ---------------------------------------------------------------- learning over the cluster
@@ -627,11 +650,6 @@ def is_head(total: int):
     return (F.col("n") * HEAD > F.lit(total)) & (F.octet_length("token") <= HEAD_BYTES) & (F.col("token") != END)
 
 
-def key_of(word: bytes, most: int) -> str:
-    """What a word that is no head word is joined by: itself, or a digest if it is long; no word has a space."""
-    return word.decode() if len(word) <= most else " " + hashlib.sha256(word).hexdigest()
-
-
 def byte_counts(words: DataFrame) -> np.ndarray:
     """How often words (token, n), each with a space after it, have each byte."""
 
@@ -708,13 +726,45 @@ def tables_of(parts: DataFrame, bits: tuple[int, ...]) -> list[Table]:
     return tables
 
 
-def texts_in(batches: Iterator[pd.DataFrame], words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+LEAVES = "rid long, doc_id long, held_out boolean, n_bytes long, leaves binary, tail array<string>, tf array<int>"
+
+
+def in_leaves(docs: DataFrame, words: Words) -> DataFrame:
+    """Rows (doc_id, text, held_out) as the leaves of their tokens, and their words that are no head words with how often they occur.
+
+    Written once, so that texts are taken apart once for counting, learning and scoring.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        rid = TaskContext.get().partitionId() << 40
+        for b in batches:
+            size = b["text"].str.len().to_numpy(np.int64)
+            lot = np.concatenate(([0], np.cumsum(size)[:-1])) >> 20  # about a million characters at a time
+            for k in np.unique(lot):
+                part = b[lot == k]
+                rows = [tokens(t) for t in part["text"]]
+                leaves = [shared.value.leaves(w) for w in rows]
+                tails = [Counter([ws[i] for i in np.flatnonzero(xs == OTHER).tolist()]) for ws, xs in zip(rows, leaves, strict=True)]
+                yield pd.DataFrame({
+                    "rid": rid + np.arange(len(rows)), "doc_id": part["doc_id"].to_numpy(), "held_out": part["held_out"].to_numpy(),
+                    "n_bytes": [len(b" ".join(w)) + 1 + bool(w) for w in rows], "leaves": [x.tobytes() for x in leaves],
+                    "tail": [[w.decode() for w in c] for c in tails], "tf": [list(c.values()) for c in tails],
+                })
+                rid += len(rows)
+
+    return materialize(docs.select("doc_id", "text", "held_out").mapInPandas(run, LEAVES), "lm-leaves")
+
+
+def texts_in(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(leaves, sizes) of some texts at a time, about LOT tokens or one text."""
     held: list[np.ndarray] = []
     size = 0
     for b in batches:
-        for text in b["text"]:
-            held.append(words.leaves(tokens(text)))
+        for raw in b["leaves"]:
+            held.append(np.frombuffer(raw, np.int32))
             size += len(held[-1])
             if size >= LOT:
                 yield np.concatenate(held), np.array([len(x) for x in held])
@@ -725,77 +775,75 @@ def texts_in(batches: Iterator[pd.DataFrame], words: Words) -> Iterator[tuple[np
 
 def learn(docs: DataFrame, words: DataFrame) -> tuple[Model, np.ndarray]:
     """The model of docs (doc_id, text) and their words (token, n), and the counts of its leaves; all of a bounded size."""
-    spark = docs.sparkSession
+    known, counts = lexicon(words)
+    return fit(in_leaves(docs.withColumn("held_out", F.lit(False)), known), words, known, counts), counts
+
+
+def lexicon(words: DataFrame) -> tuple[Words, np.ndarray]:
+    """Head words among words (token, n), most frequent first, and the counts of all leaves."""
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     head = sorted(((r["token"].encode(), r["n"]) for r in words.where(is_head(total)).toLocalIterator()), key=lambda x: (-x[1], x[0]))  # fewer than HEAD, HEAD_BYTES each at most
-    rest = words.where(~is_head(total) & (F.col("token") != END))
     ends = words.where(F.col("token") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     others = int(total) - ends - sum(n for _, n in head)
-    counts = np.array([others, ends, *(n for _, n in head)], np.int64)
-    tree = Tree.of(counts)
-    bits = tuple(min(most, max(16, int(x).bit_length())) for most, x in zip(MOST_BITS, (total, PER_WORD * len(head)), strict=True))
-    model = Model(Words([w for w, _ in head]), tree, tree.bases(counts), [], first_weights(), learn_speller(rest))
-    fresh = spark.sparkContext.broadcast((model.words, tree))
+    return Words([w for w, _ in head]), np.array([others, ends, *(n for _, n in head)], np.int64)
+
+
+def fit(rows: DataFrame, words: DataFrame, known: Words, counts: np.ndarray) -> Model:
+    """The model of texts in leaves (see :func:`in_leaves`) and their words (token, n)."""
+    spark, total = rows.sparkSession, int(counts.sum())
+    bits = tuple(min(most, max(16, int(x).bit_length())) for most, x in zip(MOST_BITS, (total, PER_WORD * (len(counts) - WORD_0)), strict=True))
+    tree = Tree.of(counts, min(bits))
+    model = Model(known, tree, tree.bases(counts), [], first_weights(), learn_speller(words.where(~is_head(total) & (F.col("token") != END))))
+    fresh = spark.sparkContext.broadcast(tree)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, tables = Model(*fresh.value, None, [], None, None), [Counts(b) for b in bits]
-        for leaf, size in texts_in(batches, own.words):
+        own, tables = Model(None, fresh.value, None, [], None, None), [Counts(b) for b in bits]
+        for leaf, size in texts_in(batches):
             own.count(tables, leaf, size)
         for k, t in enumerate(tables):
             for piece in t.pieces(k):
                 yield pd.DataFrame([piece])
 
-    model.tables = tables_of(docs.select("text").mapInPandas(count, "chunk int, n binary"), bits)
-    shared = spark.sparkContext.broadcast(model)
+    model.tables = tables_of(rows.select("leaves").mapInPandas(count, "chunk int, n binary"), bits)
+    shared = spark.sparkContext.broadcast(Model(None, tree, model.base, model.tables, model.weights, None))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        own, bend, seen = Model(m.words, m.tree, m.base, m.tables, m.weights.copy(), None), start_bend(), 0
+        own, bend, seen = Model(None, m.tree, m.base, m.tables, m.weights.copy(), None), start_bend(), 0
         by = [t.own_taken_out() for t in own.tables]
-        for leaf, size in texts_in(batches, own.words):
+        for leaf, size in texts_in(batches):
             own.learn(leaf, size, bend, by)
             seen += len(leaf)
         yield from _weights(own.weights, seen)
 
-    model.weights = averaged(docs.select("text").mapInPandas(weigh, WEIGHTS), model.weights)
+    model.weights = averaged(rows.select("leaves").mapInPandas(weigh, WEIGHTS), model.weights)
     shared.destroy()
     fresh.destroy()
-    return model, counts
+    return model
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, bits double, part double, known long, tail array<string>, tf array<int>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, bits double, part double, known long"
 
 
-def score_documents(docs: DataFrame, model: Model, counts: np.ndarray) -> DataFrame:
-    """Per row: bits by the model; the unigram sum over head words; and the other words, with how often they occur."""
+def score_documents(rows: DataFrame, model: Model, counts: np.ndarray) -> DataFrame:
+    """Per row in leaves: bits by the model, the unigram sum over head words, and how many tokens are known by these."""
     logs = np.log10(counts + 0.5)
     logs[OTHER] = 0.0
-    shared = docs.sparkSession.sparkContext.broadcast((model, logs, counts[END_ID] > 0))
-    most = HEAD_BYTES
+    frozen = Model(None, model.tree, model.base, model.tables, model.weights, model.speller)
+    shared = rows.sparkSession.sparkContext.broadcast((frozen, logs, counts[END_ID] > 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        rid = TaskContext.get().partitionId() << 40
         m, logs, ended = shared.value
         for b in batches:
-            size = b["text"].str.len().to_numpy(np.int64)
-            lot = np.concatenate(([0], np.cumsum(size)[:-1])) >> 20  # about a million characters at a time
-            for k in np.unique(lot):
-                part = b[lot == k]
-                rows = [tokens(t) for t in part["text"]]
-                leaves = [m.words.leaves(w) for w in rows]
-                rest = [[w for w, x in zip(ws, xs.tolist(), strict=False) if x == OTHER] for ws, xs in zip(rows, leaves, strict=True)]
-                tails = [Counter(r) for r in rest]
-                yield pd.DataFrame({
-                    "rid": rid + np.arange(len(rows)), "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": [len(x) for x in leaves],
-                    "n_bytes": [sum(map(len, w)) + len(w) + 1 for w in rows], "bits": m.score(rows, leaves, rest), "part": [logs[x].sum() for x in leaves],
-                    "known": [len(x) - len(r) - (not ended) for x, r in zip(leaves, rest, strict=True)],
-                    "tail": [[key_of(w, most) for w in c] for c in tails], "tf": [list(c.values()) for c in tails],
-                })
-                rid += len(rows)
+            leaves = [np.frombuffer(x, np.int32) for x in b["leaves"]]
+            tails = [dict(zip([w.encode() for w in ws], ns.tolist(), strict=True)) for ws, ns in zip(b["tail"], b["tf"], strict=True)]
+            yield pd.DataFrame({
+                "rid": b["rid"], "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": [len(x) for x in leaves], "n_bytes": b["n_bytes"],
+                "bits": m.score_leaves(leaves, tails), "part": [logs.take(x).sum() for x in leaves],
+                "known": [len(x) - sum(r.values()) - (not ended) for x, r in zip(leaves, tails, strict=True)],
+            })
 
-    return docs.mapInPandas(run, SCORED)
+    return rows.mapInPandas(run, SCORED)
 
 
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -811,12 +859,15 @@ def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = training(docs)
     words = materialize(count_tokens(rows.where("NOT held_out")), "lm-counts")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model, counts = learn(rows.where("NOT held_out"), words)
+    known, counts = lexicon(words)
+    rows = in_leaves(rows, known)
+    model = fit(rows.where("NOT held_out"), words, known, counts)
     scored = materialize(score_documents(rows, model.frozen(), counts), "lm-scored")
     # a word that occurs in held-out texts only may be frequent there: sums by task come first
-    tail = scored.select("rid", F.explode(F.arrays_zip(F.col("tail").alias("token"), "tf")).alias("t")).select("rid", "t.token", "t.tf")
-    long = F.octet_length("token") > HEAD_BYTES
-    others = words.where(~is_head(total)).select(F.when(long, F.concat(F.lit(" "), F.sha2("token", 256))).otherwise(F.col("token")).alias("token"), "n")
+    long = F.octet_length("token") > HEAD_BYTES  # joined by a digest; no word has a space
+    short = F.when(long, F.concat(F.lit(" "), F.sha2("token", 256))).otherwise(F.col("token")).alias("token")
+    tail = rows.select("rid", F.explode(F.arrays_zip(F.col("tail").alias("token"), "tf")).alias("t")).select("rid", "t.token", "t.tf").select("rid", short, "tf")
+    others = words.where(~is_head(total)).select(short, "n")
     counted = tail.join(others.hint("merge"), "token", "left").groupBy("rid").agg(
         F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more")
     )

@@ -889,6 +889,30 @@ def test_every_training_row_teaches_the_mixer(spark):
     assert not np.allclose(model.weights, lm_mixing.first_weights()) and all(np.abs(t.bet[: 1 << 16] - lm_mixing.BET).max() > 0.1 for t in model.tables)
 
 
+def test_decisions_of_a_context_lie_near_each_other():
+    """The first levels of a tree are in a few neighbouring slots, each in its own; so a token's lookups share cache lines."""
+    tree = lm_mixing.Tree.of(np.random.default_rng(2).zipf(1.3, 3000).clip(0, 10**6), 16)
+    for h in (np.uint32(123456789), np.uint32(4000000000)):
+        for leaf in range(0, 3000, 7):
+            f = np.arange(tree.start[leaf], tree.start[leaf] + tree.length[leaf])
+            slot, _ = lm_mixing.places(np.full(len(f), h), tree.mark[f], 16)
+            for a in range(0, len(f), lm_mixing.NEAR):
+                part = (slot[a : a + lm_mixing.NEAR] - slot[a]) % (1 << 16)
+                assert len(set(part.tolist())) == len(part) and part.max() < 1 << lm_mixing.NEAR
+    assert len(set(zip(tree.node.tolist(), tree.mark.tolist(), strict=True))) == len(set(tree.node.tolist()))
+
+
+def test_texts_are_taken_apart_once(spark, monkeypatch):
+    """Leaves and other words are written once, with all of a text in them; texts are not read again after that."""
+    docs = lm_mixing.training(table(spark, SF, "documents"))
+    known, counts = lm_mixing.lexicon(lm_mixing.count_tokens(docs))
+    for r, d in zip(lm_mixing.in_leaves(docs.orderBy("doc_id").coalesce(1), known).orderBy("rid").collect(), docs.orderBy("doc_id").collect(), strict=True):
+        words = lm_mixing.tokens(d.text)
+        leaf = np.frombuffer(r.leaves, np.int32)
+        assert r.doc_id == d.doc_id and r.n_bytes == sum(map(len, words)) + len(words) + 1 and np.array_equal(leaf, known.leaves(words))
+        assert Counter(dict(zip(r.tail, r.tf, strict=True))) == Counter(w.decode() for w in words if w not in known.leaf)
+
+
 def test_tables_do_not_depend_on_order(spark):
     rng = np.random.default_rng(1)
     context, mark, bit = rng.integers(0, 50, 4000).astype(np.uint32) * 7919, rng.integers(0, 9, 4000).astype(np.uint32) * 104729, rng.integers(0, 2, 4000).astype(np.uint8)
