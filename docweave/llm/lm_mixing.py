@@ -19,16 +19,17 @@ import heapq
 import itertools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import arrow_rows, materialize
+from docweave.llm.common import arrow_rows, discard, materialize
 
 END = "\n"  # the end's token; no word is one
 SPACE = 32
@@ -54,21 +55,18 @@ GATES = 4 * DEPTHS
 PREDICTORS = 3
 #: Tokens of a block, which are worked on at once; tokens of the first segment and of later ones at most.
 BLOCK, FIRST, EVERY = 1 << 14, 32, 512
-#: Tokens whose kinds are found at once: those of one kind are counted and learnt from at once.
+#: Tokens whose kinds are found at once, and kinds that are worked on at once.
 LOT = 1 << 20
+#: Training tokens whose kinds meet in one task, as a power of two; tasks at least; buckets of kinds a task, and kinds of a row.
+MEET_BITS, MEET_LEAST, BUCKETS, ROW = 21, 4, 4, 1 << 18
 PRIOR, RATE_DOC, SLOW_DOC = 100.0, 4.0, 400.0
-#: Words whose bits a worker remembers.
-MEMO = 200_000
-#: Distinct words that a task counts before it hands them on; slots of a chunk of a table.
-FLUSH_WORDS, CHUNK = 400_000, 1 << 16
-#: Bytes of text after which it hands them on in any case; bytes of words whose bits a worker remembers.
-FLUSH_BYTES, MEMO_BYTES = 1 << 27, 1 << 25
+#: Bytes of text whose words a task counts before it hands them on; slots of a chunk of a table.
+FLUSH_BYTES, CHUNK = 1 << 25, 1 << 16
 #: Logits of frozen tables are whole numbers of so many parts, below MOST.
 UNIT, MOST = 14, 128
 #: Bits of a leaf, which is below HEAD + 2, and of a very frequent word or none.
 LEAF_BITS, OFTEN_BITS = 20, 9
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_GATHER = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Levels of a tree whose slots lie near each other.
 NEAR = 4
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
@@ -364,7 +362,7 @@ class Speller:
     """Bits of a word that is no head word, by its bytes and the space after them: the same in every text."""
 
     def __init__(self, tree: Tree, tables: list[Table], weights: np.ndarray):
-        self.tree, self.tables, self.weights, self.memo, self.held = tree, tables, weights, {}, 0
+        self.tree, self.tables, self.weights = tree, tables, weights
 
     @staticmethod
     def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -433,6 +431,15 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the lower-cased words of texts one after the other, how many each text has), as :func:`tokens` has them."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, edge = parts.flatten(), parts.offsets.to_numpy()
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at either end leaves an empty piece there
+    size = np.diff(np.concatenate(([0], np.cumsum(full)))[edge - edge[0]])
+    return (words if full.all() else words.filter(pa.array(full))), size
+
+
 class Words:
     """Leaves of head words."""
 
@@ -446,6 +453,10 @@ class Words:
         out[-1] = END_ID
         return out
 
+    def sorted_by_leaf(self) -> pa.Array:
+        """All head words, by their leaves from WORD_0."""
+        return pa.array(list(self.leaf), pa.binary())
+
 
 def cuts(longest: int) -> np.ndarray:
     """Where segments begin, for a text of ``longest`` tokens; the last number ends it."""
@@ -482,21 +493,30 @@ def contexts(leaf: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
 
 
 def kinds(leaf: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The kind of each token: itself and what the predictors see before it, in one number. Kinds are in no telling order."""
+    """The kind of each token: itself and what the predictors see before it, in one number."""
     prior, frequent = before(leaf, size)
     key = (prior + 1).astype(np.uint64) << np.uint64(LEAF_BITS + OFTEN_BITS)
     key |= np.maximum(frequent - WORD_0 + 1, 0).astype(np.uint64) << np.uint64(LEAF_BITS)
     key |= leaf.astype(np.uint64)
-    key *= _SPREAD
     return key
 
 
 def of_kind(key: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(leaf, hashed contexts) of kinds."""
-    key = key * _GATHER
+    """(leaf, what stands before) of kinds."""
     frequent = (key >> np.uint64(LEAF_BITS) & np.uint64((1 << OFTEN_BITS) - 1)).astype(np.int32)
     prior = (key >> np.uint64(LEAF_BITS + OFTEN_BITS)).astype(np.int32) - 1
-    return (key & np.uint64((1 << LEAF_BITS) - 1)).astype(np.int32), [hashed(k, x) for k, x in enumerate((prior, np.where(frequent > 0, frequent - 1 + WORD_0, NONE)))]
+    return (key & np.uint64((1 << LEAF_BITS) - 1)).astype(np.int32), [prior, np.where(frequent > 0, frequent - 1 + WORD_0, NONE)]
+
+
+def tally(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, the sum of n of each; without n how often it is there)."""
+    if n is None:
+        key, n = np.unique(key, return_counts=True)
+        return key, n.astype(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(n[order], first) if len(key) else n
 
 
 @dataclass
@@ -517,25 +537,26 @@ class Model:
         spell = Speller(self.speller.tree, [t.frozen() for t in self.speller.tables], self.speller.weights)
         return Model(self.words, self.tree, self.base, [t.frozen() for t in self.tables], self.weights, spell)
 
-    def count(self, tables: list[Counts], leaf: np.ndarray, size: np.ndarray) -> None:
-        for k, (t, x) in enumerate(zip(tables, before(leaf, size), strict=True)):
-            pair, n = np.unique((x + 1).astype(np.uint64) << np.uint64(LEAF_BITS) | leaf.astype(np.uint64), return_counts=True)
-            n = n.astype(t.n.dtype)
+    def count(self, tables: list[Counts], key: np.ndarray, n: np.ndarray) -> None:
+        """Counts kinds, each n times: of each predictor the pairs of context and leaf."""
+        leaf, seen = of_kind(key)
+        for k, (t, x) in enumerate(zip(tables, seen, strict=True)):
+            pair, times = tally((x + 1).astype(np.uint64) << np.uint64(LEAF_BITS) | leaf.astype(np.uint64), n)
+            times = times.astype(t.n.dtype)
             for a in range(0, len(pair), BLOCK):
                 part = pair[a : a + BLOCK]
                 many, flat = self.tree.walk((part & np.uint64((1 << LEAF_BITS) - 1)).astype(np.int32))
                 context = hashed(k, (part >> np.uint64(LEAF_BITS)).astype(np.int32) - 1)
-                t.add(np.repeat(context, many), self.tree.mark.take(flat), self.tree.bit.take(flat), np.repeat(n[a : a + BLOCK], many))
+                t.add(np.repeat(context, many), self.tree.mark.take(flat), self.tree.bit.take(flat), np.repeat(times[a : a + BLOCK], many))
 
-    def learn(self, leaf: np.ndarray, size: np.ndarray, bend: np.ndarray, by: list[np.ndarray]) -> None:
-        """All tokens teach; those of one kind, which have equal bets, do so at once."""
-        key, n = np.unique(kinds(leaf, size), return_counts=True)
+    def learn(self, key: np.ndarray, n: np.ndarray, bend: np.ndarray, by: list[np.ndarray]) -> None:
+        """All tokens teach; those of one kind, which have equal bets, do so at once. Kinds are in no telling order."""
         n = n.astype(np.float32)
         for a in range(0, len(key), BLOCK):
-            last, ctx = of_kind(key[a : a + BLOCK])
+            last, seen = of_kind(key[a : a + BLOCK])
             many, flat = self.tree.walk(last)
             mark, bit = self.tree.mark.take(flat), self.tree.bit.take(flat)
-            found = [t.without_own(np.repeat(h, many), mark, bit, x) for t, h, x in zip(self.tables, ctx, by, strict=True)]
+            found = [t.without_own(np.repeat(hashed(k, x), many), mark, bit, y) for k, (t, x, y) in enumerate(zip(self.tables, seen, by, strict=True))]
             gate = gates(found, self.tree.depth.take(flat))
             newton(self.weights, bend, gate, [self.base.take(flat), *found], np.repeat(n[a : a + BLOCK], many))
 
@@ -544,19 +565,13 @@ class Model:
 
         leaves: of each text's tokens; rest: its words that are no head words.
         """
-        return self.score_leaves(leaves, [Counter(r) for r in rest])
+        new = list(set().union(*rest))
+        own = dict(zip(new, self.speller.bits(new).tolist(), strict=True)) if new else {}
+        return self.score_leaves(leaves) + [math.fsum(map(own.get, r)) for r in rest]
 
-    def score_leaves(self, leaves: list[np.ndarray], rest: list[dict[bytes, int]]) -> np.ndarray:
-        """The same, by how often each text has each of its words that are no head words."""
+    def score_leaves(self, leaves: list[np.ndarray]) -> np.ndarray:
+        """The same without what spelling the words takes that are no head words."""
         bits = np.zeros(len(leaves))
-        own = self.speller.memo
-        if len(own) > MEMO or self.speller.held > MEMO_BYTES:
-            own.clear()
-            self.speller.held = 0
-        if new := list(set().union(*rest) - own.keys()):
-            own.update(zip(new, self.speller.bits(new).tolist(), strict=True))
-            self.speller.held += sum(map(len, new))
-        bits += [math.fsum(own[w] * n for w, n in r.items()) for r in rest]
         order = np.argsort([-len(x) for x in leaves], kind="stable")
         a = 0
         while a < len(order):  # texts of like length together, those that go on first
@@ -621,28 +636,39 @@ def training(docs: DataFrame) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """(token, n): occurrences over the rows, ends included. Counted by task, then summed."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"token": [w.decode() for w in seen], "n": list(seen.values())})
-
-        size = 0
+    """(token, n): occurrences over the training rows, ends included; 0 for words of held-out rows only. Counted by task, then summed."""
+    held_out = F.col("held_out") if "held_out" in docs.columns else F.lit(False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bool, list[pa.Array]] = {False: [], True: []}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for held, words in seen.items():
+                if words:
+                    found = pc.value_counts(pa.chunked_array(words))
+                    n = pa.array(np.zeros(len(found), np.int64)) if held else found.field(1)
+                    all_words = pa.RecordBatch.from_arrays([found.field(0), n], ["token", "n"])
+                    for a in range(0, len(found), 1 << 16):
+                        yield all_words.slice(a, 1 << 16)
+                    words.clear()
+
+        size = ends = 0
         for b in batches:
-            for text in b["text"]:
-                seen.update(tokens(text))
-                size += len(text)
-            seen[END.encode()] += len(b)
-            if len(seen) >= FLUSH_WORDS or size >= FLUSH_BYTES:
-                yield out()
-                seen.clear()
+            held = b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            for kind, words in seen.items():
+                if (held == kind).any():
+                    words.append(split(b.column("text").filter(pa.array(held == kind)))[0])
+            ends += int((~held).sum())
+            size += b.column("text").nbytes
+            if size >= FLUSH_BYTES:
+                yield from out()
                 size = 0
-        if seen:
-            yield out()
+        yield from out()
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends])], ["token", "n"])
 
-    return docs.select("text").mapInPandas(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select("text", held_out.alias("held_out")).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def is_head(total: int):
@@ -736,26 +762,32 @@ def in_leaves(docs: DataFrame, words: Words) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rid = TaskContext.get().partitionId() << 40
+        rid, heads = TaskContext.get().partitionId() << 40, shared.value.sorted_by_leaf()
         for b in batches:
-            size = b["text"].str.len().to_numpy(np.int64)
-            lot = np.concatenate(([0], np.cumsum(size)[:-1])) >> 20  # about a million characters at a time
-            for k in np.unique(lot):
-                part = b[lot == k]
-                rows = [tokens(t) for t in part["text"]]
-                leaves = [shared.value.leaves(w) for w in rows]
-                tails = [Counter([ws[i] for i in np.flatnonzero(xs == OTHER).tolist()]) for ws, xs in zip(rows, leaves, strict=True)]
-                yield pd.DataFrame({
-                    "rid": rid + np.arange(len(rows)), "doc_id": part["doc_id"].to_numpy(), "held_out": part["held_out"].to_numpy(),
-                    "n_bytes": [len(b" ".join(w)) + 1 + bool(w) for w in rows], "leaves": [x.tobytes() for x in leaves],
-                    "tail": [[w.decode() for w in c] for c in tails], "tf": [list(c.values()) for c in tails],
-                })
-                rid += len(rows)
-
-    return materialize(docs.select("doc_id", "text", "held_out").mapInPandas(run, LEAVES), "lm-leaves")
+            words, size = split(b.column("text"))
+            coded = words.dictionary_encode()
+            code, rows = coded.indices.to_numpy(), np.arange(len(size))
+            found = pc.index_in(coded.dictionary.cast(pa.binary()), value_set=heads)
+            found = pc.fill_null(pc.add(found, WORD_0), OTHER).to_numpy().astype(np.int32).take(code)
+            edge = np.concatenate(([0], np.cumsum(size)))
+            leaf = np.full(len(code) + len(size), END_ID, np.int32)
+            leaf[np.arange(len(code)) + np.repeat(rows, size)] = found
+            letters = np.concatenate(([0], np.cumsum(pc.binary_length(words).to_numpy(), dtype=np.int64)))[edge]
+            other = np.flatnonzero(found == OTHER)
+            pair, times = np.unique(np.repeat(rows, size)[other] << 32 | code[other], return_counts=True)
+            cut = pa.array(np.searchsorted(pair, np.arange(len(size) + 1) << 32).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(rid + rows), b.column("doc_id"), b.column("held_out"), pa.array(np.diff(letters) + size + 1),
+                pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(((edge + np.arange(len(edge))) * 4).astype(np.int32)), pa.py_buffer(leaf)]),
+                pa.ListArray.from_arrays(cut, coded.dictionary.take(pa.array(pair & 0xFFFFFFFF))), pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int32))),
+            ], ["rid", "doc_id", "held_out", "n_bytes", "leaves", "tail", "tf"])
+            rid += len(size)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+
+    return materialize(docs.select("doc_id", "text", "held_out").mapInArrow(run, LEAVES), "lm-leaves")
 
 
 def texts_in(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -773,6 +805,69 @@ def texts_in(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.n
         yield np.concatenate(held), np.array([len(x) for x in held])
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of their bytes, which compress well where the numbers are small."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def all_kinds(rows: DataFrame, total: int) -> DataFrame:
+    """The kinds of all tokens of texts in leaves, and how often each is there: rows of many kinds (key, n) in no telling order.
+
+    Each task's kinds are summed, then those of a bucket, so each kind is counted and learnt from once. total: of all tokens.
+    """
+    tasks = max(MEET_LEAST, -(-total >> MEET_BITS))
+    many = np.uint64(tasks * BUCKETS)
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for leaf, size in texts_in(batches):
+            key, n = tally(kinds(leaf, size))
+            pair = key & ~np.uint64(((1 << OFTEN_BITS) - 1) << LEAF_BITS)  # kinds of one pair of words meet
+            bucket = ((pair * _SPREAD >> np.uint64(32)) * many >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(int(many) + 1))
+            for k in np.flatnonzero(np.diff(edge)).tolist():
+                who = order[edge[k] : edge[k + 1]]
+                yield pd.DataFrame({"bucket": [k], "key": [planes(np.diff(key[who], prepend=np.uint64(0)))], "n": [planes(n[who])]})
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, limit = 0, 2 * LOT
+        for b in batches:
+            for key, n in zip(b["key"], b["n"], strict=True):
+                held.append((np.cumsum(from_planes(key), dtype=np.uint64), from_planes(n)))
+                size += len(held[-1][0])
+                if size >= limit:
+                    held = [tally(*map(np.concatenate, zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    limit = 2 * max(size, LOT)
+        if held:
+            key, n = tally(*map(np.concatenate, zip(*held, strict=True)))
+            order = np.argsort(key * _SPREAD)
+            for a in range(0, len(key), ROW):
+                who = order[a : a + ROW]
+                yield pd.DataFrame({"key": [planes(key[who])], "n": [planes(n[who])]})
+
+    dealt = rows.select("leaves").mapInPandas(found, "bucket int, key binary, n binary").repartition(tasks, "bucket")
+    return materialize(dealt.mapInPandas(met, "key binary, n binary"), "lm-kinds")
+
+
+def kinds_in(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(kinds, how often each is there), about LOT at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in batches:
+        for key, n in zip(b["key"], b["n"], strict=True):
+            held.append((from_planes(key), from_planes(n)))
+            if sum(len(x) for x, _ in held) >= LOT:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held = []
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def learn(docs: DataFrame, words: DataFrame) -> tuple[Model, np.ndarray]:
     """The model of docs (doc_id, text) and their words (token, n), and the counts of its leaves; all of a bounded size."""
     known, counts = lexicon(words)
@@ -794,56 +889,73 @@ def fit(rows: DataFrame, words: DataFrame, known: Words, counts: np.ndarray) ->
     bits = tuple(min(most, max(16, int(x).bit_length())) for most, x in zip(MOST_BITS, (total, PER_WORD * (len(counts) - WORD_0)), strict=True))
     tree = Tree.of(counts, min(bits))
     model = Model(known, tree, tree.bases(counts), [], first_weights(), learn_speller(words.where(~is_head(total) & (F.col("token") != END))))
+    found = all_kinds(rows, total)
     fresh = spark.sparkContext.broadcast(tree)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, tables = Model(None, fresh.value, None, [], None, None), [Counts(b) for b in bits]
-        for leaf, size in texts_in(batches):
-            own.count(tables, leaf, size)
+        own, tables, seen = Model(None, fresh.value, None, [], None, None), [Counts(b) for b in bits], 0
+        for key, n in kinds_in(batches):
+            seen += int(n.sum())
+            if seen >> 32:  # no slot has more
+                for t in tables:
+                    t.n = t.n.astype(np.uint64, copy=False)
+            own.count(tables, key, n)
         for k, t in enumerate(tables):
             for piece in t.pieces(k):
                 yield pd.DataFrame([piece])
 
-    model.tables = tables_of(rows.select("leaves").mapInPandas(count, "chunk int, n binary"), bits)
+    model.tables = tables_of(found.mapInPandas(count, "chunk int, n binary"), bits)
     shared = spark.sparkContext.broadcast(Model(None, tree, model.base, model.tables, model.weights, None))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         own, bend, seen = Model(None, m.tree, m.base, m.tables, m.weights.copy(), None), start_bend(), 0
         by = [t.own_taken_out() for t in own.tables]
-        for leaf, size in texts_in(batches):
-            own.learn(leaf, size, bend, by)
-            seen += len(leaf)
+        for key, n in kinds_in(batches):
+            own.learn(key, n, bend, by)
+            seen += int(n.sum())
         yield from _weights(own.weights, seen)
 
-    model.weights = averaged(rows.select("leaves").mapInPandas(weigh, WEIGHTS), model.weights)
+    model.weights = averaged(found.mapInPandas(weigh, WEIGHTS), model.weights)
     shared.destroy()
     fresh.destroy()
+    discard(found)
     return model
 
 
+def spelt(words: DataFrame, speller: Speller) -> DataFrame:
+    """(token, n, bits) of words (token, n): what spelling each takes, by a frozen speller."""
+    shared = words.sparkSession.sparkContext.broadcast(speller)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                bits = shared.value.bits(b.column("token").cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column("token"), b.column("n"), pa.array(bits)], ["token", "n", "bits"])
+
+    return words.select("token", "n").mapInArrow(run, "token string, n long, bits double")
+
+
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, bits double, part double, known long"
 
 
 def score_documents(rows: DataFrame, model: Model, counts: np.ndarray) -> DataFrame:
-    """Per row in leaves: bits by the model, the unigram sum over head words, and how many tokens are known by these."""
+    """Per row in leaves: bits by the model without spelling, the unigram sum over head words, and how many tokens are known by these."""
     logs = np.log10(counts + 0.5)
     logs[OTHER] = 0.0
-    frozen = Model(None, model.tree, model.base, model.tables, model.weights, model.speller)
+    frozen = Model(None, model.tree, model.base, model.tables, model.weights, None)
     shared = rows.sparkSession.sparkContext.broadcast((frozen, logs, counts[END_ID] > 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, logs, ended = shared.value
         for b in batches:
             leaves = [np.frombuffer(x, np.int32) for x in b["leaves"]]
-            tails = [dict(zip([w.encode() for w in ws], ns.tolist(), strict=True)) for ws, ns in zip(b["tail"], b["tf"], strict=True)]
             yield pd.DataFrame({
                 "rid": b["rid"], "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": [len(x) for x in leaves], "n_bytes": b["n_bytes"],
-                "bits": m.score_leaves(leaves, tails), "part": [logs.take(x).sum() for x in leaves],
-                "known": [len(x) - sum(r.values()) - (not ended) for x, r in zip(leaves, tails, strict=True)],
+                "bits": m.score_leaves(leaves), "part": [logs.take(x).sum() for x in leaves], "known": [np.count_nonzero(x != OTHER) - (not ended) for x in leaves],
             })
 
-    return rows.mapInPandas(run, SCORED)
+    return rows.select("rid", "doc_id", "held_out", "n_bytes", "leaves").mapInPandas(run, SCORED)
 
 
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -852,28 +964,32 @@ def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
     A null or empty text is the end alone; a text of any length is worked on in segments. A null doc_id has the
     remainder of the empty string. Repeated rows count and score each. Without any training row all counts are 0 and the
     first guesses score. An empty table gives an empty result; other columns are not read. Head words, fewer than HEAD by
-    counting and of HEAD_BYTES at most each, are scored where the text is; all other words go to their counts in a join on words, none of which has
+    counting and of HEAD_BYTES at most each, are scored where the text is; all other words, each spelt once, go to their counts and bits in a join on words, none of which has
     a large share of the training tokens.
     """
     arrow_rows(spark)
     rows = training(docs)
-    words = materialize(count_tokens(rows.where("NOT held_out")), "lm-counts")
+    seen = materialize(count_tokens(rows), "lm-counts")
+    words = seen.where("n > 0")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     known, counts = lexicon(words)
     rows = in_leaves(rows, known)
     model = fit(rows.where("NOT held_out"), words, known, counts)
-    scored = materialize(score_documents(rows, model.frozen(), counts), "lm-scored")
+    frozen = model.frozen()
+    scored = materialize(score_documents(rows, frozen, counts), "lm-scored")
     # a word that occurs in held-out texts only may be frequent there: sums by task come first
     long = F.octet_length("token") > HEAD_BYTES  # joined by a digest; no word has a space
     short = F.when(long, F.concat(F.lit(" "), F.sha2("token", 256))).otherwise(F.col("token")).alias("token")
     tail = rows.select("rid", F.explode(F.arrays_zip(F.col("tail").alias("token"), "tf")).alias("t")).select("rid", "t.token", "t.tf").select("rid", short, "tf")
-    others = words.where(~is_head(total)).select(short, "n")
+    others = spelt(seen.where(~is_head(total) & (F.col("token") != END)), frozen.speller).select(short, "n", "bits")
     counted = tail.join(others.hint("merge"), "token", "left").groupBy("rid").agg(
-        F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more")
+        F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more"),
+        F.sum(F.col("tf") * F.col("bits")).alias("spell"),
     )
     norm = math.log10(total + 0.5 * (distinct + 1))
-    return scored.join(counted, "rid", "left").select(
+    bits = F.col("scored.bits") + F.coalesce("spell", F.lit(0.0))
+    return scored.alias("scored").join(counted, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("part") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
-        (-F.col("bits") * math.log10(2)).alias("score"), "n_bytes", (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
+        (-bits * math.log10(2)).alias("score"), "n_bytes", (bits / F.col("n_bytes")).alias("bits_per_byte"),
     )

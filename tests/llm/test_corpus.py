@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -913,6 +914,48 @@ def test_texts_are_taken_apart_once(spark, monkeypatch):
         assert Counter(dict(zip(r.tail, r.tf, strict=True))) == Counter(w.decode() for w in words if w not in known.leaf)
 
 
+def test_each_kind_is_counted_and_learnt_from_once(spark):
+    """Tokens of one kind meet, whatever tasks their texts are in, and none gets lost; a kind was worked on in each task before."""
+    docs = lm_mixing.training(table(spark, SF, "documents")).repartition(5)
+    known, counts = lm_mixing.lexicon(lm_mixing.count_tokens(docs.withColumn("held_out", F.lit(False))))
+    rows = lm_mixing.in_leaves(docs, known)
+    found = [r for part in lm_mixing.all_kinds(rows, int(counts.sum())).collect() for r in zip(lm_mixing.from_planes(part.key).tolist(), lm_mixing.from_planes(part.n).tolist(), strict=True)]
+    want = Counter()
+    for r in rows.collect():
+        prior, often = lm_mixing.NONE, lm_mixing.NONE
+        for k in np.frombuffer(r.leaves, np.int32).tolist():
+            want[k, prior, often] += 1
+            prior, often = k, k if lm_mixing.WORD_0 <= k < lm_mixing.WORD_0 + lm_mixing.FREQUENT else often
+    leaf, (prior, often) = lm_mixing.of_kind(np.array([k for k, _ in found], np.uint64))
+    assert len(found) == len(want) and want == Counter(dict(zip(zip(leaf.tolist(), prior.tolist(), often.tolist(), strict=True), [n for _, n in found], strict=True)))
+
+
+@pytest.mark.parametrize("longest", [48, 5])
+def test_each_word_is_spelt_once(spark, monkeypatch, longest):
+    """What spelling takes comes from a table of distinct words, those of held-out texts too, and adds up to the score of whole texts."""
+    monkeypatch.setattr(lm_mixing, "HEAD", 500)
+    monkeypatch.setattr(lm_mixing, "HEAD_BYTES", longest)
+    docs = lm_mixing.training(table(spark, SF, "documents"))
+    seen = lm_mixing.count_tokens(docs)
+    words = seen.where("n > 0")
+    known, counts = lm_mixing.lexicon(words)
+    frozen = lm_mixing.fit(lm_mixing.in_leaves(docs, known).where("NOT held_out"), words, known, counts).frozen()
+    texts = {r.doc_id: lm_mixing.tokens(r.text) for r in docs.collect()}
+    rest = {w for ws in texts.values() for w in ws if w not in known.leaf}
+    spelt = lm_mixing.spelt(seen.where(~lm_mixing.is_head(int(counts.sum())) & (F.col("token") != lm_mixing.END)), frozen.speller).collect()
+    assert len(spelt) == len(rest) and {r.token.encode() for r in spelt} == rest and any(r.n == 0 for r in spelt)
+    got = {r.doc_id: r.score for r in lm_mixing.op2(spark, table(spark, SF, "documents")).collect()}
+    want = -scores(frozen, list(texts.values())) * math.log10(2)
+    assert np.allclose([got[k] for k in texts], want, rtol=1e-5)
+
+
+def test_words_in_arrays_equal_words_of_python():
+    texts = [" a\x0bB \x1c c\x85 ", "", "  ", "\u3000x\u00c4 \t\n\r\x0c", None, "the Cat", "\x00 \x00a"]
+    words, size = lm_mixing.split(pa.array(texts).slice(0)), [len(lm_mixing.tokens(t)) for t in texts]
+    assert words[1].tolist() == size and [w.encode() for w in words[0].to_pylist()] == [w for t in texts for w in lm_mixing.tokens(t)]
+    assert lm_mixing.split(pa.array(texts).slice(3))[1].tolist() == size[3:]
+
+
 def test_tables_do_not_depend_on_order(spark):
     rng = np.random.default_rng(1)
     context, mark, bit = rng.integers(0, 50, 4000).astype(np.uint32) * 7919, rng.integers(0, 9, 4000).astype(np.uint32) * 104729, rng.integers(0, 2, 4000).astype(np.uint8)
