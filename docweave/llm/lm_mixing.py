@@ -15,6 +15,7 @@ doubling distances, at most EVERY apart.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import math
@@ -59,6 +60,8 @@ BLOCK, FIRST, EVERY = 1 << 14, 32, 512
 LOT = 1 << 20
 #: Training tokens whose kinds meet in one task, as a power of two; tasks at least; buckets of kinds a task, and kinds of a row.
 MEET_BITS, MEET_LEAST, BUCKETS, ROW = 21, 4, 4, 1 << 18
+#: Training tokens whose kinds are counted in one table, as a power of two; bytes of words that are spelt at once.
+TABLE_BITS, SPELT = 24, 1 << 19
 PRIOR, RATE_DOC, SLOW_DOC = 100.0, 4.0, 400.0
 #: Bytes of text whose words a task counts before it hands them on; slots of a chunk of a table.
 FLUSH_BYTES, CHUNK = 1 << 25, 1 << 16
@@ -127,6 +130,11 @@ class Tree:
         mark += way
         return cls(start.astype(np.int32), length.astype(np.int32), node, mark, bit, (2 * bit.astype(np.int8) - 1), np.minimum(depth >> 2, DEPTHS - 1).astype(np.uint8), max(1, new - n))
 
+    @functools.cached_property
+    def level(self) -> np.ndarray:
+        """Depth of each decision, those whose answer is yes after all others."""
+        return self.depth + np.uint8(DEPTHS) * self.bit
+
     def walk(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of decisions of each leaf, all decisions in order as places of the flat arrays)."""
         many = self.length[leaf]
@@ -198,6 +206,12 @@ class Counts:
             if tag.any():
                 yield {"chunk": table << 20 | a // CHUNK, "n": packed(n, tag)}
 
+    def frames(self, table: int) -> Iterator[pd.DataFrame]:
+        """Pieces, 16 in a frame."""
+        pieces = self.pieces(table)
+        while some := list(itertools.islice(pieces, 16)):
+            yield pd.DataFrame(some)
+
 
 def packed(n: np.ndarray, tag: np.ndarray) -> bytes:
     """Counts and tags of a chunk in few bytes: a byte a count, and the few large ones apart."""
@@ -328,18 +342,19 @@ def newton(weights: np.ndarray, bend: np.ndarray, gate: np.ndarray, signed: list
 
     signed: logits of the predictors, towards what happened.
     """
-    z = sum(weights[:, k].take(gate) * signed[k] for k in range(PREDICTORS))
+    order, times = np.argsort(gate.astype(np.uint8), kind="stable"), np.bincount(gate, minlength=GATES)
+    x = np.stack([y.take(order) for y in signed])
+    z = sum(np.repeat(weights[:, k], times) * x[k] for k in range(PREDICTORS))
     p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
     wrong, flat = 1 - p, p * (1 - p)
     if by is not None:
+        by = by.astype(np.float32).take(order)
         wrong, flat = wrong * by, flat * by
-    slope = np.zeros((GATES, PREDICTORS))
-    for i in range(PREDICTORS):
-        slope[:, i] = np.bincount(gate, wrong * signed[i], minlength=GATES)
-        part = flat * signed[i]
-        for j in range(i, PREDICTORS):
-            bend[:, i, j] += np.bincount(gate, part * signed[j], minlength=GATES)
-            bend[:, j, i] = bend[:, i, j]
+    slope, edge = np.zeros((GATES, PREDICTORS)), np.concatenate(([0], np.cumsum(times)))
+    for g in np.flatnonzero(times).tolist():
+        y = x[:, edge[g] : edge[g + 1]]
+        slope[g] = y @ wrong[edge[g] : edge[g + 1]]
+        bend[g] += (y * flat[edge[g] : edge[g + 1]]) @ y.T
     weights += np.linalg.solve(bend, slope[:, :, None])[:, :, 0].astype(np.float32)
 
 
@@ -365,8 +380,8 @@ class Speller:
         self.tree, self.tables, self.weights = tree, tables, weights
 
     @staticmethod
-    def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(bytes, number of the word of each, hashed contexts before each); a space stands before each word."""
+    def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """(bytes, number of the word of each, hashed contexts before each, hash of the word up to each); a space stands before each word."""
         buf = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
         b = buf.astype(np.uint32)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -379,51 +394,88 @@ class Speller:
         powers = np.cumprod(np.full(int(size.max()) + 1, _A), dtype=np.uint32)
         sums = np.concatenate((np.zeros(1, np.uint32), np.cumsum(b[1:] * powers[inside], dtype=np.uint32)))
         whole = sums[at - 1] - sums[start]
-        return buf[1:], np.repeat(np.arange(len(words)), size), [(h + np.uint32(k * 0x3C6EF372 & 0xFFFFFFFF)) * _C for k, h in enumerate((two, four, whole))]
+        # the bytes of the word so far, this one included, in 64 bits
+        powers = np.cumprod(np.full(int(size.max()) + 1, _SPREAD), dtype=np.uint64)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b[1:] + np.uint32(1)) * powers[inside], dtype=np.uint64)))
+        begin = sums[at] - sums[start]
+        return buf[1:], np.repeat(np.arange(len(words)), size), [(h + np.uint32(k * 0x3C6EF372 & 0xFFFFFFFF)) * _C for k, h in enumerate((two, four, whole))], begin
+
+    def _walk(self, words: list[bytes], n: np.ndarray | None = None):
+        """For lots of words: (place of each decision, hashed contexts, flat places of the tree, n of each decision), then what place each byte is.
 
-    def _walk(self, words: list[bytes]):
-        """For lots of words: (word of each decision, hashed contexts, flat places)."""
+        Bytes after the same beginning of a word are one place; its n is that of all its words.
+        """
         a = 0
         while a < len(words):
             b = held = 0
             for b in range(a, len(words)):
                 held += len(words[b]) + 1
-                if held >= BLOCK:
+                if held >= SPELT:
                     break
-            byte, word, contexts = self.contexts(words[a : b + 1])
-            for x in range(0, len(byte), 2 * BLOCK):  # bounded, however long a word is
-                cut = slice(x, x + 2 * BLOCK)
+            byte, word, contexts, begin = self.contexts(words[a : b + 1])
+            order = np.argsort(begin)
+            new = np.diff(begin[order], prepend=~begin[order[:1]]) != 0
+            first = np.flatnonzero(new)
+            times = None if n is None else np.add.reduceat(n[a : b + 1][word[order]], first)
+            place = np.empty(len(order), np.intp)
+            place[order] = np.cumsum(new) - 1
+            byte, contexts = byte[order[first]], [h[order[first]] for h in contexts]
+            for x in range(0, len(byte), BLOCK):
+                cut = slice(x, x + BLOCK)
                 many, flat = self.tree.walk(byte[cut])
-                yield a + np.repeat(word[cut], many), [np.repeat(h[cut], many) for h in contexts], flat
+                yield x + np.repeat(np.arange(len(many)), many), [np.repeat(h[cut], many) for h in contexts], flat, None if n is None else np.repeat(times[cut], many)
+            yield a + word, place, None, None
             a = b + 1
 
     def count(self, tables: list[Counts], words: list[bytes], n: np.ndarray) -> None:
-        for word, contexts, flat in self._walk(words):
-            mark, bit, by = self.tree.mark.take(flat), self.tree.bit.take(flat), n[word]
-            for t, h in zip(tables, contexts, strict=True):
-                t.add(h, mark, bit, by)
+        for _, contexts, flat, by in self._walk(words, n):
+            if flat is not None:
+                mark, bit = self.tree.mark.take(flat), self.tree.bit.take(flat)
+                for t, h in zip(tables, contexts, strict=True):
+                    t.add(h, mark, bit, by)
 
     def learn(self, words: list[bytes], n: np.ndarray, bend: np.ndarray, by: list[np.ndarray]) -> None:
-        for word, contexts, flat in self._walk(words):
-            mark, bit = self.tree.mark.take(flat), self.tree.bit.take(flat)
-            found = [t.without_own(h, mark, bit, x) for t, h, x in zip(self.tables, contexts, by, strict=True)]
-            gate = gates(found[1:], self.tree.depth.take(flat))
-            newton(self.weights, bend, gate, found, n[word])
+        for _, contexts, flat, times in self._walk(words, n):
+            if flat is not None:
+                mark, bit = self.tree.mark.take(flat), self.tree.bit.take(flat)
+                found = [t.without_own(h, mark, bit, x) for t, h, x in zip(self.tables, contexts, by, strict=True)]
+                gate = gates(found[1:], self.tree.depth.take(flat))
+                newton(self.weights, bend, gate, found, times)
 
     def bits(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(words))
+        out, parts = np.zeros(len(words)), []
         weights = (self.weights.T / UNIT).astype(np.float32)
-        for word, contexts, flat in self._walk(words):
+        for place, contexts, flat, _ in self._walk(words):
+            if flat is None:  # place: the word of each byte, contexts: its place
+                out += np.bincount(place, np.concatenate(parts).take(contexts), minlength=len(words))
+                parts = []
+                continue
             mark = self.tree.mark.take(flat)
             found = [t.look(h, mark) for t, h in zip(self.tables, contexts, strict=True)]
             gate = gates(found[1:], self.tree.depth.take(flat))
             z = sum(weights[k].take(gate) * found[k] for k in range(PREDICTORS))
             z *= self.tree.sign.take(flat)
             np.clip(z, -12, 12, out=z)
-            out += np.bincount(word, np.log(1 + np.exp(-z)), minlength=len(words))
+            parts.append(np.bincount(place - place[0], np.log(1 + np.exp(-z))))
         return out / math.log(2)
 
 
+def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(words, how often each is there), about SPELT bytes at a time."""
+    words: list[bytes] = []
+    n: list[np.ndarray] = []
+    size = 0
+    for b in batches:
+        words += b.column("token").cast(pa.binary()).to_pylist()
+        n.append(b.column("n").to_numpy())
+        size += b.column("token").nbytes
+        if size >= SPELT:
+            yield words, np.concatenate(n)
+            words, n, size = [], [], 0
+    if words:
+        yield words, np.concatenate(n)
+
+
 # ---------------------------------------------------------------- texts by their words
 
 
@@ -594,6 +646,8 @@ class Model:
         factor = np.ones((PREDICTORS, n), np.float32)  # of each predictor's weights, text by text
         weights = self.weights.T.astype(np.float32).copy()
         weights[1:] /= UNIT
+        weights = np.concatenate((weights, weights), axis=1)  # by gate, where the answer is no and where it is yes
+        weights[1:, :GATES] *= -1
         for s, e in itertools.pairwise(edges.tolist()):
             live = int(np.searchsorted(-size, -s, side="left"))  # texts of more than s tokens
             if not live:
@@ -603,10 +657,10 @@ class Model:
             many, flat = self.tree.walk(leaf[at])
             edge = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(here)))]
             wide = np.diff(edge)
-            mark, sign = self.tree.mark.take(flat), self.tree.sign.take(flat)
+            mark = self.tree.mark.take(flat)
             found = [t.look(np.repeat(h[at], many), mark) for t, h in zip(self.tables, ctx, strict=True)]
-            gate = gates(found, self.tree.depth.take(flat))
-            bets = [self.base.take(flat), found[0] * sign, found[1] * sign]
+            gate = gates(found, self.tree.level.take(flat))
+            bets = [self.base.take(flat), *found]
             z = np.zeros(len(flat), np.float32)
             for k, x in enumerate(bets):
                 bets[k] = x = weights[k].take(gate) * x  # towards what happened
@@ -696,30 +750,31 @@ def byte_counts(words: DataFrame) -> np.ndarray:
 def learn_speller(words: DataFrame) -> Speller:
     """The speller of words (token, n); what reaches the driver is of a fixed size."""
     spark, tree = words.sparkSession, Tree.of(byte_counts(words))
+    words = words.select("token", "n")
+    fewer = words.coalesce(max(MEET_LEAST, words.rdd.getNumPartitions() // 3))  # a table a task
     fresh = spark.sparkContext.broadcast(Speller(tree, [], first_weights()))
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [Counts(b, np.uint64) for b in BYTE_BITS]
-        for b in batches:
-            if len(b):
-                fresh.value.count(tables, [t.encode() for t in b["token"]], b["n"].to_numpy(np.uint64))
+        for some, n in lots(batches):
+            fresh.value.count(tables, some, n.astype(np.uint64))
         for k, t in enumerate(tables):
-            for piece in t.pieces(k):
-                yield pd.DataFrame([piece])
+            for frame in t.frames(k):
+                yield pa.RecordBatch.from_arrays([pa.array(frame["chunk"], pa.int32()), pa.array(frame["n"], pa.binary())], ["chunk", "n"])
 
-    speller = Speller(tree, tables_of(words.mapInPandas(counts, "chunk int, n binary"), BYTE_BITS), first_weights())
+    speller = Speller(tree, tables_of(fewer.mapInArrow(counts, "chunk int, n binary"), BYTE_BITS), first_weights())
     shared = spark.sparkContext.broadcast(speller)
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, bend, seen = Speller(shared.value.tree, shared.value.tables, shared.value.weights.copy()), start_bend(), 0
         by = [t.own_taken_out() for t in own.tables]
-        for b in batches:
-            if len(b):
-                own.learn([t.encode() for t in b["token"]], b["n"].to_numpy(np.float64), bend, by)
-                seen += len(b)
-        yield from _weights(own.weights, seen)
+        for some, n in lots(batches):
+            own.learn(some, n.astype(np.float64), bend, by)
+            seen += len(some)
+        for frame in _weights(own.weights, seen):
+            yield pa.RecordBatch.from_pandas(frame.astype({"at": np.int32}), preserve_index=False)
 
-    speller.weights = averaged(words.mapInPandas(weigh, WEIGHTS), speller.weights)
+    speller.weights = averaged(words.mapInArrow(weigh, WEIGHTS), speller.weights)
     shared.destroy()
     fresh.destroy()
     return speller
@@ -829,9 +884,10 @@ def all_kinds(rows: DataFrame, total: int) -> DataFrame:
             bucket = ((pair * _SPREAD >> np.uint64(32)) * many >> np.uint64(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(int(many) + 1))
-            for k in np.flatnonzero(np.diff(edge)).tolist():
-                who = order[edge[k] : edge[k + 1]]
-                yield pd.DataFrame({"bucket": [k], "key": [planes(np.diff(key[who], prepend=np.uint64(0)))], "n": [planes(n[who])]})
+            used = np.flatnonzero(np.diff(edge)).tolist()
+            parts = [order[edge[k] : edge[k + 1]] for k in used]
+            for a in range(0, len(used), 500):  # few frames
+                yield pd.DataFrame({"bucket": used[a : a + 500], "key": [planes(np.diff(key[x], prepend=np.uint64(0))) for x in parts[a : a + 500]], "n": [planes(n[x]) for x in parts[a : a + 500]]})
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -901,10 +957,10 @@ def fit(rows: DataFrame, words: DataFrame, known: Words, counts: np.ndarray) ->
                     t.n = t.n.astype(np.uint64, copy=False)
             own.count(tables, key, n)
         for k, t in enumerate(tables):
-            for piece in t.pieces(k):
-                yield pd.DataFrame([piece])
+            yield from t.frames(k)
 
-    model.tables = tables_of(found.mapInPandas(count, "chunk int, n binary"), bits)
+    # a table a task: with more kinds a task, fewer tables travel
+    model.tables = tables_of(found.coalesce(max(MEET_LEAST, total >> TABLE_BITS)).mapInPandas(count, "chunk int, n binary"), bits)
     shared = spark.sparkContext.broadcast(Model(None, tree, model.base, model.tables, model.weights, None))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -928,10 +984,8 @@ def spelt(words: DataFrame, speller: Speller) -> DataFrame:
     shared = words.sparkSession.sparkContext.broadcast(speller)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                bits = shared.value.bits(b.column("token").cast(pa.binary()).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("token"), b.column("n"), pa.array(bits)], ["token", "n", "bits"])
+        for some, n in lots(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()).cast(pa.string()), pa.array(n), pa.array(shared.value.bits(some))], ["token", "n", "bits"])
 
     return words.select("token", "n").mapInArrow(run, "token string, n long, bits double")
 

@@ -949,6 +949,22 @@ def test_each_word_is_spelt_once(spark, monkeypatch, longest):
     assert np.allclose([got[k] for k in texts], want, rtol=1e-5)
 
 
+def test_a_beginning_of_words_is_spelt_once():
+    """Bytes after the same beginning are one place, which counts for all its words; each was worked on before."""
+    words, n = [b"abc", b"abd", b"ab", b"x", "\u00e9a".encode(), b"a\x00", b"a"], np.array([3, 1, 2, 5, 1, 1, 4], np.uint64)
+    tree = lm_mixing.Tree.of(np.ones(256))
+    once, alone = ([lm_mixing.Counts(b, np.uint64) for b in lm_mixing.BYTE_BITS] for _ in range(2))
+    speller = lm_mixing.Speller(tree, [], lm_mixing.first_weights())
+    speller.count(once, words, n)
+    for k in range(len(words)):
+        speller.count(alone, words[k : k + 1], n[k : k + 1])
+    assert all(np.array_equal(a.n, b.n) for a, b in zip(once, alone, strict=True))
+    edges = len({(w + b" ")[:k] for w in words for k in range(1, len(w) + 2)})
+    assert sum(len(flat) for *_, flat, _ in speller._walk(words, n) if flat is not None) == 8 * edges
+    speller.tables = [lm_mixing.Table(t.bits, np.zeros(1 << t.bits, np.uint32)).frozen() for t in once]
+    assert np.allclose(speller.bits(words), [speller.bits([w])[0] for w in words])
+
+
 def test_words_in_arrays_equal_words_of_python():
     texts = [" a\x0bB \x1c c\x85 ", "", "  ", "\u3000x\u00c4 \t\n\r\x0c", None, "the Cat", "\x00 \x00a"]
     words, size = lm_mixing.split(pa.array(texts).slice(0)), [len(lm_mixing.tokens(t)) for t in texts]
